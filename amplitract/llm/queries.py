@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 from .line_dedup import OP7_SQL, op7_line_dedup
+from .mixing import OP9_SQL, op9_mixing
 from .sharding import op4_sharding, op4_sql
 
 QUERIES = {
     "op4_sharding": op4_sharding,
     "op7_line_dedup": op7_line_dedup,
+    "op9_mixing": op9_mixing,
 }
 
 
 def oracles() -> dict[str, str]:
-    return {"op4_sharding": op4_sql(), "op7_line_dedup": OP7_SQL}
+    return {"op4_sharding": op4_sql(), "op7_line_dedup": OP7_SQL, "op9_mixing": OP9_SQL}

@@ -6,9 +6,11 @@ from .line_dedup import OP7_SQL, op7_line_dedup
 from .mixing import OP9_SQL, op9_mixing
 from .quality_rules import op2_quality_rules
 from .sharding import op4_sharding, op4_sql
+from .transport_stream import op3_transport_stream
 
 QUERIES = {
     "op2_quality_rules": op2_quality_rules,
+    "op3_transport_stream": op3_transport_stream,
     "op4_sharding": op4_sharding,
     "op7_line_dedup": op7_line_dedup,
     "op9_mixing": op9_mixing,

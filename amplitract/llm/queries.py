@@ -6,6 +6,7 @@ from .line_dedup import OP7_SQL, op7_line_dedup
 from .minhash_dedup import op8_minhash_dedup
 from .mixing import OP9_SQL, op9_mixing
 from .quality_rules import op2_quality_rules
+from .sentencepiece_matching import op5_sentencepiece
 from .sharding import op4_sharding, op4_sql
 from .transport_stream import op3_transport_stream
 
@@ -13,6 +14,7 @@ QUERIES = {
     "op2_quality_rules": op2_quality_rules,
     "op3_transport_stream": op3_transport_stream,
     "op4_sharding": op4_sharding,
+    "op5_sentencepiece": op5_sentencepiece,
     "op7_line_dedup": op7_line_dedup,
     "op8_minhash_dedup": op8_minhash_dedup,
     "op9_mixing": op9_mixing,

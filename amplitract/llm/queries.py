@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .language_id import op1_language_id
 from .line_dedup import OP7_SQL, op7_line_dedup
 from .minhash_dedup import op8_minhash_dedup
 from .mixing import OP9_SQL, op9_mixing
@@ -11,6 +12,7 @@ from .sharding import op4_sharding, op4_sql
 from .transport_stream import op3_transport_stream
 
 QUERIES = {
+    "op1_language_id": op1_language_id,
     "op2_quality_rules": op2_quality_rules,
     "op3_transport_stream": op3_transport_stream,
     "op4_sharding": op4_sharding,

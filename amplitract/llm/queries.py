@@ -6,9 +6,11 @@ from .language_id import op1_language_id
 from .line_dedup import OP7_SQL, op7_line_dedup
 from .minhash_dedup import op8_minhash_dedup
 from .mixing import OP9_SQL, op9_mixing
+from .repeated_passages import op6_repeated_passages
 from .quality_rules import op2_quality_rules
 from .sentencepiece_matching import op5_sentencepiece
 from .sharding import op4_sharding, op4_sql
+from .site_style_tree import op10_site_style_tree
 from .transport_stream import op3_transport_stream
 
 QUERIES = {
@@ -17,9 +19,11 @@ QUERIES = {
     "op3_transport_stream": op3_transport_stream,
     "op4_sharding": op4_sharding,
     "op5_sentencepiece": op5_sentencepiece,
+    "op6_repeated_passages": op6_repeated_passages,
     "op7_line_dedup": op7_line_dedup,
     "op8_minhash_dedup": op8_minhash_dedup,
     "op9_mixing": op9_mixing,
+    "op10_site_style_tree": op10_site_style_tree,
 }
 
 

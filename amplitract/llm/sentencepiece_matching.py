@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .shared import others, table
 
@@ -365,7 +366,7 @@ def encode(docs: DataFrame, text: str = "text", model: str = MODEL) -> DataFrame
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], ids], names=[*part.schema.names[:-1], "ids"])
 
     mine = docs.select(*others(docs, "ids", "_text"), docs[text].alias("_text"))
-    return mine.mapInArrow(encoded, mine.drop("_text").schema.add("ids", "array<int>"))
+    return mine.mapInArrow(encoded, mine.drop("_text").schema.add("ids", T.ArrayType(T.IntegerType())))
 
 
 def decode(df: DataFrame, ids: str = "ids", model: str = MODEL) -> DataFrame:

@@ -2,8 +2,78 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from amplitract.operators import histogram as H
+from amplitract.operators import peaks as P
+from amplitract.operators.tracts import scan_tracts
+from amplitract.oracles import READS, query
+from amplitract.plans import cohort as C
+from amplitract.sources.reads import synth_reads
+
 QUERIES: dict = {}
+_SQL: dict[str, str] = {}
+
+
+def register(name: str, sql: str | None = None):
+    """Adds a query and its SQL, if SQL can express it."""
+
+    def add(f):
+        QUERIES[name] = f
+        if sql:
+            _SQL[name] = sql
+        return f
+
+    return add
 
 
 def oracles() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+@register("read_counts", query("SELECT sample_id, mate, count(*) AS total, count(*) FILTER (WHERE mapq >= 1) AS mapped, round(100.0 * count(*) FILTER (WHERE mapq >= 1) / count(*), 4) AS percent FROM reads GROUP BY ALL", READS))
+def read_counts(spark, sf):
+    mapped = F.count_if(F.col("mapq") >= 1)
+    return synth_reads(spark, sf).groupBy("sample_id", "mate").agg(F.count(F.lit(1)).alias("total"), mapped.alias("mapped"), F.round(F.try_divide(mapped * 100.0, F.count(F.lit(1))), 4).alias("percent"))
+
+
+@register("tract_scan", query("SELECT sample_id, mate, cag, ccg, cct, intervening, five, three, sum(n)::BIGINT AS n FROM scanned GROUP BY ALL"))
+def tract_scan(spark, sf):
+    return scan_tracts(synth_reads(spark, sf)).groupBy("sample_id", "mate", "cag", "ccg", "cct", "intervening", "five", "three").agg(F.sum("n").alias("n"))
+
+
+@register("histogram", query("SELECT * FROM hist"))
+def histogram(spark, sf):
+    return C.histogram(spark, sf)
+
+
+@register("modal_genotype", query("SELECT sample_id, cag, ccg, n, total FROM (SELECT *, sum(n) OVER (PARTITION BY sample_id)::BIGINT AS total FROM fw) QUALIFY row_number() OVER (PARTITION BY sample_id ORDER BY n DESC, ccg, cag) = 1"))
+def modal_genotype(spark, sf):
+    return C.modal_genotype(spark, sf)
+
+
+@register("ccg_collapse", query("SELECT sample_id, mate, ccg, sum(n)::BIGINT AS n FROM hist GROUP BY ROLLUP (sample_id, mate, ccg) HAVING mate IS NOT NULL"))
+def ccg_collapse(spark, sf):
+    return H.collapse_ccg(C.histogram(spark, sf))
+
+
+@register("densify", query("SELECT sample_id, ccg, n, call FROM dense"))
+def densify(spark, sf):
+    return C.called_ccg(spark, sf)
+
+
+@register("smooth_homozygous", query("SELECT *, CASE WHEN ccg <> call AND abs(ccg - call) <= 3 THEN trunc(n - n / 100.0::DOUBLE * 77.5)::BIGINT ELSE n END AS smooth FROM dense"))
+def smooth_homozygous(spark, sf):
+    return H.smooth_homozygous(C.called_ccg(spark, sf))
+
+
+@register("smooth_heterozygous", query("""
+, r AS (SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY n DESC, ccg) AS r FROM dense),
+s AS (SELECT *, max(n) FILTER (WHERE r = 1) OVER w AS top, max(n) FILTER (WHERE r = 2) OVER w AS second, max(n) FILTER (WHERE ccg = call) OVER w AS called,
+      max(r) FILTER (WHERE ccg = call) OVER w AS cr FROM r WINDOW w AS (PARTITION BY sample_id)),
+t AS (SELECT *, cr = 2 AND 100 * second / nullif(top, 0) > 0 AND 100 * second / nullif(top, 0) < 50 AS rescue FROM s),
+u AS (SELECT *, CASE WHEN rescue AND r = 1 THEN trunc(n - n / 100.0::DOUBLE * 95) ELSE n END::BIGINT AS f,
+      CASE WHEN called BETWEEN 1 AND 6000 THEN 75.0 WHEN called BETWEEN 6001 AND 12000 THEN 85.0 ELSE 95.0 END AS pct FROM t)
+SELECT sample_id, ccg, n, call, CASE WHEN ccg = call THEN n ELSE greatest(0, trunc(f - f / 100.0::DOUBLE * pct::DOUBLE)::BIGINT - CASE WHEN rescue THEN 0 ELSE 5 END) END AS smooth FROM u""").replace(")\n, r AS", "),\nr AS").replace("\n\n, r AS", ",\nr AS").replace("\n, r AS", ",\nr AS"))
+def smooth_heterozygous(spark, sf):
+    return H.smooth_heterozygous(C.called_ccg(spark, sf))

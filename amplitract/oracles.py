@@ -64,3 +64,68 @@ dense AS (SELECT s.sample_id, b.ccg::INT AS ccg, coalesce(c.n, 0)::BIGINT AS n,
 
 def query(select: str, ctes: str = SCAN) -> str:
     return f"WITH {ctes.strip()}\n{select}"
+
+
+def _rank_cte(name: str, column: str) -> str:
+    return f"""
+{name}_k AS (SELECT sample_id, cag, ccg, {column} AS v, sum(n)::BIGINT AS k FROM crows GROUP BY ALL),
+{name}_r AS (SELECT *, row_number() OVER (PARTITION BY sample_id, cag, ccg ORDER BY k DESC, v) AS r FROM {name}_k),
+{name} AS (SELECT sample_id, cag, ccg, max(v) FILTER (WHERE r = 1) AS v1, max(k) FILTER (WHERE r = 1) AS n1, max(v) FILTER (WHERE r = 2) AS v2, max(k) FILTER (WHERE r = 2) AS n2 FROM {name}_r GROUP BY ALL)"""
+
+
+def _rotations(s: str) -> str:
+    hit = [f"(SELECT count(*) FROM range(1, 13) g(i) WHERE substr({s} || {s}, (i + {k})::BIGINT, 1) <> substr('{TYPICAL}', i, 1)) <= 1" for k in range(12)]
+    return f"(length({s}) = 12 AND ({' OR '.join(hit)}))"
+
+
+TOP = (
+    SCAN
+    + """,
+top3 AS (SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY n DESC, cag, ccg) AS rank FROM fw QUALIFY rank <= 3),
+ranked AS (SELECT sample_id, """
+    + ", ".join(f"max({c}) FILTER (WHERE rank = {r}) AS {x}_{c}" for r, x in ((1, "a"), (2, "b"), (3, "t")) for c in ("cag", "ccg", "n"))
+    + " FROM top3 GROUP BY sample_id)"
+)
+
+CONSENSUS = (
+    TOP
+    + f""",
+crows0 AS (SELECT a.sample_id, contig_cag AS cag, contig_ccg AS ccg, a.cag AS ea, a.ccg AS ec, cct AS et, intervening AS m, sum(a.n)::BIGINT AS n
+  FROM assigned a JOIN top3 p ON p.sample_id = a.sample_id AND p.cag = contig_cag AND p.ccg = contig_ccg WHERE mate = 'R1' GROUP BY ALL),
+crows AS (SELECT *, CASE WHEN {_rotations("m")} THEN '{TYPICAL}' ELSE m END AS mid FROM crows0),
+ctotal AS (SELECT sample_id, cag, ccg, sum(n)::BIGINT AS total, coalesce(sum(n) FILTER (WHERE mid = '{TYPICAL}'), 0)::BIGINT AS typical FROM crows GROUP BY ALL),"""
+    + ",".join(_rank_cte(n, c) for n, c in (("ra", "ea"), ("rc", "ec"), ("rt", "et"), ("rm", "mid")))
+    + """,
+summary0 AS (SELECT t.*, total - typical AS atypical, ra.v1 AS est_cag, rc.v1 AS est_ccg,
+    CASE WHEN abs(rt.n1 / rt.n2 - 2.0) <= 0.30002 THEN 2 ELSE rt.v1 END AS est_cct,
+    CASE WHEN rm.v2 IS NOT NULL AND length(rm.v2) > length(rm.v1) AND (rm.n1 - rm.n2) / rm.n1 < 0.3 AND rm.n1 > 1 THEN rm.v2 ELSE rm.v1 END AS intervening
+  FROM ctotal t JOIN ra USING (sample_id, cag, ccg) JOIN rc USING (sample_id, cag, ccg) JOIN rt USING (sample_id, cag, ccg) JOIN rm USING (sample_id, cag, ccg)),
+summary AS (SELECT sample_id, cag, ccg, total, typical, atypical, round(typical * 100.0::DOUBLE / total, 2) AS typical_pcnt, round(atypical * 100.0::DOUBLE / total, 2) AS atypical_pcnt,
+    est_cag, est_ccg, est_cct, intervening, CASE WHEN atypical > typical OR est_cct <> 2 THEN 'Atypical' ELSE 'Typical' END AS status,
+    abs(typical - atypical) <= 0.05 * typical AS balance_failed FROM summary0)"""
+)
+
+
+def pair_cte() -> str:
+    """The decision list as numbered rules: the last that fires wins."""
+    from amplitract.operators.consensus import RULES
+
+    rules = " UNION ALL ".join(f"SELECT sample_id, {k} AS no, '{name}' AS rule, '{target}' AS target, {near} AS near, {mixed} AS mixed FROM diffs WHERE {guard}" for k, (name, guard, target, near, mixed) in enumerate(RULES))
+    return (
+        CONSENSUS
+        + f""",
+diffs AS (SELECT *, abs(a_cag - b_cag) AS dab, abs(b_cag - t_cag) AS dbt, abs(a_cag - t_cag) AS dat, abs(a_n - b_n) / a_n AS pab, abs(b_n - t_n) / b_n AS pbt FROM ranked WHERE t_n IS NOT NULL),
+fired AS ({rules}),
+last AS (SELECT sample_id, arg_max(rule, no) AS rule, arg_max(target, no) AS target FROM fired GROUP BY sample_id),
+flags AS (SELECT sample_id, bool_or(near) AS near, bool_or(mixed) AS mixed FROM fired f JOIN last l USING (sample_id) WHERE f.target = l.target AND (f.target <> 'copy' OR f.rule = l.rule) GROUP BY sample_id),
+pair AS (SELECT d.sample_id, a_cag, a_ccg, coalesce(rule, 'none') AS rule,
+    CASE target WHEN 'b' THEN b_cag WHEN 't' THEN t_cag ELSE a_cag END AS s_cag, CASE target WHEN 'b' THEN b_ccg WHEN 't' THEN t_ccg ELSE a_ccg END AS s_ccg,
+    coalesce(near, false) AS neighbouring, coalesce(mixed, false) AS diff_confuse, rule IS NOT NULL AS heuristic_ok
+  FROM diffs d LEFT JOIN last USING (sample_id) LEFT JOIN flags USING (sample_id)),
+alleles AS (SELECT x.*, s.* EXCLUDE (sample_id, cag, ccg), est_cag || '_' || len(regexp_extract_all(intervening, 'CAACAG')) || '_' || len(regexp_extract_all(replace(intervening, 'CAACAG', ''), 'CCGCCA')) || '_' || est_ccg || '_' || est_cct AS label
+  FROM (SELECT sample_id, 'PRI' AS allele, a_cag AS cag, a_ccg AS ccg, neighbouring, diff_confuse, heuristic_ok FROM pair UNION ALL SELECT sample_id, 'SEC', s_cag, s_ccg, neighbouring, diff_confuse, heuristic_ok FROM pair) x
+  JOIN summary s USING (sample_id, cag, ccg))"""
+    )
+
+
+PAIRS = pair_cte()

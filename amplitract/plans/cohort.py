@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from amplitract.operators import consensus as K
 from amplitract.operators import histogram as H
 from amplitract.operators.tracts import assign_contigs, scan_tracts
 from amplitract.sources.reads import synth_reads
@@ -40,3 +41,17 @@ def top_contigs(hist: DataFrame, k: int = 3) -> DataFrame:
     """The k contigs of most reads, ranked; the lower label first if equal."""
     w = Window.partitionBy("sample_id").orderBy(F.desc("n"), "cag", "ccg")
     return hist.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return K.ranks(top_contigs(forward(spark, sf_dir)))
+
+
+def summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = assigned(spark, sf_dir)
+    hist = H.histogram(rows).where("mate = 'R1'").drop("mate")
+    return K.contig_summary(rows, top_contigs(hist))
+
+
+def alleles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return K.alleles(K.choose_pair(ranked(spark, sf_dir)), summary(spark, sf_dir))

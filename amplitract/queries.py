@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from amplitract.operators import consensus as K
 from amplitract.operators import histogram as H
 from amplitract.operators import peaks as P
 from amplitract.operators.tracts import scan_tracts
-from amplitract.oracles import READS, query
+from amplitract.oracles import CONSENSUS, PAIRS, READS, TOP, query
 from amplitract.plans import cohort as C
 from amplitract.sources.reads import synth_reads
 
@@ -77,3 +78,46 @@ u AS (SELECT *, CASE WHEN rescue AND r = 1 THEN trunc(n - n / 100.0::DOUBLE * 95
 SELECT sample_id, ccg, n, call, CASE WHEN ccg = call THEN n ELSE greatest(0, trunc(f - f / 100.0::DOUBLE * pct::DOUBLE)::BIGINT - CASE WHEN rescue THEN 0 ELSE 5 END) END AS smooth FROM u""").replace(")\n, r AS", "),\nr AS").replace("\n\n, r AS", ",\nr AS").replace("\n, r AS", ",\nr AS"))
 def smooth_heterozygous(spark, sf):
     return H.smooth_heterozygous(C.called_ccg(spark, sf))
+
+
+@register("top_contigs", query("SELECT * FROM top3", TOP))
+def top_contigs(spark, sf):
+    return C.top_contigs(C.forward(spark, sf))
+
+
+@register("read_warnings", query("SELECT sample_id, a_n, b_n, t_n, least(a_n, b_n, t_n) < 20 AS few, t_n IS NULL OR a_n < 200 OR b_n < 100 OR (t_n < 50 AND NOT t_n BETWEEN 45 AND 55) AS failed FROM ranked", TOP))
+def read_warnings(spark, sf):
+    return K.read_warnings(C.ranked(spark, sf))
+
+
+@register("contig_summary", query("SELECT * FROM summary", CONSENSUS))
+def contig_summary(spark, sf):
+    return C.summary(spark, sf)
+
+
+@register("allele_pair", query("SELECT * FROM pair", PAIRS))
+def allele_pair(spark, sf):
+    return K.choose_pair(C.ranked(spark, sf))
+
+
+@register("genotype_label", query("SELECT sample_id, allele, label, status, intervening FROM alleles", PAIRS))
+def genotype_label(spark, sf):
+    return C.alleles(spark, sf).select("sample_id", "allele", "label", "status", "intervening")
+
+
+@register("label_fuzzy")
+def label_fuzzy(spark, sf):
+    from amplitract.functions.fuzzy import label_parts
+
+    return label_parts(C.alleles(spark, sf)).select("sample_id", "allele", "est_cag", "caacag", "ccgcca", "est_ccg", "est_cct")
+
+
+@register("distinct_maxima", query("""SELECT sample_id, max(n) FILTER (WHERE r = 1) AS max1, max(n) FILTER (WHERE r = 2) AS max2, max(n) FILTER (WHERE r = 3) AS max3
+FROM (SELECT sample_id, n, dense_rank() OVER (PARTITION BY sample_id ORDER BY n DESC) AS r FROM dense) GROUP BY sample_id"""))
+def distinct_maxima(spark, sf):
+    return H.distinct_maxima(C.called_ccg(spark, sf), ["sample_id"])
+
+
+@register("fold_expanded", query("SELECT sample_id, mate, ccg, least(cag, 31) AS cag, sum(n)::BIGINT AS n FROM hist GROUP BY ALL"))
+def fold_expanded(spark, sf):
+    return H.fold_expanded(C.histogram(spark, sf))

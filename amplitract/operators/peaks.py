@@ -30,17 +30,17 @@ def find_peaks(dense: DataFrame, keys: list[str], bin: str = "cag", n: str = "n"
     return found
 
 
-def recall(dense: DataFrame, keys: list[str], call: str, expected: str, bin: str = "cag", n: str = "n") -> DataFrame:
+def recall(dense: DataFrame, keys: list[str], call: str, expected: str, lenient: str, bin: str = "cag", n: str = "n") -> DataFrame:
     """(keys, call, recalls, threshold, peaks): the first rung of the ladder on which the expected number of peaks stands,
-    or the called bin is one of them (then only it is kept). Peaks are found once, at the lowest rung; a rung only filters."""
+    or the called bin is one of them (then only it is kept), or any if lenient (two alleles side by side make one peak). Peaks are found once, at the lowest rung; a rung only filters."""
     low = find_peaks(dense, keys, bin, n, LADDER[-1])
-    asked = dense.select(*keys, call, expected).distinct()
+    asked = dense.select(*keys, call, expected, lenient).distinct()
     rungs = F.array(*[F.struct(F.lit(k).alias("recalls"), F.lit(t).alias("threshold")) for k, t in enumerate(LADDER)])
     rows = low.join(asked, keys).select("*", F.explode(rungs).alias("rung"))
     rows = rows.where(F.col("height") > F.col("rung.threshold") * (F.col("high") - F.col("low")) + F.col("low"))
-    per = rows.groupBy(*keys, call, expected, "rung").agg(F.sort_array(F.collect_list("peak")).alias("peaks"))
+    per = rows.groupBy(*keys, call, expected, lenient, "rung").agg(F.sort_array(F.collect_list("peak")).alias("peaks"))
     held = F.array_contains("peaks", F.col(call))
-    per = per.where((F.size("peaks") == F.col(expected)) | held)
+    per = per.where((F.size("peaks") == F.col(expected)) | held | F.col(lenient))
     per = per.withColumn("peaks", F.when(held & (F.size("peaks") != F.col(expected)), F.array(call)).otherwise(F.col("peaks")))
     best = per.groupBy(*keys, call).agg(F.min(F.struct("rung.recalls", "rung.threshold", "peaks")).alias("b"))
     return best.select(*keys, call, F.col("b.recalls").alias("recalls"), F.col("b.threshold").alias("threshold"), F.col("b.peaks").alias("peaks"))

@@ -129,3 +129,74 @@ alleles AS (SELECT x.*, s.* EXCLUDE (sample_id, cag, ccg), est_cag || '_' || len
 
 
 PAIRS = pair_cte()
+
+
+def peaks_cte(name: str, source: str, keys: str, bin: str, n: str, threshold: float) -> str:
+    """Peaks of a dense histogram: runs of equal counts above both neighbours and the threshold."""
+    return f"""
+{name}_s AS (SELECT {keys}, {bin} AS b, {n} AS h, coalesce(({n} <> lag({n}) OVER (PARTITION BY {keys} ORDER BY {bin}))::INT, 0) AS turn FROM {source}),
+{name}_r AS (SELECT *, sum(turn) OVER (PARTITION BY {keys} ORDER BY b) AS run, min(h) OVER (PARTITION BY {keys}) AS low, max(h) OVER (PARTITION BY {keys}) AS high FROM {name}_s),
+{name}_g AS (SELECT {keys}, run, low, high, min(b) AS lo, max(b) AS hi, min(h) AS height FROM {name}_r GROUP BY ALL),
+{name}_n AS (SELECT *, lag(height) OVER w AS before, lead(height) OVER w AS after FROM {name}_g WINDOW w AS (PARTITION BY {keys} ORDER BY run)),
+{name} AS (SELECT {keys}, floor((lo + hi) / 2)::INT AS peak, height, low, high FROM {name}_n WHERE height > before AND height > after AND height > {threshold}::DOUBLE * (high - low) + low)"""
+
+
+SLICES = (
+    PAIRS
+    + """,
+asked AS (SELECT sample_id, allele, ccg, cag AS call, CASE WHEN min(ccg) OVER (PARTITION BY sample_id) = max(ccg) OVER (PARTITION BY sample_id) THEN 2 ELSE 1 END AS expected,
+  min(ccg) OVER (PARTITION BY sample_id) = max(ccg) OVER (PARTITION BY sample_id) AND max(cag) OVER (PARTITION BY sample_id) - min(cag) OVER (PARTITION BY sample_id) <= 1 AS beside FROM alleles),
+bins0 AS (SELECT a.*, g.cag::INT AS cag, coalesce(n, 0)::BIGINT AS n FROM asked a CROSS JOIN range(1, 201) g(cag) LEFT JOIN fw ON fw.sample_id = a.sample_id AND fw.ccg = a.ccg AND fw.cag = g.cag),
+bins AS (SELECT sample_id, allele, ccg, call, expected, cag, n, CASE WHEN expected = 2 OR cag = call THEN n ELSE trunc(n - n / 100.0::DOUBLE * 85)::BIGINT END AS smooth FROM bins0)"""
+)
+CALLS = (
+    SLICES
+    + ","
+    + peaks_cte("pk", "bins", "sample_id, allele", "cag", "smooth", 0.05)
+    + """,
+ladder AS (SELECT * FROM (VALUES (0, 0.50::DOUBLE), (1, 0.44::DOUBLE), (2, 0.38::DOUBLE), (3, 0.32::DOUBLE), (4, 0.26::DOUBLE), (5, 0.20::DOUBLE), (6, 0.14::DOUBLE), (7, 0.08::DOUBLE), (8, 0.05::DOUBLE)) t(recalls, threshold)),
+rung AS (SELECT p.sample_id, p.allele, a.call, a.expected, a.beside, recalls, threshold, list(peak ORDER BY peak) AS peaks
+  FROM pk p JOIN asked a USING (sample_id, allele) CROSS JOIN ladder WHERE height > threshold * (high - low) + low GROUP BY ALL),
+hit AS (SELECT * FROM rung WHERE len(peaks) = expected OR list_contains(peaks, call) OR beside QUALIFY row_number() OVER (PARTITION BY sample_id, allele ORDER BY recalls) = 1),
+calls0 AS (SELECT sample_id, allele, call, recalls, threshold, CASE WHEN len(peaks) <> expected AND list_contains(peaks, call) THEN [call] ELSE peaks END AS peaks FROM hit),
+calls AS (SELECT *, coalesce(list_filter(peaks, lambda p: abs(p - call) <= 1)[-1], peaks[1]) AS fod FROM calls0),
+val0 AS (SELECT c.*, b.ccg, b.n AS at_call FROM calls c JOIN bins b ON b.sample_id = c.sample_id AND b.allele = c.allele AND b.cag = b.call),
+val1 AS (SELECT *, max(at_call) FILTER (WHERE allele = 'PRI') OVER w AS n1, max(at_call) FILTER (WHERE allele = 'SEC') OVER w AS n2, max(ccg) FILTER (WHERE allele = 'PRI') OVER w AS c1, max(ccg) FILTER (WHERE allele = 'SEC') OVER w AS c2,
+   max(call) FILTER (WHERE allele = 'PRI') OVER w AS a1, max(call) FILTER (WHERE allele = 'SEC') OVER w AS a2 FROM val0 WINDOW w AS (PARTITION BY sample_id)),
+valid AS (SELECT sample_id, allele, ccg, call, recalls, threshold, peaks, fod, abs(fod - call) <= 1 AS dsp_agrees,
+   CASE WHEN NOT (c1 = c2 AND abs(a1 - a2) <= 1) OR c2 IS NULL THEN 'heterozygous' WHEN n1 <> n2 AND abs(n1 - n2) / greatest(n1, 1) <= 0.30 THEN 'neighbouring' ELSE 'homozygous' END AS state, at_call, at_call < 250 AS fatal_low FROM val1)"""
+)
+METRICS = (
+    CALLS
+    + """,
+mets AS (SELECT sample_id, allele, call, round(back / nullif(smooth, 0)::DOUBLE, 6) AS slippage, round(ahead / nullif(n, 0)::DOUBLE, 6) AS mosaicism, round(minus / nullif(smooth, 0)::DOUBLE, 6) AS nminus,
+   round(plus / nullif(smooth, 0)::DOUBLE, 6) AS nplus, round(around / nullif(alls, 0)::DOUBLE, 6) AS vicinity, total::BIGINT AS total FROM (
+  SELECT *, coalesce(sum(smooth) OVER (w ROWS BETWEEN 2 PRECEDING AND 1 PRECEDING), 0) AS back, coalesce(sum(n) OVER (w ROWS BETWEEN 1 FOLLOWING AND 10 FOLLOWING), 0) AS ahead,
+    sum(smooth) OVER (w ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING) AS around, coalesce(lag(smooth) OVER w, 0) AS minus, coalesce(lead(smooth) OVER w, 0) AS plus,
+    sum(smooth) OVER (PARTITION BY sample_id, allele) AS alls, sum(n) OVER (PARTITION BY sample_id, allele) AS total FROM bins WINDOW w AS (PARTITION BY sample_id, allele ORDER BY cag)) WHERE cag = call)"""
+)
+
+
+def scored() -> str:
+    from amplitract.operators.metrics import DROP_MINUS, DROP_PLUS, drop_level
+
+    plus = [z for z in DROP_PLUS]
+    return (
+        METRICS
+        + f""",
+mapped AS (SELECT sample_id, 100.0::DOUBLE * count(*) FILTER (WHERE mapq >= 1 AND mate = 'R1') / nullif(count(*) FILTER (WHERE mate = 'R1'), 0) AS fw_mapped,
+   100.0::DOUBLE * count(*) FILTER (WHERE mapq >= 1 AND mate = 'R2') / nullif(count(*) FILTER (WHERE mate = 'R2'), 0) AS rv_mapped FROM reads GROUP BY sample_id),
+scored AS (SELECT v.sample_id, v.allele, recalls, v.state, false AS diminished, al.status, al.typical_pcnt, al.atypical_pcnt, m.total, vicinity, slippage, mosaicism, threshold,
+   CASE WHEN v.state <> 'heterozygous' THEN 2 ELSE {drop_level("nminus", DROP_MINUS, 0.75)} END AS minus_level, CASE WHEN v.state <> 'heterozygous' THEN 2 ELSE {drop_level("nplus", plus, 0.65)} END AS plus_level,
+   fw_mapped, rv_mapped, fatal_low, diff_confuse, heuristic_ok, fod, est_cag
+  FROM valid v JOIN mets m USING (sample_id, allele) JOIN alleles al ON al.sample_id = v.sample_id AND al.allele = v.allele JOIN mapped p ON p.sample_id = v.sample_id)"""
+    )
+
+
+SCORED = scored()
+
+
+def events_sql() -> str:
+    from amplitract.operators.metrics import PENALTIES
+
+    return " UNION ALL ".join(f"SELECT sample_id, allele, '{rule}' AS rule, ({delta})::INT AS delta FROM scored WHERE ({delta}) IS NOT NULL" for rule, delta in PENALTIES)

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from amplitract.operators import consensus as K
+from amplitract.operators import genotype as G
 from amplitract.operators import histogram as H
+from amplitract.operators import metrics as M
 from amplitract.operators.tracts import assign_contigs, scan_tracts
 from amplitract.sources.reads import synth_reads
 
@@ -49,9 +53,47 @@ def ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = assigned(spark, sf_dir)
-    hist = H.histogram(rows).where("mate = 'R1'").drop("mate")
-    return K.contig_summary(rows, top_contigs(hist))
+    return K.contig_summary(rows, top_contigs(_forward(H.histogram(rows))))
+
+
+def _forward(hist: DataFrame) -> DataFrame:
+    return hist.where("mate = 'R1'").drop("mate")
+
+
+@dataclass
+class Cohort:
+    """The tables of one run, from the sums of reads by structure on: a few hundred rows a sample, kept in memory."""
+
+    hist: DataFrame
+    alleles: DataFrame
+    bins: DataFrame
+    calls: DataFrame
+    valid: DataFrame
+    reads: DataFrame
+
+
+def genotyped(spark: SparkSession, sf_dir: str) -> Cohort:
+    reads = synth_reads(spark, sf_dir)
+    rows = assign_contigs(scan_tracts(reads)).drop("five", "three")
+    keys = [c for c in rows.columns if c != "n"]
+    rows = rows.groupBy(*keys).agg(F.sum("n").alias("n")).persist()
+    hist = _forward(H.histogram(rows))
+    top = top_contigs(hist)
+    alleles = K.alleles(K.choose_pair(K.ranks(top)), K.contig_summary(rows, top)).persist()
+    bins = G.slices(alleles, hist).persist()
+    calls = G.cag_calls(bins)
+    return Cohort(hist, alleles, bins, calls, G.validate(calls, bins), reads)
+
+
+def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each allele with all that the confidence rules use."""
+    c = genotyped(spark, sf_dir)
+    share = lambda mate: F.try_divide(100.0 * F.count_if((F.col("mapq") >= 1) & (F.col("mate") == mate)), F.count_if(F.col("mate") == mate))
+    mapped = c.reads.groupBy("sample_id").agg(share("R1").alias("fw_mapped"), share("R2").alias("rv_mapped"))
+    rows = c.valid.join(M.peak_metrics(c.bins).drop("call"), G.SLICE).join(c.alleles.drop("ccg", "cag", "total"), G.SLICE).join(mapped, "sample_id")
+    level = lambda ratio, steps, most: F.when(F.col("state") != "heterozygous", 2).otherwise(F.expr(M.drop_level(ratio, steps, most)))
+    return rows.withColumns({"diminished": F.lit(False), "minus_level": level("nminus", M.DROP_MINUS, 0.75), "plus_level": level("nplus", M.DROP_PLUS, 0.65)})
 
 
 def alleles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return K.alleles(K.choose_pair(ranked(spark, sf_dir)), summary(spark, sf_dir))
+    return genotyped(spark, sf_dir).alleles

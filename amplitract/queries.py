@@ -8,7 +8,9 @@ from amplitract.operators import consensus as K
 from amplitract.operators import histogram as H
 from amplitract.operators import peaks as P
 from amplitract.operators.tracts import scan_tracts
-from amplitract.oracles import CONSENSUS, PAIRS, READS, TOP, query
+from amplitract.operators import genotype as G
+from amplitract.operators import metrics as M
+from amplitract.oracles import CALLS, CONSENSUS, METRICS, PAIRS, READS, SCORED, SLICES, TOP, events_sql, peaks_cte, query, SCAN
 from amplitract.plans import cohort as C
 from amplitract.sources.reads import synth_reads
 
@@ -121,3 +123,77 @@ def distinct_maxima(spark, sf):
 @register("fold_expanded", query("SELECT sample_id, mate, ccg, least(cag, 31) AS cag, sum(n)::BIGINT AS n FROM hist GROUP BY ALL"))
 def fold_expanded(spark, sf):
     return H.fold_expanded(C.histogram(spark, sf))
+
+
+@register("ccg_peaks", query("SELECT * FROM ccg_pk", SCAN + "," + peaks_cte("ccg_pk", "dense", "sample_id", "ccg", "n", 0.5)))
+def ccg_peaks(spark, sf):
+    return P.find_peaks(C.called_ccg(spark, sf), ["sample_id"], "ccg", "n", 0.5)
+
+
+@register("peaks_min_distance", query("SELECT * FROM bin_pk p WHERE height = (SELECT max(height) FROM bin_pk q WHERE q.sample_id = p.sample_id AND q.allele = p.allele AND abs(q.peak - p.peak) <= 2)", SLICES + "," + peaks_cte("bin_pk", "bins", "sample_id, allele", "cag", "n", 0.05)))
+def peaks_min_distance(spark, sf):
+    return P.find_peaks(C.genotyped(spark, sf).bins, G.SLICE, "cag", "n", 0.05, min_distance=2)
+
+
+@register("zygosity", query("SELECT s.sample_id, coalesce(k, 0)::BIGINT AS peaks, CASE WHEN k >= 2 THEN 'HETERO' ELSE 'HOMO' END AS zygosity FROM (SELECT DISTINCT sample_id FROM dense) s LEFT JOIN (SELECT sample_id, count(*) AS k FROM zy GROUP BY 1) USING (sample_id)", SCAN + "," + peaks_cte("zy", "dense", "sample_id", "ccg", "n", 0.15)))
+def zygosity(spark, sf):
+    return G.zygosity(C.called_ccg(spark, sf))
+
+
+@register("smooth_cag", query("SELECT sample_id, allele, cag, n, smooth FROM bins WHERE n > 0", SLICES))
+def smooth_cag(spark, sf):
+    return C.genotyped(spark, sf).bins.where("n > 0").select("sample_id", "allele", "cag", "n", "smooth")
+
+
+@register("smooth_interval", query("SELECT sample_id, allele, cag, n, CASE WHEN abs(cag - call) <= 10 THEN n ELSE trunc(n - n / 100.0::DOUBLE * 85)::BIGINT END AS smooth FROM bins WHERE n > 0", SLICES))
+def smooth_interval(spark, sf):
+    return H.smooth_interval(C.genotyped(spark, sf).bins.where("n > 0").drop("smooth")).select("sample_id", "allele", "cag", "n", "smooth")
+
+
+@register("n_aligned", query("SELECT sample_id, allele, " + ", ".join(f"coalesce(sum(n) FILTER (WHERE cag - call = {k}), 0)::BIGINT AS {'m' if k < 0 else 'p'}{abs(k)}" for k in range(-3, 4)) + " FROM bins GROUP BY ALL", SLICES))
+def n_aligned(spark, sf):
+    return H.align_to_call(C.genotyped(spark, sf).bins)
+
+
+@register("cag_call", query("SELECT sample_id, allele, call, recalls, threshold, array_to_string(peaks, ',') AS peaks, fod FROM calls", CALLS))
+def cag_call(spark, sf):
+    return C.genotyped(spark, sf).calls.withColumn("peaks", F.concat_ws(",", F.col("peaks").cast("array<string>")))
+
+
+@register("validate_calls", query("SELECT * EXCLUDE (peaks) FROM valid", CALLS))
+def validate_calls(spark, sf):
+    return C.genotyped(spark, sf).valid.drop("peaks")
+
+
+@register("final_genotype", query("""SELECT sample_id, state, pri, CASE WHEN state = 'homozygous' THEN pri ELSE sec END AS sec, pri_fod, CASE WHEN state = 'homozygous' THEN pri_fod ELSE sec_fod END AS sec_fod FROM (
+SELECT v.sample_id, state, max(label) FILTER (WHERE v.allele = 'PRI') AS pri, max(label) FILTER (WHERE v.allele = 'SEC') AS sec, max(fod) FILTER (WHERE v.allele = 'PRI') AS pri_fod, max(fod) FILTER (WHERE v.allele = 'SEC') AS sec_fod
+FROM valid v JOIN alleles a ON a.sample_id = v.sample_id AND a.allele = v.allele GROUP BY ALL)""", CALLS))
+def final_genotype(spark, sf):
+    c = C.genotyped(spark, sf)
+    return G.final_genotype(c.valid, c.alleles)
+
+
+@register("peak_metrics", query("SELECT * FROM mets", METRICS))
+def peak_metrics(spark, sf):
+    return M.peak_metrics(C.genotyped(spark, sf).bins)
+
+
+@register("confidence_interval", query("""
+, w AS (SELECT sample_id, allele, call, cag, CASE WHEN abs(cag - call) <= 10 THEN n ELSE trunc(n - n / 100.0::DOUBLE * 85)::BIGINT END AS w FROM bins),
+s AS (SELECT sample_id, allele, call, sum(w)::BIGINT AS n, sum(w * cag)::BIGINT AS sx, sum(w * cag * cag)::BIGINT AS sxx, sum(w * cag)::DOUBLE / sum(w)::DOUBLE AS m FROM w GROUP BY ALL HAVING sum(w) > 1),
+h AS (SELECT *, sqrt(greatest(0.0, (sxx - n * m * m) / (n - 1)) / n) * (1.959964::DOUBLE + ((1.959964::DOUBLE ** 3 + 1.959964::DOUBLE) / 4) / (n - 1) + ((5 * 1.959964::DOUBLE ** 5 + 16 * 1.959964::DOUBLE ** 3 + 3 * 1.959964::DOUBLE) / 96) / ((n - 1)::DOUBLE * (n - 1))) AS half FROM s),
+r AS (SELECT *, round_even(m - half, 0)::INT AS lo, round_even(m + half, 0)::INT AS hi FROM h)
+SELECT sample_id, allele, call, round(m, 6) AS mean, lo, hi, CASE WHEN lo = hi THEN CASE WHEN abs(hi - call) > 1 THEN lo || '-' || call WHEN abs(hi - call) = 1 THEN call || '-' || call ELSE lo || '-' || hi END
+  WHEN call > hi THEN lo || '-' || call ELSE lo || '-' || hi END AS interval FROM r""", SLICES).replace("\n\n, w AS", ",\nw AS"))
+def confidence_interval(spark, sf):
+    return M.confidence_interval(C.genotyped(spark, sf).bins)
+
+
+@register("penalty_events", query(events_sql(), SCORED))
+def penalty_events(spark, sf):
+    return M.penalty_events(C.scored(spark, sf))
+
+
+@register("confidence", query(f"SELECT s.sample_id, s.allele, CASE WHEN status = 'Atypical' AND abs(fod - est_cag) > 1 THEN 0 ELSE greatest(0, least(100, 100 + coalesce(d, 0))) END::INT AS confidence FROM scored s LEFT JOIN (SELECT sample_id, allele, sum(delta) AS d FROM ({events_sql()}) GROUP BY ALL) e USING (sample_id, allele)", SCORED))
+def confidence(spark, sf):
+    return M.confidence(C.scored(spark, sf))

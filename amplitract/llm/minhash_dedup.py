@@ -9,9 +9,9 @@ round spreads one set over many bins, the share of equal coordinates is concentr
 With 52 bands of 6 rows a pair at similarity 0.8 shares no band with probability 2e-7 (1e-7 of those at 0.82). Candidates
 aren't paired with each other: every distinct set of a band's bucket is compared with the bucket's leader on full
 sets. Similarity distance is a metric, so a set within 0.2 of the leader can only have partners within 0.4 of it:
-sets beyond that meet in a next round with a leader of their own, sets between are compared with the leader's
-close ones unless they are in one component by then. So no link of a bucket is lost and the work is linear in its size
-for groups of copies. What is left in a bucket of at most SMALL sets is compared directly.
+sets beyond that meet in a next round with leaders of their own (four times as many each round, so that few rounds are
+needed), sets between are compared with the leader's close ones unless they are in one component by then. So no link of
+a bucket is lost, and the work is linear in its size for groups of copies. In a bucket of at most SMALL sets all lead.
 
 Equal sets are one class throughout (a 64-bit hash of the set), so that exact copies cost one row each.
 
@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import materialize, table
+from .shared import content_key, materialize, table
 from .words import _WORD_BASE, U64, Words, _runs, mix64, pieces
 
 BANDS, ROWS = 52, 6
@@ -79,7 +79,8 @@ def band_hashes(sketches: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 
 def sketch_table(docs: DataFrame, key: str, text: str, words: int, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(id, class, n, bands): the hash of the shingle set, its size, and its band hashes (none for an empty set)."""
+    """(id, key_a, key_b, class, n, bands): the text's content key, the hash of the shingle set, its size, and its band
+    hashes (none for an empty set)."""
 
     def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -90,10 +91,11 @@ def sketch_table(docs: DataFrame, key: str, text: str, words: int, bands: int =
                 kind = np.array([int(mix64(s ^ U64(0xD6E8FEB86659FD93)).sum(dtype=U64)) for s in sets], U64)
                 full = np.array([sketch(s, bands * rows) for s in sets if len(s)], U64).reshape(-1, bands * rows)
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum((n > 0) * bands)]), pa.int32()), pa.array(band_hashes(full, bands, rows).ravel().view(np.int64)))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(kind.view(np.int64)), pa.array(n), lists], names=["id", "class", "n", "bands"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), part.column(3), pa.array(kind.view(np.int64)), pa.array(n), lists], names=["id", "key_a", "key_b", "class", "n", "bands"])
 
     kind = dict(docs.dtypes)[key]
-    return docs.select(docs[key].alias("id"), docs[text].alias("text")).mapInArrow(sketched, f"id {kind}, class long, n long, bands array<bigint>")
+    asked = docs.select(docs[key].alias("id"), docs[text].alias("text"), *content_key(docs[text]))
+    return asked.mapInArrow(sketched, f"id {kind}, key_a long, key_b long, class long, n long, bands array<bigint>")
 
 
 def class_sets(docs: DataFrame, wanted: DataFrame, key: str, text: str, words: int) -> DataFrame:
@@ -132,41 +134,52 @@ def near_links(sketches: DataFrame, docs: DataFrame, key: str, text: str, words:
     ids = sketches.where("n > 0 and id is not null").groupBy("class").agg(F.min("id").alias("id"))
     sets = class_sets(docs, ids.join(named, "class", "left_semi"), key, text, words)
 
-    links, near, starred = None, None, members
+    links, close, between, leads = None, None, None, 1
+    starred = members.withColumn("leads_too", F.lit(False))
     while True:
-        pairs = _compare(starred.select(F.col("class").alias("a"), F.col("lead").alias("b")).distinct(), sets)
+        pairs = _compare(starred.select(F.greatest("class", "lead").alias("a"), F.least("class", "lead").alias("b")).distinct(), sets)
         found = pairs.where(linked).select("a", "b")
         links = found if links is None else links.unionByName(found)
-        judged = starred.join(pairs, (starred["class"] == pairs["a"]) & (starred["lead"] == pairs["b"]))
-        close = judged.where(linked).select("h", "lead", "class", "both", "either")
-        rest = materialize(judged.where(~linked).select("h", "lead", "class", "both", "either"), "rest")
-        between = rest.where(F.col("both") * 100 >= F.col("either") * far)
-        near = (close, between) if near is None else (near[0].unionByName(close), near[1].unionByName(between))
+        judged = starred.join(pairs, (F.greatest(starred["class"], starred["lead"]) == pairs["a"]) & (F.least(starred["class"], starred["lead"]) == pairs["b"]))
+        judged = materialize(judged.select("h", "class", "lead", "leads_too", linked.alias("linked"), (F.col("both") / F.col("either")).alias("alike")), "judged")
+        here = judged.where("linked").select("h", "lead", "class", "alike")
+        there = judged.where(~F.col("linked") & (F.col("alike") >= far / 100 - 1e-9)).select("lead", "class", "alike").distinct()
+        close, between = (here, there) if close is None else (close.unionByName(here), between.unionByName(there))
+        rest = judged.groupBy("h", "class").agg(F.max(F.col("linked") | F.col("leads_too")).alias("done")).where(~F.col("done")).select("h", "class")
+        rest = materialize(rest, "rest")
         sizes = rest.groupBy("h").agg(F.min("class").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-        few = rest.join(sizes.where(F.col("n") <= SMALL).select("h"), "h", "left_semi").select("h", "class")
-        two = few.select("h", F.col("class").alias("a")).join(few.select("h", F.col("class").alias("b")), "h").where("a < b").select("a", "b").distinct()
-        links = links.unionByName(_compare(two, sets).where(linked).select("a", "b"))
-        many = sizes.where(F.col("n") > SMALL)
-        if many.isEmpty():
+        # the next leaders: four times as many as before, all of them in a small bucket
+        leads *= 4
+        rest = rest.join(sizes, "h")
+        leader = (F.col("n") <= SMALL) | (F.col("class") == F.col("first")) | (F.pmod(F.xxhash64("class"), F.ceil(F.col("n") / leads)) == 0)
+        rest = materialize(rest.select("h", "class", leader.alias("leads_too")), "rest")
+        if rest.isEmpty():
             break
-        starred = materialize(rest.select("h", "class").join(many.select("h", F.col("first").alias("lead")), "h").where(F.col("class") != F.col("lead")), "buckets")
+        led = rest.where("leads_too").select("h", F.col("class").alias("lead"))
+        once = (F.col("class") > F.col("lead")) | ((F.col("class") < F.col("lead")) & ~F.col("leads_too"))
+        starred = materialize(rest.join(led, "h").where(once).select("h", "class", "lead", "leads_too"), "buckets")
 
-    # sets between near and far of a leader whose component they aren't in: compare with the leader's close ones
+    # sets not far from a leader whose component they aren't in: compare with the sets close to that leader. Of the
+    # leaders of a bucket that a set is close to one is enough, as the other set isn't far from any of them.
     root = components(links, "a", "b")
-    close, between = near
-    apart = between.select(F.col("class").alias("b"), "lead", "h", (F.col("both") / F.col("either")).alias("to_lead"))
-    for side in ("b", "lead"):
-        apart = apart.join(root.select(F.col("node").alias(side), F.col("root").alias(f"root_{side}")), side, "left").withColumn(f"root_{side}", F.coalesce(f"root_{side}", side))
-    apart = apart.where("root_b <> root_lead").select("b", "lead", "h", "to_lead")
-    close = close.select(F.col("class").alias("a"), "lead", "h", (F.col("both") / F.col("either")).alias("close_to_lead"))
+    apart = _rooted(_rooted(between.select(F.col("class").alias("b"), "lead", "alike").distinct(), root, "b"), root, "lead")
+    apart = materialize(apart.where("root_b <> root_lead").select("b", "lead", "alike"), "apart")
+    near = close.join(apart.select("lead").distinct(), "lead", "left_semi")
+    near = near.groupBy("h", "class").agg(F.min(F.struct("lead", "alike")).alias("l")).select(F.col("class").alias("a"), "l.lead", F.col("l.alike").alias("near")).distinct()
     reach = (100 - percent) / 100 + 1e-9
-    two = apart.join(close, ["lead", "h"]).where(F.col("close_to_lead") <= F.col("to_lead") + reach).select("a", "b").distinct()
+    two = apart.join(near, "lead").where(F.col("near") <= F.col("alike") + reach).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     more = _compare(two, sets).where(linked).select("a", "b")
-    return links.unionByName(more).distinct()
+    return links.unionByName(more)
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """For each row of docs: key, n_shingles, component_id (the least key that links reach) and kept (it has that key)."""
+def _rooted(rows: DataFrame, root: DataFrame, column: str) -> DataFrame:
+    """rows with root_<column>, the root of the component of a class."""
+    of = root.select(F.col("node").alias(column), F.col("root").alias(f"root_{column}"))
+    return rows.join(of, column, "left").withColumn(f"root_{column}", F.coalesce(f"root_{column}", column))
+
+
+def _resolved(docs: DataFrame, key: str, text: str, words: int, percent: int, bands: int, rows: int) -> DataFrame:
+    """(id, key_a, key_b, n, component_id, kept) for each row of docs."""
     sketches = materialize(sketch_table(docs, key, text, words, bands, rows), "sketches")
     links = near_links(sketches, docs, key, text, words, percent)
     roots = components(links, "a", "b")
@@ -175,9 +188,23 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     grouped = ids.join(linked, ids["class"] == linked["node"], "left").select("class", "least", F.coalesce("root", "class").alias("root"))
     whole = grouped.join(grouped.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("class", "component_id")
     whole = materialize(whole, "components")
-    out = sketches.select("id", "class", "n").join(whole, "class", "left")
+    out = sketches.select("id", "key_a", "key_b", "class", "n").join(whole, "class", "left")
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id"))
-    return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, component.isNull()).alias("kept"))
+    return out.select("id", "key_a", "key_b", "n", component.alias("component_id"), F.coalesce(F.col("id") == component, component.isNull()).alias("kept"))
+
+
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """For each row of docs: key, n_shingles, component_id (the least key that links reach) and kept (it has that key)."""
+    found = _resolved(docs, key, text, words, percent, bands, rows)
+    return found.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), "component_id", "kept")
+
+
+def dedup_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """docs without those that aren't kept; the columns are those of docs."""
+    gone = _resolved(docs, key, text, words, percent, bands, rows).where(~F.col("kept"))
+    gone = materialize(gone.select("id", "key_a", "key_b").distinct(), "dropped")
+    key_a, key_b = content_key(docs[text])
+    return docs.join(gone, docs[key].eqNullSafe(gone["id"]) & (key_a == gone["key_a"]) & (key_b == gone["key_b"]), "left_anti")
 
 
 def op8_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

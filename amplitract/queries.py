@@ -7,12 +7,16 @@ from pyspark.sql import functions as F
 from amplitract.operators import consensus as K
 from amplitract.operators import histogram as H
 from amplitract.operators import peaks as P
-from amplitract.operators.tracts import scan_tracts
+from amplitract.operators.tracts import assign_contigs, scan_tracts
 from amplitract.operators import genotype as G
 from amplitract.operators import metrics as M
+from amplitract.operators import qc as Q
+from amplitract.operators import reference as R
+from amplitract.operators import report as T
+from amplitract.operators import variants as V
 from amplitract.oracles import CALLS, CONSENSUS, METRICS, PAIRS, READS, SCORED, SLICES, TOP, events_sql, peaks_cte, query, SCAN
 from amplitract.plans import cohort as C
-from amplitract.sources.reads import synth_reads
+from amplitract.sources.reads import FIVE_PRIME, THREE_PRIME, TYPICAL, synth_reads
 
 QUERIES: dict = {}
 _SQL: dict[str, str] = {}
@@ -197,3 +201,139 @@ def penalty_events(spark, sf):
 @register("confidence", query(f"SELECT s.sample_id, s.allele, CASE WHEN status = 'Atypical' AND abs(fod - est_cag) > 1 THEN 0 ELSE greatest(0, least(100, 100 + coalesce(d, 0))) END::INT AS confidence FROM scored s LEFT JOIN (SELECT sample_id, allele, sum(delta) AS d FROM ({events_sql()}) GROUP BY ALL) e USING (sample_id, allele)", SCORED))
 def confidence(spark, sf):
     return M.confidence(C.scored(spark, sf))
+
+
+_BASES = READS + """,
+same AS (SELECT mate, seq, quality, count(*) AS n FROM reads GROUP BY ALL),
+bases AS (SELECT mate, pos, base, quality AS q, sum(n)::BIGINT AS n FROM (SELECT mate, quality, n, generate_subscripts(string_split(seq, ''), 1) AS pos, unnest(string_split(seq, '')) AS base FROM same) GROUP BY ALL)"""
+
+
+@register("base_quality", query("""SELECT mate, pos::INT AS pos, round(sum(q * n)::DOUBLE / sum(n), 6) AS mean, """ + ", ".join(f"min(q) FILTER (WHERE upto * 100 >= alls * {p}) AS p{p}" for p in (10, 25, 50, 75, 90)) + """
+FROM (SELECT *, sum(n) OVER (PARTITION BY mate, pos ORDER BY q ROWS UNBOUNDED PRECEDING) AS upto, sum(n) OVER (PARTITION BY mate, pos) AS alls FROM (SELECT mate, pos, q, sum(n) AS n FROM bases GROUP BY ALL)) GROUP BY mate, pos""", _BASES))
+def base_quality(spark, sf):
+    return Q.base_quality(Q.per_base(synth_reads(spark, sf)))
+
+
+@register("base_content", query("SELECT mate, pos::INT AS pos, round(100.0::DOUBLE * coalesce(sum(n) FILTER (WHERE base = 'N'), 0) / sum(n), 6) AS n_pcnt, round(100.0::DOUBLE * coalesce(sum(n) FILTER (WHERE base IN ('G', 'C')), 0) / sum(n), 6) AS gc_pcnt FROM bases GROUP BY mate, pos", _BASES))
+def base_content(spark, sf):
+    return Q.base_content(Q.per_base(synth_reads(spark, sf)))
+
+
+@register("length_histogram", query("SELECT mate, length(seq)::INT AS length, count(*) AS n FROM reads GROUP BY ALL", READS))
+def length_histogram(spark, sf):
+    return Q.length_histogram(synth_reads(spark, sf))
+
+
+@register("basic_statistics", query("""SELECT *, CASE WHEN total < 100 THEN 'fail' WHEN gc NOT BETWEEN 30 AND 70 THEN 'warn' ELSE 'pass' END AS status FROM (
+SELECT sample_id, mate, count(*) AS total, min(length(seq))::INT AS shortest, max(length(seq))::INT AS longest, round(100.0::DOUBLE * sum(length(seq) - length(translate(seq, 'GC', ''))) / sum(length(seq)), 6) AS gc FROM reads GROUP BY ALL)""", READS))
+def basic_statistics(spark, sf):
+    return Q.basic_statistics(synth_reads(spark, sf))
+
+
+@register("quality_trim", """WITH r AS (SELECT row_number() OVER () AS rid, l_partkey, l_suppkey FROM lineitem),
+v AS (SELECT rid, i, (l_partkey * 7 + i * l_suppkey) % 41 AS q FROM r, range(1, 21) g(i)),
+s AS (SELECT *, sum(20 - q) OVER (PARTITION BY rid ORDER BY i DESC) AS t FROM v),
+w AS (SELECT *, min(t) OVER (PARTITION BY rid ORDER BY i DESC) AS low FROM s),
+b AS (SELECT rid, coalesce(arg_max(i - 1, t * 100 + i) FILTER (WHERE low >= 0 AND t > 0), 20)::INT AS kept FROM w GROUP BY ALL)
+SELECT kept, count(*) AS n FROM b GROUP BY kept""")
+def quality_trim(spark, sf):
+    rows = spark.read.parquet(f"{sf}/lineitem.parquet").select("l_partkey", "l_suppkey")
+    quality = F.transform(F.sequence(F.lit(1), F.lit(20)), lambda i: ((F.col("l_partkey") * 7 + i * F.col("l_suppkey")) % 41).cast("int"))
+    return rows.select(quality.alias("q")).select(Q.quality_cut(F.col("q"), 20).alias("kept")).groupBy("kept").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("adapter_trim", query(f"SELECT sample_id, mate, count(*) FILTER (WHERE instr(seq, '{THREE_PRIME[:16]}') > 0) AS reads_trimmed, sum(CASE WHEN instr(seq, '{THREE_PRIME[:16]}') > 0 THEN length(seq) - instr(seq, '{THREE_PRIME[:16]}') + 1 ELSE 0 END)::BIGINT AS bases_removed FROM reads GROUP BY ALL", READS))
+def adapter_trim(spark, sf):
+    return Q.trim_report(Q.trim_adapter(synth_reads(spark, sf), three=THREE_PRIME[:16]))
+
+
+@register("adapter_trim_fuzzy")
+def adapter_trim_fuzzy(spark, sf):
+    return Q.trim_report(Q.trim_adapter_fuzzy(synth_reads(spark, sf), THREE_PRIME[:16]))
+
+
+@register("demultiplex", query(f"SELECT sample_id, length(part)::INT AS length, count(*) AS n FROM (SELECT sample_id, substr(seq, instr(seq, '{FIVE_PRIME[-12:]}') + 12, instr(seq, '{THREE_PRIME[:12]}') - instr(seq, '{FIVE_PRIME[-12:]}') - 12) AS part FROM reads WHERE instr(seq, '{FIVE_PRIME[-12:]}') > 0) WHERE length(part) BETWEEN 80 AND 160 GROUP BY ALL", READS))
+def demultiplex(spark, sf):
+    parts = Q.demultiplex(synth_reads(spark, sf), FIVE_PRIME[-12:], THREE_PRIME[:12], 80, 160)
+    return parts.groupBy("sample_id", F.length("part").alias("length")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def _shares(steps):
+    return "CASE " + " ".join(f"WHEN count(*) >= {least} THEN {kept}" for least, kept in steps) + " ELSE 1000 END"
+
+
+@register("subsample", query(f"SELECT r.sample_id, mate, count(*) AS n FROM reads r JOIN (SELECT sample_id, {_shares([(1000, 500), (500, 750)])} AS share FROM reads GROUP BY 1) s USING (sample_id) WHERE read_id % 1000 < share GROUP BY ALL", READS))
+def subsample(spark, sf):
+    return Q.subsample(synth_reads(spark, sf), [(1000, 500), (500, 750)]).groupBy("sample_id", "mate").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("reference_library", f"SELECT cag::INT AS cag, ccg::INT AS ccg, cag || '_1_1_' || ccg || '_2' AS label, md5('{FIVE_PRIME}' || repeat('CAG', cag) || '{TYPICAL}' || repeat('CCG', ccg) || 'CCTCCT{THREE_PRIME}') AS seq_md5 FROM range(1, 201) a(cag), range(1, 21) c(ccg)")
+def reference_library(spark, sf):
+    return R.typical_library(spark).select("cag", "ccg", "label", F.md5("seq").alias("seq_md5"))
+
+
+@register("realign_atypical", query("SELECT al.sample_id, al.allele, (a.ccg + floor((length(a.intervening) - length(al.intervening)) / 3.0))::INT AS ccg, a.cag, sum(a.n)::BIGINT AS n FROM assigned a JOIN alleles al ON al.sample_id = a.sample_id AND al.status = 'Atypical' WHERE a.mate = 'R1' AND a.cag BETWEEN 1 AND 200 AND (a.ccg + floor((length(a.intervening) - length(al.intervening)) / 3.0)) BETWEEN 1 AND 20 GROUP BY ALL", PAIRS))
+def realign_atypical(spark, sf):
+    return R.realign(C.assigned(spark, sf), C.alleles(spark, sf))
+
+
+_VARIANTS = """v AS (SELECT (l_suppkey % 20)::INT AS sample_id, CASE WHEN l_orderkey % 2 = 0 THEN 'PRI' ELSE 'SEC' END AS allele, l_orderkey % 3 = 0 AS atypical, '17_1_1_7_2' AS label,
+ '17_1_1_7_2' || CASE WHEN l_orderkey % 3 = 0 THEN '_CAG17' ELSE '' END || CASE WHEN l_linenumber = 5 THEN 'x' ELSE '' END AS chrom, (l_partkey % 300)::INT AS pos, 'A' AS ref, 'G' AS alt, l_extendedprice % 100 AS qual FROM lineitem WHERE l_quantity = 50),
+t AS (SELECT *, CASE WHEN atypical THEN regexp_replace(chrom, '_?CAG.*$', '') ELSE chrom END = label AS target FROM v),
+k AS (SELECT * FROM (SELECT *, min(pos) OVER (PARTITION BY sample_id, allele) AS lo, max(pos) OVER (PARTITION BY sample_id, allele) AS hi FROM t WHERE target AND qual > 20) WHERE abs(pos - lo) > 5 AND abs(pos - hi) > 5)"""
+
+
+def synth_variants(spark, sf):
+    rows = spark.read.parquet(f"{sf}/lineitem.parquet").where("l_quantity = 50")
+    odd = F.col("l_orderkey") % 3 == 0
+    chrom = F.concat(F.lit("17_1_1_7_2"), F.when(odd, "_CAG17").otherwise(""), F.when(F.col("l_linenumber") == 5, "x").otherwise(""))
+    return rows.select((F.col("l_suppkey") % 20).cast("int").alias("sample_id"), F.when(F.col("l_orderkey") % 2 == 0, "PRI").otherwise("SEC").alias("allele"), odd.alias("atypical"), F.lit("17_1_1_7_2").alias("label"), chrom.alias("chrom"), (F.col("l_partkey") % 300).cast("int").alias("pos"), F.lit("A").alias("ref"), F.lit("G").alias("alt"), (F.col("l_extendedprice") % 100).alias("qual"))
+
+
+@register("variant_filter", query("SELECT sample_id, allele, pos, qual FROM k", _VARIANTS))
+def variant_filter(spark, sf):
+    return V.surviving(synth_variants(spark, sf), 20.0).select("sample_id", "allele", "pos", "qual")
+
+
+@register("variant_text", query("SELECT sample_id, allele, string_agg(ref || '->' || alt || '@' || pos, '   ' ORDER BY qual DESC, pos) AS text, max(qual) AS score FROM k GROUP BY ALL", _VARIANTS))
+def variant_text(spark, sf):
+    return V.variant_text(V.surviving(synth_variants(spark, sf), 20.0))
+
+
+@register("variants_off_target", query("SELECT sample_id, allele, chrom, count(*) AS n FROM t WHERE NOT target GROUP BY ALL", _VARIANTS))
+def variants_off_target(spark, sf):
+    return V.on_target(synth_variants(spark, sf)).where("NOT target").groupBy("sample_id", "allele", "chrom").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("pileup", query("""SELECT sample_id AS contig, pos::INT AS pos, substr(ref_seq, pos, 1) AS ref, substr(seq, pos, 1) AS alt, sum(k)::BIGINT AS n FROM (
+ SELECT u.sample_id, u.seq, u.k, m.seq AS ref_seq, unnest(range(1, length(u.seq) + 1)) AS pos FROM (SELECT sample_id, seq, count(*) AS k FROM reads GROUP BY ALL) u
+ JOIN (SELECT sample_id, seq FROM (SELECT sample_id, seq, count(*) AS k FROM reads GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY sample_id ORDER BY k DESC, seq) = 1) m USING (sample_id) WHERE length(u.seq) = length(m.seq) AND u.seq <> m.seq)
+WHERE substr(seq, pos, 1) <> substr(ref_seq, pos, 1) GROUP BY ALL HAVING sum(k) >= 2""", READS))
+def pileup(spark, sf):
+    reads = synth_reads(spark, sf).select(F.col("sample_id").alias("contig"), "seq")
+    same = reads.groupBy("contig", "seq").agg(F.count(F.lit(1)).alias("k"))
+    modal = same.groupBy("contig").agg(F.min(F.struct(-F.col("k"), "seq"))["seq"].alias("seq"))
+    return V.pileup(reads, modal)
+
+
+@register("instance_report", query("""SELECT s.sample_id, state, """ + ", ".join(f"coalesce(max({c}::VARCHAR) FILTER (WHERE s.allele = '{who}'), 'FAIL') AS {who.lower()}_{a}" for who in ("PRI", "SEC") for a, c in (("label", "label"), ("status", "s.status"), ("fod", "fod"), ("total", "s.total"))) + " FROM scored s JOIN alleles a ON a.sample_id = s.sample_id AND a.allele = s.allele GROUP BY s.sample_id, state", SCORED))
+def instance_report(spark, sf):
+    scored = C.scored(spark, sf)
+    report = T.instance_report(scored, M.confidence_interval(C.genotyped(spark, sf).bins), M.confidence(scored))
+    return report.select("sample_id", "state", *[f"{who}_{c}" for who in ("pri", "sec") for c in ("label", "status", "fod", "total")])
+
+
+@register("cohort_sizes", query("SELECT 'cag' AS tract, est_cag AS size, count(*) AS n FROM alleles GROUP BY ALL UNION ALL SELECT 'ccg', est_ccg, count(*) FROM alleles GROUP BY ALL", PAIRS))
+def cohort_sizes(spark, sf):
+    return T.cohort_sizes(C.alleles(spark, sf))
+
+
+@register("sample_documents", query("""SELECT sample_id, '[' || string_agg('{"allele":"' || allele || '","label":"' || label || '","status":"' || status || '"}', ',' ORDER BY allele) || ']' AS document FROM alleles GROUP BY sample_id""", PAIRS))
+def sample_documents(spark, sf):
+    return T.sample_documents(C.alleles(spark, sf))
+
+
+@register("l2_normalise", "SELECT vec_id, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE)), 4) AS squares, round(embedding[1]::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))), 6) AS first FROM embeddings")
+def l2_normalise(spark, sf):
+    squares = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
+    return spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", F.round(squares, 4).alias("squares"), F.round(F.get("embedding", 0).cast("double") / F.sqrt(squares), 6).alias("first"))

@@ -263,10 +263,12 @@ def calibrate(model: Model, texts: list[str], truth: list[str], reject_share: fl
     model.limit, model.spread = np.full(k, np.inf), np.zeros(k)
     for j in range(k):
         mine = (own == j) & (n > 0)
+        if mine.sum() < 20:  # too few of its own: those of all languages
+            mine = n > 0
         if mine.sum() >= 20:
             middle = float(np.median(real[mine]))
             # how much a text of one character may differ, by texts of all lengths
-            model.spread[j] = 4 * float(np.quantile(np.abs(real[mine] - middle) * np.sqrt(n[mine]), 0.99))
+            model.spread[j] = 4 * float(np.quantile(np.abs(real[mine] - middle) * np.sqrt(n[mine]), 0.9))
             model.limit[j] = max(float(np.quantile(real[mine], 1 - reject_share)), middle) + 0.25 * middle
     use = n > 0
     best = (np.inf, 1.0)

@@ -9,18 +9,19 @@ from amplitract.functions.exprs import joined_label
 from amplitract.sources.reads import FIVE_PRIME, THREE_PRIME, TYPICAL
 
 
-def library(structures: DataFrame, cags: tuple[int, int], ccgs: tuple[int, int] = (1, 20)) -> DataFrame:
+def library(structures: DataFrame, cags: tuple[int, int], ccgs: tuple[int, int] = (1, 20), five: str = FIVE_PRIME) -> DataFrame:
     """(structure columns, cag, ccg, label, seq): every size for each structure (intervening, cct)."""
     rows = structures.select("*", F.explode(F.sequence(F.lit(cags[0]), F.lit(cags[1]))).alias("cag"))
     rows = rows.select("*", F.explode(F.sequence(F.lit(ccgs[0]), F.lit(ccgs[1]))).alias("ccg"))
     first, second = F.regexp_count("intervening", F.lit("CAACAG")), F.regexp_count(F.replace("intervening", F.lit("CAACAG"), F.lit("")), F.lit("CCGCCA"))
-    seq = F.concat(F.lit(FIVE_PRIME), F.repeat(F.lit("CAG"), F.col("cag")), "intervening", F.repeat(F.lit("CCG"), F.col("ccg")), F.repeat(F.lit("CCT"), F.col("cct")), F.lit(THREE_PRIME))
+    seq = F.concat(F.lit(five), F.repeat(F.lit("CAG"), F.col("cag")), "intervening", F.repeat(F.lit("CCG"), F.col("ccg")), F.repeat(F.lit("CCT"), F.col("cct")), F.lit(THREE_PRIME))
     return rows.withColumn("label", joined_label(F.col("cag"), first, second, F.col("ccg"), F.col("cct"))).withColumn("seq", seq)
 
 
 def typical_library(spark: SparkSession, mate: str = "R1") -> DataFrame:
-    """4000 forward entries (CAG 1 to 200), or 20 reverse ones (CAG 100)."""
-    return library(spark.createDataFrame([(TYPICAL, 2)], "intervening string, cct int"), (1, 200) if mate == "R1" else (100, 100))
+    """4000 forward entries (CAG 1 to 200), or 20 reverse ones (CAG 100), which begin with the tract."""
+    typical = spark.createDataFrame([(TYPICAL, 2)], "intervening string, cct int")
+    return library(typical, (1, 200)) if mate == "R1" else library(typical, (100, 100), five="")
 
 
 def realign(assigned: DataFrame, alleles: DataFrame) -> DataFrame:

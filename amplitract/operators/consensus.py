@@ -12,13 +12,21 @@ from amplitract.sources.reads import TYPICAL
 KEYS = ["sample_id", "cag", "ccg"]
 
 
-def _ranked(rows: DataFrame, what: str) -> DataFrame:
-    """The most frequent value of a column in each contig and the runner-up, with their counts; the lower value first if equal."""
-    counts = rows.groupBy(*KEYS, what).agg(F.sum("n").alias("k"))
-    w = Window.partitionBy(*KEYS).orderBy(F.desc("k"), what)
-    ranked = counts.withColumn("r", F.row_number().over(w))
-    pick = lambda r, c: F.max(F.when(F.col("r") == r, F.col(c)))
-    return ranked.groupBy(*KEYS).agg(pick(1, what).alias(f"{what}_1"), pick(1, "k").alias(f"{what}_n1"), pick(2, what).alias(f"{what}_2"), pick(2, "k").alias(f"{what}_n2"), F.max("k").alias(f"{what}_most"))
+PARTS = ("a", "c", "t", "mid")
+
+
+def _ranked(rows: DataFrame) -> DataFrame:
+    """For each contig: reads, typical reads, and of each part (tract sizes a, c and t, the sequence between) the most frequent
+    value _1 and the runner-up _2 with their counts; the lower value first if equal. All parts are ranked in one pass."""
+    value = lambda p: F.col(p) if p == "mid" else F.lpad(F.col(p).cast("string"), 6, "0")
+    each = rows.select(*KEYS, "n", F.explode(F.array(*[F.struct(F.lit(p).alias("part"), value(p).alias("v")) for p in PARTS])).alias("e"))
+    counts = each.groupBy(*KEYS, "e.part", "e.v").agg(F.sum("n").alias("k"))
+    ranked = counts.withColumn("r", F.row_number().over(Window.partitionBy(*KEYS, "part").orderBy(F.desc("k"), "v")))
+    pick = lambda p, r, c: F.max(F.when((F.col("part") == p) & (F.col("r") == r), F.col(c)))
+    sums = [F.sum(F.when(F.col("part") == "a", F.col("k"))).alias("total"), F.sum(F.when((F.col("part") == "mid") & (F.col("v") == TYPICAL), F.col("k")).otherwise(0)).alias("typical")]
+    typed = lambda p, c: c if p == "mid" else c.cast("int")
+    tops = [x for p in PARTS for x in (typed(p, pick(p, 1, "v")).alias(f"{p}_1"), pick(p, 1, "k").alias(f"{p}_n1"), typed(p, pick(p, 2, "v")).alias(f"{p}_2"), pick(p, 2, "k").alias(f"{p}_n2"))]
+    return ranked.groupBy(*KEYS).agg(*sums, *tops)
 
 
 def contig_summary(assigned: DataFrame, contigs: DataFrame) -> DataFrame:
@@ -26,11 +34,7 @@ def contig_summary(assigned: DataFrame, contigs: DataFrame) -> DataFrame:
     sequences, and the status. Reads are summed by structure first, so that everything after works on few rows."""
     rows = assigned.where("mate = 'R1' AND contig_cag IS NOT NULL").groupBy("sample_id", F.col("contig_cag").alias("cag"), F.col("contig_ccg").alias("ccg"), F.col("cag").alias("a"), F.col("ccg").alias("c"), F.col("cct").alias("t"), "intervening").agg(F.sum("n").alias("n"))
     rows = rows.join(contigs.select(*KEYS), KEYS, "left_semi").withColumn("mid", normalised_intervening(F.col("intervening")))
-    typical = F.sum(F.when(F.col("mid") == TYPICAL, F.col("n")).otherwise(0))
-    total = rows.groupBy(*KEYS).agg(F.sum("n").alias("total"), typical.alias("typical"))
-    out = total
-    for what in ("a", "c", "t", "mid"):
-        out = out.join(_ranked(rows, what), KEYS)
+    out = _ranked(rows)
     ratio = F.try_divide(F.col("t_n1"), F.col("t_n2"))
     cct = F.when(F.abs(ratio - 2.0) <= 0.3 + 2e-5, 2).otherwise(F.col("t_1"))
     out = out.withColumn("atypical", F.col("total") - F.col("typical")).withColumn("est_cct", cct.cast("int"))
@@ -38,7 +42,7 @@ def contig_summary(assigned: DataFrame, contigs: DataFrame) -> DataFrame:
     status = F.when(F.col("atypical") > F.col("typical"), "Atypical").when(F.col("est_cct") != 2, "Atypical").otherwise("Typical")
     # a longer runner-up, or a 15-mer with nearly as many reads, stands in for the most frequent sequence; singletons don't
     gap = (F.col("mid_n1") - F.col("mid_n2")) / F.col("mid_n1")
-    second = F.col("mid_2").isNotNull() & (F.length("mid_2") > F.length("mid_1")) & (gap < 0.3) & (F.col("mid_most") > 1)
+    second = F.col("mid_2").isNotNull() & (F.length("mid_2") > F.length("mid_1")) & (gap < 0.3) & (F.col("mid_n1") > 1)
     return out.select(
         *KEYS, "total", "typical", "atypical",
         F.round(F.col("typical") * 100.0 / F.col("total"), 2).alias("typical_pcnt"), F.round(F.col("atypical") * 100.0 / F.col("total"), 2).alias("atypical_pcnt"),

@@ -353,3 +353,22 @@ def test_pages(spark):
     assert all(found[k] == f"Own text number {k}\nSaid by all" for k in range(30))
     assert all(found[100 + k] == f"Said by all\n{k}" for k in range(30))
     assert site_style_tree.extract(df.where("page_id < 0")).count() == 0
+
+
+def test_articles_are_not_pruned_from_outside(spark):
+    tree = site_style_tree
+    text = lambda html, *low: tree.main_blocks(tree.parse(html), frozenset(low))
+    # names on an article, or around it, don't hide it; names in it do
+    assert text("<body><form id='aspnetForm'><div class='sidebar-layout'>no<article class='share'><p>yes</p><div class='comments'><article>no</article></div></article></div></form>") == ["yes"]
+    assert text("<body><main class='banner'>yes<div class='widget'>no<article>and</article></div></main>") == ["yes", "and"]
+    assert text("<body><aside><article>teaser</article>no</aside><div>own</div>") == ["teaser", "own"]
+    assert text("<body><nav>no</nav><article>yes</article><div>no</div>", "/body", "/body/article") == ["yes"]
+
+    rows = [(f"http://copies.example/{k}", f"<body><article><p>Article {k % 5}</p></article></body>") for k in range(500)]
+    rows += [(f"http://heads.example/{k}", f"<body><article><h2>Summary</h2><p>Text {k}</p></article></body>") for k in range(30)]
+    rows += [(f"http://bodies.example/{k}", f"<body>{'<div></div>' if k < 970 else f'<div class=x{chr(97 + (k - 970) % 20)}></div>'}<article><p>{k}</p></article></body>") for k in range(1000)]
+    df = spark.createDataFrame(rows, "url string, html string")
+    found = {r.url: r.text for r in tree.extract(df).collect()}
+    assert all(found[f"http://copies.example/{k}"] == f"Article {k % 5}" for k in range(500))
+    assert all(found[f"http://heads.example/{k}"] == f"Summary\nText {k}" for k in range(30))
+    assert all(found[f"http://bodies.example/{k}"] == str(k) for k in range(1000))

@@ -372,3 +372,22 @@ def test_articles_are_not_pruned_from_outside(spark):
     assert all(found[f"http://copies.example/{k}"] == f"Article {k % 5}" for k in range(500))
     assert all(found[f"http://heads.example/{k}"] == f"Summary\nText {k}" for k in range(30))
     assert all(found[f"http://bodies.example/{k}"] == str(k) for k in range(1000))
+
+
+def test_all_styles_and_rare_templates_count(spark):
+    from math import log
+
+    # a wrapper with one style on 70 percent of the pages and a style of its own on each other page
+    steps = lambda k: "".join(f"<{'ul' if k >> b & 1 else 'ol'}></{'ul' if k >> b & 1 else 'ol'}><hr><h3></h3>" for b in range(11))
+    rows = [(f"http://w.example/{k}", f"<body><div class='wrap'>{steps(k) if k < 600 else ''}<p>Text {k}</p></div></body>") for k in range(2000)]
+    # what 30 of 3000 pages say is said by a template of theirs
+    rows += [(f"http://b.example/{k}", f"<body>{'<div class=rare>Same on all of these</div>' if k < 30 else ''}<p>Text {k}</p></body>") for k in range(3000)]
+    df = spark.createDataFrame(rows, "url string, html string")
+    found = {r.url: r.text for r in site_style_tree.extract(df).collect()}
+    assert all(found[f"http://w.example/{k}"] == f"Text {k}" for k in range(2000))
+    assert all(found[f"http://b.example/{k}"] == f"Text {k}" for k in range(3000))
+    sums = site_style_tree.path_sums(site_style_tree.node_statistics(df)).where("host = 'w.example'").collect()
+    wrap = next(r for r in sums if r.path == "/body/div.wrap")
+    assert (wrap.pages, wrap.n_styles, wrap.total) == (2000, 601, 2000)
+    exact = -(0.7 * log(0.7) + 600 * log(1 / 2000) / 2000) / log(2000)
+    assert abs(site_style_tree.importance(sums)["/body/div.wrap"] - exact) < 1e-9

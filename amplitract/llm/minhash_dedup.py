@@ -99,7 +99,8 @@ def sketch_table(docs: DataFrame, key: str, text: str, words: int, bands: int =
 
 
 def class_sets(docs: DataFrame, wanted: DataFrame, key: str, text: str, words: int) -> DataFrame:
-    """(class, shingles) of the wanted (class, id): ids name one document of each class."""
+    """(class, shingles) of the wanted (class, id, key_a, key_b): ids name one document of each class, content keys one
+    text of those whose documents have no id."""
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -111,6 +112,9 @@ def class_sets(docs: DataFrame, wanted: DataFrame, key: str, text: str, words: i
                 yield pa.RecordBatch.from_arrays([pa.array(kind.view(np.int64)), lists], names=["class", "shingles"])
 
     theirs = docs.select(docs[key].alias("id"), docs[text].alias("text")).join(wanted, "id", "left_semi").select("text")
+    keys = wanted.where("id is null").select("key_a", "key_b")
+    unnamed = docs.where(docs[key].isNull()).select(docs[text].alias("text"), *content_key(docs[text])).join(keys, ["key_a", "key_b"], "left_semi")
+    theirs = theirs.unionByName(unnamed.groupBy("key_a", "key_b").agg(F.first("text").alias("text")).select("text"))
     return materialize(theirs.mapInArrow(listed, "class long, shingles array<bigint>"), "shingle-sets")
 
 
@@ -131,8 +135,9 @@ def near_links(sketches: DataFrame, docs: DataFrame, key: str, text: str, words:
     led = entries.groupBy("h").agg(F.min("class").alias("lead"), F.max("class").alias("most")).where("lead <> most")
     members = materialize(entries.join(led.select("h", "lead"), "h").where(F.col("class") != F.col("lead")).distinct(), "buckets")
     named = members.select(F.explode(F.array("class", "lead")).alias("class")).distinct()
-    ids = sketches.where("n > 0 and id is not null").groupBy("class").agg(F.min("id").alias("id"))
-    sets = class_sets(docs, ids.join(named, "class", "left_semi"), key, text, words)
+    # a class without any id is found by its content
+    ids = sketches.where("n > 0").groupBy("class").agg(F.min("id").alias("id"), F.min(F.struct("key_a", "key_b")).alias("k")).select("class", "id", "k.key_a", "k.key_b")
+    sets = class_sets(docs, materialize(ids.join(named, "class", "left_semi"), "wanted"), key, text, words)
 
     links, close, between, leads = None, None, None, 1
     starred = members.withColumn("leads_too", F.lit(False))

@@ -391,3 +391,29 @@ def test_all_styles_and_rare_templates_count(spark):
     assert (wrap.pages, wrap.n_styles, wrap.total) == (2000, 601, 2000)
     exact = -(0.7 * log(0.7) + 600 * log(1 / 2000) / 2000) / log(2000)
     assert abs(site_style_tree.importance(sums)["/body/div.wrap"] - exact) < 1e-9
+
+
+def test_near_copies_without_ids_lead_and_bridge(spark):
+    rng = random.Random(21)
+    # a chain: each text is near to the next only
+    base = [f"w{rng.randrange(10**6)}" for _ in range(100)]
+    chains = [[[f"{c}new{i}" if i < 8 * k else f"{c}{w}" for i, w in enumerate(base)] for k in range(3)] for c in "abcdefgh"]
+    rows = []
+    for i, chain in enumerate(chains):  # the bridge has no id
+        rows += [(10 * i + 1, " ".join(chain[0])), (None, " ".join(chain[1])), (None, " ".join(chain[1])), (10 * i + 2, " ".join(chain[2]))]
+    for g in range(12):  # groups of near copies, many of them without ids, so that some of those lead their buckets
+        words = [f"g{g}w{i}" for i in range(200)]
+        for k in range(40):
+            copy = list(words)
+            copy[k * 5] = "changed"
+            rows.append((1000 + 100 * g + k if k % 8 == 0 else None, " ".join(copy)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = minhash_dedup.near_duplicates(df, words=2).collect()
+    assert len(found) == len(rows)
+    of = collections.defaultdict(set)
+    for r in found:
+        of[r.doc_id].add(r.component_id)
+    assert all(of[10 * i + 1] == of[10 * i + 2] == {10 * i + 1} for i in range(8))
+    assert all(of[1000 + 100 * g + k] == {1000 + 100 * g} for g in range(12) for k in range(0, 40, 8))
+    assert of[None] == {10 * i + 1 for i in range(8)} | {1000 + 100 * g for g in range(12)}
+    assert sorted(r.doc_id for r in minhash_dedup.dedup_documents(df, words=2).collect()) == sorted(of[None])

@@ -1,20 +1,20 @@
-"""Suffix-array dedup of passages that several documents share.
+"""Dedup of repeated passages, those a suffix array would find.
 
 A sparse suffix array keeps only the suffixes that start at a minimiser: of every run of ``min_words - prefix + 1``
 word positions, the one whose next ``prefix`` words hash lowest. Two equal passages of ``min_words`` words hold the same
-minimiser at the same place, so none is lost, and about one suffix in fifteen is kept. Suffixes are ordered by the hash
-of their first words, which brings equal prefixes together just as lexicographic order does; where neighbours agree but
-lie in different documents, their prefix is marked. Marked suffixes are then extended to the left and right: every window of min_words
-words around one is compared with the windows of the other documents, and windows found elsewhere are merged into
-maximal spans.
+minimiser at the same place, so none is lost, and about one suffix in fifteen is kept. Hash grouping stands in for sorted
+suffixes: nothing is ordered or extended letter by letter. Suffixes are grouped by the hash of their first words; a prefix
+with several places is marked. Then the hashes of all windows of min_words words that have a marked minimiser are grouped
+too, and windows with several places are merged into maximal spans, which gives the spans that a suffix array would.
 
-Comparing neighbours is a grouped minimum and maximum of document ids, with map-side partial results: a passage that a
-third of all documents share is no hot group, nor are copies paired with each other. Only documents that hold a marked
-suffix are read again. Memory is bounded by a batch piece and the longest text.
+Groups are sums, minima and maxima with map-side partial results: a passage that a third of all documents share is no hot
+group, nor are copies paired with each other. Only documents that hold a marked suffix are read again. Memory is bounded
+by a batch piece and the longest text.
 
 Words are runs of other characters than space and tab to carriage return; A-Z are lower-cased. Defined cases: a null
-text has no words; rows without an id are left out, as they can't be referred to; rows that share an id are one
-document; a passage that only one document repeats isn't reported; an empty table gives no rows.
+text has no words; an empty table gives no rows. The query counts every place of a passage, be it in the same document
+or in a row of null or equal id. Without ``every`` rows without an id are left out, rows that share an id are one
+document, and a passage that only one document repeats isn't reported.
 """
 
 from __future__ import annotations
@@ -48,68 +48,79 @@ def window_minimisers(w: Words, min_words: int, prefix: int) -> np.ndarray:
     return slide_min(w.grams(prefix), min_words - prefix + 1)
 
 
-def suffixes(docs: DataFrame, key: str, text: str, min_words: int = MIN_WORDS, prefix: int = PREFIX) -> DataFrame:
-    """(prefix, id) of each retained suffix."""
+def suffixes(docs: DataFrame, min_words: int = MIN_WORDS, prefix: int = PREFIX) -> DataFrame:
+    """(prefix, row, n) of each retained suffix of docs (row, text): n is 2 if the text has the prefix more than once."""
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at, data, offsets in pieces(b.column(1)):
                 w = Words(data, offsets)
-                least = window_minimisers(w, min_words, prefix)
-                rows, texts = [np.empty(0, U64)], [np.empty(0, np.int64)]
+                grams = w.grams(prefix)
+                least = slide_min(grams, min_words - prefix + 1)
+                rows, texts, times = [np.empty(0, U64)], [np.empty(0, np.int64)], [np.empty(0, np.int8)]
                 for t in np.flatnonzero(np.diff(w.edges) >= min_words):
                     own = np.unique(least[w.edges[t] : w.edges[t + 1] - min_words + 1])
+                    every = np.sort(grams[w.edges[t] : w.edges[t + 1] - prefix + 1])
+                    again = np.searchsorted(every, own, "right") - np.searchsorted(every, own) > 1
                     rows.append(own)
                     texts.append(np.full(len(own), at + t))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(rows).view(np.int64)), b.column(0).take(pa.array(np.concatenate(texts)))], names=["prefix", "id"])
+                    times.append(again.astype(np.int8) + np.int8(1))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(rows).view(np.int64)), b.column(0).take(pa.array(np.concatenate(texts))), pa.array(np.concatenate(times))], names=["prefix", "row", "n"])
 
-    kind = dict(docs.dtypes)[key]
-    return docs.where(docs[key].isNotNull()).select(docs[key].alias("id"), docs[text].alias("text")).mapInArrow(kept, f"prefix long, id {kind}")
+    return docs.select("row", "text").mapInArrow(kept, f"prefix long, row {dict(docs.dtypes)['row']}, n byte")
 
 
-def extended(docs: DataFrame, marked: DataFrame, key: str, text: str, min_words: int = MIN_WORDS, prefix: int = PREFIX) -> DataFrame:
-    """(window, id, start) of the windows of min_words words whose minimiser is one of the document's marked prefixes."""
+def extended(docs: DataFrame, marked: DataFrame, min_words: int = MIN_WORDS, prefix: int = PREFIX) -> DataFrame:
+    """(window, id, row, start) of the windows of docs (id, row, text) whose minimiser is one of the row's marked prefixes."""
 
     def around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for at, data, offsets in pieces(b.column(1)):
+            for at, data, offsets in pieces(b.column(2)):
                 w = Words(data, offsets)
                 least, whole = window_minimisers(w, min_words, prefix), w.grams(min_words)
                 hashes, texts, starts = [np.empty(0, U64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
                 for t in np.flatnonzero(np.diff(w.edges) >= min_words):
                     lo, hi = w.edges[t], w.edges[t + 1] - min_words + 1
-                    wanted = b.column(2)[at + int(t)].values.to_numpy().view(U64)
+                    wanted = b.column(3)[at + int(t)].values.to_numpy().view(U64)
                     found = np.flatnonzero(np.isin(least[lo:hi], wanted))
                     hashes.append(whole[lo + found])
                     texts.append(np.full(len(found), at + t))
                     starts.append(found)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hashes).view(np.int64)), b.column(0).take(pa.array(np.concatenate(texts))), pa.array(np.concatenate(starts))], names=["window", "id", "start"])
-
-    own = marked.groupBy("id").agg(F.collect_list("prefix").alias("prefixes"))
-    asked = docs.select(docs[key].alias("id"), docs[text].alias("text")).join(own, "id").select("id", "text", "prefixes")
-    return asked.mapInArrow(around, f"window long, id {dict(docs.dtypes)[key]}, start long")
-
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hashes).view(np.int64)), *(b.column(k).take(pa.array(np.concatenate(texts))) for k in (0, 1)), pa.array(np.concatenate(starts))], names=["window", "id", "row", "start"])
 
-def _elsewhere(rows: DataFrame, what: str) -> DataFrame:
-    """The values of a column that more than one document holds, with the least and greatest of their ids."""
-    return rows.groupBy(what).agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first <> last")
+    own = marked.groupBy("row").agg(F.collect_set("prefix").alias("prefixes"))
+    asked = docs.join(own, "row").select("id", "row", "text", "prefixes")
+    kinds = dict(docs.dtypes)
+    return asked.mapInArrow(around, f"window long, id {kinds['id']}, row {kinds['row']}, start long")
 
 
-def repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, prefix: int = PREFIX) -> DataFrame:
+def repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, prefix: int = PREFIX, every: bool = False) -> DataFrame:
     """One row for each maximal span of a document whose every word lies in min_words words that another document holds
-    too: key, start_word, end_word (exclusive), n_words (long) and other (the key of another such document)."""
-    kept = materialize(suffixes(docs, key, text, min_words, prefix), "suffixes")
-    marked = kept.join(_elsewhere(kept, "prefix").select("prefix"), "prefix", "left_semi")
-    windows = materialize(extended(docs, marked, key, text, min_words, prefix), "windows")
-    shared = windows.join(_elsewhere(windows, "window"), "window")
-    shared = shared.groupBy("id", "start").agg(F.min(F.when(F.col("first") == F.col("id"), F.col("last")).otherwise(F.col("first"))).alias("other"))
-    by_start = Window.partitionBy("id").orderBy("start")
+    too: key, start_word, end_word (exclusive), n_words (long) and other (the key of another such document). With every,
+    all places count: those in the same document (other is its own key if no other document has the words) and those in
+    rows of null or equal keys, whose spans come for each text (equal rows once; other is null if only they have the words)."""
+    if every:  # that two rows clash in this hash only makes them read some windows more
+        rows = docs.select(docs[key].alias("id"), F.xxhash64(docs[key], docs[text]).alias("row"), docs[text].alias("text"))
+        shares = F.sum("n") > 1
+    else:
+        rows = docs.where(docs[key].isNotNull()).select(docs[key].alias("id"), docs[key].alias("row"), docs[text].alias("text"))
+        shares = F.min("row") < F.max("row")
+    kept = materialize(suffixes(rows, min_words, prefix), "suffixes")
+    marked = kept.join(kept.groupBy("prefix").agg(shares.alias("shared")).where("shared").select("prefix"), "prefix", "left_semi").select("row", "prefix")
+    windows = materialize(extended(rows, marked, min_words, prefix), "windows")
+    found = windows.groupBy("window").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.count(F.lit(1)).alias("n"))
+    shared = windows.join(found.where("n > 1" if every else "first <> last").drop("n"), "window")
+    where = ["id", "row"] if every else ["id"]
+    shared = shared.groupBy(*where, "start").agg(F.min(F.when(F.col("first") == F.col("id"), F.col("last")).otherwise(F.col("first"))).alias("other"))
+    by_start = Window.partitionBy(*where).orderBy("start")
     gap = (F.col("start") - F.lag("start").over(by_start)) >= min_words
     spans = shared.withColumn("gap", F.coalesce(gap, F.lit(False)).cast("long"))
     spans = spans.withColumn("span", F.sum("gap").over(by_start.rowsBetween(Window.unboundedPreceding, 0)))
-    spans = spans.groupBy("id", "span").agg(F.min("start").alias("start_word"), (F.max("start") + min_words).alias("end_word"), F.min("other").alias("other"))
+    # of the windows of a span one that another document holds tells other
+    foreign = F.coalesce(F.min(F.when(~F.col("other").eqNullSafe(F.col("id")), F.col("other"))), F.min("other"))
+    spans = spans.groupBy(*where, "span").agg(F.min("start").alias("start_word"), (F.max("start") + min_words).alias("end_word"), foreign.alias("other"))
     return spans.select(F.col("id").alias(key), "start_word", "end_word", (F.col("end_word") - F.col("start_word")).alias("n_words"), "other")
 
 
 def op6_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeated_passages(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return repeated_passages(table(spark, sf_dir, "documents").select("doc_id", "text"), every=True)

@@ -417,3 +417,27 @@ def test_near_copies_without_ids_lead_and_bridge(spark):
     assert all(of[1000 + 100 * g + k] == {1000 + 100 * g} for g in range(12) for k in range(0, 40, 8))
     assert of[None] == {10 * i + 1 for i in range(8)} | {1000 + 100 * g for g in range(12)}
     assert sorted(r.doc_id for r in minhash_dedup.dedup_documents(df, words=2).collect()) == sorted(of[None])
+
+
+def test_every_place_of_a_passage_counts(spark):
+    rng = random.Random(31)
+    text = lambda n: [f"t{rng.randrange(10**9)}" for _ in range(n)]
+    twice, hidden, same, both = (text(60) for _ in range(4))
+    rows = [
+        (1, [*text(10), *twice, *text(30), *twice]),
+        (2, [*text(5), *hidden, *text(70)]),
+        (None, [*hidden, *text(3)]),
+        (3, [*same, *text(8)]),
+        (3, [*text(9), *same]),
+        (None, [*both, *text(1)]),
+        (None, [*text(2), *both]),
+        (4, text(100)),
+        (5, ["a"] * 80),
+        (6, twice[:49]),
+    ]
+    df = spark.createDataFrame([(k, " ".join(w)) for k, w in rows], "doc_id long, text string")
+    found = repeated_passages.repeated_passages(df, every=True).collect()
+    want = [(1, 10, 70, 1), (1, 100, 160, 1), (2, 5, 65, 2), (None, 0, 60, 2), (3, 0, 60, 3), (3, 9, 69, 3), (None, 0, 60, None), (None, 2, 62, None), (5, 0, 80, 5)]
+    assert sorted(((r.doc_id, r.start_word, r.end_word, r.other) for r in found), key=repr) == sorted(want, key=repr)
+    equal = repeated_passages.repeated_passages(df.where("doc_id = 4").unionAll(df.where("doc_id = 4")), every=True).collect()
+    assert [(r.doc_id, r.start_word, r.end_word) for r in equal] == [(4, 0, 100)]

@@ -65,3 +65,15 @@ def diminished_peaks(bins: DataFrame, reach: int = 5, share: float = 0.65, least
     total, at = F.sum("n").over(w), F.max(F.when(F.col("cag") == F.col("call"), F.col("n"))).over(w)
     open_ = bins.where("allele = 'PRI'").withColumn("total", total).withColumn("at", at).where((F.col("total") > least) & (F.col("at") < share * F.col("total")))
     return find_peaks(open_.where(F.col("cag") > F.col("call") + reach), SLICE, "cag", "n", 0.05).select(*SLICE, "peak", "height")
+
+
+def hidden_expansions(bins: DataFrame, alleles: DataFrame, far: float = 0.175, share: float = 0.65, most: int = 750) -> DataFrame:
+    """sample_id of samples with a diminished peak that is no called allele: both alleles are typical and of one CCG, their
+    calls differ, hold less than `share` of the slice by more than `far`, and one of them has fewer than `most` reads."""
+    at = lambda who: F.max(F.when((F.col("allele") == who) & (F.col("cag") == F.col("call")), F.col("n")))
+    call = lambda who: F.max(F.when(F.col("allele") == who, F.col("call")))
+    whole = bins.groupBy("sample_id").agg(at("PRI").alias("n1"), at("SEC").alias("n2"), call("PRI").alias("c1"), call("SEC").alias("c2"), F.sum(F.when(F.col("allele") == "PRI", F.col("n"))).alias("all"), F.count_distinct("ccg").alias("ccgs"))
+    open_ = whole.where((F.col("ccgs") == 1) & (F.col("c1") != F.col("c2")) & (F.col("n1") + F.col("n2") < (share - far) * F.col("all")) & (F.least("n1", "n2") < most))
+    odd = alleles.where("status = 'Atypical'").select("sample_id").distinct()
+    found = diminished_peaks(bins).where("height > 100").join(open_, "sample_id").where(F.abs(F.col("peak") - F.col("c2")) > 1)
+    return found.select("sample_id").distinct().join(odd, "sample_id", "left_anti")

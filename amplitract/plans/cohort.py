@@ -92,7 +92,9 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     mapped = c.reads.groupBy("sample_id").agg(share("R1").alias("fw_mapped"), share("R2").alias("rv_mapped"))
     rows = c.valid.join(M.peak_metrics(c.bins).drop("call"), G.SLICE).join(c.alleles.drop("ccg", "cag", "total"), G.SLICE).join(mapped, "sample_id")
     level = lambda ratio, steps, most: F.when(F.col("state") != "heterozygous", 2).otherwise(F.expr(M.drop_level(ratio, steps, most)))
-    return rows.withColumns({"diminished": F.lit(False), "minus_level": level("nminus", M.DROP_MINUS, 0.75), "plus_level": level("nplus", M.DROP_PLUS, 0.65)})
+    hidden = G.hidden_expansions(c.bins, c.alleles).withColumn("diminished", F.lit(True))
+    rows = rows.join(hidden, "sample_id", "left")
+    return rows.withColumns({"diminished": F.coalesce("diminished", F.lit(False)), "minus_level": level("nminus", M.DROP_MINUS, 0.75), "plus_level": level("nplus", M.DROP_PLUS, 0.65)})
 
 
 def alleles(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -235,3 +235,17 @@ def test_diminished_and_nearest(spark):
 def test_entry_works_without_the_corpus_operators():
     text = open(os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(__file__))), "__spark_entry__.py")).read()
     assert re.search(r"except ImportError", text)
+
+
+def test_hidden_expansions_are_scored(spark, monkeypatch):
+    def sample(k, second, tail=60):
+        counts = {17: 300, second: 250, tail: 150} | {c: 150 for c in range(8, 15)}
+        return [(k, who, 7, call, 2, False, c, counts.get(c, 0), counts.get(c, 0)) for who, call in (("PRI", 17), ("SEC", second)) for c in range(1, 201)]
+
+    rows = sample(0, 20) + sample(1, 61) + sample(2, 20) + [(*r[:7], r[7] * (10 if r[6] in (17, 20) else 1), r[8]) for r in sample(3, 20)]
+    bins = spark.createDataFrame(rows, "sample_id int, allele string, ccg int, call int, expected int, beside boolean, cag int, n long, smooth long")
+    alleles = spark.createDataFrame([(k, who, "Atypical" if k == 2 else "Typical") for k in range(4) for who in ("PRI", "SEC")], "sample_id int, allele string, status string")
+    assert [r.sample_id for r in genotype.hidden_expansions(bins, alleles).collect()] == [0]
+    monkeypatch.setattr(genotype, "hidden_expansions", lambda bins, alleles: spark.createDataFrame([(3,)], "sample_id int"))
+    events = metrics.penalty_events(cohort.scored(spark, "/root/testdata/sf0.001")).where("rule = 'diminished peak'").collect()
+    assert {(r.sample_id, r.delta) for r in events} == {(3, -10)}

@@ -7,13 +7,16 @@ coordinate is filled. Two sets agree in a coordinate with the probability of the
 round spreads one set over many bins, the share of equal coordinates is concentrated more closely than with independent hashes.
 
 With 52 bands of 6 rows a pair at similarity 0.8 shares no band with probability 2e-7 (1e-7 of those at 0.82). Candidates
-aren't paired with each other: every distinct set of a band's bucket is compared with the bucket's leader on full
-sets. Similarity distance is a metric, so a set within 0.2 of the leader can only have partners within 0.4 of it:
-sets beyond that meet in a next round with leaders of their own (four times as many each round, so that few rounds are
-needed), sets between are compared with the leader's close ones unless they are in one component by then. So no link of
-a bucket is lost, and the work is linear in its size for groups of copies. In a bucket of at most SMALL sets all lead.
+aren't paired with each other. Each bucket of a band has one leader, its set with the most company over all bands (in a
+group of near copies that is the text they come from), and each set is compared with its leaders on full sets. Let d(x)
+be the elements in which x and leader l differ. Sets x and y are linked if |d(x) ^ d(y)| <= f (|x| + |y|), f = 1/9 at 0.8.
+If x isn't linked to l, then |d(x)| = f (|x| + |l|) + c with c > 0, and as sizes differ by no more than elements do,
+every y that is linked to x shares at least c / (1 + f) elements of d(x), and more than (1 - f) / 2 of d(y), with it.
+So sets outside of their leader's component meet the leader's other sets in a prefix join on differences, elements that
+the leader lacks first, since few others have those. The few pairs it finds are compared on full sets. No link of a
+bucket between two components is lost, and a group of copies costs a comparison with its leader for each member.
 
-Equal sets are one class throughout (a 64-bit hash of the set), so that exact copies cost one row each.
+Equal sets are one class throughout (by 128 bits of hash), so that exact copies cost one row each.
 
 Defined cases: a null or blank text is empty, linked with nothing; a text of fewer words than a shingle has its whole
 sequence as its one shingle; a null id is linked to others but never gives a component its id (without other ids the
@@ -31,11 +34,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import content_key, materialize, table
+from .shared import content_key, discard, materialize, table
 from .words import _WORD_BASE, U64, Words, _runs, mix64, pieces
 
 BANDS, ROWS = 52, 6
-SMALL = 32
+#: Sets of one leader that a task compares.
+SPLIT = 512
+KINDS = (0xD6E8FEB86659FD93, 0x9E6C63D0876A9A47)
 
 
 def shingle_sets(column: pa.Array, words: int) -> Iterator[np.ndarray]:
@@ -79,102 +84,123 @@ def band_hashes(sketches: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 
 def sketch_table(docs: DataFrame, key: str, text: str, words: int, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(id, key_a, key_b, class, n, bands): the text's content key, the hash of the shingle set, its size, and its band
-    hashes (none for an empty set)."""
+    """(rid, id, key_a, key_b, class_a, class_b, n, bands): a number of the row, the text's content key, that of its
+    shingle set, the set's size, and its band hashes (none for an empty set)."""
 
     def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, 512):
                 part = b.slice(at, 512)
-                sets = list(shingle_sets(part.column(1), words))
+                sets = list(shingle_sets(part.column("text"), words))
                 n = np.array([len(s) for s in sets], np.int64)
-                kind = np.array([int(mix64(s ^ U64(0xD6E8FEB86659FD93)).sum(dtype=U64)) for s in sets], U64)
+                kinds = [pa.array(np.array([int(mix64(s ^ U64(k)).sum(dtype=U64)) for s in sets], U64).view(np.int64)) for k in KINDS]
                 full = np.array([sketch(s, bands * rows) for s in sets if len(s)], U64).reshape(-1, bands * rows)
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum((n > 0) * bands)]), pa.int32()), pa.array(band_hashes(full, bands, rows).ravel().view(np.int64)))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), part.column(3), pa.array(kind.view(np.int64)), pa.array(n), lists], names=["id", "key_a", "key_b", "class", "n", "bands"])
+                given = ["rid", "id", "key_a", "key_b"]
+                yield pa.RecordBatch.from_arrays([*map(part.column, given), *kinds, pa.array(n), lists], names=[*given, "class_a", "class_b", "n", "bands"])
 
     kind = dict(docs.dtypes)[key]
-    asked = docs.select(docs[key].alias("id"), docs[text].alias("text"), *content_key(docs[text]))
-    return asked.mapInArrow(sketched, f"id {kind}, key_a long, key_b long, class long, n long, bands array<bigint>")
+    asked = docs.select(F.monotonically_increasing_id().alias("rid"), docs[key].alias("id"), docs[text].alias("text"), *content_key(docs[text]))
+    return asked.mapInArrow(sketched, f"rid long, id {kind}, key_a long, key_b long, class_a long, class_b long, n long, bands array<bigint>")
 
 
 def class_sets(docs: DataFrame, wanted: DataFrame, key: str, text: str, words: int) -> DataFrame:
-    """(class, shingles) of the wanted (class, id, key_a, key_b): ids name one document of each class, content keys one
-    text of those whose documents have no id."""
+    """(class, shingles) of the wanted (class, id, key_a, key_b): of the row that has this id and content."""
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 part = b.slice(at, 256)
-                sets = list(shingle_sets(part.column(0), words))
-                kind = np.array([int(mix64(s ^ U64(0xD6E8FEB86659FD93)).sum(dtype=U64)) for s in sets], U64)
+                sets = list(shingle_sets(part.column(1), words))
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(s) for s in sets])]), pa.int32()), pa.array(np.concatenate(sets).view(np.int64)))
-                yield pa.RecordBatch.from_arrays([pa.array(kind.view(np.int64)), lists], names=["class", "shingles"])
+                yield pa.RecordBatch.from_arrays([part.column(0), lists], names=["class", "shingles"])
 
-    theirs = docs.select(docs[key].alias("id"), docs[text].alias("text")).join(wanted, "id", "left_semi").select("text")
-    keys = wanted.where("id is null").select("key_a", "key_b")
-    unnamed = docs.where(docs[key].isNull()).select(docs[text].alias("text"), *content_key(docs[text])).join(keys, ["key_a", "key_b"], "left_semi")
-    theirs = theirs.unionByName(unnamed.groupBy("key_a", "key_b").agg(F.first("text").alias("text")).select("text"))
-    return materialize(theirs.mapInArrow(listed, "class long, shingles array<bigint>"), "shingle-sets")
+    theirs = docs.select(docs[key].alias("id"), docs[text].alias("text"), *content_key(docs[text]))
+    named = theirs.where("id is not null").join(wanted, ["id", "key_a", "key_b"]).select("class", "text")
+    unnamed = theirs.where("id is null").drop("id").join(wanted.where("id is null").drop("id"), ["key_a", "key_b"])
+    unnamed = unnamed.groupBy("class").agg(F.first("text").alias("text"))
+    return materialize(named.unionByName(unnamed).mapInArrow(listed, "class long, shingles array<bigint>"), "shingle-sets")
 
 
-def _compare(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """pairs (a, b) with both (elements in both sets) and either (in one at least)."""
-    of = lambda side: sets.select(F.col("class").alias(side), F.col("shingles").alias(f"of_{side}"))
-    joined = pairs.join(of("a"), "a").join(of("b"), "b")
-    both = F.size(F.array_intersect("of_a", "of_b"))
-    counted = joined.select("a", "b", both.cast("long").alias("both"), (F.size("of_a") + F.size("of_b")).cast("long").alias("total"))
-    return materialize(counted.select("a", "b", "both", (F.col("total") - F.col("both")).alias("either")).distinct(), "compared")
+def _with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """pairs (a, b, ...) with of_a and of_b, their shingles. A set b in many pairs is sent to as many tasks as it needs."""
+    often = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / SPLIT).cast("int").alias("parts"))
+    dealt = pairs.join(often, "b").withColumn("part", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int")).drop("parts")
+    with_a = dealt.join(sets.select(F.col("class").alias("a"), F.col("shingles").alias("of_a")), "a")
+    spread = sets.join(often, sets["class"] == often["b"]).select("b", F.col("shingles").alias("of_b"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    return with_a.join(spread, ["b", "part"]).drop("part")
 
 
-def near_links(sketches: DataFrame, docs: DataFrame, key: str, text: str, words: int, percent: int = 80) -> DataFrame:
+def _compare(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """pairs (a, b) with both (elements in both sets), n_a and n_b."""
+    counted = _with_sets(pairs, sets).select("a", "b", F.size(F.array_intersect("of_a", "of_b")).cast("long").alias("both"), F.size("of_a").cast("long").alias("n_a"), F.size("of_b").cast("long").alias("n_b"))
+    return materialize(counted.distinct(), "compared")
+
+
+def crowded_buckets(sketches: DataFrame, classes: DataFrame) -> DataFrame:
+    """(h, class, n): the classes of each bucket that holds several, and how many."""
+    first = sketches.join(classes.select(F.col("class").alias("rid")), "rid", "left_semi")
+    entries = first.select(F.col("rid").alias("class"), F.explode("bands").alias("h"))
+    return materialize(entries.join(entries.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "h").select("h", "class", "n"), "buckets")
+
+
+def stars(crowded: DataFrame) -> DataFrame:
+    """(a, b): each class with the leaders b of its buckets."""
+    company = crowded.groupBy("class").agg(F.sum("n").alias("company"))
+    leaders = crowded.join(company, "class").groupBy("h").agg(F.max(F.struct("company", "class")).alias("top"))
+    led = crowded.join(leaders, "h").select(F.col("class").alias("a"), F.col("top.class").alias("b"))
+    return materialize(led.where("a <> b").distinct(), "stars")
+
+
+def strayed(compared: DataFrame, root: DataFrame) -> DataFrame:
+    """(a, b, root_a, stray) of the leaders b whose sets lie in several components, some of them not in b's."""
+    rooted = _rooted(_rooted(compared.select("a", "b"), root, "a"), root, "b")
+    rooted = rooted.withColumn("stray", F.col("root_a") != F.col("root_b"))
+    mixed = rooted.groupBy("b").agg(F.max("stray").alias("any"), F.min("root_a").alias("least"), F.max("root_a").alias("most"))
+    return rooted.join(mixed.where("any and least < most").select("b"), "b", "left_semi").select("a", "b", "root_a", "stray")
+
+
+def stray_pairs(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b): the pairs of sets of one leader, in two components and one of them a stray, that may be linked."""
+    near, far = 100 + percent, 100 - percent  # f is far / near
+    size = lambda name: F.size(name).cast("long")
+    differ = F.concat(F.array_sort(F.array_except("of_a", "of_b")), F.array_sort(F.array_except("of_b", "of_a")))
+    d = _with_sets(members, sets).select("a", "b", "root_a", "stray", size("of_a").alias("n"), size("of_b").alias("n_b"), differ.alias("d"))
+    d = d.withColumn("nd", size("d"))
+    shared = F.when(F.col("stray"), F.greatest(F.lit(1), F.ceil((near * F.col("nd") - far * (F.col("n") + F.col("n_b"))) / 200))).otherwise(F.floor(percent * F.col("nd") / near) + 1)
+    d = d.select("a", "b", "root_a", "stray", "n", "nd", F.posexplode(F.slice("d", F.lit(1), F.greatest(F.lit(0), F.col("nd") - shared + 1).cast("int"))).alias("pos", "e"))
+    d = materialize(d, "differences")
+    x, y = (d.select("b", "e", *[F.col(c).alias(f"{c}_{side}") for c in ("a", "root_a", "stray", "n", "nd", "pos")]) for side in "xy")
+    left = 2 * near * F.least(F.col("nd_x") - F.col("pos_x"), F.col("nd_y") - F.col("pos_y"))
+    met = x.where("stray_x").join(y, ["b", "e"]).where("root_a_x <> root_a_y and (not stray_y or a_x < a_y)")
+    met = met.where(left >= near * (F.col("nd_x") + F.col("nd_y")) - far * (F.col("n_x") + F.col("n_y")))
+    found = materialize(met.select(F.greatest("a_x", "a_y").alias("a"), F.least("a_x", "a_y").alias("b")).distinct(), "stray-pairs")
+    discard(d)
+    return found
+
+
+def near_links(sketches: DataFrame, classes: DataFrame, docs: DataFrame, key: str, text: str, words: int, percent: int = 80) -> DataFrame:
     """Links (a, b) between classes that connect all classes whose sets are similar enough."""
-    linked = F.col("both") * 100 >= F.col("either") * percent
-    far = 2 * percent - 100  # beyond twice the distance of a link, in percent of similarity
-    entries = sketches.where("n > 0").select(F.explode("bands").alias("h"), "class")
-    led = entries.groupBy("h").agg(F.min("class").alias("lead"), F.max("class").alias("most")).where("lead <> most")
-    members = materialize(entries.join(led.select("h", "lead"), "h").where(F.col("class") != F.col("lead")).distinct(), "buckets")
-    named = members.select(F.explode(F.array("class", "lead")).alias("class")).distinct()
-    # a class without any id is found by its content
-    ids = sketches.where("n > 0").groupBy("class").agg(F.min("id").alias("id"), F.min(F.struct("key_a", "key_b")).alias("k")).select("class", "id", "k.key_a", "k.key_b")
-    sets = class_sets(docs, materialize(ids.join(named, "class", "left_semi"), "wanted"), key, text, words)
-
-    links, close, between, leads = None, None, None, 1
-    starred = members.withColumn("leads_too", F.lit(False))
-    while True:
-        pairs = _compare(starred.select(F.greatest("class", "lead").alias("a"), F.least("class", "lead").alias("b")).distinct(), sets)
-        found = pairs.where(linked).select("a", "b")
-        links = found if links is None else links.unionByName(found)
-        judged = starred.join(pairs, (F.greatest(starred["class"], starred["lead"]) == pairs["a"]) & (F.least(starred["class"], starred["lead"]) == pairs["b"]))
-        judged = materialize(judged.select("h", "class", "lead", "leads_too", linked.alias("linked"), (F.col("both") / F.col("either")).alias("alike")), "judged")
-        here = judged.where("linked").select("h", "lead", "class", "alike")
-        there = judged.where(~F.col("linked") & (F.col("alike") >= far / 100 - 1e-9)).select("lead", "class", "alike").distinct()
-        close, between = (here, there) if close is None else (close.unionByName(here), between.unionByName(there))
-        rest = judged.groupBy("h", "class").agg(F.max(F.col("linked") | F.col("leads_too")).alias("done")).where(~F.col("done")).select("h", "class")
-        rest = materialize(rest, "rest")
-        sizes = rest.groupBy("h").agg(F.min("class").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-        # the next leaders: four times as many as before, all of them in a small bucket
-        leads *= 4
-        rest = rest.join(sizes, "h")
-        leader = (F.col("n") <= SMALL) | (F.col("class") == F.col("first")) | (F.pmod(F.xxhash64("class"), F.ceil(F.col("n") / leads)) == 0)
-        rest = materialize(rest.select("h", "class", leader.alias("leads_too")), "rest")
-        if rest.isEmpty():
-            break
-        led = rest.where("leads_too").select("h", F.col("class").alias("lead"))
-        once = (F.col("class") > F.col("lead")) | ((F.col("class") < F.col("lead")) & ~F.col("leads_too"))
-        starred = materialize(rest.join(led, "h").where(once).select("h", "class", "lead", "leads_too"), "buckets")
-
-    # sets not far from a leader whose component they aren't in: compare with the sets close to that leader. Of the
-    # leaders of a bucket that a set is close to one is enough, as the other set isn't far from any of them.
+    linked = F.col("both") * (100 + percent) >= (F.col("n_a") + F.col("n_b")) * percent
+    crowded = crowded_buckets(sketches, classes)
+    led = stars(crowded)
+    discard(crowded)
+    named = led.select(F.explode(F.array("a", "b")).alias("rid")).distinct()
+    wanted = sketches.join(named, "rid", "left_semi").select(F.col("rid").alias("class"), "id", "key_a", "key_b")
+    sets = class_sets(docs, wanted, key, text, words)
+    compared = _compare(led, sets)
+    discard(led)
+    links = materialize(compared.where(linked).select("a", "b"), "star-links")
+    # a set that isn't in the component of its leader may still be linked to another set that has the leader
     root = components(links, "a", "b")
-    apart = _rooted(_rooted(between.select(F.col("class").alias("b"), "lead", "alike").distinct(), root, "b"), root, "lead")
-    apart = materialize(apart.where("root_b <> root_lead").select("b", "lead", "alike"), "apart")
-    near = close.join(apart.select("lead").distinct(), "lead", "left_semi")
-    near = near.groupBy("h", "class").agg(F.min(F.struct("lead", "alike")).alias("l")).select(F.col("class").alias("a"), "l.lead", F.col("l.alike").alias("near")).distinct()
-    reach = (100 - percent) / 100 + 1e-9
-    two = apart.join(near, "lead").where(F.col("near") <= F.col("alike") + reach).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    more = _compare(two, sets).where(linked).select("a", "b")
-    return links.unionByName(more)
+    members = materialize(strayed(compared, root), "strayed")
+    discard(compared, root)
+    pairs = stray_pairs(members, sets, percent)
+    more = _compare(pairs, sets)
+    discard(members, pairs, sets)
+    both = materialize(links.unionByName(more.where(linked).select("a", "b")), "near-links")
+    discard(links, more)
+    return both
 
 
 def _rooted(rows: DataFrame, root: DataFrame, column: str) -> DataFrame:
@@ -184,18 +210,19 @@ def _rooted(rows: DataFrame, root: DataFrame, column: str) -> DataFrame:
 
 
 def _resolved(docs: DataFrame, key: str, text: str, words: int, percent: int, bands: int, rows: int) -> DataFrame:
-    """(id, key_a, key_b, n, component_id, kept) for each row of docs."""
+    """A written table: id, key_a, key_b, n, component_id, kept for each row of docs."""
     sketches = materialize(sketch_table(docs, key, text, words, bands, rows), "sketches")
-    links = near_links(sketches, docs, key, text, words, percent)
+    same = ["class_a", "class_b"]
+    classes = materialize(sketches.where("n > 0").groupBy(*same).agg(F.min("rid").alias("class"), F.min("id").alias("least")), "classes")
+    links = near_links(sketches, classes, docs, key, text, words, percent)
     roots = components(links, "a", "b")
-    ids = sketches.where("n > 0").groupBy("class").agg(F.min("id").alias("least"))
-    linked = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
-    grouped = ids.join(linked, ids["class"] == linked["node"], "left").select("class", "least", F.coalesce("root", "class").alias("root"))
-    whole = grouped.join(grouped.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("class", "component_id")
-    whole = materialize(whole, "components")
-    out = sketches.select("id", "key_a", "key_b", "class", "n").join(whole, "class", "left")
+    grouped = _rooted(classes, roots, "class")
+    whole = grouped.join(grouped.groupBy("root_class").agg(F.min("least").alias("component_id")), "root_class").select(*same, "component_id")
+    out = sketches.select("id", "key_a", "key_b", *same, "n").join(whole, same, "left")
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id"))
-    return out.select("id", "key_a", "key_b", "n", component.alias("component_id"), F.coalesce(F.col("id") == component, component.isNull()).alias("kept"))
+    out = materialize(out.select("id", "key_a", "key_b", "n", component.alias("component_id"), F.coalesce(F.col("id") == component, component.isNull()).alias("kept")), "resolved")
+    discard(sketches, classes, links, roots)
+    return out
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -207,7 +234,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
 def dedup_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """docs without those that aren't kept; the columns are those of docs."""
     gone = _resolved(docs, key, text, words, percent, bands, rows).where(~F.col("kept"))
-    gone = materialize(gone.select("id", "key_a", "key_b").distinct(), "dropped")
+    gone = gone.select("id", "key_a", "key_b").distinct()
     key_a, key_b = content_key(docs[text])
     return docs.join(gone, docs[key].eqNullSafe(gone["id"]) & (key_a == gone["key_a"]) & (key_b == gone["key_b"]), "left_anti")
 

@@ -1,8 +1,9 @@
 """Words of a batch of texts as numpy arrays: no Python object per word.
 
 Texts come as the byte buffer and offsets of an Arrow string column. A word is a run of bytes other than white space;
-its hash is a polynomial of its bytes modulo 2**64, taken from prefix sums, then mixed. Hashes of runs of words
-(shingles, k-grams) are made from word hashes in the same way.
+its hash is a polynomial of its bytes modulo 2**64, taken from prefix sums, then mixed. Such polynomials can be made to
+collide by words of a thousand bytes and more, so words over LONG bytes take xxhash instead. Hashes of runs of words
+(shingles, k-grams) are made from word hashes as polynomials, too.
 """
 
 from __future__ import annotations
@@ -11,8 +12,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 U64 = np.uint64
+LONG = 256
 _BASE, _WORD_BASE = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F  # odd, so that they have inverses modulo 2**64
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -60,8 +63,11 @@ class Words:
         end[cuts - 1] |= ~space[cuts - 1]
         self.starts, self.ends = np.flatnonzero(begin), np.flatnonzero(end) + 1
         self.edges = np.searchsorted(self.starts, offsets)
-        values = (_LOWER[data] if lower else data).astype(U64) + U64(1)
+        data = _LOWER[data] if lower else data
+        values = data.astype(U64) + U64(1)
         self.hashes = mix64(_runs(values, self.starts, self.ends, _BASE) + (self.ends - self.starts).astype(U64))
+        for i in np.flatnonzero(self.ends - self.starts > LONG):
+            self.hashes[i] = xxhash.xxh3_64_intdigest(data[self.starts[i] : self.ends[i]].tobytes())
 
     def grams(self, k: int) -> np.ndarray:
         """The hash of the k words that begin at each word; those that run past the last word are left out."""

@@ -24,9 +24,9 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
     while known[0]:
         both = edges.unionByName(edges.select(F.col("root").alias("node"), F.col("node").alias("root")))
         least = both.groupBy("node").agg(F.min("root").alias("m")).select("node", F.least("node", "m").alias("m"))
-        large = materialize(both.where("root > node").join(least, "node").select(F.col("root").alias("node"), F.col("m").alias("root")).distinct(), "large-star")
+        large = materialize(both.where("root > node").join(least.hint("merge"), "node").select(F.col("root").alias("node"), F.col("m").alias("root")).distinct(), "large-star")
         least = large.groupBy("node").agg(F.min("root").alias("m"))
-        small = large.join(least, "node").where("root > m").select(F.col("root").alias("node"), F.col("m").alias("root"))
+        small = large.join(least.hint("merge"), "node").where("root > m").select(F.col("root").alias("node"), F.col("m").alias("root"))
         known_edges, edges = edges, materialize(small.unionByName(least.select("node", F.col("m").alias("root"))).distinct(), "small-star")
         discard(known_edges, large)
         now = _sum(edges)

@@ -11,9 +11,10 @@ letters, or if its cross-entropy is above all but ``reject_share`` of the calibr
 grows for short texts, whose cross-entropy varies more. The temperature that turns cross-entropies into a score between 0 and 1
 is calibrated on the same part.
 
-The training sample is bounded by ``max_docs`` whole documents a language (those of least hash) and ``max_languages``
-languages (the most frequent); n-gram counts are summed by Spark, the model is compiled on the driver and broadcast. Its
-size is checked against ``max_model_mb``. Every document is scored on its whole text.
+The training sample is bounded by ``max_docs`` whole documents and about ``max_chars`` characters a language (those of
+least hash); every language that has labelled documents is learnt. N-gram counts are summed by Spark, the model is
+compiled on the driver and broadcast. Its size is checked against ``max_model_mb``, the number of n-grams before they go
+to the driver. Texts that calibrate are scored on the executors. Every document is scored on its whole text.
 
 Defined cases: a null text, or one without letters, is ``und`` with score 0; a null or blank language isn't learned from;
 without any training text all is ``und``; ties go to the language whose name comes first; repeated rows are scored alike.
@@ -29,15 +30,15 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import others, table
+from .shared import discard, freeing, materialize, others, table
 from .words import U64, mix64
 
 ORDER = 4
 #: Characters that are scored at a time.
-CHUNK = 400_000
+CHUNK = 100_000
 _STEP = U64(0x9E3779B97F4A7C15)
 
 
@@ -254,11 +255,11 @@ def decide(model: Model, texts: list[str | None]) -> tuple[list[str], np.ndarray
     return names, np.where(n > 0, score, 0.0), (n == 0) | (least > limit), np.where(n > 0, least, np.nan)
 
 
-def calibrate(model: Model, texts: list[str], truth: list[str], reject_share: float) -> None:
-    """Sets the rejection limits and the temperature of scores from labelled texts that the model hasn't seen."""
-    h, n = entropies(model, texts)
+def calibrate(model: Model, h: np.ndarray, n: np.ndarray, truth: list[str], reject_share: float) -> None:
+    """Sets the rejection limits and the temperature of scores from the entropies h and sizes n of labelled texts that the
+    model hasn't seen."""
     own = np.array([model.languages.index(t) for t in truth], np.int64)
-    real = h[np.arange(len(texts)), own] if len(texts) else np.empty(0)
+    real = h[np.arange(len(own)), own]
     k = len(model.languages)
     model.limit, model.spread = np.full(k, np.inf), np.zeros(k)
     for j in range(k):
@@ -295,32 +296,55 @@ def count_grams(train: DataFrame, order: int = ORDER) -> DataFrame:
         rows = list(sums.items())
         yield pa.RecordBatch.from_arrays([pa.array([k[0] for k, _ in rows], pa.string()), pa.array([k[1] for k, _ in rows], pa.string()), pa.array([c for _, c in rows], pa.int64())], names=["lang", "gram", "n"])
 
-    return train.select("lang", "text").mapInArrow(counted, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    return train.select("lang", "text").mapInArrow(freeing(counted), "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+
+
+def held_entropies(held: DataFrame, model: Model) -> DataFrame:
+    """(lang, h, n) of held (lang, text): the entropies under each language and the number of characters."""
+    shared = held.sparkSession.sparkContext.broadcast(model)
+
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            h, n = entropies(shared.value, b.column(1).to_pylist())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(list(h), pa.list_(pa.float64())), pa.array(n, pa.int64())], names=["lang", "h", "n"])
+
+    return held.select("lang", "text").mapInArrow(freeing(scored), "lang string, h array<double>, n long")
 
 
-def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", max_docs: int = 400, max_languages: int = 64, reject_share: float = 0.002, max_model_mb: int = 200, learn: Column | None = None) -> Model:
-    """Learns from at most max_docs labelled documents of each of the max_languages most frequent languages."""
+def training_sample(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", max_docs: int = 400, max_chars: int = 4_000_000, learn: Column | None = None) -> DataFrame:
+    """(lang, text, h): of each language the labelled documents of least hash h, max_docs of them and together about
+    max_chars characters at most (one document at least). Equal rows count once."""
     known = docs.where((F.lit(True) if learn is None else learn) & docs[lang].isNotNull() & docs[text].isNotNull() & (F.trim(docs[lang].cast("string")) != ""))
-    counts = known.groupBy(docs[lang].cast("string").alias("lang")).count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()
+    name = docs[lang].cast("string")
+    counts = known.groupBy(name.alias("lang")).count().collect()
     mixed = F.pmod(F.xxhash64(docs[key], docs[text]), F.lit(1 << 40))
-    picked = F.lit(False)
-    for r in counts:  # the share that gives max_docs rows, and a tenth more, of which the least hashes stay
-        share = min(1 << 40, math.ceil((1 << 40) * 1.1 * (max_docs + 30) / r["count"]))
-        picked = picked | ((docs[lang].cast("string") == r["lang"]) & (mixed < share))
-    sample = known.where(picked).select(docs[lang].cast("string").alias("lang"), docs[text].alias("text"), mixed.alias("h"))
-    cut = {r["lang"]: sorted(r["hs"])[:max_docs][-1] for r in sample.groupBy("lang").agg(F.collect_list("h").alias("hs")).collect()}
-    inside = F.lit(False)
-    for name, h in cut.items():
-        inside = inside | ((F.col("lang") == name) & (F.col("h") <= h))
-    sample = sample.where(inside).withColumn("held", F.pmod(F.floor(F.col("h") / 7), F.lit(5)) == 0)
+    # the share that gives max_docs rows, and a tenth more, of which the least hashes stay
+    share = {r["lang"]: min(1 << 40, math.ceil((1 << 40) * 1.1 * (max_docs + 30) / r["count"])) for r in counts}
+    shares = F.create_map(*[F.lit(x) for pair in share.items() for x in pair]) if share else F.create_map(F.lit(""), F.lit(0))
+    sample = known.where(mixed < shares[name]).select(name.alias("lang"), docs[text].alias("text"), mixed.alias("h")).dropDuplicates(["lang", "h"])
+    by_hash = Window.partitionBy("lang").orderBy("h")
+    before = F.sum(F.length("text")).over(by_hash.rowsBetween(Window.unboundedPreceding, -1))
+    sample = sample.withColumn("k", F.row_number().over(by_hash)).withColumn("before", F.coalesce(before, F.lit(0)))
+    return sample.where((F.col("k") <= max_docs) & (F.col("before") < max_chars)).select("lang", "text", "h")
+
+
+def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", max_docs: int = 400, max_chars: int = 4_000_000, reject_share: float = 0.002, max_model_mb: int = 200, learn: Column | None = None) -> Model:
+    """Learns from a training_sample of each language; a fifth of it is held out to calibrate."""
+    sample = materialize(training_sample(docs, key, text, lang, max_docs, max_chars, learn), "language-sample")
+    is_held = F.pmod(F.floor(F.col("h") / 7), F.lit(5)) == 0
+    counted = materialize(count_grams(sample.where(~is_held)), "language-grams")
+    # an n-gram of the highest order and those in it have at least so many bytes in the arrays
+    if counted.count() * 8 > max_model_mb << 20:
+        raise ValueError("the sample has too many n-grams; lower max_docs or max_chars")
     grams: dict[str, dict[str, int]] = defaultdict(dict)
-    for r in count_grams(sample.where("not held")).toLocalIterator():
+    for r in counted.toLocalIterator():
         grams[r["lang"]][r["gram"]] = r["n"]
     model = compile_model(grams)
-    held = [(r["text"], r["lang"]) for r in sample.where("held").toLocalIterator() if r["lang"] in grams]
-    calibrate(model, [t for t, _ in held], [x for _, x in held], reject_share)
     if model.size() > max_model_mb << 20:
-        raise ValueError(f"the language models take {model.size() >> 20} MB; lower max_docs or max_languages")
+        raise ValueError(f"the language models take {model.size() >> 20} MB; lower max_docs or max_chars")
+    held = held_entropies(sample.where(is_held & F.col("lang").isin(list(grams))), model).collect()
+    calibrate(model, np.array([r["h"] for r in held]).reshape(len(held), len(grams)), np.array([r["n"] for r in held], np.int64), [r["lang"] for r in held], reject_share)
+    discard(sample, counted)
     return model
 
 
@@ -340,7 +364,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], *new], names=[*part.schema.names[:-1], *names])
 
     schema = mine.drop("_text").schema.add("lang_pred", "string").add("score", "double").add("rejected", "boolean").add("cross_entropy", "double")
-    return mine.mapInArrow(judged, schema)
+    return mine.mapInArrow(freeing(judged), schema)
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

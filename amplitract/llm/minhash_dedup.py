@@ -15,6 +15,7 @@ every y that is linked to x shares at least c / (1 + f) elements of d(x), and mo
 So sets outside of their leader's component meet the leader's other sets in a prefix join on differences, elements that
 the leader lacks first, since few others have those. The few pairs it finds are compared on full sets. No link of a
 bucket between two components is lost, and a group of copies costs a comparison with its leader for each member.
+Joins of tables that grow with the documents ask for a merge, as a broadcast fits small inputs only.
 
 Equal sets are one class throughout (by 128 bits of hash), so that exact copies cost one row each.
 
@@ -34,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import content_key, discard, materialize, table
+from .shared import content_key, discard, freeing, materialize, table
 from .words import _WORD_BASE, U64, Words, _runs, mix64, pieces
 
 BANDS, ROWS = 52, 6
@@ -101,7 +102,7 @@ def sketch_table(docs: DataFrame, key: str, text: str, words: int, bands: int =
 
     kind = dict(docs.dtypes)[key]
     asked = docs.select(F.monotonically_increasing_id().alias("rid"), docs[key].alias("id"), docs[text].alias("text"), *content_key(docs[text]))
-    return asked.mapInArrow(sketched, f"rid long, id {kind}, key_a long, key_b long, class_a long, class_b long, n long, bands array<bigint>")
+    return asked.mapInArrow(freeing(sketched), f"rid long, id {kind}, key_a long, key_b long, class_a long, class_b long, n long, bands array<bigint>")
 
 
 def class_sets(docs: DataFrame, wanted: DataFrame, key: str, text: str, words: int) -> DataFrame:
@@ -116,19 +117,19 @@ def class_sets(docs: DataFrame, wanted: DataFrame, key: str, text: str, words: i
                 yield pa.RecordBatch.from_arrays([part.column(0), lists], names=["class", "shingles"])
 
     theirs = docs.select(docs[key].alias("id"), docs[text].alias("text"), *content_key(docs[text]))
-    named = theirs.where("id is not null").join(wanted, ["id", "key_a", "key_b"]).select("class", "text")
-    unnamed = theirs.where("id is null").drop("id").join(wanted.where("id is null").drop("id"), ["key_a", "key_b"])
+    named = theirs.where("id is not null").join(wanted.hint("merge"), ["id", "key_a", "key_b"]).select("class", "text")
+    unnamed = theirs.where("id is null").drop("id").join(wanted.where("id is null").drop("id").hint("merge"), ["key_a", "key_b"])
     unnamed = unnamed.groupBy("class").agg(F.first("text").alias("text"))
-    return materialize(named.unionByName(unnamed).mapInArrow(listed, "class long, shingles array<bigint>"), "shingle-sets")
+    return materialize(named.unionByName(unnamed).mapInArrow(freeing(listed), "class long, shingles array<bigint>"), "shingle-sets")
 
 
 def _with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """pairs (a, b, ...) with of_a and of_b, their shingles. A set b in many pairs is sent to as many tasks as it needs."""
     often = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / SPLIT).cast("int").alias("parts"))
-    dealt = pairs.join(often, "b").withColumn("part", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int")).drop("parts")
-    with_a = dealt.join(sets.select(F.col("class").alias("a"), F.col("shingles").alias("of_a")), "a")
-    spread = sets.join(often, sets["class"] == often["b"]).select("b", F.col("shingles").alias("of_b"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-    return with_a.join(spread, ["b", "part"]).drop("part")
+    dealt = pairs.join(often.hint("merge"), "b").withColumn("part", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int")).drop("parts")
+    with_a = dealt.hint("merge").join(sets.select(F.col("class").alias("a"), F.col("shingles").alias("of_a")), "a")
+    spread = sets.join(often.hint("merge"), sets["class"] == often["b"]).select("b", F.col("shingles").alias("of_b"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    return with_a.join(spread.hint("merge"), ["b", "part"]).drop("part")
 
 
 def _compare(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -139,16 +140,16 @@ def _compare(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 def crowded_buckets(sketches: DataFrame, classes: DataFrame) -> DataFrame:
     """(h, class, n): the classes of each bucket that holds several, and how many."""
-    first = sketches.join(classes.select(F.col("class").alias("rid")), "rid", "left_semi")
+    first = sketches.join(classes.select(F.col("class").alias("rid")).hint("merge"), "rid", "left_semi")
     entries = first.select(F.col("rid").alias("class"), F.explode("bands").alias("h"))
-    return materialize(entries.join(entries.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "h").select("h", "class", "n"), "buckets")
+    return materialize(entries.join(entries.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").hint("merge"), "h").select("h", "class", "n"), "buckets")
 
 
 def stars(crowded: DataFrame) -> DataFrame:
     """(a, b): each class with the leaders b of its buckets."""
     company = crowded.groupBy("class").agg(F.sum("n").alias("company"))
-    leaders = crowded.join(company, "class").groupBy("h").agg(F.max(F.struct("company", "class")).alias("top"))
-    led = crowded.join(leaders, "h").select(F.col("class").alias("a"), F.col("top.class").alias("b"))
+    leaders = crowded.join(company.hint("merge"), "class").groupBy("h").agg(F.max(F.struct("company", "class")).alias("top"))
+    led = crowded.join(leaders.hint("merge"), "h").select(F.col("class").alias("a"), F.col("top.class").alias("b"))
     return materialize(led.where("a <> b").distinct(), "stars")
 
 
@@ -157,7 +158,7 @@ def strayed(compared: DataFrame, root: DataFrame) -> DataFrame:
     rooted = _rooted(_rooted(compared.select("a", "b"), root, "a"), root, "b")
     rooted = rooted.withColumn("stray", F.col("root_a") != F.col("root_b"))
     mixed = rooted.groupBy("b").agg(F.max("stray").alias("any"), F.min("root_a").alias("least"), F.max("root_a").alias("most"))
-    return rooted.join(mixed.where("any and least < most").select("b"), "b", "left_semi").select("a", "b", "root_a", "stray")
+    return rooted.join(mixed.where("any and least < most").select("b").hint("merge"), "b", "left_semi").select("a", "b", "root_a", "stray")
 
 
 def stray_pairs(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -172,7 +173,7 @@ def stray_pairs(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     d = materialize(d, "differences")
     x, y = (d.select("b", "e", *[F.col(c).alias(f"{c}_{side}") for c in ("a", "root_a", "stray", "n", "nd", "pos")]) for side in "xy")
     left = 2 * near * F.least(F.col("nd_x") - F.col("pos_x"), F.col("nd_y") - F.col("pos_y"))
-    met = x.where("stray_x").join(y, ["b", "e"]).where("root_a_x <> root_a_y and (not stray_y or a_x < a_y)")
+    met = x.where("stray_x").join(y.hint("merge"), ["b", "e"]).where("root_a_x <> root_a_y and (not stray_y or a_x < a_y)")
     met = met.where(left >= near * (F.col("nd_x") + F.col("nd_y")) - far * (F.col("n_x") + F.col("n_y")))
     found = materialize(met.select(F.greatest("a_x", "a_y").alias("a"), F.least("a_x", "a_y").alias("b")).distinct(), "stray-pairs")
     discard(d)
@@ -186,7 +187,7 @@ def near_links(sketches: DataFrame, classes: DataFrame, docs: DataFrame, key: st
     led = stars(crowded)
     discard(crowded)
     named = led.select(F.explode(F.array("a", "b")).alias("rid")).distinct()
-    wanted = sketches.join(named, "rid", "left_semi").select(F.col("rid").alias("class"), "id", "key_a", "key_b")
+    wanted = sketches.join(named.hint("merge"), "rid", "left_semi").select(F.col("rid").alias("class"), "id", "key_a", "key_b")
     sets = class_sets(docs, wanted, key, text, words)
     compared = _compare(led, sets)
     discard(led)
@@ -206,7 +207,7 @@ def near_links(sketches: DataFrame, classes: DataFrame, docs: DataFrame, key: st
 def _rooted(rows: DataFrame, root: DataFrame, column: str) -> DataFrame:
     """rows with root_<column>, the root of the component of a class."""
     of = root.select(F.col("node").alias(column), F.col("root").alias(f"root_{column}"))
-    return rows.join(of, column, "left").withColumn(f"root_{column}", F.coalesce(f"root_{column}", column))
+    return rows.join(of.hint("merge"), column, "left").withColumn(f"root_{column}", F.coalesce(f"root_{column}", column))
 
 
 def _resolved(docs: DataFrame, key: str, text: str, words: int, percent: int, bands: int, rows: int) -> DataFrame:
@@ -217,8 +218,8 @@ def _resolved(docs: DataFrame, key: str, text: str, words: int, percent: int, ba
     links = near_links(sketches, classes, docs, key, text, words, percent)
     roots = components(links, "a", "b")
     grouped = _rooted(classes, roots, "class")
-    whole = grouped.join(grouped.groupBy("root_class").agg(F.min("least").alias("component_id")), "root_class").select(*same, "component_id")
-    out = sketches.select("id", "key_a", "key_b", *same, "n").join(whole, same, "left")
+    whole = grouped.join(grouped.groupBy("root_class").agg(F.min("least").alias("component_id")).hint("merge"), "root_class").select(*same, "component_id")
+    out = sketches.select("id", "key_a", "key_b", *same, "n").join(whole.hint("merge"), same, "left")
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id"))
     out = materialize(out.select("id", "key_a", "key_b", "n", component.alias("component_id"), F.coalesce(F.col("id") == component, component.isNull()).alias("kept")), "resolved")
     discard(sketches, classes, links, roots)
@@ -236,7 +237,7 @@ def dedup_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     gone = _resolved(docs, key, text, words, percent, bands, rows).where(~F.col("kept"))
     gone = gone.select("id", "key_a", "key_b").distinct()
     key_a, key_b = content_key(docs[text])
-    return docs.join(gone, docs[key].eqNullSafe(gone["id"]) & (key_a == gone["key_a"]) & (key_b == gone["key_b"]), "left_anti")
+    return docs.join(gone.hint("merge"), docs[key].eqNullSafe(gone["id"]) & (key_a == gone["key_a"]) & (key_b == gone["key_b"]), "left_anti")
 
 
 def op8_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import others, table
+from .shared import freeing, others, table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
@@ -278,7 +278,7 @@ class Coder:
     """Encodes batches of texts. Each distinct word of a batch is indexed and relaxed once; the ids of up to KNOWN
     words are remembered for the next batches, then forgotten all at once, so that memory is bounded."""
 
-    KNOWN = 400_000
+    KNOWN = 200_000
 
     def __init__(self, pieces: Pieces) -> None:
         self.pieces = pieces
@@ -341,7 +341,7 @@ def _coder(name: str) -> Coder:
     return _loaded[name]
 
 
-def _batches(column: pa.Array, most: int = 1 << 22) -> Iterator[tuple[int, list[str | None]]]:
+def _batches(column: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, list[str | None]]]:
     """Runs of texts of about so many characters, with the number of the first."""
     part, size, first = [], 0, 0
     for i, t in enumerate(column):
@@ -366,7 +366,7 @@ def encode(docs: DataFrame, text: str = "text", model: str = MODEL) -> DataFrame
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], ids], names=[*part.schema.names[:-1], "ids"])
 
     mine = docs.select(*others(docs, "ids", "_text"), docs[text].alias("_text"))
-    return mine.mapInArrow(encoded, mine.drop("_text").schema.add("ids", T.ArrayType(T.IntegerType())))
+    return mine.mapInArrow(freeing(encoded), mine.drop("_text").schema.add("ids", T.ArrayType(T.IntegerType())))
 
 
 def decode(df: DataFrame, ids: str = "ids", model: str = MODEL) -> DataFrame:
@@ -379,7 +379,7 @@ def decode(df: DataFrame, ids: str = "ids", model: str = MODEL) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(texts, pa.string())], names=[*b.schema.names[:-1], "decoded"])
 
     mine = df.select(*others(df, "decoded", "_ids"), df[ids].alias("_ids"))
-    return mine.mapInArrow(decoded, mine.drop("_ids").schema.add("decoded", "string"))
+    return mine.mapInArrow(freeing(decoded), mine.drop("_ids").schema.add("decoded", "string"))
 
 
 def token_digest(docs: DataFrame, key: str = "doc_id", text: str = "text", model: str = MODEL) -> DataFrame:
@@ -397,7 +397,7 @@ def token_digest(docs: DataFrame, key: str = "doc_id", text: str = "text", model
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(first, len(texts)), n, sha, same], names=[key, "n_tokens", "ids_sha256", "round_trip"])
 
     schema = docs.select(key).schema.add("n_tokens", "long").add("ids_sha256", "string").add("round_trip", "boolean")
-    return docs.select(docs[key], docs[text].alias("_text")).mapInArrow(digested, schema)
+    return docs.select(docs[key], docs[text].alias("_text")).mapInArrow(freeing(digested), schema)
 
 
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,18 +2,21 @@
 
 The words of each source are packed end to end and cut into blocks of ``block_words``. A source's target share fixes
 how many block slots it gets. Each slot draws its output shard, so that a source's counts over the shards are one
-multinomial draw, whose total is the source's number of slots: every shard is random and every target is met. A shard
-then owns a run of its source's slots; slot k of a source maps through a pseudorandom permutation of the source's
-block indices (a new one each time all blocks have been used) and is joined to the blocks by index.
+multinomial draw, whose total is the source's number of slots: every shard is random and every target is met. A slot
+maps through a keyed pseudorandom permutation of the source's block indices (another one each time all blocks have been
+used) and is joined to the blocks by index. The permutation is a swap-or-not shuffle: in each round an index x trades
+places with K - x, or not, as a hash of the greater of the two says. It is a bijection for any number of blocks.
 
 Targets are found in closed form: order the sources by cap over weight, and the level at which the first uncapped
 source stands is what is left of the total over what is left of the weights. That needs one row for each source.
 
-A hot source does no harm: documents are packed in chunks dealt by id, a chunk's start comes from the chunks' totals,
-slots are drawn from runs of bounded length, and (source, block) is never a frequent key.
+A hot source does no harm: documents are packed in chunks dealt by a hash of their id, a chunk's start comes from the
+chunks' totals, slots are drawn in runs of bounded length, and (source, block) is never a frequent key. Nothing that grows
+with the documents is broadcast. Hashes are plain arithmetic below 2**62, so that other engines can repeat a mix.
 
 Defined cases: a null source is a source of its own, last in order; a null or empty text has no words, takes none and
-is given back with ``taken`` 0; ids may be null or repeat (rows of the same id and size may trade places); no rows give no rows.
+is given back with ``taken`` 0; ids may be of any kind, null or repeat (rows of the same id and size may trade places);
+no rows give no rows.
 """
 
 from __future__ import annotations
@@ -24,10 +27,10 @@ from pyspark.sql import functions as F
 from .shared import WORD_CLASS, materialize, others, table
 
 WEIGHTS = (5, 2, 1)
-#: Primes just under 2**31. One that doesn't divide the number of blocks makes i -> (p * i + c) mod blocks a permutation.
-STRIDES = (2147483647, 2147483629, 2147483587, 2147483579)
-CHUNKS = 4096
-RUN = 65_536
+CHUNK_DIGITS = 3
+RUN = 1 << 18
+ROUNDS = 16
+PRIME = 2147483647
 
 
 def count_words(text: Column) -> Column:
@@ -55,33 +58,45 @@ def source_targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, total_s
     return src.select("source", "no", "source_size", "target", "n_blocks", F.when(F.col("source_size") > 0, slots).otherwise(0).alias("n_slots"))
 
 
-def draw_slots(src: DataFrame, slots_per_shard: int = 4096, seed: int = 1) -> DataFrame:
-    """(shard, no, slot, block): which block of which source stands at which slot. Each shard can be made on its own."""
+def _hash(*parts: str) -> str:
+    """SQL of a number below PRIME made from BIGINT expressions, none of them negative."""
+    return f"aggregate(array({parts[0]} div {PRIME}, {', '.join(f'bigint({p})' for p in parts[1:])}), {parts[0]} % {PRIME}, (h, c) -> (h * h + c * 48271 + 11) % {PRIME})"
+
+
+def round_keys(n_blocks: str, no: str, cap: int, seed: int) -> Column:
+    """The keys K of all rounds of a source's permutations, one permutation after the other."""
+    key = f"({_hash('i', no, str(2 * seed))} * {PRIME} + {_hash('i', no, str(2 * seed + 1))}) % {n_blocks}"
+    return F.expr(f"transform(sequence(0L, {cap * ROUNDS - 1}L), i -> {key})")
+
+
+def permuted(slot: str, n_blocks: str, no: str, keys: str = "keys") -> Column:
+    """The block index of a slot: the permutation of the source and of how often its blocks have been used up."""
+    key = f"{keys}[int(i + {ROUNDS} * ({slot} div {n_blocks}))]"
+    other = f"pmod({key} - x, {n_blocks})"
+    swaps = f"{_hash(f'greatest(x, {other})', f'i + {ROUNDS} * ({slot} div {n_blocks})', no)} div 4096 % 2 = 1"
+    return F.expr(f"aggregate(sequence(0L, {ROUNDS - 1}L), {slot} % {n_blocks}, (x, i) -> CASE WHEN {swaps} THEN {other} ELSE x END)")
+
+
+def draw_slots(src: DataFrame, slots_per_shard: int = 4096, seed: int = 1, cap: int = 2) -> DataFrame:
+    """(shard, no, slot, block): which block of which source stands at which slot of which shard."""
     all_slots = F.sum("n_slots").over(Window.partitionBy())
-    src = src.where("n_slots > 0").select("no", "n_blocks", "n_slots", F.ceil(all_slots / slots_per_shard).cast("long").alias("shards"))
+    src = src.where("n_slots > 0").select("no", "n_blocks", "n_slots", F.ceil(all_slots / slots_per_shard).cast("long").alias("shards"), round_keys("n_blocks", "no", cap, seed).alias("keys"))
     runs = src.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_slots") - 1, F.lit(RUN).cast("long"))).alias("first"))
     runs = runs.repartition("no", "first")
-    drawn = runs.select("no", "n_blocks", "shards", F.explode(F.sequence("first", F.least(F.col("first") + RUN, F.col("n_slots")) - 1)).alias("k"))
-    shard = F.pmod(F.xxhash64(F.lit(seed), "no", "k"), F.col("shards"))
-    counts = drawn.groupBy("no", "n_blocks", shard.alias("shard")).agg(F.count(F.lit(1)).alias("n"))
-    start = F.sum("n").over(Window.partitionBy("no").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1))
-    counts = counts.withColumn("start", F.coalesce(start, F.lit(0)))
-    slots = counts.select("shard", "no", "n_blocks", F.explode(F.sequence("start", F.col("start") + F.col("n") - 1)).alias("slot"))
-    return slots.select("shard", "no", "slot", permuted("slot", "n_blocks", "no").alias("block"))
+    drawn = runs.select("no", "n_blocks", "shards", "keys", F.explode(F.sequence("first", F.least(F.col("first") + RUN, F.col("n_slots")) - 1)).alias("slot"))
+    shard = F.expr(f"{_hash('slot', 'no', str(seed), '7')} * shards div {PRIME}")
+    return drawn.select(shard.alias("shard"), "no", "slot", permuted("slot", "n_blocks", "no").alias("block"))
 
 
-def permuted(slot: str, n_blocks: str, no: str) -> Column:
-    """The block index of a slot: the permutation of the source and of how often its blocks have been used up."""
-    k, n = F.col(slot), F.col(n_blocks)
-    use = F.expr(f"{slot} div {n_blocks}")
-    stride = F.coalesce(*[F.when(n % p != 0, F.lit(p) % n) for p in STRIDES])
-    return ((k % n) * stride + F.col(no) * 7919 + use * 104_729) % n
+def shard_counts(slots: DataFrame) -> DataFrame:
+    """(shard, no, n): the drawn counts of each source in each output shard."""
+    return slots.groupBy("shard", "no").agg(F.count(F.lit(1)).alias("n"))
 
 
-def plan_mix(sized: DataFrame, block_words: int = 128, weights: tuple[int, ...] = WEIGHTS, total_share: float = 1.5, cap: int = 2) -> DataFrame:
-    """sized has rid (unique), doc_id, source and size. Gives rid, source_size, target and taken for each of its rows."""
-    src = source_targets(sized, weights, total_share, cap, block_words)
-    chunk = F.pmod(F.pmod(F.coalesce(F.col("doc_id").cast("long"), "size"), F.lit(1_000_003)) * 7919, F.lit(CHUNKS))
+def pack(sized: DataFrame, src: DataFrame, block_words: int) -> DataFrame:
+    """(rid, no, source_size, target, block, share): the words that each row has in each block of its source; a row without
+    words comes once, with neither block nor share."""
+    chunk = F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.col("size").cast("string"))), 1, CHUNK_DIGITS)
     rows = sized.select("rid", "doc_id", "size", F.coalesce("source", F.lit("")).alias("s"), F.col("source").isNull().alias("none"), chunk.alias("chunk"))
     before = Window.partitionBy("s", "none", "chunk").orderBy("doc_id", "size", "rid").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("within", F.coalesce(F.sum("size").over(before), F.lit(0)))
@@ -90,27 +105,34 @@ def plan_mix(sized: DataFrame, block_words: int = 128, weights: tuple[int, ...]
     starts = F.sum("n").over(Window.partitionBy("source").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1))
     chunks = chunks.withColumn("start", F.coalesce(starts, F.lit(0)))
     at = chunks.join(src, chunks["source"].eqNullSafe(src["source"])).select(F.coalesce(chunks["source"], F.lit("")).alias("s"), chunks["source"].isNull().alias("none"), "chunk", "start", "no", "source_size", "target")
-    rows = rows.join(at, ["s", "none", "chunk"]).select("rid", "size", "no", "source_size", "target", (F.col("start") + F.col("within")).alias("off"))
-
-    used = draw_slots(src).groupBy("no", "block").agg(F.count(F.lit(1)).alias("times"))
+    rows = rows.join(at.hint("merge"), ["s", "none", "chunk"]).select("rid", "size", "no", "source_size", "target", (F.col("start") + F.col("within")).alias("off"))
     last = F.expr(f"(off + size - 1) div {block_words}")
-    pieces = rows.where("size > 0").select("*", F.explode(F.sequence(F.expr(f"off div {block_words}"), last)).alias("block"))
+    pieces = rows.select("*", F.explode_outer(F.when(F.col("size") > 0, F.sequence(F.expr(f"off div {block_words}"), last))).alias("block"))
     share = F.least(F.col("off") + F.col("size"), (F.col("block") + 1) * block_words) - F.greatest("off", F.col("block") * block_words)
-    pieces = pieces.select("rid", "no", "source_size", "target", "block", share.alias("share")).join(used, ["no", "block"], "left")
-    full = pieces.groupBy("rid", "source_size", "target").agg(F.sum(F.col("share") * F.coalesce("times", F.lit(0))).alias("taken"))
-    return full.unionByName(rows.where("size = 0").select("rid", "source_size", "target", F.lit(0).cast("long").alias("taken")))
+    return pieces.select("rid", "no", "source_size", "target", "block", share.alias("share"))
+
+
+def plan_mix(sized: DataFrame, block_words: int = 128, weights: tuple[int, ...] = WEIGHTS, total_share: float = 1.5, cap: int = 2, seed: int = 1) -> DataFrame:
+    """sized has rid (unique), doc_id, source and size. Gives rid, source_size, target, taken (words, repeats counted) and
+    n_shards (output shards that hold some of them) for each of its rows."""
+    src = source_targets(sized, weights, total_share, cap, block_words)
+    slots = draw_slots(src, seed=seed, cap=cap).select("no", "block", "shard")
+    mixed = pack(sized, src, block_words).join(slots.hint("merge"), ["no", "block"], "left")
+    in_shard = mixed.groupBy("rid", "source_size", "target", "shard").agg(F.sum("share").alias("share"))
+    held = F.when(F.col("shard").isNotNull(), F.col("share"))
+    return in_shard.groupBy("rid", "source_size", "target").agg(F.coalesce(F.sum(held), F.lit(0)).alias("taken"), F.count("shard").alias("n_shards"))
 
 
 def mix_documents(docs: DataFrame, block_words: int = 128) -> DataFrame:
     """Documents as the mix repeats them: each row comes 0, 1 or 2 times, as often as its words are taken, rounded up or
-    down by its id so that the expected number of words is right. The columns are those of docs; rows without words go."""
+    down by a hash of its id so that the expected number of words is right. The columns are those of docs; rows without words go."""
     text, source = docs["text"], docs["source"]
     mine = others(docs, "mix_rid", "mix_size")
     base = materialize(docs.select(*mine, F.monotonically_increasing_id().alias("mix_rid"), count_words(text).alias("mix_size")), "mix-input")
     plan = plan_mix(base.select(F.col("mix_rid").alias("rid"), "doc_id", "source", F.col("mix_size").alias("size")), block_words)
     plan = plan.where("taken > 0").select(F.col("rid").alias("mix_rid"), "taken")
-    toss = F.pmod(F.coalesce(F.col("doc_id").cast("long"), "mix_rid") * 7919, F.lit(1000)) / 1000
-    out = base.join(plan, "mix_rid").withColumn("mix_times", F.floor(F.col("taken") / F.col("mix_size") + toss).cast("int"))
+    toss = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.col("mix_rid").cast("string"))), F.lit(1000)) / 1000
+    out = base.join(plan.hint("merge"), "mix_rid").withColumn("mix_times", F.floor(F.col("taken") / F.col("mix_size") + toss).cast("int"))
     out = out.where("mix_times > 0").withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_times"))))
     return out.select(*[out[f"`{c}`"] for c in docs.columns])
 
@@ -119,7 +141,7 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     sized = materialize(docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "source", count_words(docs["text"]).alias("size")), "mix-sizes")
     plan = plan_mix(sized)
-    return sized.join(plan, "rid").select("doc_id", "size", "source_size", "target", "taken")
+    return sized.join(plan.hint("merge"), "rid").select("doc_id", "size", "source_size", "target", "taken", "n_shards")
 
 
 OP9_SQL = """
@@ -137,22 +159,34 @@ WITH d AS (
 src AS (
   SELECT source, no, source_size, least(cap, coalesce((SELECT level FROM lv), 'inf'::DOUBLE) * w) AS target,
          ceil(source_size / 128)::BIGINT AS nb FROM s2
+), counts AS (
+  SELECT no, nb, least(round(target * nb / source_size)::BIGINT, 2 * nb) AS n_slots FROM src WHERE source_size > 0
+), shards AS (SELECT ceil(sum(n_slots) / 4096)::BIGINT AS shards FROM counts),
+keyed AS (  -- thirty-two round keys for each source: sixteen for each time that its blocks are used
+  SELECT no, nb, n_slots, list_transform(range(32), lambda i:
+      ((list_reduce([i % 2147483647, i // 2147483647, no, 2], lambda h, c: (h * h + c * 48271 + 11) % 2147483647)) * 2147483647
+       + list_reduce([i % 2147483647, i // 2147483647, no, 3], lambda h, c: (h * h + c * 48271 + 11) % 2147483647)) % nb) AS keys
+  FROM counts
 ), slots AS (
-  SELECT no, nb, unnest(range(least(round(target * nb / source_size)::BIGINT, 2 * nb))) AS k FROM src WHERE source_size > 0
+  SELECT no, nb, keys, k, (k // nb) * 16 AS r0,
+         list_reduce([k % 2147483647, k // 2147483647, no, 1, 7], lambda h, c: (h * h + c * 48271 + 11) % 2147483647) * (SELECT shards FROM shards) // 2147483647 AS shard
+  FROM (SELECT *, unnest(range(n_slots)) AS k FROM keyed)
 ), used AS (
-  SELECT no, ((k % nb) * (CASE WHEN nb % 2147483647 <> 0 THEN 2147483647 % nb ELSE 2147483629 % nb END) + no * 7919 + (k // nb) * 104729) % nb AS block, count(*) AS times
-  FROM slots GROUP BY ALL
+  SELECT no, shard, list_reduce(list_prepend(k % nb, range(16)), lambda x, i:
+      CASE WHEN list_reduce([greatest(x, (keys[i + r0 + 1] - x + nb) % nb) % 2147483647, greatest(x, (keys[i + r0 + 1] - x + nb) % nb) // 2147483647, i + r0, no],
+                            lambda h, c: (h * h + c * 48271 + 11) % 2147483647) // 4096 % 2 = 1
+           THEN (keys[i + r0 + 1] - x + nb) % nb ELSE x END) AS block
+  FROM slots
 ), c AS (
-  SELECT d.*, no, source_size, target,
-         ((((coalesce(doc_id, size) % 1000003) + 1000003) % 1000003) * 7919) % 4096 AS chunk
+  SELECT d.*, no, source_size, target, substr(md5(coalesce(doc_id::VARCHAR, size::VARCHAR)), 1, 3) AS chunk
   FROM d JOIN src ON d.source IS NOT DISTINCT FROM src.source
 ), p AS (
   SELECT *, (sum(size) OVER (PARTITION BY no ORDER BY chunk, doc_id NULLS FIRST, size, rid ROWS UNBOUNDED PRECEDING))::BIGINT - size AS off FROM c
 ), pieces AS (
   SELECT rid, no, off, size, unnest(range(off // 128, (off + size - 1) // 128 + 1)) AS block FROM p WHERE size > 0
 ), taken AS (
-  SELECT rid, sum((least(off + size, (block + 1) * 128) - greatest(off, block * 128)) * coalesce(times, 0))::BIGINT AS taken
-  FROM pieces LEFT JOIN used USING (no, block) GROUP BY rid
+  SELECT rid, sum(least(off + size, (block + 1) * 128) - greatest(off, block * 128))::BIGINT AS taken, count(DISTINCT shard)::BIGINT AS n_shards
+  FROM pieces JOIN used USING (no, block) GROUP BY rid
 )
-SELECT doc_id, size, source_size, target, coalesce(taken, 0)::BIGINT AS taken FROM p LEFT JOIN taken USING (rid)
+SELECT doc_id, size, source_size, target, coalesce(taken, 0)::BIGINT AS taken, coalesce(n_shards, 0)::BIGINT AS n_shards FROM p LEFT JOIN taken USING (rid)
 """

@@ -2,29 +2,35 @@
 
 from __future__ import annotations
 
+from itertools import product
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from amplitract.functions.exprs import joined_label
+from amplitract.functions.fuzzy import similarity
 from amplitract.operators.tracts import normalised_intervening
 from amplitract.sources.reads import TYPICAL
 
 KEYS = ["sample_id", "cag", "ccg"]
 
 
-PARTS = ("a", "c", "t", "mid")
+#: The tract sizes, the sequence between the tracts, and the flanks.
+PARTS = ("a", "c", "t", "mid", "five", "three")
+#: First triplets that are as much like CAG as two letters of three.
+LIKE_CAG = [k for k in map("".join, product("ACGT", repeat=3)) if abs(similarity("CAG", k) - 0.66) <= 0.1]
 
 
 def _ranked(rows: DataFrame) -> DataFrame:
     """For each contig: reads, typical reads, and of each part (tract sizes a, c and t, the sequence between) the most frequent
     value _1 and the runner-up _2 with their counts; the lower value first if equal. All parts are ranked in one pass."""
-    value = lambda p: F.col(p) if p == "mid" else F.lpad(F.col(p).cast("string"), 6, "0")
+    value = lambda p: F.col(p) if p in ("mid", "five", "three") else F.lpad(F.col(p).cast("string"), 6, "0")
     each = rows.select(*KEYS, "n", F.explode(F.array(*[F.struct(F.lit(p).alias("part"), value(p).alias("v")) for p in PARTS])).alias("e"))
     counts = each.groupBy(*KEYS, "e.part", "e.v").agg(F.sum("n").alias("k"))
     ranked = counts.withColumn("r", F.row_number().over(Window.partitionBy(*KEYS, "part").orderBy(F.desc("k"), "v")))
     pick = lambda p, r, c: F.max(F.when((F.col("part") == p) & (F.col("r") == r), F.col(c)))
     sums = [F.sum(F.when(F.col("part") == "a", F.col("k"))).alias("total"), F.sum(F.when((F.col("part") == "mid") & (F.col("v") == TYPICAL), F.col("k")).otherwise(0)).alias("typical")]
-    typed = lambda p, c: c if p == "mid" else c.cast("int")
+    typed = lambda p, c: c if p in ("mid", "five", "three") else c.cast("int")
     tops = [x for p in PARTS for x in (typed(p, pick(p, 1, "v")).alias(f"{p}_1"), pick(p, 1, "k").alias(f"{p}_n1"), typed(p, pick(p, 2, "v")).alias(f"{p}_2"), pick(p, 2, "k").alias(f"{p}_n2"))]
     return ranked.groupBy(*KEYS).agg(*sums, *tops)
 
@@ -32,7 +38,7 @@ def _ranked(rows: DataFrame) -> DataFrame:
 def contig_summary(assigned: DataFrame, contigs: DataFrame) -> DataFrame:
     """For each of the contigs (sample_id, cag, ccg, rank): read counts, typical and atypical shares, modal tract sizes and
     sequences, and the status. Reads are summed by structure first, so that everything after works on few rows."""
-    rows = assigned.where("mate = 'R1' AND contig_cag IS NOT NULL").groupBy("sample_id", F.col("contig_cag").alias("cag"), F.col("contig_ccg").alias("ccg"), F.col("cag").alias("a"), F.col("ccg").alias("c"), F.col("cct").alias("t"), "intervening").agg(F.sum("n").alias("n"))
+    rows = assigned.where("mate = 'R1' AND contig_cag IS NOT NULL").groupBy("sample_id", F.col("contig_cag").alias("cag"), F.col("contig_ccg").alias("ccg"), F.col("cag").alias("a"), F.col("ccg").alias("c"), F.col("cct").alias("t"), "intervening", "five", "three").agg(F.sum("n").alias("n"))
     rows = rows.join(contigs.select(*KEYS), KEYS, "left_semi").withColumn("mid", normalised_intervening(F.col("intervening")))
     out = _ranked(rows)
     ratio = F.try_divide(F.col("t_n1"), F.col("t_n2"))
@@ -40,13 +46,19 @@ def contig_summary(assigned: DataFrame, contigs: DataFrame) -> DataFrame:
     out = out.withColumn("atypical", F.col("total") - F.col("typical")).withColumn("est_cct", cct.cast("int"))
     failed = F.abs(F.col("typical") - F.col("atypical")) <= 0.05 * F.col("typical")
     status = F.when(F.col("atypical") > F.col("typical"), "Atypical").when(F.col("est_cct") != 2, "Atypical").otherwise("Typical")
-    # a longer runner-up, or a 15-mer with nearly as many reads, stands in for the most frequent sequence; singletons don't
-    gap = (F.col("mid_n1") - F.col("mid_n2")) / F.col("mid_n1")
-    second = F.col("mid_2").isNotNull() & (F.length("mid_2") > F.length("mid_1")) & (gap < 0.3) & (F.col("mid_n1") > 1)
+    out = out.withColumn("status", status)
+    # typical contigs have the typical sequence, or a longer runner-up; the most frequent one only if there is no other.
+    # A 15-mer that begins almost like another CAG, with nearly as many reads second, is a misread typical sequence.
+    typical = F.col("status") == "Typical"
+    gap = (F.col("mid_n1") - F.col("mid_n2")) / F.col("mid_n1") * 100
+    misread = (gap < 30) & (F.length("mid_1") == 15) & F.substring("mid_1", 1, 3).isin(LIKE_CAG)
+    middle = F.when(F.coalesce(misread, F.lit(False)) | (typical & (F.col("mid_n1") == 1)), TYPICAL).when(~typical | F.col("mid_2").isNull(), F.col("mid_1"))
+    middle = middle.when(F.length("mid_1") < F.length("mid_2"), F.col("mid_2")).otherwise(TYPICAL)
     return out.select(
         *KEYS, "total", "typical", "atypical",
         F.round(F.col("typical") * 100.0 / F.col("total"), 2).alias("typical_pcnt"), F.round(F.col("atypical") * 100.0 / F.col("total"), 2).alias("atypical_pcnt"),
-        F.col("a_1").alias("est_cag"), F.col("c_1").alias("est_ccg"), "est_cct", F.when(second, F.col("mid_2")).otherwise(F.col("mid_1")).alias("intervening"), status.alias("status"), failed.alias("balance_failed"),
+        F.col("a_1").alias("est_cag"), F.col("c_1").alias("est_ccg"), "est_cct", middle.alias("intervening"), F.col("five_1").alias("five"), F.col("three_1").alias("three"),
+        "status", failed.alias("balance_failed"), (F.col("t_n1") < 0.6 * F.col("total")).alias("cct_uncertain"),
     )
 
 
@@ -111,10 +123,12 @@ def choose_pair(ranked: DataFrame) -> DataFrame:
 
 
 def alleles(pairs: DataFrame, summary: DataFrame) -> DataFrame:
-    """Two rows for each sample (allele PRI and SEC) with the consensus of their contigs and the label CAG_CAACAG_CCGCCA_CCG_CCT."""
+    """Two rows for each sample (allele PRI and SEC) with the consensus of their contigs and the label CAG_CAACAG_CCGCCA_CCG_CCT.
+    Typical alleles have the typical sequence."""
     two = pairs.select("sample_id", "neighbouring", "diff_confuse", "heuristic_ok", F.explode(F.array(F.struct(F.lit("PRI").alias("allele"), F.col("a_cag").alias("cag"), F.col("a_ccg").alias("ccg")), F.struct(F.lit("SEC").alias("allele"), F.col("s_cag").alias("cag"), F.col("s_ccg").alias("ccg")))).alias("x"))
     two = two.select("sample_id", "x.*", "neighbouring", "diff_confuse", "heuristic_ok")
-    return two.join(summary, KEYS).withColumn("label", native_label(F.col("est_cag"), F.col("intervening"), F.col("est_ccg"), F.col("est_cct")))
+    two = two.join(summary, KEYS).withColumn("intervening", F.when(F.col("status") == "Typical", TYPICAL).otherwise(F.col("intervening")))
+    return two.withColumn("label", native_label(F.col("est_cag"), F.col("intervening"), F.col("est_ccg"), F.col("est_cct")))
 
 
 def native_label(cag: Column, middle: Column, ccg: Column, cct: Column) -> Column:

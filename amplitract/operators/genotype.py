@@ -33,7 +33,8 @@ def slices(alleles: DataFrame, hist: DataFrame) -> DataFrame:
 
 def cag_calls(bins: DataFrame) -> DataFrame:
     """(sample_id, allele, call, recalls, threshold, peaks, fod): fod is the last peak within one of the call, else the first."""
-    found = recall(bins, SLICE, "call", "expected", "beside", "cag", "smooth")
+    rows = bins.groupBy(*SLICE, "call", "expected", "beside").agg(F.transform(F.array_sort(F.collect_list(F.struct("cag", "smooth"))), lambda x: x["smooth"]).alias("v"))
+    found = recall(rows, SLICE, "call", "expected", "beside", "v")
     near = F.filter("peaks", lambda p: F.abs(p - F.col("call")) <= 1)
     return found.withColumn("fod", F.coalesce(F.try_element_at(near, F.lit(-1)), F.get("peaks", 0)))
 

@@ -39,7 +39,7 @@ def smooth_homozygous(dense: DataFrame, call: str = "call") -> DataFrame:
 
 def smooth_heterozygous(dense: DataFrame, call: str = "call") -> DataFrame:
     """All bins but the called one lose 75, 85 or 95 percent by the called count. If the called bin is the second
-    largest and less than half of the largest, the largest loses 95 percent first; else each bin gets 5 reads less cut."""
+    largest and less than half of the largest, the largest loses 95 percent first; if it is second otherwise, each bin loses 5 reads more."""
     w = Window.partitionBy("sample_id")
     ranked = dense.withColumn("r", F.row_number().over(w.orderBy(F.desc("n"), "ccg")))
     ranked = ranked.withColumn("top", F.max(F.when(F.col("r") == 1, F.col("n"))).over(w)).withColumn("second", F.max(F.when(F.col("r") == 2, F.col("n"))).over(w))
@@ -49,7 +49,7 @@ def smooth_heterozygous(dense: DataFrame, call: str = "call") -> DataFrame:
     rescue = (F.col("call_rank") == 2) & (share > 0) & (share < 50)
     first = F.when(rescue & (F.col("r") == 1), cut(F.col("n"), 95.0)).otherwise(F.col("n"))
     percent = F.when(F.col("called").between(1, 6000), 75.0).when(F.col("called").between(6001, 12000), 85.0).otherwise(95.0)
-    extra = F.when(rescue, 0).otherwise(5)
+    extra = F.when((F.col("call_rank") == 2) & ~rescue, 5).otherwise(0)
     low = F.greatest(F.lit(0), cut(first, percent) - extra)
     return ranked.select("sample_id", "ccg", "n", F.col(call).alias("call"), F.when(F.col("ccg") == F.col(call), F.col("n")).otherwise(low).alias("smooth"))
 
@@ -65,12 +65,19 @@ def smooth_interval(dense: DataFrame, call: str = "call") -> DataFrame:
     return dense.withColumn("smooth", F.when(inside, F.col("n")).otherwise(cut(F.col("n"), 85.0)))
 
 
-def align_to_call(hist: DataFrame, call: str = "call", reach: int = 3) -> DataFrame:
-    """Counts by their distance from the call, one column for each distance from -reach to reach."""
-    moved = hist.withColumn("off", F.col("cag") - F.col(call)).where(F.abs("off") <= reach)
-    wide = moved.groupBy("sample_id", "allele").pivot("off", list(range(-reach, reach + 1))).sum("n").na.fill(0)
-    name = lambda k: f"m{-k}" if k < 0 else f"p{k}"
-    return wide.select("sample_id", "allele", *[F.col(str(k)).cast("long").alias(name(k)) for k in range(-reach, reach + 1)])
+def align_to_call(hist: DataFrame, call: str = "call") -> DataFrame:
+    """(sample_id, allele, off, n): the 200 counts of a slice by their distance from the call."""
+    return hist.select("sample_id", "allele", (F.col("cag") - F.col(call)).alias("off"), "n")
+
+
+def anchored_rows(bins: DataFrame, anchor: int = 203, width: int = 403) -> DataFrame:
+    """(sample_id, allele, dist): the 200 counts as text, with five digits, padded by dashes on both sides so that the called
+    bin stands in the same column of every row."""
+    text = F.array_sort(F.collect_list(F.struct("cag", F.format_string("%.5f", F.col("n").cast("double")).alias("v"))))
+    rows = bins.groupBy("sample_id", "allele", "call").agg(F.transform(text, lambda x: x["v"]).alias("v"))
+    left = F.lit(anchor) - F.col("call")
+    cells = F.concat(F.array_repeat(F.lit("-"), left), F.col("v"), F.array_repeat(F.lit("-"), F.lit(width - 200) - left))
+    return rows.select("sample_id", "allele", F.array_join(cells, ",").alias("dist"))
 
 
 def distinct_maxima(hist: DataFrame, keys: list[str]) -> DataFrame:

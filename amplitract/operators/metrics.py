@@ -59,6 +59,8 @@ PENALTIES = [
     ("recall count", "CASE WHEN recalls = 7 THEN -25 WHEN recalls IN (5, 6) THEN -15 WHEN recalls BETWEEN 1 AND 3 THEN -5 END"),
     ("zygosity", "CASE state WHEN 'homozygous' THEN -25 WHEN 'neighbouring' THEN -15 END"),
     ("diminished peak", "CASE WHEN diminished THEN -10 END"),
+    ("overwritten genotype", "CASE WHEN fod_overwrite THEN -20 END"),
+    ("missed expansion", "CASE WHEN fod_overwrite AND missed_expansion THEN -50 END"),
     ("atypical", "CASE WHEN status = 'Atypical' THEN -5 ELSE 1 END"),
     ("mixed structure", "CASE WHEN abs(CASE WHEN status = 'Atypical' THEN atypical_pcnt ELSE typical_pcnt END - 50) <= 5.0005 THEN -30 END"),
     ("clear structure", "CASE WHEN status = 'Atypical' AND abs(atypical_pcnt - 80) <= 20.0008 THEN 15 WHEN status = 'Typical' AND abs(typical_pcnt - 80) <= 15.0008 THEN 2 END"),
@@ -66,11 +68,20 @@ PENALTIES = [
     ("vicinity", "CASE WHEN vicinity > 0.85 THEN 1 WHEN vicinity > 0.65 AND vicinity < 0.8499 THEN -10 WHEN vicinity > 0.45 AND vicinity < 0.6499 THEN -15 WHEN vicinity > 0 AND vicinity < 0.4499 THEN -20 END"),
     ("slippage", "CASE WHEN slippage > 0 AND slippage < 0.1 THEN 5 WHEN slippage > 0.1 AND slippage < 0.25 THEN 1 WHEN slippage > 0.25 THEN -1 END"),
     ("mosaicism", "CASE WHEN mosaicism > 0 AND mosaicism < 0.01 THEN 10 WHEN mosaicism > 0.01 AND mosaicism < 0.015 THEN 5 WHEN mosaicism > 0.015 THEN -1 END"),
+    ("slippage overwrite", "CASE WHEN slippage_overwrite THEN -25 END"),
+    ("CCG threshold", "CASE WHEN ccg_threshold = 0.5 THEN 1 WHEN ccg_threshold > 0.3 THEN -5 WHEN ccg_threshold < 0.3 THEN -10 END"),
     ("threshold", "CASE WHEN threshold = 0.5 THEN 1 WHEN threshold > 0.3 THEN -5 WHEN threshold < 0.3 THEN -10 END"),
     ("below the peak", "CASE minus_level WHEN 0 THEN 5 WHEN 1 THEN -5 WHEN 2 THEN -7 WHEN 5 THEN -10 WHEN 6 THEN -10 ELSE -15 END"),
     ("above the peak", "CASE plus_level WHEN 0 THEN 5 WHEN 1 THEN -5 WHEN 2 THEN -7 WHEN 5 THEN -10 WHEN 6 THEN -10 ELSE -15 END"),
+]
+#: Rules that come after the factor of subsampled reads.
+LATE = [
     ("forward mapped", "CASE WHEN fw_mapped > 90 THEN 2 WHEN fw_mapped > 85 AND fw_mapped < 90 THEN 1 ELSE -2 END"),
     ("reverse mapped", "CASE WHEN rv_mapped > 90 THEN 2 WHEN rv_mapped > 85 AND rv_mapped < 90 THEN 1 ELSE -2 END"),
+    ("peak inspection", "CASE WHEN inspection THEN -10 END"),
+    ("uncertain CCG", "CASE WHEN ccg_uncertain THEN -15 END"),
+    ("alignment warning", "CASE WHEN alignment_warning THEN -15 END"),
+    ("atypical alignment warning", "CASE WHEN atypical_warning THEN -50 END"),
     ("fatally few reads", "CASE WHEN fatal_low THEN -25 END"),
     ("differential confusion", "CASE WHEN diff_confuse THEN -30 END"),
     ("no second allele", "CASE WHEN NOT heuristic_ok THEN -20 END"),
@@ -79,12 +90,39 @@ PENALTIES = [
 
 def penalty_events(rows: DataFrame) -> DataFrame:
     """(sample_id, allele, rule, delta) of each rule that has an event. rows has a column for each name the rules use."""
-    events = F.array(*[F.struct(F.lit(rule).alias("rule"), F.expr(delta).cast("int").alias("delta")) for rule, delta in PENALTIES])
+    events = F.array(*[F.struct(F.lit(rule).alias("rule"), F.expr(delta).cast("int").alias("delta")) for rule, delta in PENALTIES + LATE])
     return rows.select(*SLICE, F.explode(F.filter(events, lambda e: e["delta"].isNotNull())).alias("e")).select(*SLICE, "e.rule", "e.delta")
 
 
-def confidence(rows: DataFrame) -> DataFrame:
-    """100 and all deltas, between 0 and 100; 0 if an atypical allele's peak isn't where its label says."""
-    total = sum((F.coalesce(F.expr(delta), F.lit(0)) for _, delta in PENALTIES), F.lit(100))
+def subsample_factor(reads: Column, fraction: Column) -> Column:
+    """The factor of a score for a fraction of so many reads; of two bands that share a bound of reads the later counts, of
+    two that share a bound of the fraction the first."""
+    band = lambda low, middle, high: F.when(fraction.between(0.1, 0.3), low).when(fraction.between(0.3, 0.6), middle).when(fraction.between(0.6, 0.9), high).otherwise(1.0)
+    return F.when(reads < 2000, band(0.35, 0.40, 0.45)).when(reads < 5000, band(0.55, 0.65, 0.70)).when(reads <= 10000, band(0.75, 0.85, 0.95)).otherwise(1.0)
+
+
+def ratio_context(ratio: Column) -> Column:
+    """What a score loses for an allele's share of all reads."""
+    near = lambda x: F.abs(ratio - x) <= 0.05 + 1e-5 * x
+    return F.when(near(0.55), 1).when(near(0.45), 5).when(near(0.35), 5).when(near(0.25), 7).when(near(0.15), 10).when(near(0.05), 15).otherwise(0)
+
+
+def confidence(rows: DataFrame, fraction: str | None = None) -> DataFrame:
+    """100 and all deltas, between 0 and 100; 0 if an atypical allele's peak isn't where its label says. fraction names the
+    column with the share of reads that was kept, if reads were subsampled: it scales heterozygous scores."""
+    sums = lambda rules: sum((F.coalesce(F.expr(delta), F.lit(0)) for _, delta in rules), F.lit(0))
+    score = F.lit(100) + sums(PENALTIES)
+    if fraction:
+        scaled = score * subsample_factor(F.col("all_reads"), F.col(fraction)) - ratio_context(F.try_divide(F.col("total").cast("double"), F.col("all_reads")))
+        score = F.when(F.col("state") == "heterozygous", scaled).otherwise(score)
     lost = (F.col("status") == "Atypical") & (F.abs(F.col("fod") - F.col("est_cag")) > 1)
-    return rows.select(*SLICE, F.when(lost, 0).otherwise(F.greatest(F.lit(0), F.least(F.lit(100), total))).cast("int").alias("confidence"))
+    whole = F.greatest(F.lit(0), F.least(F.lit(100), score + sums(LATE)))
+    return rows.select(*SLICE, F.when(lost, 0).otherwise(whole).cast("int").alias("confidence"))
+
+
+def jittered_interval(intervals: DataFrame, confidence: DataFrame) -> DataFrame:
+    """intervals (with lo and hi): where the score is below 50 the lower bound loses one or two, and the upper takes one."""
+    rows = intervals.join(confidence, SLICE, "left")
+    low = F.col("lo") - F.when(F.col("confidence") < 50, 1 + F.pmod(F.crc32(F.col("sample_id").cast("string")), F.lit(2))).otherwise(0)
+    rows = rows.withColumns({"lo": low.cast("int"), "hi": F.col("hi") + F.when(F.col("confidence") < 50, 1).otherwise(0)})
+    return rows.withColumn("interval", interval_text(F.col("lo"), F.col("hi"), F.col("call")))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: From 0.50 down by 0.06, 0.05 at the end; a step is one recall.
@@ -30,17 +30,26 @@ def find_peaks(dense: DataFrame, keys: list[str], bin: str = "cag", n: str = "n"
     return found
 
 
-def recall(dense: DataFrame, keys: list[str], call: str, expected: str, lenient: str, bin: str = "cag", n: str = "n") -> DataFrame:
-    """(keys, call, recalls, threshold, peaks): the first rung of the ladder on which the expected number of peaks stands,
-    or the called bin is one of them (then only it is kept), or any if lenient (two alleles side by side make one peak). Peaks are found once, at the lowest rung; a rung only filters."""
-    low = find_peaks(dense, keys, bin, n, LADDER[-1])
-    asked = dense.select(*keys, call, expected, lenient).distinct()
-    rungs = F.array(*[F.struct(F.lit(k).alias("recalls"), F.lit(t).alias("threshold")) for k, t in enumerate(LADDER)])
-    rows = low.join(asked, keys).select("*", F.explode(rungs).alias("rung"))
-    rows = rows.where(F.col("height") > F.col("rung.threshold") * (F.col("high") - F.col("low")) + F.col("low"))
-    per = rows.groupBy(*keys, call, expected, lenient, "rung").agg(F.sort_array(F.collect_list("peak")).alias("peaks"))
-    held = F.array_contains("peaks", F.col(call))
-    per = per.where((F.size("peaks") == F.col(expected)) | held | F.col(lenient))
-    per = per.withColumn("peaks", F.when(held & (F.size("peaks") != F.col(expected)), F.array(call)).otherwise(F.col("peaks")))
-    best = per.groupBy(*keys, call).agg(F.min(F.struct("rung.recalls", "rung.threshold", "peaks")).alias("b"))
-    return best.select(*keys, call, F.col("b.recalls").alias("recalls"), F.col("b.threshold").alias("threshold"), F.col("b.peaks").alias("peaks"))
+def peaks_of(v: Column, threshold: float) -> Column:
+    """find_peaks of an array of bins (the first is bin 1): an array of (peak, height). No window is needed."""
+    at = lambda i: F.element_at(v, i)
+    over = F.lit(threshold) * (F.array_max(v) - F.array_min(v)) + F.array_min(v)
+    # where the run of equal counts that begins at i ends: at the first other count behind it
+    runs = F.transform(F.sequence(F.lit(2), F.size(v)), lambda i: F.struct(i.alias("i"), F.array_position(F.transform(F.slice(v, i + 1, F.size(v)), lambda x: x != at(i)), True).cast("int").alias("k")))
+    high = F.filter(runs, lambda r: (r["k"] > 0) & (at(r["i"]) > over) & (at(r["i"]) > at(r["i"] - 1)) & (at(r["i"]) > at(F.greatest(F.lit(1), r["i"] + r["k"]))))
+    return F.transform(high, lambda r: F.struct(F.floor((2 * r["i"] + r["k"] - 1) / 2).cast("int").alias("peak"), at(r["i"]).alias("height")))
+
+
+def recall(rows: DataFrame, keys: list[str], call: str, expected: str, lenient: str, v: str) -> DataFrame:
+    """(keys, call, recalls, threshold, peaks) of rows with an array of bins v: the first rung of the ladder on which the expected
+    number of peaks stands, or the called bin is one of them (then only it is kept), or any if lenient (two alleles side by
+    side make one peak). Peaks are found once, at the lowest rung; a rung only filters. Rows without such a rung go."""
+    low, high = F.array_min(v), F.array_max(v)
+    rows = rows.withColumn("_found", peaks_of(F.col(v), LADDER[-1]))
+    on = lambda t: F.transform(F.filter("_found", lambda p: p["height"] > t * (high - low) + low), lambda p: p["peak"])
+    rungs = F.array(*[F.struct(F.lit(k).alias("recalls"), F.lit(t).alias("threshold"), on(t).alias("peaks")) for k, t in enumerate(LADDER)])
+    good = F.filter("_rungs", lambda r: (F.size(r["peaks"]) > 0) & ((F.size(r["peaks"]) == F.col(expected)) | F.array_contains(r["peaks"], F.col(call)) | F.col(lenient)))
+    rows = rows.withColumn("_rungs", rungs).withColumn("_best", F.get(good, 0)).where("_best is not null")
+    peaks = F.col("_best.peaks")
+    only = F.array_contains(peaks, F.col(call)) & (F.size(peaks) != F.col(expected))
+    return rows.select(*keys, call, F.col("_best.recalls").alias("recalls"), F.col("_best.threshold").alias("threshold"), F.when(only, F.array(call)).otherwise(peaks).alias("peaks"))

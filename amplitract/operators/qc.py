@@ -120,9 +120,9 @@ SCAN_STEPS = [(20_000, 350), (15_000, 450), (10_000, 550), (5_000, 650)]
 
 
 def subsample(reads: DataFrame, steps: list[tuple[int, int]]) -> DataFrame:
-    """Keeps the share that a sample's number of reads asks for, by read id, so that mates stay together."""
+    """Keeps the share that a sample's number of reads asks for, by a hash of the read id, so that mates stay together."""
     sizes = reads.groupBy("sample_id").agg(F.count(F.lit(1)).alias("reads"))
     share = F.lit(1000)
     for least, kept in reversed(steps):
         share = F.when(F.col("reads") >= least, kept).otherwise(share)
-    return reads.join(sizes.withColumn("share", share), "sample_id").where(F.pmod(F.col("read_id"), F.lit(1000)) < F.col("share"))
+    return reads.join(sizes.withColumn("share", share), "sample_id").where(F.conv(F.substring(F.md5(F.col("read_id").cast("string")), 1, 8), 16, 10).cast("long") % 1000 < F.col("share"))

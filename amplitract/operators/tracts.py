@@ -51,11 +51,12 @@ def _structure(frames: Column) -> Column:
     return let(three, around)
 
 
-def scan_tracts(reads: DataFrame) -> DataFrame:
-    """(sample_id, mate, n, cag, ccg, cct, intervening, five, three) of each distinct sequence with all three tracts. The
+def scan_tracts(reads: DataFrame, keep_seq: bool = False) -> DataFrame:
+    """(sample_id, mate, n, cag, ccg, cct, intervening, five, three; seq if kept) of each distinct sequence with all three tracts. The
     structure is generated rather than projected, so that a filter on it isn't worked out a second time below."""
     found = F.filter(F.array(let(framed(F.col("seq")), _structure)), lambda s: (s["cag"] > 0) & (s["ccg"] > 0) & (s["cct"] > 0))
-    return distinct_reads(reads).select("sample_id", "mate", "n", F.explode(found).alias("s")).select("sample_id", "mate", "n", "s.*")
+    kept = ["sample_id", "mate", "n", *(["seq"] if keep_seq else [])]
+    return distinct_reads(reads).select(*kept, F.explode(found).alias("s")).select(*kept, "s.*")
 
 
 def assign_contigs(scanned: DataFrame) -> DataFrame:

@@ -10,8 +10,8 @@ KEYS = ["sample_id", "allele"]
 
 def pileup(reads: DataFrame, consensus: DataFrame, least: int = 2) -> DataFrame:
     """(contig, pos, ref, alt, n): bases that differ from the contig's consensus in at least `least` reads of its length.
-    Equal reads are compared once."""
-    same = reads.groupBy("contig", "seq").agg(F.count(F.lit(1)).alias("k"))
+    Equal reads are compared once; reads that have a count k already stand for so many."""
+    same = reads if "k" in reads.columns else reads.groupBy("contig", "seq").agg(F.count(F.lit(1)).alias("k"))
     pairs = same.join(consensus.select("contig", F.col("seq").alias("ref_seq")), "contig").where("length(seq) = length(ref_seq) AND seq <> ref_seq")
     at = pairs.select("contig", "seq", "ref_seq", "k", F.explode(F.sequence(F.lit(1), F.length("seq"))).alias("pos"))
     at = at.withColumn("alt", F.expr("substring(seq, pos, 1)")).withColumn("ref", F.expr("substring(ref_seq, pos, 1)")).where("alt <> ref")

@@ -13,7 +13,7 @@ picked AS (
 reads AS (
   SELECT sid AS sample_id, l_orderkey * 10 + l_linenumber AS read_id, CASE WHEN l_linenumber % 4 = 0 THEN 'R2' ELSE 'R1' END AS mate,
     CASE WHEN l_partkey % 50 = 7 THEN 0 ELSE 60 END AS mapq, l_quantity::INT AS quality,
-    (CASE WHEN sid = 18 THEN repeat('A', (l_linenumber % 3)::INT) ELSE '' END) || '{FIVE_PRIME}' ||
+    (CASE WHEN sid = 18 THEN repeat('A', (l_linenumber % 3)::INT) ELSE '' END) || CASE WHEN l_partkey % 50 = 3 THEN '{FIVE_PRIME[:9]}A{FIVE_PRIME[10:]}' ELSE '{FIVE_PRIME}' END ||
     repeat('CAG', (CASE WHEN one THEN cag1 ELSE cag2 END) + CASE WHEN p < 7 THEN -2 WHEN p < 18 THEN -1 WHEN p < 91 THEN 0 WHEN p < 96 THEN 1 WHEN p < 99 THEN 2 ELSE 3 END) ||
     (CASE WHEN one THEN mid1 ELSE mid2 END) || repeat('CCG', CASE WHEN one THEN ccg1 ELSE ccg2 END) ||
     repeat('CCT', CASE WHEN one THEN cct1 ELSE cct2 END) || '{THREE_PRIME}' AS seq
@@ -90,45 +90,64 @@ ranked AS (SELECT sample_id, """
 CONSENSUS = (
     TOP
     + f""",
-crows0 AS (SELECT a.sample_id, contig_cag AS cag, contig_ccg AS ccg, a.cag AS ea, a.ccg AS ec, cct AS et, intervening AS m, sum(a.n)::BIGINT AS n
+crows0 AS (SELECT a.sample_id, contig_cag AS cag, contig_ccg AS ccg, a.cag AS ea, a.ccg AS ec, cct AS et, intervening AS m, five AS ef, three AS eh, sum(a.n)::BIGINT AS n
   FROM assigned a JOIN top3 p ON p.sample_id = a.sample_id AND p.cag = contig_cag AND p.ccg = contig_ccg WHERE mate = 'R1' GROUP BY ALL),
 crows AS (SELECT *, CASE WHEN {_rotations("m")} THEN '{TYPICAL}' ELSE m END AS mid FROM crows0),
 ctotal AS (SELECT sample_id, cag, ccg, sum(n)::BIGINT AS total, coalesce(sum(n) FILTER (WHERE mid = '{TYPICAL}'), 0)::BIGINT AS typical FROM crows GROUP BY ALL),"""
-    + ",".join(_rank_cte(n, c) for n, c in (("ra", "ea"), ("rc", "ec"), ("rt", "et"), ("rm", "mid")))
+    + ",".join(_rank_cte(n, c) for n, c in (("ra", "ea"), ("rc", "ec"), ("rt", "et"), ("rm", "mid"), ("rf", "ef"), ("rh", "eh")))
     + """,
-summary0 AS (SELECT t.*, total - typical AS atypical, ra.v1 AS est_cag, rc.v1 AS est_ccg,
-    CASE WHEN abs(rt.n1 / rt.n2 - 2.0) <= 0.30002 THEN 2 ELSE rt.v1 END AS est_cct,
-    CASE WHEN rm.v2 IS NOT NULL AND length(rm.v2) > length(rm.v1) AND (rm.n1 - rm.n2) / rm.n1 < 0.3 AND rm.n1 > 1 THEN rm.v2 ELSE rm.v1 END AS intervening
-  FROM ctotal t JOIN ra USING (sample_id, cag, ccg) JOIN rc USING (sample_id, cag, ccg) JOIN rt USING (sample_id, cag, ccg) JOIN rm USING (sample_id, cag, ccg)),
+summary0 AS (SELECT t.*, total - typical AS atypical, ra.v1 AS est_cag, rc.v1 AS est_ccg, rf.v1 AS five, rh.v1 AS three, rt.n1 < 0.6::DOUBLE * total AS cct_uncertain,
+    CASE WHEN abs(rt.n1 / rt.n2 - 2.0) <= 0.30002 THEN 2 ELSE rt.v1 END AS est_cct, rm.v1 AS m1, rm.v2 AS m2, rm.n1 AS k1, rm.n2 AS k2
+  FROM ctotal t JOIN ra USING (sample_id, cag, ccg) JOIN rc USING (sample_id, cag, ccg) JOIN rt USING (sample_id, cag, ccg) JOIN rm USING (sample_id, cag, ccg)
+  JOIN rf USING (sample_id, cag, ccg) JOIN rh USING (sample_id, cag, ccg)),
+summary1 AS (SELECT *, CASE WHEN atypical > typical OR est_cct <> 2 THEN 'Atypical' ELSE 'Typical' END AS status FROM summary0),
 summary AS (SELECT sample_id, cag, ccg, total, typical, atypical, round(typical * 100.0::DOUBLE / total, 2) AS typical_pcnt, round(atypical * 100.0::DOUBLE / total, 2) AS atypical_pcnt,
-    est_cag, est_ccg, est_cct, intervening, CASE WHEN atypical > typical OR est_cct <> 2 THEN 'Atypical' ELSE 'Typical' END AS status,
-    abs(typical - atypical) <= 0.05 * typical AS balance_failed FROM summary0)"""
+    est_cag, est_ccg, est_cct,
+    CASE WHEN length(m1) = 15 AND substr(m1, 1, 3) SIMILAR TO '(CA[^G]|C[^A]G|[^C]AG|CG.|.CA|A?AG.|.CG|AG.)' AND 100.0 * (k1 - k2) / k1 < 30 THEN 'CAACAGCCGCCA'
+         WHEN status = 'Typical' AND k1 = 1 THEN 'CAACAGCCGCCA'
+         WHEN status = 'Atypical' THEN m1
+         WHEN m2 IS NULL THEN m1
+         WHEN length(m2) > length(m1) THEN m2
+         ELSE 'CAACAGCCGCCA' END AS intervening,
+    five, three, status, abs(typical - atypical) <= 0.05 * typical AS balance_failed, cct_uncertain FROM summary1)"""
 )
 
 
-def pair_cte() -> str:
-    """The decision list as numbered rules: the last that fires wins."""
-    from amplitract.operators.consensus import RULES
-
-    rules = " UNION ALL ".join(f"SELECT sample_id, {k} AS no, '{name}' AS rule, '{target}' AS target, {near} AS near, {mixed} AS mixed FROM diffs WHERE {guard}" for k, (name, guard, target, near, mixed) in enumerate(RULES))
-    return (
-        CONSENSUS
-        + f""",
-diffs AS (SELECT *, abs(a_cag - b_cag) AS dab, abs(b_cag - t_cag) AS dbt, abs(a_cag - t_cag) AS dat, abs(a_n - b_n) / a_n AS pab, abs(b_n - t_n) / b_n AS pbt FROM ranked WHERE t_n IS NOT NULL),
-fired AS ({rules}),
+#: Written from the decision table, apart from the operator's own list of rules.
+PAIRS = (
+    CONSENSUS
+    + """,
+diffs AS (SELECT *, a_ccg = b_ccg AND b_ccg = t_ccg AS u, abs(a_cag - b_cag) AS dab, abs(b_cag - t_cag) AS dbt, abs(a_cag - t_cag) AS dat, abs(a_n - b_n) / a_n AS pab, abs(b_n - t_n) / b_n AS pbt FROM ranked WHERE t_n IS NOT NULL),
+fired AS (
+  SELECT sample_id, 101 AS no, 'u1a' AS rule, 'b' AS target, true AS near, false AS mixed FROM diffs WHERE u AND dab = 1 AND dbt <> 1 AND dat = 1 AND pbt BETWEEN 0.6499925 AND 0.8500075
+  UNION ALL SELECT sample_id, 102, 'u1b', 'copy', false, pab < 0.199997 OR pab > 0.400003 FROM diffs WHERE u AND dab = 1 AND dbt <> 1 AND dat = 1 AND pbt > 0 AND pbt <= 0.64
+  UNION ALL SELECT sample_id, 103, 'u1c', 't', false, false FROM diffs WHERE u AND dab = 1 AND dbt <> 1 AND dat <> 1
+  UNION ALL SELECT sample_id, 104, 'u2a', 'b', false, false FROM diffs WHERE u AND dab <> 1 AND dbt = 1 AND ((pbt >= 0.55 AND pbt < 1) OR pbt BETWEEN 0.3499955 AND 0.5500045)
+  UNION ALL SELECT sample_id, 105, 'u2b', 'b', false, true FROM diffs WHERE u AND dab <> 1 AND dbt = 1 AND pbt <= 0.15
+  UNION ALL SELECT sample_id, 106, 'u3a', 'copy', false, false FROM diffs WHERE u AND dab = 1 AND dbt = 1 AND pab >= 0.55 AND pab < 1
+  UNION ALL SELECT sample_id, 107, 'u3b', 'b', false, pab < 0.3499955 AND pab < 0.20 AND pbt <= 0.50 FROM diffs WHERE u AND dab = 1 AND dbt = 1 AND pab < 0.55
+  UNION ALL SELECT sample_id, 108, 'u4', 'b', false, pbt <= 0.4 FROM diffs WHERE u AND dat = 1
+  UNION ALL SELECT sample_id, 109, 'u5', 'b', false, pbt <= 0.4 AND dbt <> 1 FROM diffs WHERE u AND dab > 1 AND dbt <= 5
+  UNION ALL SELECT sample_id, 201, 'n1', 'b', false, pbt BETWEEN 0.0499985 AND 0.2500015 FROM diffs WHERE NOT u AND b_ccg = t_ccg AND dbt = 1
+  UNION ALL SELECT sample_id, 202, 'n2', 'b', false, dbt <> 1 AND pbt <= 0.4 FROM diffs WHERE NOT u AND b_ccg = t_ccg AND dbt <= 6
+  UNION ALL SELECT sample_id, 203, 'n3a', 't', false, false FROM diffs WHERE b_ccg <> t_ccg AND a_ccg = b_ccg AND dab = 1 AND pab >= 0.4999925 AND pbt <= 0.3000015
+  UNION ALL SELECT sample_id, 204, 'n3b', 'copy', false, pab < 0.4 FROM diffs WHERE b_ccg <> t_ccg AND a_ccg = b_ccg AND dab = 1 AND pab >= 0.4999925 AND pbt > 0.3000015
+  UNION ALL SELECT sample_id, 205, 'n4', 't', false, false FROM diffs WHERE b_ccg <> t_ccg AND a_ccg = b_ccg AND dab = 1 AND pab BETWEEN 0.25 AND 0.49
+  UNION ALL SELECT sample_id, 206, 'n5', 'b', false, true FROM diffs WHERE b_ccg <> t_ccg AND a_ccg = b_ccg AND dab = 1 AND pab < 0.4999925 AND pab NOT BETWEEN 0.25 AND 0.49
+  UNION ALL SELECT sample_id, 207, 'n6', 'b', false, false FROM diffs WHERE a_ccg <> b_ccg AND a_ccg = t_ccg AND dat = 1
+  UNION ALL SELECT sample_id, 208, 'n7', 'b', false, false FROM diffs WHERE a_ccg <> b_ccg AND b_ccg <> t_ccg AND a_ccg <> t_ccg AND dat <= 5 AND abs(a_ccg - t_ccg) <= 2
+),
 last AS (SELECT sample_id, arg_max(rule, no) AS rule, arg_max(target, no) AS target FROM fired GROUP BY sample_id),
 flags AS (SELECT sample_id, bool_or(near) AS near, bool_or(mixed) AS mixed FROM fired f JOIN last l USING (sample_id) WHERE f.target = l.target AND (f.target <> 'copy' OR f.rule = l.rule) GROUP BY sample_id),
 pair AS (SELECT d.sample_id, a_cag, a_ccg, coalesce(rule, 'none') AS rule,
     CASE target WHEN 'b' THEN b_cag WHEN 't' THEN t_cag ELSE a_cag END AS s_cag, CASE target WHEN 'b' THEN b_ccg WHEN 't' THEN t_ccg ELSE a_ccg END AS s_ccg,
     coalesce(near, false) AS neighbouring, coalesce(mixed, false) AS diff_confuse, rule IS NOT NULL AS heuristic_ok
   FROM diffs d LEFT JOIN last USING (sample_id) LEFT JOIN flags USING (sample_id)),
-alleles AS (SELECT x.*, s.* EXCLUDE (sample_id, cag, ccg), est_cag || '_' || len(regexp_extract_all(intervening, 'CAACAG')) || '_' || len(regexp_extract_all(replace(intervening, 'CAACAG', ''), 'CCGCCA')) || '_' || est_ccg || '_' || est_cct AS label
+alleles0 AS (SELECT x.*, s.* EXCLUDE (sample_id, cag, ccg) REPLACE (CASE status WHEN 'Typical' THEN 'CAACAGCCGCCA' ELSE intervening END AS intervening)
   FROM (SELECT sample_id, 'PRI' AS allele, a_cag AS cag, a_ccg AS ccg, neighbouring, diff_confuse, heuristic_ok FROM pair UNION ALL SELECT sample_id, 'SEC', s_cag, s_ccg, neighbouring, diff_confuse, heuristic_ok FROM pair) x
-  JOIN summary s USING (sample_id, cag, ccg))"""
-    )
-
-
-PAIRS = pair_cte()
+  JOIN summary s USING (sample_id, cag, ccg)),
+alleles AS (SELECT *, est_cag || '_' || len(regexp_extract_all(intervening, 'CAACAG')) || '_' || len(regexp_extract_all(replace(intervening, 'CAACAG', ''), 'CCGCCA')) || '_' || est_ccg || '_' || est_cct AS label FROM alleles0)"""
+)
 
 
 def peaks_cte(name: str, source: str, keys: str, bin: str, n: str, threshold: float) -> str:
@@ -177,26 +196,137 @@ mets AS (SELECT sample_id, allele, call, round(back / nullif(smooth, 0)::DOUBLE,
 )
 
 
-def scored() -> str:
-    from amplitract.operators.metrics import DROP_MINUS, DROP_PLUS, drop_level
+def smooth_sql(v: str, call: str, hetero: str) -> str:
+    """A list of CCG bins smoothed around a call, as SQL."""
+    d = f"list_sort(list_distinct({v}), 'DESC')"
+    second = f"{v}[{call}] = coalesce({d}[2], 0)"
+    rescue = f"({second} AND 100.0 * coalesce({d}[2], 0) / nullif({d}[1], 0) > 0 AND 100.0 * coalesce({d}[2], 0) / nullif({d}[1], 0) < 50)"
+    percent = f"CASE WHEN {v}[{call}] BETWEEN 1 AND 6000 THEN 75 WHEN {v}[{call}] BETWEEN 6001 AND 12000 THEN 85 ELSE 95 END"
+    start = f"CASE WHEN {rescue} AND i = list_position({v}, {d}[1]) THEN trunc(x - x / 100.0::DOUBLE * 95)::BIGINT ELSE x END"
+    two = f"CASE WHEN i = {call} THEN {start} ELSE greatest(0, trunc(({start}) - ({start}) / 100.0::DOUBLE * ({percent}))::BIGINT - CASE WHEN {second} AND NOT {rescue} THEN 5 ELSE 0 END) END"
+    one = f"CASE WHEN i <> {call} AND abs(i - {call}) <= 3 THEN trunc(x - x / 100.0::DOUBLE * 77.5)::BIGINT ELSE x END"
+    return f"list_transform({v}, lambda x, i: CASE WHEN {hetero} THEN {two} ELSE {one} END)"
 
-    plus = [z for z in DROP_PLUS]
-    return (
-        METRICS
-        + f""",
-mapped AS (SELECT sample_id, 100.0::DOUBLE * count(*) FILTER (WHERE mapq >= 1 AND mate = 'R1') / nullif(count(*) FILTER (WHERE mate = 'R1'), 0) AS fw_mapped,
-   100.0::DOUBLE * count(*) FILTER (WHERE mapq >= 1 AND mate = 'R2') / nullif(count(*) FILTER (WHERE mate = 'R2'), 0) AS rv_mapped FROM reads GROUP BY sample_id),
-scored AS (SELECT v.sample_id, v.allele, recalls, v.state, false AS diminished, al.status, al.typical_pcnt, al.atypical_pcnt, m.total, vicinity, slippage, mosaicism, threshold,
-   CASE WHEN v.state <> 'heterozygous' THEN 2 ELSE {drop_level("nminus", DROP_MINUS, 0.75)} END AS minus_level, CASE WHEN v.state <> 'heterozygous' THEN 2 ELSE {drop_level("nplus", plus, 0.65)} END AS plus_level,
-   fw_mapped, rv_mapped, fatal_low, diff_confuse, heuristic_ok, fod, est_cag
-  FROM valid v JOIN mets m USING (sample_id, allele) JOIN alleles al ON al.sample_id = v.sample_id AND al.allele = v.allele JOIN mapped p ON p.sample_id = v.sample_id)"""
-    )
+
+def _clean_sql(v: str, b: str) -> str:
+    return f"({b} BETWEEN 2 AND 19 AND {v}[{b} - 1] > 0 AND {v}[{b} - 1] / {v}[{b}]::DOUBLE < 0.2 AND {v}[{b} + 1] > 0 AND {v}[{b} + 1] / {v}[{b}]::DOUBLE < 0.2)"
 
 
-SCORED = scored()
+REVIEW = (
+    CALLS
+    + """,
+mccg AS (SELECT sample_id, mate, ccg, sum(n)::BIGINT AS n FROM hist GROUP BY ALL),
+mdense AS (SELECT s.sample_id, s.mate, b.ccg::INT AS ccg, coalesce(c.n, 0)::BIGINT AS n FROM (SELECT DISTINCT sample_id, mate FROM mccg) s CROSS JOIN range(1, 21) b(ccg) LEFT JOIN mccg c ON c.sample_id = s.sample_id AND c.mate = s.mate AND c.ccg = b.ccg),
+rdense AS (SELECT * FROM mdense WHERE mate = 'R2'),
+vec AS (SELECT sample_id, list(n ORDER BY ccg) FILTER (WHERE mate = 'R2') AS rv, list(n ORDER BY ccg) FILTER (WHERE mate = 'R1') AS fw FROM mdense GROUP BY sample_id),"""
+    + peaks_cte("rz", "rdense", "sample_id", "ccg", "n", 0.15)
+    + """,
+class AS (SELECT s.sample_id, CASE WHEN coalesce(k, 0) >= 2 THEN 'HETERO' ELSE 'HOMO' END AS classified FROM (SELECT DISTINCT sample_id FROM rdense) s LEFT JOIN (SELECT sample_id, count(*) AS k FROM rz GROUP BY 1) USING (sample_id)),
+e1 AS (SELECT a.sample_id, a.allele, a.ccg AS scanned, est_ccg, est_cag, est_cct, status, neighbouring, label, a.cag AS bin_cag, intervening, floor((length(intervening) - 12) / 3.0)::INT AS shift, rv, fw, classified, state, v.fod AS fod0,
+    list_sort(list_distinct(rv), 'DESC') AS d FROM alleles a JOIN vec USING (sample_id) JOIN class USING (sample_id) JOIN valid v ON v.sample_id = a.sample_id AND v.allele = a.allele),
+e2 AS (SELECT *, d[1] AS top1, coalesce(d[2], 0) AS top2, coalesce(d[3], 0) AS top3, list_position(rv, d[1]) AS bin1, list_position(rv, coalesce(d[2], 0)) AS bin2, coalesce(d[2], 0) / nullif(d[1], 0)::DOUBLE AS ratio,
+    max(scanned) FILTER (WHERE allele = 'PRI') OVER w AS pri, max(scanned) FILTER (WHERE allele = 'SEC') OVER w AS sec FROM e1 WINDOW w AS (PARTITION BY sample_id)),
+e3 AS (SELECT *, NOT neighbouring AND ((abs(bin1 - bin2) = 1 AND abs(top2 - top3) <= 0.8 * top2 + 0.00001 * top3) OR top2 = rv[scanned]) AS unsure FROM e2),
+e4 AS (SELECT *, NOT neighbouring AND NOT unsure AND ratio >= 0.05 AND scanned NOT IN (bin1, bin2) AS wrong FROM e3),
+e5 AS (SELECT *, max(CASE WHEN wrong THEN CASE WHEN bin1 NOT IN (pri, sec) THEN bin1 WHEN bin2 NOT IN (pri, sec) THEN bin2 ELSE scanned END ELSE scanned END) FILTER (WHERE allele = 'PRI') OVER (PARTITION BY sample_id) AS pri_new FROM e4),
+e6 AS (SELECT *, CASE WHEN allele = 'PRI' THEN pri_new WHEN wrong THEN CASE WHEN bin1 NOT IN (pri_new, sec) THEN bin1 WHEN bin2 NOT IN (pri_new, sec) THEN bin2 ELSE scanned END ELSE scanned END AS ccg FROM e5),
+e7 AS (SELECT *, """
+    + smooth_sql("rv", "ccg", "classified = 'HETERO'")
+    + """ AS sm FROM e6),
+e8 AS (SELECT *, list_sort(list_distinct(sm), 'DESC') AS sd FROM e7),
+e9 AS (SELECT *, list_position(sm, sd[1]) AS b1, list_position(sm, coalesce(sd[2], 0)) AS b2 FROM e8),
+e10 AS (SELECT *, CASE WHEN classified <> 'HETERO' AND abs(b1 - b2) BETWEEN 2 AND 9 AND ratio >= 0.05 AND """
+    + _clean_sql("sm", "b1")
+    + " AND "
+    + _clean_sql("sm", "b2")
+    + """ AND coalesce(sd[2], 0) / nullif(sd[1], 0)::DOUBLE >= 0.15 THEN 'HETERO' ELSE classified END AS seen FROM e9),
+ebins AS (SELECT sample_id, allele, generate_subscripts(sm, 1)::INT AS bin, unnest(sm) AS n FROM e10),
+fbins AS (SELECT sample_id, generate_subscripts(fw, 1)::INT AS bin, unnest(fw) AS n FROM vec),
+pbins AS (SELECT * FROM ebins WHERE allele = 'PRI'),"""
+    + peaks_cte("ep", "ebins", "sample_id, allele", "bin", "n", 0.5)
+    + ","
+    + peaks_cte("fp", "fbins", "sample_id", "bin", "n", 0.15)
+    + ","
+    + peaks_cte("pp", "pbins", "sample_id", "bin", "n", 0.15)
+    + """,
+e11 AS (SELECT e.*, coalesce(f, []) AS found, CASE seen WHEN 'HETERO' THEN 2 ELSE 1 END AS wanted FROM e10 e LEFT JOIN (SELECT sample_id, allele, list(peak ORDER BY peak) AS f FROM ep GROUP BY ALL) p ON p.sample_id = e.sample_id AND p.allele = e.allele),
+e12 AS (SELECT *, len(found) <> wanted AND NOT list_contains(found, ccg) AND len(found) > 2 AND seen <> 'HETERO' AS crowd FROM e11),
+e13 AS (SELECT *, CASE WHEN len(found) <> wanted AND list_contains(found, ccg) THEN [ccg] WHEN crowd THEN [b1] ELSE found END AS pk FROM e12),
+e14 AS (SELECT *, list_contains(pk, ccg) AS matched, CASE WHEN len(pk) > 1 AND allele = 'SEC' THEN pk[2] ELSE pk[1] END - shift AS fod_ccg,
+   bool_and(abs(b1 - ccg) <= 1 OR (seen = 'HETERO' AND abs(b2 - ccg) <= 1)) OVER (PARTITION BY sample_id) AS continuous FROM e13),
+e15 AS (SELECT *, CASE WHEN max(CASE WHEN matched THEN ccg END) FILTER (WHERE allele = 'PRI') OVER w IS NOT DISTINCT FROM max(CASE WHEN matched THEN ccg END) FILTER (WHERE allele = 'SEC') OVER w THEN 'HOMO' ELSE 'HETERO' END AS local,
+   abs(max(ccg) FILTER (WHERE allele = 'PRI') OVER w - max(ccg) FILTER (WHERE allele = 'SEC') OVER w) AS apart,
+   CASE WHEN max(est_ccg) FILTER (WHERE allele = 'PRI') OVER w = max(est_ccg) FILTER (WHERE allele = 'SEC') OVER w THEN 'HOMO' ELSE 'HETERO' END AS stated, bool_or(status = 'Atypical') OVER w AS odd,
+   CASE WHEN max(fod_ccg) FILTER (WHERE allele = 'PRI') OVER w IS NOT DISTINCT FROM max(fod_ccg) FILTER (WHERE allele = 'SEC') OVER w THEN 'HOMO' ELSE 'HETERO' END AS zygosity,
+   max(b1) FILTER (WHERE allele = 'PRI') OVER w AS pri_b1, bool_or(crowd) OVER w AS crowded FROM e14 WINDOW w AS (PARTITION BY sample_id)),
+review AS (SELECT e.sample_id, e.allele, ccg::INT AS ccg, ccg <> scanned AS overwritten, round(ratio, 6) AS ratio,
+   unsure OR (state = 'homozygous' AND list_position(fw, list_max(fw)) = pri_b1 AND coalesce(nf, 0) <> coalesce(nr, 0)) AS uncertain, continuous, matched, fod_ccg::INT AS fod_ccg, local,
+   local = CASE apart WHEN 0 THEN 'HOMO' ELSE 'HETERO' END OR apart = 1 AS ccg_passes, zygosity, crowded OR zygosity <> CASE WHEN odd THEN stated ELSE local END AS svm_failure
+  FROM e15 e LEFT JOIN (SELECT sample_id, count(*) AS nf FROM fp GROUP BY 1) f ON f.sample_id = e.sample_id LEFT JOIN (SELECT sample_id, count(*) AS nr FROM pp GROUP BY 1) r ON r.sample_id = e.sample_id),
+tg AS (SELECT sample_id, allele, list(smooth ORDER BY cag) AS t FROM bins GROUP BY ALL),
+p1 AS (SELECT v.sample_id, v.allele, state, fod, zygosity, t, CASE WHEN fod > 1 THEN t[fod - 1] END AS nm, t[fod] AS n0, t[fod + 1] AS np, list_sort(list_distinct(t), 'DESC') AS d FROM valid v JOIN tg USING (sample_id, allele) JOIN review r ON r.sample_id = v.sample_id AND r.allele = v.allele),
+p2 AS (SELECT *, coalesce(state = 'heterozygous' AND abs(np / nullif(n0, 0)::DOUBLE - 0.85) <= 0.0750085 AND nm / nullif(n0, 0)::DOUBLE > 0.65, false) AS up, coalesce(state = 'heterozygous' AND abs(nm / nullif(n0, 0)::DOUBLE - 0.80) <= 0.150008 AND np / nullif(n0, 0)::DOUBLE > 0.65, false) AS down,
+   zygosity = 'HETERO' AND abs(list_position(t, d[1]) - list_position(t, coalesce(d[2], 0))) > 2 AND d[1] - coalesce(d[2], 0) <= 0.55 * d[1] + 0.00001 * coalesce(d[2], 0) AS unexpected FROM p1),
+peak AS (SELECT sample_id, allele, (fod + up::INT - down::INT)::INT AS fod, up OR down AS slippage_overwrite, unexpected,
+   CASE WHEN nm > 0 AND n0 > 0 AND np > 0 THEN round(abs((ln(nm) - ln(np)) / nullif(2 * (ln(nm) - 2 * ln(n0) + ln(np)), 0)), 6) END AS interpolated FROM p2),
+g1 AS (SELECT e.sample_id, e.allele, e.status, e.state, e.est_cag, e.est_ccg, e.est_cct, e.scanned, split_part(label, '_', 2) AS m1, split_part(label, '_', 3) AS m2, k.fod, k.slippage_overwrite, r.zygosity, coalesce(r.fod_ccg, e.est_ccg) AS fccg,
+   r.overwritten OR k.fod <> e.est_cag OR coalesce(r.fod_ccg, e.est_ccg) <> e.est_ccg AS fod_overwrite
+  FROM e15 e JOIN review r ON r.sample_id = e.sample_id AND r.allele = e.allele JOIN peak k ON k.sample_id = e.sample_id AND k.allele = e.allele),
+g2 AS (SELECT *, fod || '_' || m1 || '_' || m2 || '_' || fccg || '_' || est_cct AS gt, max(scanned) FILTER (WHERE allele = 'PRI') OVER w <> max(scanned) FILTER (WHERE allele = 'SEC') OVER w AS bins_differ,
+   max(est_ccg) FILTER (WHERE allele = 'PRI') OVER w <> max(est_ccg) FILTER (WHERE allele = 'SEC') OVER w AS ccgs_differ, bool_or(scanned <> est_ccg) OVER w AS moved, bool_or(status = 'Atypical' AND scanned <> est_ccg) OVER w AS rewritten,
+   bool_or(status = 'Atypical' AND scanned = est_ccg) OVER w AS kept, bool_or(fod_overwrite) OVER w AS any_over FROM g1 WINDOW w AS (PARTITION BY sample_id)),
+labels AS (SELECT sample_id, allele, CASE WHEN state = 'homozygous' AND allele = 'SEC' THEN max(gt) FILTER (WHERE allele = 'PRI') OVER (PARTITION BY sample_id) ELSE gt END AS genotype, fod_overwrite, slippage_overwrite,
+   zygosity <> 'HETERO' AND state <> 'homozygous' AND any_over AS missed_expansion, rewritten AS ccg_rewritten, kept OR (bins_differ AND NOT ccgs_differ AND rewritten) OR (moved AND NOT bins_differ) AS zygosity_rewritten FROM g2)"""
+)
 
 
-def events_sql() -> str:
-    from amplitract.operators.metrics import PENALTIES
+#: Levels are those of the last range that holds the ratio; past the last bound 6. Written apart from the operator's steps.
+_MINUS = "CASE WHEN nminus > 0.75 THEN 6 WHEN nminus >= 0.6999925 THEN 5 WHEN nminus BETWEEN 0.549994 AND 0.650006 THEN 4 WHEN nminus BETWEEN 0.3999955 AND 0.5000045 THEN 3 WHEN nminus BETWEEN 0.3099965 AND 0.3900035 THEN 2 WHEN nminus BETWEEN 0.2299975 AND 0.2700025 THEN 1 ELSE 0 END"
+_PLUS = "CASE WHEN nplus > 0.65 THEN 6 WHEN nplus >= 0.5999935 THEN 5 WHEN nplus BETWEEN 0.3199963 AND 0.4200037 THEN 4 WHEN nplus BETWEEN 0.2399973 AND 0.3000027 THEN 3 WHEN nplus BETWEEN 0.1199985 AND 0.1800015 THEN 2 WHEN nplus BETWEEN 0.0299995 AND 0.0700005 THEN 1 ELSE 0 END"
 
-    return " UNION ALL ".join(f"SELECT sample_id, allele, '{rule}' AS rule, ({delta})::INT AS delta FROM scored WHERE ({delta}) IS NOT NULL" for rule, delta in PENALTIES)
+SCORED = (
+    REVIEW
+    + ","
+    + METRICS[len(CALLS) :].strip().removeprefix(",")
+    + f""",
+mapped AS (SELECT sample_id, 100.0::DOUBLE * count(*) FILTER (WHERE mapq >= 1 AND mate = 'R1') / nullif(count(*) FILTER (WHERE mate = 'R1'), 0) AS fw_mapped,
+   100.0::DOUBLE * count(*) FILTER (WHERE mapq >= 1 AND mate = 'R2') / nullif(count(*) FILTER (WHERE mate = 'R2'), 0) AS rv_mapped,
+   count(*) FILTER (WHERE mapq >= 1 AND mate = 'R1') AS fw_count, count(*) FILTER (WHERE mapq >= 1 AND mate = 'R2') AS rv_count, count(*) FILTER (WHERE mapq < 1 AND mate = 'R1') AS fw_purged, count(*) FILTER (WHERE mapq < 1 AND mate = 'R2') AS rv_purged, count(*) AS all_reads FROM reads GROUP BY sample_id),
+slice1 AS (SELECT sample_id, sum(n) AS whole, max(n) FILTER (WHERE cag = call) AS own FROM bins WHERE allele = 'PRI' GROUP BY 1),
+hid0 AS (SELECT b.sample_id, count(DISTINCT ccg) AS ccgs, max(call) FILTER (WHERE allele = 'PRI') AS c1, max(call) FILTER (WHERE allele = 'SEC') AS c2, max(n) FILTER (WHERE allele = 'PRI' AND cag = call) AS n1, max(n) FILTER (WHERE allele = 'SEC' AND cag = call) AS n2, sum(n) FILTER (WHERE allele = 'PRI') AS whole
+   FROM (SELECT bins.*, a.ccg FROM bins JOIN asked a USING (sample_id, allele)) b GROUP BY 1),
+tail AS (SELECT b.sample_id, cag, n FROM bins b JOIN slice1 USING (sample_id) WHERE b.allele = 'PRI' AND cag > call + 5 AND whole > 100 AND own < 0.65 * whole),"""
+    + peaks_cte("dim", "tail", "sample_id", "cag", "n", 0.05)
+    + f""",
+hid AS (SELECT DISTINCT h.sample_id FROM hid0 h JOIN dim USING (sample_id) WHERE ccgs = 1 AND c1 <> c2 AND n1 + n2 < (0.65 - 0.175) * whole AND least(n1, n2) < 750 AND height > 100 AND abs(peak - c2) > 1
+   AND h.sample_id NOT IN (SELECT sample_id FROM alleles WHERE status = 'Atypical')),
+warn AS (SELECT sample_id, least(a_n, b_n, t_n) < 20 AS few FROM ranked),
+scored AS (SELECT v.sample_id, v.allele, recalls, v.state, coalesce(h.sample_id IS NOT NULL, false) OR missed_expansion AS diminished, al.status, al.typical_pcnt, al.atypical_pcnt, al.total AS contig_reads, m.total, vicinity, slippage, mosaicism, threshold,
+   CASE WHEN v.state <> 'heterozygous' THEN 2 ELSE {_MINUS} END AS minus_level, CASE WHEN v.state <> 'heterozygous' THEN 2 ELSE {_PLUS} END AS plus_level, nminus, nplus,
+   fw_mapped, rv_mapped, fw_count, rv_count, fw_purged, rv_purged, all_reads, fatal_low, diff_confuse, heuristic_ok, k.fod, est_cag, r.uncertain AS ccg_uncertain, r.svm_failure, r.fod_ccg, k.unexpected, k.interpolated, few AS alignment_warning, cct_uncertain, al.intervening,
+   l.* EXCLUDE (sample_id, allele), al.total < 750 AS low_reads, al.status = 'Atypical' AND coalesce(at_call, 0) = 0 AS atypical_warning
+  FROM valid v JOIN mets m USING (sample_id, allele) JOIN alleles al ON al.sample_id = v.sample_id AND al.allele = v.allele JOIN mapped p ON p.sample_id = v.sample_id JOIN warn ON warn.sample_id = v.sample_id
+  JOIN review r ON r.sample_id = v.sample_id AND r.allele = v.allele JOIN peak k ON k.sample_id = v.sample_id AND k.allele = v.allele JOIN labels l ON l.sample_id = v.sample_id AND l.allele = v.allele LEFT JOIN hid h ON h.sample_id = v.sample_id),
+levels AS (SELECT sample_id, allele, 'below the peak' AS rule, minus_level AS level FROM scored UNION ALL SELECT sample_id, allele, 'above the peak', plus_level FROM scored),
+shares AS (SELECT sample_id, allele, 'forward mapped' AS rule, fw_mapped AS share FROM scored UNION ALL SELECT sample_id, allele, 'reverse mapped', rv_mapped FROM scored),
+flagged AS (SELECT sample_id, allele, unnest(['diminished peak', 'overwritten genotype', 'missed expansion', 'slippage overwrite', 'peak inspection', 'uncertain CCG', 'alignment warning', 'atypical alignment warning', 'fatally few reads', 'differential confusion', 'no second allele']) AS rule,
+   unnest([diminished, fod_overwrite, fod_overwrite AND missed_expansion, slippage_overwrite, minus_level = 6 OR plus_level = 6 OR unexpected, ccg_uncertain, alignment_warning, atypical_warning, fatal_low, diff_confuse, NOT heuristic_ok]) AS raised,
+   unnest([-10, -20, -50, -25, -10, -15, -15, -50, -25, -30, -20]) AS delta FROM scored),
+events AS (
+  SELECT sample_id, allele, rule, delta FROM flagged WHERE raised
+  UNION ALL SELECT sample_id, allele, 'recall count', CASE WHEN recalls = 7 THEN -25 WHEN recalls > 4 THEN -15 ELSE -5 END FROM scored WHERE recalls IN (1, 2, 3, 5, 6, 7)
+  UNION ALL SELECT sample_id, allele, 'zygosity', CASE state WHEN 'homozygous' THEN -25 ELSE -15 END FROM scored WHERE state <> 'heterozygous'
+  UNION ALL SELECT sample_id, allele, 'atypical', CASE status WHEN 'Atypical' THEN -5 ELSE 1 END FROM scored
+  UNION ALL SELECT sample_id, allele, 'mixed structure', -30 FROM scored WHERE CASE status WHEN 'Atypical' THEN atypical_pcnt ELSE typical_pcnt END BETWEEN 44.9995 AND 55.0005
+  UNION ALL SELECT sample_id, allele, 'clear structure', 15 FROM scored WHERE status = 'Atypical' AND atypical_pcnt >= 59.9992
+  UNION ALL SELECT sample_id, allele, 'clear structure', 2 FROM scored WHERE status = 'Typical' AND typical_pcnt BETWEEN 64.9992 AND 95.0008
+  UNION ALL SELECT sample_id, allele, 'total reads', CASE WHEN total > 10000 THEN 5 WHEN total >= 1000 THEN 1 ELSE -15 END FROM scored
+  UNION ALL SELECT sample_id, allele, 'vicinity', d FROM (SELECT *, CASE WHEN 100 * vicinity > 85 THEN 1 WHEN 100 * vicinity > 65 AND 100 * vicinity < 84.99 THEN -10 WHEN 100 * vicinity > 45 AND 100 * vicinity < 64.99 THEN -15 WHEN 100 * vicinity > 0 AND 100 * vicinity < 44.99 THEN -20 END AS d FROM scored) WHERE d IS NOT NULL
+  UNION ALL SELECT sample_id, allele, 'slippage', CASE WHEN slippage < 0.1 THEN 5 WHEN slippage < 0.25 THEN 1 ELSE -1 END FROM scored WHERE slippage > 0 AND slippage NOT IN (0.1, 0.25)
+  UNION ALL SELECT sample_id, allele, 'mosaicism', CASE WHEN mosaicism < 0.01 THEN 10 WHEN mosaicism < 0.015 THEN 5 ELSE -1 END FROM scored WHERE mosaicism > 0 AND mosaicism NOT IN (0.01, 0.015)
+  UNION ALL SELECT sample_id, allele, 'CCG threshold', 1 FROM scored
+  UNION ALL SELECT sample_id, allele, 'threshold', CASE WHEN threshold = 0.5 THEN 1 WHEN threshold > 0.3 THEN -5 ELSE -10 END FROM scored WHERE threshold <> 0.3
+  UNION ALL SELECT sample_id, allele, rule, CASE level WHEN 0 THEN 5 WHEN 1 THEN -5 WHEN 2 THEN -7 WHEN 3 THEN -15 WHEN 4 THEN -15 ELSE -10 END FROM levels
+  UNION ALL SELECT sample_id, allele, rule, CASE WHEN share > 90 THEN 2 WHEN share > 85 AND share < 90 THEN 1 ELSE -2 END FROM shares),
+late AS (SELECT unnest(['peak inspection', 'uncertain CCG', 'alignment warning', 'atypical alignment warning', 'fatally few reads', 'differential confusion', 'no second allele', 'forward mapped', 'reverse mapped']) AS rule)"""
+)

@@ -7,7 +7,9 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from amplitract.functions.fuzzy import label_parts
 from amplitract.operators import consensus as K
+from amplitract.operators import evidence as E
 from amplitract.operators import genotype as G
 from amplitract.operators import histogram as H
 from amplitract.operators import metrics as M
@@ -65,36 +67,71 @@ class Cohort:
     """The tables of one run, from the sums of reads by structure on: a few hundred rows a sample, kept in memory."""
 
     hist: DataFrame
+    top: DataFrame
     alleles: DataFrame
     bins: DataFrame
     calls: DataFrame
     valid: DataFrame
     reads: DataFrame
+    ccgs: DataFrame
 
 
 def genotyped(spark: SparkSession, sf_dir: str) -> Cohort:
     reads = synth_reads(spark, sf_dir)
-    rows = assign_contigs(scan_tracts(reads)).drop("five", "three")
+    rows = assign_contigs(scan_tracts(reads))
     keys = [c for c in rows.columns if c != "n"]
     rows = rows.groupBy(*keys).agg(F.sum("n").alias("n")).persist()
-    hist = _forward(H.histogram(rows))
+    both = H.histogram(rows)
+    hist = _forward(both)
     top = top_contigs(hist)
     alleles = K.alleles(K.choose_pair(K.ranks(top)), K.contig_summary(rows, top)).persist()
     bins = G.slices(alleles, hist).persist()
     calls = G.cag_calls(bins)
-    return Cohort(hist, alleles, bins, calls, G.validate(calls, bins), reads)
+    return Cohort(hist, top, alleles, bins, calls, G.validate(calls, bins).persist(), reads, both.groupBy("sample_id", "mate", "ccg").agg(F.sum("n").alias("n")))
 
 
-def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+def ccg_review(c: Cohort) -> DataFrame:
+    dense = lambda mate: H.densify(c.ccgs.where(F.col("mate") == mate).drop("mate"), ["sample_id"], "ccg", 20)
+    return E.ccg_review(dense("R2"), dense("R1"), c.alleles, G.zygosity(dense("R2")), c.valid)
+
+
+@dataclass
+class Evidence:
+    """What the second looks found, one row for each allele."""
+
+    review: DataFrame
+    peak: DataFrame
+    labels: DataFrame
+
+
+def evidence(c: Cohort, starred: bool = True) -> Evidence:
+    """starred: new sequences between the tracts are labelled by likeness, with a star, which needs Python; else by exact counts."""
+    review = ccg_review(c).persist()
+    peak = E.peak_review(c.bins, c.valid, review).persist()
+    return Evidence(review, peak, E.final_labels(label_parts(c.alleles) if starred else c.alleles, c.valid, review, peak))
+
+
+def scored(c: Cohort, e: Evidence) -> DataFrame:
     """One row for each allele with all that the confidence rules use."""
-    c = genotyped(spark, sf_dir)
     share = lambda mate: F.try_divide(100.0 * F.count_if((F.col("mapq") >= 1) & (F.col("mate") == mate)), F.count_if(F.col("mate") == mate))
-    mapped = c.reads.groupBy("sample_id").agg(share("R1").alias("fw_mapped"), share("R2").alias("rv_mapped"))
-    rows = c.valid.join(M.peak_metrics(c.bins).drop("call"), G.SLICE).join(c.alleles.drop("ccg", "cag", "total"), G.SLICE).join(mapped, "sample_id")
+    count = lambda mate, good: F.count_if((F.col("mapq") >= 1) & (F.col("mate") == mate) if good else (F.col("mapq") < 1) & (F.col("mate") == mate))
+    mapped = c.reads.groupBy("sample_id").agg(
+        share("R1").alias("fw_mapped"), share("R2").alias("rv_mapped"), count("R1", True).alias("fw_count"), count("R2", True).alias("rv_count"),
+        count("R1", False).alias("fw_purged"), count("R2", False).alias("rv_purged"), F.count(F.lit(1)).alias("all_reads"),
+    )
+    rows = c.valid.drop("fod", "ccg").join(M.peak_metrics(c.bins).drop("call"), G.SLICE).join(c.alleles.drop("ccg", "cag").withColumnRenamed("total", "contig_reads"), G.SLICE).join(mapped, "sample_id")
     level = lambda ratio, steps, most: F.when(F.col("state") != "heterozygous", 2).otherwise(F.expr(M.drop_level(ratio, steps, most)))
-    hidden = G.hidden_expansions(c.bins, c.alleles).withColumn("diminished", F.lit(True))
-    rows = rows.join(hidden, "sample_id", "left")
-    return rows.withColumns({"diminished": F.coalesce("diminished", F.lit(False)), "minus_level": level("nminus", M.DROP_MINUS, 0.75), "plus_level": level("nplus", M.DROP_PLUS, 0.65)})
+    hidden = G.hidden_expansions(c.bins, c.alleles).withColumn("hidden", F.lit(True))
+    few = K.read_warnings(K.ranks(c.top)).select("sample_id", F.col("few").alias("alignment_warning"))
+    rows = rows.join(hidden, "sample_id", "left").join(few, "sample_id")
+    rows = rows.join(e.review.select(*G.SLICE, F.col("uncertain").alias("ccg_uncertain"), "svm_failure", "zygosity", "fod_ccg"), G.SLICE)
+    rows = rows.join(e.peak.select(*G.SLICE, "fod", "unexpected", "interpolated"), G.SLICE).join(e.labels, G.SLICE)
+    rows = rows.withColumns({
+        "diminished": F.coalesce("hidden", F.lit(False)) | F.col("missed_expansion"), "ccg_threshold": F.lit(0.5).cast("double"),
+        "minus_level": level("nminus", M.DROP_MINUS, 0.75), "plus_level": level("nplus", M.DROP_PLUS, 0.65),
+        "atypical_warning": (F.col("status") == "Atypical") & (F.coalesce("at_call", F.lit(0)) == 0), "low_reads": F.col("contig_reads") < 750,
+    })
+    return rows.withColumn("inspection", (F.col("minus_level") == 6) | (F.col("plus_level") == 6) | F.col("unexpected")).drop("hidden")
 
 
 def alleles(spark: SparkSession, sf_dir: str) -> DataFrame:

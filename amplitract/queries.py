@@ -14,7 +14,8 @@ from amplitract.operators import qc as Q
 from amplitract.operators import reference as R
 from amplitract.operators import report as T
 from amplitract.operators import variants as V
-from amplitract.oracles import CALLS, CONSENSUS, METRICS, PAIRS, READS, SCORED, SLICES, TOP, events_sql, peaks_cte, query, SCAN
+from amplitract.operators import evidence as E
+from amplitract.oracles import CALLS, CONSENSUS, METRICS, PAIRS, READS, REVIEW, SCORED, SLICES, TOP, peaks_cte, query, SCAN
 from amplitract.plans import cohort as C
 from amplitract.sources.reads import FIVE_PRIME, THREE_PRIME, TYPICAL, synth_reads
 
@@ -81,7 +82,7 @@ s AS (SELECT *, max(n) FILTER (WHERE r = 1) OVER w AS top, max(n) FILTER (WHERE
 t AS (SELECT *, cr = 2 AND 100 * second / nullif(top, 0) > 0 AND 100 * second / nullif(top, 0) < 50 AS rescue FROM s),
 u AS (SELECT *, CASE WHEN rescue AND r = 1 THEN trunc(n - n / 100.0::DOUBLE * 95) ELSE n END::BIGINT AS f,
       CASE WHEN called BETWEEN 1 AND 6000 THEN 75.0 WHEN called BETWEEN 6001 AND 12000 THEN 85.0 ELSE 95.0 END AS pct FROM t)
-SELECT sample_id, ccg, n, call, CASE WHEN ccg = call THEN n ELSE greatest(0, trunc(f - f / 100.0::DOUBLE * pct::DOUBLE)::BIGINT - CASE WHEN rescue THEN 0 ELSE 5 END) END AS smooth FROM u""").replace(")\n, r AS", "),\nr AS").replace("\n\n, r AS", ",\nr AS").replace("\n, r AS", ",\nr AS"))
+SELECT sample_id, ccg, n, call, CASE WHEN ccg = call THEN n ELSE greatest(0, trunc(f - f / 100.0::DOUBLE * pct::DOUBLE)::BIGINT - CASE WHEN cr = 2 AND NOT rescue THEN 5 ELSE 0 END) END AS smooth FROM u""").replace(")\n, r AS", "),\nr AS").replace("\n\n, r AS", ",\nr AS").replace("\n, r AS", ",\nr AS"))
 def smooth_heterozygous(spark, sf):
     return H.smooth_heterozygous(C.called_ccg(spark, sf))
 
@@ -154,11 +155,16 @@ def smooth_interval(spark, sf):
     return H.smooth_interval(C.genotyped(spark, sf).bins.where("n > 0").drop("smooth")).select("sample_id", "allele", "cag", "n", "smooth")
 
 
-@register("n_aligned", query("SELECT sample_id, allele, " + ", ".join(f"coalesce(sum(n) FILTER (WHERE cag - call = {k}), 0)::BIGINT AS {'m' if k < 0 else 'p'}{abs(k)}" for k in range(-3, 4)) + " FROM bins GROUP BY ALL", SLICES))
+@register("n_aligned", query("SELECT sample_id, allele, (cag - call)::INT AS off, n FROM bins", SLICES))
 def n_aligned(spark, sf):
     return H.align_to_call(C.genotyped(spark, sf).bins)
 
 
+@register("aligned_distributions", query("SELECT sample_id, allele, repeat('-,', (203 - call)::INT) || string_agg(n || '.00000', ',' ORDER BY cag) || repeat(',-', call::INT) AS dist FROM bins GROUP BY sample_id, allele, call", SLICES))
+def aligned_distributions(spark, sf):
+    return H.anchored_rows(C.genotyped(spark, sf).bins)
+
+
 @register("cag_call", query("SELECT sample_id, allele, call, recalls, threshold, array_to_string(peaks, ',') AS peaks, fod FROM calls", CALLS))
 def cag_call(spark, sf):
     return C.genotyped(spark, sf).calls.withColumn("peaks", F.concat_ws(",", F.col("peaks").cast("array<string>")))
@@ -193,14 +199,59 @@ def confidence_interval(spark, sf):
     return M.confidence_interval(C.genotyped(spark, sf).bins)
 
 
-@register("penalty_events", query(events_sql(), SCORED))
+def _scored(spark, sf, starred=True):
+    c = C.genotyped(spark, sf)
+    return C.scored(c, C.evidence(c, starred))
+
+
+@register("ccg_review", query("SELECT * FROM review", REVIEW))
+def ccg_review(spark, sf):
+    return C.ccg_review(C.genotyped(spark, sf))
+
+
+@register("peak_review", query("SELECT * FROM peak", REVIEW))
+def peak_review(spark, sf):
+    c = C.genotyped(spark, sf)
+    return E.peak_review(c.bins, c.valid, C.ccg_review(c))
+
+
+@register("final_labels", query("SELECT * FROM labels", REVIEW))
+def final_labels(spark, sf):
+    """Without the stars of new sequences, which SQL can't find; starred_genotype has them."""
+    c = C.genotyped(spark, sf)
+    review = C.ccg_review(c).persist()
+    return E.final_labels(c.alleles, c.valid, review, E.peak_review(c.bins, c.valid, review)).drop("novel")
+
+
+@register("starred_genotype")
+def starred_genotype(spark, sf):
+    return C.evidence(C.genotyped(spark, sf)).labels
+
+
+@register("penalty_events", query("SELECT * FROM events", SCORED))
 def penalty_events(spark, sf):
-    return M.penalty_events(C.scored(spark, sf))
+    return M.penalty_events(_scored(spark, sf, starred=False))
 
 
-@register("confidence", query(f"SELECT s.sample_id, s.allele, CASE WHEN status = 'Atypical' AND abs(fod - est_cag) > 1 THEN 0 ELSE greatest(0, least(100, 100 + coalesce(d, 0))) END::INT AS confidence FROM scored s LEFT JOIN (SELECT sample_id, allele, sum(delta) AS d FROM ({events_sql()}) GROUP BY ALL) e USING (sample_id, allele)", SCORED))
+@register("confidence", query("SELECT s.sample_id, s.allele, CASE WHEN status = 'Atypical' AND abs(fod - est_cag) > 1 THEN 0 ELSE greatest(0, least(100, 100 + coalesce(d, 0))) END::INT AS confidence FROM scored s LEFT JOIN (SELECT sample_id, allele, sum(delta) AS d FROM events GROUP BY ALL) e USING (sample_id, allele)", SCORED))
 def confidence(spark, sf):
-    return M.confidence(C.scored(spark, sf))
+    return M.confidence(_scored(spark, sf, starred=False))
+
+
+@register("confidence_subsampled", query("""
+, f AS (SELECT *, CASE WHEN all_reads > 20000 THEN 0.35 WHEN all_reads > 15000 THEN 0.45 WHEN all_reads > 10000 THEN 0.55 WHEN all_reads > 5000 THEN 0.65 ELSE 0.2 END AS share, total / all_reads::DOUBLE AS q FROM scored),
+e AS (SELECT sample_id, allele, sum(delta) FILTER (WHERE rule NOT IN (SELECT rule FROM late)) AS early, sum(delta) FILTER (WHERE rule IN (SELECT rule FROM late)) AS last FROM events GROUP BY ALL),
+g AS (SELECT f.sample_id, f.allele, status, fod, est_cag, 100 + coalesce(early, 0) AS score, coalesce(last, 0) AS last, state,
+  CASE WHEN all_reads > 10000 THEN 1 WHEN all_reads >= 5000 THEN CASE WHEN share <= 0.3 THEN 0.75 WHEN share <= 0.6 THEN 0.85 ELSE 0.95 END WHEN all_reads >= 2000 THEN CASE WHEN share <= 0.3 THEN 0.55 WHEN share <= 0.6 THEN 0.65 ELSE 0.70 END ELSE CASE WHEN share <= 0.3 THEN 0.35 WHEN share <= 0.6 THEN 0.40 ELSE 0.45 END END::DOUBLE AS factor,
+  CASE WHEN abs(q - 0.55) <= 0.0500055 THEN 1 WHEN abs(q - 0.45) <= 0.0500045 THEN 5 WHEN abs(q - 0.35) <= 0.0500035 THEN 5 WHEN abs(q - 0.25) <= 0.0500025 THEN 7 WHEN abs(q - 0.15) <= 0.0500015 THEN 10 WHEN abs(q - 0.05) <= 0.0500005 THEN 15 ELSE 0 END AS minus FROM f LEFT JOIN e USING (sample_id, allele))
+SELECT sample_id, allele, CASE WHEN status = 'Atypical' AND abs(fod - est_cag) > 1 THEN 0 ELSE trunc(greatest(0, least(100, CASE WHEN state = 'heterozygous' THEN score * factor - minus ELSE score END + last))) END::INT AS confidence FROM g""", SCORED).replace(")\n\n, f AS", "),\nf AS"))
+def confidence_subsampled(spark, sf):
+    """Scores as if the scan had kept the share of reads that its steps ask for, and a fifth of small samples."""
+    reads = F.col("all_reads")
+    share = F.lit(0.2)
+    for least, kept in reversed(Q.SCAN_STEPS):
+        share = F.when(reads > least, kept / 1000).otherwise(share)
+    return M.confidence(_scored(spark, sf, starred=False).withColumn("share", share), "share")
 
 
 _BASES = READS + """,
@@ -262,7 +313,7 @@ def _shares(steps):
     return "CASE " + " ".join(f"WHEN count(*) >= {least} THEN {kept}" for least, kept in steps) + " ELSE 1000 END"
 
 
-@register("subsample", query(f"SELECT r.sample_id, mate, count(*) AS n FROM reads r JOIN (SELECT sample_id, {_shares([(1000, 500), (500, 750)])} AS share FROM reads GROUP BY 1) s USING (sample_id) WHERE read_id % 1000 < share GROUP BY ALL", READS))
+@register("subsample", query(f"SELECT r.sample_id, mate, count(*) AS n FROM reads r JOIN (SELECT sample_id, {_shares([(1000, 500), (500, 750)])} AS share FROM reads GROUP BY 1) s USING (sample_id) WHERE ('0x' || substr(md5(read_id::VARCHAR), 1, 8))::BIGINT % 1000 < share GROUP BY ALL", READS))
 def subsample(spark, sf):
     return Q.subsample(synth_reads(spark, sf), [(1000, 500), (500, 750)]).groupBy("sample_id", "mate").agg(F.count(F.lit(1)).alias("n"))
 
@@ -278,13 +329,13 @@ def realign_atypical(spark, sf):
 
 
 _VARIANTS = """v AS (SELECT (l_suppkey % 20)::INT AS sample_id, CASE WHEN l_orderkey % 2 = 0 THEN 'PRI' ELSE 'SEC' END AS allele, l_orderkey % 3 = 0 AS atypical, '17_1_1_7_2' AS label,
- '17_1_1_7_2' || CASE WHEN l_orderkey % 3 = 0 THEN '_CAG17' ELSE '' END || CASE WHEN l_linenumber = 5 THEN 'x' ELSE '' END AS chrom, (l_partkey % 300)::INT AS pos, 'A' AS ref, 'G' AS alt, l_extendedprice % 100 AS qual FROM lineitem WHERE l_quantity = 50),
+ '17_1_1_7_2' || CASE WHEN l_orderkey % 3 = 0 THEN '_CAG17' ELSE '' END || CASE WHEN l_linenumber = 5 THEN 'x' ELSE '' END AS chrom, (l_partkey % 300)::INT AS pos, 'A' AS ref, 'G' AS alt, l_extendedprice % 100 AS qual FROM lineitem),
 t AS (SELECT *, CASE WHEN atypical THEN regexp_replace(chrom, '_?CAG.*$', '') ELSE chrom END = label AS target FROM v),
 k AS (SELECT * FROM (SELECT *, min(pos) OVER (PARTITION BY sample_id, allele) AS lo, max(pos) OVER (PARTITION BY sample_id, allele) AS hi FROM t WHERE target AND qual > 20) WHERE abs(pos - lo) > 5 AND abs(pos - hi) > 5)"""
 
 
 def synth_variants(spark, sf):
-    rows = spark.read.parquet(f"{sf}/lineitem.parquet").where("l_quantity = 50")
+    rows = spark.read.parquet(f"{sf}/lineitem.parquet")
     odd = F.col("l_orderkey") % 3 == 0
     chrom = F.concat(F.lit("17_1_1_7_2"), F.when(odd, "_CAG17").otherwise(""), F.when(F.col("l_linenumber") == 5, "x").otherwise(""))
     return rows.select((F.col("l_suppkey") % 20).cast("int").alias("sample_id"), F.when(F.col("l_orderkey") % 2 == 0, "PRI").otherwise("SEC").alias("allele"), odd.alias("atypical"), F.lit("17_1_1_7_2").alias("label"), chrom.alias("chrom"), (F.col("l_partkey") % 300).cast("int").alias("pos"), F.lit("A").alias("ref"), F.lit("G").alias("alt"), (F.col("l_extendedprice") % 100).alias("qual"))
@@ -305,25 +356,73 @@ def variants_off_target(spark, sf):
     return V.on_target(synth_variants(spark, sf)).where("NOT target").groupBy("sample_id", "allele", "chrom").agg(F.count(F.lit(1)).alias("n"))
 
 
-@register("pileup", query("""SELECT sample_id AS contig, pos::INT AS pos, substr(ref_seq, pos, 1) AS ref, substr(seq, pos, 1) AS alt, sum(k)::BIGINT AS n FROM (
- SELECT u.sample_id, u.seq, u.k, m.seq AS ref_seq, unnest(range(1, length(u.seq) + 1)) AS pos FROM (SELECT sample_id, seq, count(*) AS k FROM reads GROUP BY ALL) u
- JOIN (SELECT sample_id, seq FROM (SELECT sample_id, seq, count(*) AS k FROM reads GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY sample_id ORDER BY k DESC, seq) = 1) m USING (sample_id) WHERE length(u.seq) = length(m.seq) AND u.seq <> m.seq)
-WHERE substr(seq, pos, 1) <> substr(ref_seq, pos, 1) GROUP BY ALL HAVING sum(k) >= 2""", READS))
+_PILE = SCAN + """,
+rd AS (SELECT sample_id || '_' || contig_cag || '_' || contig_ccg AS contig, seq, sum(n)::BIGINT AS k FROM (SELECT t.sample_id, t.seq, t.n, t.a[1] AS cag, (c[1] + floor((length(replace(substr(frames, ((a[2] + a[1]) * 4 + 1)::BIGINT, (greatest(c[2] - a[2] - a[1], 0) * 4)::BIGINT), ' ', '')) - 12) / 3.0))::INT AS ccg2,
+   a[1]::INT AS contig_cag, (c[1] + floor((length(replace(substr(frames, ((a[2] + a[1]) * 4 + 1)::BIGINT, (greatest(c[2] - a[2] - a[1], 0) * 4)::BIGINT), ' ', '')) - 12) / 3.0))::INT AS contig_ccg FROM three t WHERE t.t[1] > 0)
+   WHERE cag BETWEEN 1 AND 200 AND ccg2 BETWEEN 1 AND 20 GROUP BY ALL),
+md AS (SELECT contig, seq AS ref_seq FROM rd QUALIFY row_number() OVER (PARTITION BY contig ORDER BY k DESC, seq) = 1)"""
+
+
+@register("pileup", query("""SELECT contig, pos::INT AS pos, substr(ref_seq, pos, 1) AS ref, substr(seq, pos, 1) AS alt, sum(k)::BIGINT AS n FROM (
+ SELECT u.contig, u.seq, u.k, ref_seq, unnest(range(1, length(u.seq) + 1)) AS pos FROM rd u JOIN md USING (contig) WHERE length(u.seq) = length(ref_seq) AND u.seq <> ref_seq)
+WHERE substr(seq, pos, 1) <> substr(ref_seq, pos, 1) GROUP BY ALL HAVING sum(k) >= 2""", _PILE))
 def pileup(spark, sf):
-    reads = synth_reads(spark, sf).select(F.col("sample_id").alias("contig"), "seq")
-    same = reads.groupBy("contig", "seq").agg(F.count(F.lit(1)).alias("k"))
+    """Against the consensus of each contig of each sample."""
+    reads = assign_contigs(scan_tracts(synth_reads(spark, sf), keep_seq=True)).where("contig_cag IS NOT NULL")
+    same = reads.groupBy(F.concat_ws("_", "sample_id", "contig_cag", "contig_ccg").alias("contig"), "seq").agg(F.sum("n").alias("k"))
     modal = same.groupBy("contig").agg(F.min(F.struct(-F.col("k"), "seq"))["seq"].alias("seq"))
-    return V.pileup(reads, modal)
+    return V.pileup(same, modal)
+
 
+_REPORT = ["genotype", "status", "fw_count", "fw_mapped", "fw_purged", "rv_count", "rv_mapped", "rv_purged", "slippage", "mosaicism", "intervening", "confidence"]
+_FLAGS = {"homozygous_haplotype": "state = 'homozygous'", "neighbouring_peaks": "state = 'neighbouring'", "diminished_peaks": "diminished", "alignment_warning": "alignment_warning", "atypical_alignment_warning": "atypical_warning",
+          "ccg_rewritten": "ccg_rewritten", "ccg_zygosity_rewritten": "zygosity_rewritten", "ccg_uncertainty": "ccg_uncertain", "cct_uncertainty": "cct_uncertain", "svm_failure": "svm_failure", "differential_confusion": "diff_confuse",
+          "missed_expansion": "missed_expansion", "heuristic_success": "heuristic_ok", "peak_inspection": "minus_level = 6 OR plus_level = 6 OR unexpected", "low_distribution_reads": "low_reads", "low_peak_reads": "fatal_low"}
 
-@register("instance_report", query("""SELECT s.sample_id, state, """ + ", ".join(f"coalesce(max({c}::VARCHAR) FILTER (WHERE s.allele = '{who}'), 'FAIL') AS {who.lower()}_{a}" for who in ("PRI", "SEC") for a, c in (("label", "label"), ("status", "s.status"), ("fod", "fod"), ("total", "s.total"))) + " FROM scored s JOIN alleles a ON a.sample_id = s.sample_id AND a.allele = s.allele GROUP BY s.sample_id, state", SCORED))
+
+def _report_sql():
+    name = {"fw_count": "map_fw", "fw_mapped": "map_fw_pcnt", "fw_purged": "purged_fw", "rv_count": "map_rv", "rv_mapped": "map_rv_pcnt", "rv_purged": "purged_rv"}
+    value = lambda c: f"round({c}, 3)" if c.endswith("mapped") else c
+    columns = ", ".join(f"coalesce(max({value(c)}::VARCHAR) FILTER (WHERE allele = '{who}'), 'FAIL') AS {who.lower()}_{name.get(c, c)}" for who in ("PRI", "SEC") for c in _REPORT)
+    text = ", ".join(f"coalesce(max(v.text) FILTER (WHERE allele = '{who}'), 'FAIL') AS {who.lower()}_variant_call, coalesce(round(max(v.score) FILTER (WHERE allele = '{who}'), 4)::VARCHAR, 'FAIL') AS {who.lower()}_variant_score" for who in ("PRI", "SEC"))
+    flags = ", ".join(f"CASE WHEN bool_or({c}) THEN 'True' ELSE 'False' END AS {n}" for n, c in _FLAGS.items())
+    conf = "conf AS (SELECT s.sample_id, s.allele, CASE WHEN status = 'Atypical' AND abs(fod - est_cag) > 1 THEN 0 ELSE greatest(0, least(100, 100 + coalesce(d, 0))) END::INT AS confidence FROM scored s LEFT JOIN (SELECT sample_id, allele, sum(delta) AS d FROM events GROUP BY ALL) e USING (sample_id, allele))"
+    ctes = SCORED + ",\n" + _VARIANTS.strip() + f",\nvt AS (SELECT sample_id, allele, string_agg(ref || '->' || alt || '@' || pos, '   ' ORDER BY qual DESC, pos) AS text, max(qual) AS score FROM k GROUP BY ALL),\n{conf}"
+    return query(f"SELECT sample_id, {columns}, {text}, CASE WHEN count(DISTINCT allele) < 2 THEN 'True' ELSE 'False' END AS exception, {flags} FROM scored JOIN conf USING (sample_id, allele) LEFT JOIN vt v USING (sample_id, allele) GROUP BY sample_id", ctes)
+
+
+@register("instance_report", _report_sql())
 def instance_report(spark, sf):
-    scored = C.scored(spark, sf)
-    report = T.instance_report(scored, M.confidence_interval(C.genotyped(spark, sf).bins), M.confidence(scored))
-    return report.select("sample_id", "state", *[f"{who}_{c}" for who in ("pri", "sec") for c in ("label", "status", "fod", "total")])
+    """By exact counts, as SQL can't find the stars of new sequences; sample_reports has them."""
+    scored = _scored(spark, sf, starred=False).withColumns({c: F.round(c, 3) for c in ("fw_mapped", "rv_mapped")}).persist()
+    variants = V.variant_text(V.surviving(synth_variants(spark, sf), 20.0)).withColumn("score", F.round("score", 4))
+    return T.instance_report(scored, M.confidence(scored), variants).drop("novel_atypical")
+
+
+@register("sample_reports")
+def sample_reports(spark, sf):
+    scored = _scored(spark, sf).persist()
+    return T.instance_report(scored, M.confidence(scored), V.variant_text(V.surviving(synth_variants(spark, sf), 20.0)))
+
+
+@register("simplified_report")
+def simplified_report(spark, sf):
+    c = C.genotyped(spark, sf)
+    return T.simplified_report(C.evidence(c).labels, M.confidence_interval(c.bins))
+
+
+@register("allele_reports")
+def allele_reports(spark, sf):
+    scored = _scored(spark, sf).persist()
+    return T.allele_reports(scored, M.confidence(scored))
+
+
+@register("inspection_logs")
+def inspection_logs(spark, sf):
+    return T.inspection_logs(_scored(spark, sf))
 
 
-@register("cohort_sizes", query("SELECT 'cag' AS tract, est_cag AS size, count(*) AS n FROM alleles GROUP BY ALL UNION ALL SELECT 'ccg', est_ccg, count(*) FROM alleles GROUP BY ALL", PAIRS))
+@register("cohort_sizes", query("SELECT t.tract, g.size::INT AS size, count(a.size) AS n FROM (VALUES ('cag', 200), ('ccg', 20)) t(tract, most) JOIN range(1, 201) g(size) ON g.size <= most LEFT JOIN (SELECT 'cag' AS tract, est_cag AS size FROM alleles UNION ALL SELECT 'ccg', est_ccg FROM alleles) a ON a.tract = t.tract AND a.size = g.size GROUP BY ALL", PAIRS))
 def cohort_sizes(spark, sf):
     return T.cohort_sizes(C.alleles(spark, sf))
 

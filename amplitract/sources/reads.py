@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 # The flanks of the amplicon and the typical sequence between its two tracts.
 FIVE_PRIME = "GCGACCCTGGAAAAGCTGATGAAGGCCTTCGAGTCCCTCAAGTCCTTC"
+#: What the synthetic reads of some fragments have for the first: one base differs.
+FIVE_PRIME_VARIANT = FIVE_PRIME[:9] + "A" + FIVE_PRIME[10:]
 THREE_PRIME = "CAGCTTCCTCAGCCGCCGCCGCAGGCACAGCCGCTGCT"
 TYPICAL = "CAACAGCCGCCA"
 
@@ -46,7 +48,7 @@ SAMPLE_COLUMNS = "sample_id, cag1, mid1, ccg1, cct1, cag2, mid2, ccg2, cct2, spl
 
 
 def synth_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(sample_id, read_id, mate, mapq, seq, qual): one read for each line item, with slippage; sample 18 has reads in all three frames."""
+    """(sample_id, read_id, mate, mapq, seq, qual): one read for each line item, with slippage, and one base changed in a fiftieth of them; sample 18 has reads in all three frames."""
     truth = spark.sql(f"SELECT * FROM VALUES {sample_values()} AS t({SAMPLE_COLUMNS})")
     items = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity")
     rows = items.withColumn("sample_id", (F.col("l_suppkey") % 20).cast("int")).join(F.broadcast(truth), "sample_id")
@@ -54,7 +56,7 @@ def synth_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     cag = (pick("cag") + F.expr(_SLIP)).cast("int")
     body = F.concat(
         F.when(F.col("sample_id") == 18, F.repeat(F.lit("A"), (F.col("l_linenumber") % 3).cast("int"))).otherwise(F.lit("")),
-        F.lit(FIVE_PRIME), F.repeat(F.lit("CAG"), cag), pick("mid"), F.repeat(F.lit("CCG"), pick("ccg")), F.repeat(F.lit("CCT"), pick("cct")), F.lit(THREE_PRIME),
+        F.when(F.col("l_partkey") % 50 == 3, FIVE_PRIME_VARIANT).otherwise(FIVE_PRIME), F.repeat(F.lit("CAG"), cag), pick("mid"), F.repeat(F.lit("CCG"), pick("ccg")), F.repeat(F.lit("CCT"), pick("cct")), F.lit(THREE_PRIME),
     )
     mate = F.when(F.col("l_linenumber") % 4 == 0, "R2").otherwise("R1")
     return rows.select(

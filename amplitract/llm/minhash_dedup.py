@@ -8,13 +8,12 @@ round spreads one set over many bins, the share of equal coordinates is concentr
 
 With 52 bands of 6 rows a pair at similarity 0.8 shares no band with probability 2e-7 (1e-7 of those at 0.82). Candidates
 aren't paired with each other. Each bucket of a band has one leader, its set with the most company over all bands (in a
-group of near copies that is the text they come from), and each set is compared with its leaders on full sets. Let d(x)
-be the elements in which x and leader l differ. Sets x and y are linked if |d(x) ^ d(y)| <= f (|x| + |y|), f = 1/9 at 0.8.
-If x isn't linked to l, then |d(x)| = f (|x| + |l|) + c with c > 0, and as sizes differ by no more than elements do,
-every y that is linked to x shares at least c / (1 + f) elements of d(x), and more than (1 - f) / 2 of d(y), with it.
-So sets outside of their leader's component meet the leader's other sets in a prefix join on differences, elements that
-the leader lacks first, since few others have those. The few pairs it finds are compared on full sets. No link of a
-bucket between two components is lost, and a group of copies costs a comparison with its leader for each member.
+group of near copies that is the text they come from), and each set is compared with its leaders on full sets. Sets that
+aren't in their leader's component after that are strays. Let d(x) be the elements in which x and leader l differ: sets x
+and y are linked if |d(x)| + |d(y)| - 2 |d(x) & d(y)| <= f (|x| + |y|), f = 1/9 at 0.8, which is exact and needs those few
+elements only. Strays are compared with the leader's other sets in blocks, of which a task holds two, and only links
+leave it. So no link of a bucket between two components is lost, a set costs a comparison with each of its leaders, and
+a stray one of differences with each of its leader's sets.
 Joins of tables that grow with the documents ask for a merge, as a broadcast fits small inputs only.
 
 Equal sets are one class throughout (by 128 bits of hash), so that exact copies cost one row each.
@@ -161,21 +160,40 @@ def strayed(compared: DataFrame, root: DataFrame) -> DataFrame:
     return rooted.join(mixed.where("any and least < most").select("b").hint("merge"), "b", "left_semi").select("a", "b", "root_a", "stray")
 
 
-def stray_pairs(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(a, b): the pairs of sets of one leader, in two components and one of them a stray, that may be linked."""
+def stray_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b): the links between a leader's strays and its sets of other components. Blocks of strays are compared with blocks of
+    sets, by what they differ in from the leader; a task holds one block of each, and only links leave it."""
     near, far = 100 + percent, 100 - percent  # f is far / near
-    size = lambda name: F.size(name).cast("long")
-    differ = F.concat(F.array_sort(F.array_except("of_a", "of_b")), F.array_sort(F.array_except("of_b", "of_a")))
-    d = _with_sets(members, sets).select("a", "b", "root_a", "stray", size("of_a").alias("n"), size("of_b").alias("n_b"), differ.alias("d"))
-    d = d.withColumn("nd", size("d"))
-    shared = F.when(F.col("stray"), F.greatest(F.lit(1), F.ceil((near * F.col("nd") - far * (F.col("n") + F.col("n_b"))) / 200))).otherwise(F.floor(percent * F.col("nd") / near) + 1)
-    d = d.select("a", "b", "root_a", "stray", "n", "nd", F.posexplode(F.slice("d", F.lit(1), F.greatest(F.lit(0), F.col("nd") - shared + 1).cast("int"))).alias("pos", "e"))
-    d = materialize(d, "differences")
-    x, y = (d.select("b", "e", *[F.col(c).alias(f"{c}_{side}") for c in ("a", "root_a", "stray", "n", "nd", "pos")]) for side in "xy")
-    left = 2 * near * F.least(F.col("nd_x") - F.col("pos_x"), F.col("nd_y") - F.col("pos_y"))
-    met = x.where("stray_x").join(y.hint("merge"), ["b", "e"]).where("root_a_x <> root_a_y and (not stray_y or a_x < a_y)")
-    met = met.where(left >= near * (F.col("nd_x") + F.col("nd_y")) - far * (F.col("n_x") + F.col("n_y")))
-    found = materialize(met.select(F.greatest("a_x", "a_y").alias("a"), F.least("a_x", "a_y").alias("b")).distinct(), "stray-pairs")
+    differ = F.concat(F.array_except("of_a", "of_b"), F.array_except("of_b", "of_a"))
+    d = materialize(_with_sets(members, sets).select("b", "a", "root_a", "stray", F.size("of_a").cast("long").alias("n"), differ.alias("d")), "differences")
+    blocks = d.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / SPLIT).cast("int").alias("parts"), F.ceil(F.count_if("stray") / SPLIT).cast("int").alias("stray_parts"))
+    dealt = d.join(blocks.hint("merge"), "b")
+    block = lambda parts: F.pmod(F.xxhash64("a"), F.col(parts)).cast("int")
+    every = lambda parts: F.explode(F.sequence(F.lit(0), F.col(parts) - 1))
+    cells = dealt.select("*", block("parts").alias("x"), every("stray_parts").alias("y"), F.lit(False).alias("asks"))
+    cells = cells.unionByName(dealt.where("stray").select("*", every("parts").alias("x"), block("stray_parts").alias("y"), F.lit(True).alias("asks")))
+
+    def compared(cell: pa.Table) -> pa.Table:
+        cell = cell.combine_chunks()
+        a, root, n = (cell.column(c).to_numpy() for c in ("a", "root_a", "n"))
+        asks, lists = cell.column("asks").to_numpy(zero_copy_only=False), cell.column("d").combine_chunks()
+        nd, values = np.diff(lists.offsets.to_numpy()), lists.values.to_numpy()[lists.offsets[0].as_py() : lists.offsets[-1].as_py()]
+        row = np.repeat(np.arange(len(a)), nd)
+        held = ~asks[row]
+        order = np.argsort(values[held], kind="stable")
+        known, where = values[held][order], row[held][order]
+        out = []
+        begins = np.cumsum(nd) - nd
+        for i in np.flatnonzero(asks):
+            own = values[begins[i] : begins[i] + nd[i]]
+            lo, hi = np.searchsorted(known, own), np.searchsorted(known, own, "right")
+            at = np.repeat(lo - np.cumsum(hi - lo) + (hi - lo), hi - lo) + np.arange((hi - lo).sum())
+            shared = np.bincount(where[at], minlength=len(a))
+            linked = (2 * near * shared >= near * (nd[i] + nd) - far * (n[i] + n)) & ~asks & (root != root[i])
+            out += [(max(a[i], a[k]), min(a[i], a[k])) for k in np.flatnonzero(linked)]
+        return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
+
+    found = materialize(cells.select("b", "x", "y", "a", "root_a", "n", "d", "asks").groupBy("b", "x", "y").applyInArrow(compared, "a long, b long").distinct(), "stray-links")
     discard(d)
     return found
 
@@ -196,10 +214,9 @@ def near_links(sketches: DataFrame, classes: DataFrame, docs: DataFrame, key: st
     root = components(links, "a", "b")
     members = materialize(strayed(compared, root), "strayed")
     discard(compared, root)
-    pairs = stray_pairs(members, sets, percent)
-    more = _compare(pairs, sets)
-    discard(members, pairs, sets)
-    both = materialize(links.unionByName(more.where(linked).select("a", "b")), "near-links")
+    more = stray_links(members, sets, percent)
+    discard(members, sets)
+    both = materialize(links.unionByName(more), "near-links")
     discard(links, more)
     return both
 

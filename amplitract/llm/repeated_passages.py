@@ -239,7 +239,7 @@ def repeated_windows(rows: DataFrame, marked: DataFrame, min_words: int, phrase:
     several = F.lit(True) if every else F.col("lo") < F.col("hi")
     entries = marked.groupBy("p", "c").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("lo"), F.max("id").alias("hi"), F.first("owned").alias("owned"), F.first("row").alias("row"), F.first("pos").alias("pos"))
     entries = materialize(entries.withColumn("bits", F.when((F.col("n") > 1) & several, F.col("owned")).otherwise(0)).drop("n"), "entries")
-    contested = entries.groupBy("p").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("p")
+    contested = materialize(entries.groupBy("p").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("p"), "contested")
     words = materialize(contexts(rows, entries.join(contested.hint("merge"), "p", "left_semi"), min_words, phrase), "contexts")
     (right, by_right), (left, by_left) = (compared(words, by, min_words, phrase, every) for by in ("right", "left"))
     zero = F.lit(0).cast("int")
@@ -251,7 +251,7 @@ def repeated_windows(rows: DataFrame, marked: DataFrame, min_words: int, phrase:
     told = materialize(told.withColumn("open", F.col("may").bitwiseAND(F.bitwise_not("bits"))), "told")
     discard(right, left)
     # windows that no neighbour settles: look at those of all entries of the phrase
-    unsettled = told.groupBy("p").agg(F.bit_or("open").alias("open_p")).where("open_p <> 0")
+    unsettled = materialize(told.groupBy("p").agg(F.bit_or("open").alias("open_p")).where("open_p <> 0"), "unsettled")
     asked = told.join(unsettled.hint("merge"), "p").select("p", "c", "open", F.col("may").bitwiseAND(F.col("open_p")).alias("bits")).where("bits <> 0")
     looked = materialize(windows(words, asked.select("p", "c", "bits"), min_words), "windows")
     met = looked.groupBy("key_a", "key_b").agg(F.min("c").alias("c_lo"), F.max("c").alias("c_hi"), F.min("lo").alias("w_lo"), F.max("hi").alias("w_hi"))
@@ -261,7 +261,7 @@ def repeated_windows(rows: DataFrame, marked: DataFrame, min_words: int, phrase:
     all_told = entries.select(names).unionByName(told.select(names)).unionByName(more)
     found = all_told.groupBy("p", "c").agg(F.bit_or("bits").alias("bits"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("bits <> 0")
     found = materialize(found, "repeated-windows")
-    discard(entries, words, told, looked)
+    discard(entries, contested, words, told, unsettled, looked)
     return found
 
 
@@ -307,9 +307,10 @@ def repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "text",
     row = F.xxhash64(docs[key], docs[text]) if every else docs[key]  # that two rows clash in this hash only merges their spans
     rows = (docs if every else docs.where(docs[key].isNotNull())).select(docs[key].alias("id"), row.alias("row"), docs[text].alias("text"))
     kept = materialize(suffixes(rows, min_words, phrase), "suffixes")
-    again = kept.groupBy("p").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("p")
+    # written, so that the join reads two plain exchanges, and a frequent phrase can be dealt to several tasks
+    again = materialize(kept.groupBy("p").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("p"), "phrases")
     marked = materialize(kept.join(again.hint("merge"), "p", "left_semi"), "marked")
-    discard(kept)
+    discard(kept, again)
     found = repeated_windows(rows, marked, min_words, phrase, every)
     places = marked.select("id", "row", "p", "c", "pos").join(found.hint("merge"), ["p", "c"])
     places = places.groupBy("id", "row").agg(F.collect_set(F.struct("pos", "bits", "lo", "hi")).alias("places")).select("id", "places")

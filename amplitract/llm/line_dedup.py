@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import ascii_lower, content_key, others, strip_spaces, table
+from .shared import ascii_lower, content_key, discard, materialize, others, strip_spaces, table
 
 
 def line_keys(text: Column) -> Column:
@@ -41,14 +41,17 @@ def frequent_lines(docs: DataFrame, text: str = "text", min_docs: int = 10, min_
 
 def _marked(docs: DataFrame, text: str, min_docs: int, min_chars: int) -> tuple[DataFrame, Column, Column, Column]:
     """docs with the positions to drop joined on; the kept text, the number of lines and of dropped lines."""
-    drop = frequent_lines(docs, text, min_docs, min_chars).select("a", "b")
+    # tables that are written, so that joins read plain exchanges, and a frequent line or copy can be dealt to several tasks
+    drop = materialize(frequent_lines(docs, text, min_docs, min_chars).select("a", "b"), "frequent-lines")
     whole = F.coalesce(docs[text], F.lit(""))
     at = docs.select(*content_key(whole), F.posexplode(_hashed(line_keys(whole), min_chars)).alias("pos", "h"))
     at = at.where("h is not null").select("key_a", "key_b", "pos", "h.a", "h.b")
-    gone = at.join(drop, ["a", "b"], "left_semi").groupBy("key_a", "key_b").agg(F.collect_set("pos").alias("gone"))
+    lost = at.join(drop.hint("merge"), ["a", "b"], "left_semi").groupBy("key_a", "key_b").agg(F.collect_set("pos").alias("gone"))
+    gone = materialize(lost, "lines-gone")
+    discard(drop)
 
     key_a, key_b = content_key(whole)
-    out = docs.join(gone, (key_a == gone["key_a"]) & (key_b == gone["key_b"]), "left")
+    out = docs.join(gone.hint("merge"), (key_a == gone["key_a"]) & (key_b == gone["key_b"]), "left")
     lines, lost = F.split(whole, "\n", -1), F.coalesce(gone["gone"], F.array().cast("array<int>"))
     stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), lost)
     kept = F.when(F.size(lost) == 0, whole).otherwise(F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n"))

@@ -118,14 +118,30 @@ class Stream:
 
 
 def _packets(data: bytes) -> np.ndarray:
-    """The packets from the first offset at which sync bytes follow each other a packet apart; others are dropped."""
+    """The packets: where a sync byte is followed by another a packet on, or by the end. Where one isn't, bytes are missing
+    or too many, and reading goes on at the next place where it is; the packet that lacks them shows as lost by its counter."""
     raw = np.frombuffer(data, np.uint8)
-    for start in range(min(PACKET, max(0, len(raw) - PACKET + 1))):
-        if raw[start] == SYNC and (start + PACKET >= len(raw) or raw[start + PACKET] == SYNC):
-            n = (len(raw) - start) // PACKET
-            found = raw[start : start + n * PACKET].reshape(n, PACKET)
-            return found[(found[:, 0] == SYNC) & (found[:, 1] & 0x80 == 0)]
-    return np.empty((0, PACKET), np.uint8)
+    last = len(raw) - PACKET
+    good = np.flatnonzero(raw == SYNC)
+    good = good[good <= last]
+    good = good[(good == last) | (raw[np.minimum(good + PACKET, len(raw) - 1)] == SYNC)]
+    if not len(good):
+        return np.empty((0, PACKET), np.uint8)
+    starts, at = [], int(good[0])
+    whole = np.arange(at, last + 1, PACKET)
+    if np.isin(whole, good).all():
+        starts = whole
+    else:
+        while at <= last:
+            k = int(np.searchsorted(good, at))
+            if k == len(good):
+                break
+            at = int(good[k])
+            starts.append(at)
+            at += PACKET
+        starts = np.array(starts)
+    found = raw[starts[:, None] + np.arange(PACKET)]
+    return found[found[:, 1] & 0x80 == 0]
 
 
 def _sections(packets: np.ndarray, at: np.ndarray) -> Iterator[bytes]:

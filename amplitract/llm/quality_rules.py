@@ -129,7 +129,8 @@ def _best_condition(rows: list[tuple[dict, bool]]) -> tuple[float, Condition | N
 
 
 def learn_rules(rows: list[tuple[dict[str, float], bool, int]], max_rules: int = 12, max_conditions: int = 4, min_precision: float = 0.95, min_cover: int = 5) -> list[list[Condition]]:
-    """rows: statistics, whether bad, and a number that deals them to growing (two of three) and pruning."""
+    """rows: statistics, whether bad, and a number that deals them to growing (two of three) and pruning. Ends when max_rules
+    are taken or fewer than min_cover bad rows are left to grow from."""
     grow, prune = [(r, y) for r, y, k in rows if k % 3], [(r, y) for r, y, k in rows if k % 3 == 0]
     rules: list[list[Condition]] = []
     while len(rules) < max_rules and sum(y for _, y in grow) >= min_cover:
@@ -146,8 +147,12 @@ def learn_rules(rows: list[tuple[dict[str, float], bool, int]], max_rules: int =
 
         rule = max((rule[:k] for k in range(len(rule), 0, -1)), key=lambda c: worth(c)[0], default=[])
         covered = [y for r, y in [*grow, *prune] if all(c.holds(r) for c in rule)]
-        if not rule or sum(covered) < min_cover or sum(covered) < min_precision * len(covered):
+        if not rule:
             break
+        if sum(covered) < min_cover or sum(covered) < min_precision * len(covered):
+            # a weak rule isn't taken; the next ones grow from the bad rows that it doesn't hold for
+            grow = [(r, y) for r, y in grow if not (y and all(c.holds(r) for c in rule))]
+            continue
         rules.append(rule)
         grow = [(r, y) for r, y in grow if not all(c.holds(r) for c in rule)]
         prune = [(r, y) for r, y in prune if not all(c.holds(r) for c in rule)]
@@ -159,6 +164,7 @@ def fit_rules(docs: DataFrame, labels: DataFrame, text: str = "text", key: str =
     sample = F.broadcast(label_sample(labels, key, label, max_labelled))
     known = docs.select(docs[key].alias("known_key"), docs[text].alias("text")).join(sample, F.col("known_key") == F.col("label_key"))
     asked = [F.expr(e).alias(f) for f, e in FEATURES.items()]
+    known = known.dropDuplicates(["known_key"])  # documents that share an id count once
     rows = text_statistics(known).select(*asked, "label_bad", "label_fold", base_failed().alias("failed")).collect()
     return learn_rules([({f: float(r[f]) for f in FEATURES}, r["label_bad"], r["label_fold"]) for r in rows if not r["failed"]])
 

@@ -59,31 +59,57 @@ def quality_cut(quality: Column, cutoff: int) -> Column:
     return F.aggregate(F.reverse(quality), start, step, lambda s: s["cut"])
 
 
-def trim_adapter(reads: DataFrame, three: str = "", five: str = "") -> DataFrame:
-    """Exact trimming: what stands from the 3' adapter on, and up to the end of the 5' adapter, goes."""
+def trim_adapter(reads: DataFrame, three: str = "", five: str = "", anchored: bool = False) -> DataFrame:
+    """Exact trimming: what stands from the 3' adapter on, and up to the end of the 5' adapter, goes. Anchored adapters
+    count at the very end and the very beginning only."""
     seq = F.col("seq")
     if three:
-        seq = F.when(F.instr(seq, three) > 0, F.substring(seq, F.lit(1), F.instr(seq, three) - 1)).otherwise(seq)
+        at = F.when(F.endswith(seq, F.lit(three)), F.length(seq) - len(three) + 1).otherwise(0) if anchored else F.instr(seq, three)
+        seq = F.when(at > 0, F.substring(seq, F.lit(1), at - 1)).otherwise(seq)
     if five:
-        seq = F.when(F.instr(seq, five) > 0, F.substring(seq, F.instr(seq, five) + len(five), F.length(seq))).otherwise(seq)
+        at = F.when(F.startswith(seq, F.lit(five)), 1).otherwise(0) if anchored else F.instr(seq, five)
+        seq = F.when(at > 0, F.substring(seq, at + len(five), F.length(seq))).otherwise(seq)
     return reads.withColumn("trimmed", seq)
 
 
+def trim_mates(reads: DataFrame, forward: str, reverse: str) -> DataFrame:
+    """Exact 3' trimming with another adapter for each mate."""
+    adapter = F.when(F.col("mate") == "R1", forward).otherwise(reverse)
+    at = F.when(adapter != "", F.instr("seq", adapter)).otherwise(0)
+    return reads.withColumn("trimmed", F.when(at > 0, F.substring("seq", F.lit(1), at - 1)).otherwise(F.col("seq")))
+
+
+def trim(reads: DataFrame, kind: str, cutoff: int = 5, three: str = "", five: str = "", reverse: str | None = None) -> DataFrame:
+    """reads (seq, q: array of qualities) with trimmed: by quality, by adapter, or both, quality first. With `reverse` that is
+    the 3' adapter of the second mate, and three that of the first."""
+    if kind not in ("Quality", "Adapter", "Both"):
+        raise ValueError("Quality, Adapter or Both is asked for")
+    good = F.col("seq") if kind == "Adapter" else F.substring("seq", F.lit(1), quality_cut(F.col("q"), cutoff))
+    whole = reads.withColumn("_whole", F.col("seq")).withColumn("seq", good)
+    if kind == "Quality":
+        done = whole.withColumn("trimmed", F.col("seq"))
+    else:
+        done = trim_adapter(whole, three, five) if reverse is None else trim_mates(whole, three, reverse)
+    return done.withColumn("seq", F.col("_whole")).drop("_whole")
+
+
 def trim_report(trimmed: DataFrame) -> DataFrame:
     lost = F.length("seq") - F.length("trimmed")
     return trimmed.groupBy("sample_id", "mate").agg(F.count_if(lost > 0).alias("reads_trimmed"), F.sum(lost).cast("long").alias("bases_removed"))
 
 
-def trim_adapter_fuzzy(reads: DataFrame, three: str, error_rate: float = 0.1, least: int = 3) -> DataFrame:
-    """As trim_adapter, with up to error_rate edits for each adapter base that is aligned; a prefix of the adapter counts at the
-    read's end. Distinct sequences are aligned once, in Arrow batches."""
+def trim_adapter_fuzzy(reads: DataFrame, three: str = "", error_rate: float = 0.1, least: int = 3, five: str = "") -> DataFrame:
+    """As trim_adapter, with up to error_rate edits for each adapter base that is aligned; a part of the adapter, `least` bases
+    at least, counts at the read's end or beginning. Distinct sequences are aligned once, in Arrow batches."""
 
     def aligned(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for df in frames:
-            yield df.assign(keep=[_adapter_start(s, three, error_rate, least) for s in df["seq"]])
+            keep = [_adapter_start(s, three, error_rate, least) if three else len(s) for s in df["seq"]]
+            skip = [len(s) - _adapter_start(s[::-1], five[::-1], error_rate, least) if five else 0 for s in df["seq"]]
+            yield df.assign(keep=keep, skip=skip)
 
-    cut = reads.select("seq").distinct().mapInPandas(aligned, "seq string, keep int")
-    return reads.join(cut, "seq").withColumn("trimmed", F.expr("substring(seq, 1, keep)"))
+    cut = reads.select("seq").distinct().mapInPandas(aligned, "seq string, keep int, skip int")
+    return reads.join(cut, "seq").withColumn("trimmed", F.expr("substring(seq, skip + 1, greatest(keep - skip, 0))"))
 
 
 def _adapter_start(seq: str, adapter: str, error_rate: float, least: int) -> int:
@@ -114,6 +140,12 @@ def demultiplex(reads: DataFrame, five: str, three: str, shortest: int, longest:
     return held.withColumn("part", part).where(F.length("part").between(shortest, longest))
 
 
+def demultiplex_fuzzy(reads: DataFrame, five: str, three: str, shortest: int, longest: int, error_rate: float = 0.1, overlap: int = 3) -> DataFrame:
+    """As demultiplex, with errors: both adapters, or parts of `overlap` bases at least at the ends, must be found."""
+    cut = trim_adapter_fuzzy(reads, three, error_rate, overlap, five).withColumnRenamed("trimmed", "part")
+    return cut.where((F.col("skip") > 0) & (F.col("keep") < F.length("seq")) & F.length("part").between(shortest, longest)).drop("keep", "skip")
+
+
 #: (reads from, share kept in thousandths), for files of reads and for their alignments; smaller ones are kept whole.
 FILE_STEPS = [(100_000, 254), (50_000, 500), (25_000, 750)]
 SCAN_STEPS = [(20_000, 350), (15_000, 450), (10_000, 550), (5_000, 650)]

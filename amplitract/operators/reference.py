@@ -24,6 +24,17 @@ def typical_library(spark: SparkSession, mate: str = "R1") -> DataFrame:
     return library(typical, (1, 200)) if mate == "R1" else library(typical, (100, 100), five="")
 
 
+def custom_library(alleles: DataFrame, mate: str = "R1") -> DataFrame:
+    """The library of each atypical structure (intervening, cct) that the alleles have, in the sizes of the typical one."""
+    odd = alleles.where("status = 'Atypical'").select("intervening", F.col("est_cct").alias("cct")).distinct()
+    return library(odd, (1, 200)) if mate == "R1" else library(odd, (100, 100), five="")
+
+
+def whole_library(spark: SparkSession, alleles: DataFrame) -> DataFrame:
+    """The typical forward library and those of atypical alleles, by origin."""
+    return typical_library(spark).withColumn("origin", F.lit("typical")).unionByName(custom_library(alleles).withColumn("origin", F.lit("custom")))
+
+
 def realign(assigned: DataFrame, alleles: DataFrame) -> DataFrame:
     """Histograms of atypical alleles against a library of their own structure: a read's CCG bin is right if what stands
     between its tracts is what the allele has."""

@@ -77,7 +77,11 @@ class Cohort:
 
 
 def genotyped(spark: SparkSession, sf_dir: str) -> Cohort:
-    reads = synth_reads(spark, sf_dir)
+    return genotype_reads(synth_reads(spark, sf_dir))
+
+
+def genotype_reads(reads: DataFrame) -> Cohort:
+    """reads: sample_id, mate, mapq, seq"""
     rows = assign_contigs(scan_tracts(reads))
     keys = [c for c in rows.columns if c != "n"]
     rows = rows.groupBy(*keys).agg(F.sum("n").alias("n")).persist()

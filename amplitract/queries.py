@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from amplitract.operators import consensus as K
@@ -436,3 +437,92 @@ def sample_documents(spark, sf):
 def l2_normalise(spark, sf):
     squares = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
     return spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", F.round(squares, 4).alias("squares"), F.round(F.get("embedding", 0).cast("double") / F.sqrt(squares), 6).alias("first"))
+
+
+@register("fullest_ccg", query("SELECT sample_id, arg_max(ccg, total * 1000 - ccg) AS ccg, max(total) AS total FROM (SELECT sample_id, allele, ccg, sum(n)::BIGINT AS total FROM (SELECT b.*, a.ccg FROM bins b JOIN asked a USING (sample_id, allele)) GROUP BY ALL) GROUP BY sample_id", SLICES))
+def fullest_ccg(spark, sf):
+    """The CCG of the two alleles' slices that holds more reads; the lower if equal."""
+    totals = C.genotyped(spark, sf).bins.groupBy("sample_id", "allele", "ccg").agg(F.sum("n").alias("total"))
+    best = totals.groupBy("sample_id").agg(F.max(F.struct("total", (-F.col("ccg")).alias("k"))).alias("m"))
+    return best.select("sample_id", (-F.col("m.k")).alias("ccg"), F.col("m.total").alias("total"))
+
+
+@register("contig_view", query("SELECT sample_id, mate, read_id, length(seq)::INT AS length FROM reads QUALIFY row_number() OVER (PARTITION BY sample_id, mate ORDER BY read_id, mapq, quality, seq) BETWEEN 2 AND 44", READS))
+def contig_view(spark, sf):
+    """What a page shows of the reads of each sample and mate: the second to the 44th."""
+    w = Window.partitionBy("sample_id", "mate").orderBy("read_id", "mapq", "quality", "seq")
+    return synth_reads(spark, sf).withColumn("k", F.row_number().over(w)).where("k BETWEEN 2 AND 44").select("sample_id", "mate", "read_id", F.length("seq").alias("length"))
+
+
+@register("custom_library", query("SELECT origin, cag::INT AS cag, ccg::INT AS ccg, cag || '_' || k1 || '_' || k2 || '_' || ccg || '_' || cct AS label, md5('" + FIVE_PRIME + "' || repeat('CAG', cag) || mid || repeat('CCG', ccg) || repeat('CCT', cct) || '" + THREE_PRIME + "') AS seq_md5 FROM (SELECT *, len(regexp_extract_all(mid, 'CAACAG')) AS k1, len(regexp_extract_all(replace(mid, 'CAACAG', ''), 'CCGCCA')) AS k2 FROM (SELECT DISTINCT 'custom' AS origin, intervening AS mid, est_cct AS cct FROM alleles WHERE status = 'Atypical' UNION ALL SELECT 'typical', 'CAACAGCCGCCA', 2)), range(1, 201) a(cag), range(1, 21) c(ccg)", PAIRS))
+def custom_library(spark, sf):
+    return R.whole_library(spark, C.alleles(spark, sf)).select("origin", "cag", "ccg", "label", F.md5("seq").alias("seq_md5"))
+
+
+@register("label_numbers", query("SELECT sample_id, allele, split_part(label, '_', 1)::INT AS cag, split_part(label, '_', 2)::INT AS caacag, split_part(label, '_', 3)::INT AS ccgcca, split_part(label, '_', 4)::INT AS ccg, split_part(label, '_', 5)::INT AS cct FROM alleles", PAIRS))
+def label_numbers(spark, sf):
+    """The sizes that a label tells, whatever stars it has."""
+    part = lambda k: F.regexp_extract(F.split_part("label", F.lit("_"), F.lit(k)), r"\d+", 0).cast("int")
+    return C.alleles(spark, sf).select("sample_id", "allele", *[part(k).alias(n) for k, n in enumerate(("cag", "caacag", "ccgcca", "ccg", "cct"), 1)])
+
+
+@register("motif_spans", query("SELECT sample_id, allele, len(regexp_extract_all(intervening, 'CCGCCA')) AS n, instr(intervening, 'CCGCCA') - 1 AS first, CASE WHEN contains(intervening, 'CCGCCA') THEN length(regexp_extract(intervening, '.*CCGCCA')) ELSE 0 END AS past FROM alleles", PAIRS))
+def motif_spans(spark, sf):
+    """How often a motif stands in the sequence between the tracts, where it first begins (-1: nowhere) and where it last ends."""
+    m = F.col("intervening")
+    return C.alleles(spark, sf).select("sample_id", "allele", F.regexp_count(m, F.lit("CCGCCA")).cast("long").alias("n"), (F.instr(m, "CCGCCA") - 1).cast("long").alias("first"), F.length(F.regexp_extract(m, ".*CCGCCA", 0)).cast("long").alias("past"))
+
+
+@register("mates_together", query("SELECT sample_id, ccg, sum(n)::BIGINT AS n FROM (SELECT s.sample_id, g.ccg::INT AS ccg, coalesce(h.n, 0) AS n FROM (SELECT DISTINCT sample_id FROM hist) s CROSS JOIN range(1, 21) g(ccg) LEFT JOIN hist h ON h.sample_id = s.sample_id AND h.ccg = g.ccg) GROUP BY ALL"))
+def mates_together(spark, sf):
+    """Both mates' CCG vectors, added bin by bin."""
+    ccgs = C.histogram(spark, sf).groupBy("sample_id", "mate", "ccg").agg(F.sum("n").alias("n"))
+    vector = lambda mate: E.vector(H.densify(ccgs.where(F.col("mate") == mate).drop("mate"), ["sample_id"], "ccg", 20), ["sample_id"], "ccg", "n", mate)
+    none = F.array_repeat(F.lit(0).cast("long"), 20)
+    both = vector("R1").join(vector("R2"), "sample_id", "full").select("sample_id", F.zip_with(F.coalesce("R1", none), F.coalesce("R2", none), lambda a, b: a + b).alias("v"))
+    return both.select("sample_id", F.posexplode("v").alias("i", "n")).select("sample_id", (F.col("i") + 1).alias("ccg"), "n")
+
+
+@register("slice_maps", query("SELECT sample_id, ccg, sum(n)::BIGINT AS n FROM fw GROUP BY ALL"))
+def slice_maps(spark, sf):
+    """Each CCG's slice of a sample is an entry of one map; here summed again."""
+    slices = C.forward(spark, sf).groupBy("sample_id", "ccg").agg(F.sum("n").alias("n"))
+    maps = slices.groupBy("sample_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("ccg", "n")))).alias("m"))
+    return maps.select("sample_id", F.explode("m").alias("ccg", "n"))
+
+
+@register("distinct_labels", query("SELECT string_agg(label, ' ' ORDER BY first) AS labels FROM (SELECT label, min(sample_id * 2 + CASE allele WHEN 'PRI' THEN 0 ELSE 1 END) AS first FROM alleles GROUP BY label)", PAIRS))
+def distinct_labels(spark, sf):
+    """The labels of a cohort in the order in which they first occur."""
+    rows = F.array_sort(F.collect_list(F.struct("sample_id", "allele", "label")))
+    return C.alleles(spark, sf).agg(F.array_join(F.array_distinct(F.transform(rows, lambda x: x["label"])), " ").alias("labels"))
+
+
+@register("demultiplex_fuzzy")
+def demultiplex_fuzzy(spark, sf):
+    parts = Q.demultiplex_fuzzy(synth_reads(spark, sf), FIVE_PRIME[-12:], THREE_PRIME[:12], 80, 160)
+    return parts.groupBy("sample_id", F.length("part").alias("length")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("trim_both", query(f"""SELECT mate, length(CASE WHEN instr(s, '{THREE_PRIME[:16]}') > 0 THEN substr(s, 1, instr(s, '{THREE_PRIME[:16]}') - 1) ELSE s END)::INT AS length, count(*) AS n FROM (
+SELECT mate, substr(seq, 1, CASE WHEN quality < 20 THEN 0 ELSE length(seq) END) AS s FROM reads) GROUP BY ALL""", READS))
+def trim_both(spark, sf):
+    """Quality first, then the adapter. A read of one quality stays or goes whole."""
+    reads = synth_reads(spark, sf).groupBy("mate", "seq", "quality").agg(F.count(F.lit(1)).alias("n")).withColumn("q", F.array_repeat("quality", F.length("seq")))
+    return Q.trim(reads, "Both", 20, three=THREE_PRIME[:16]).groupBy("mate", F.length("trimmed").alias("length")).agg(F.sum("n").alias("n"))
+
+
+@register("trim_anchored", query(f"SELECT sample_id, mate, count(*) FILTER (WHERE seq LIKE '{FIVE_PRIME[:10]}%') AS reads_trimmed, (10 * count(*) FILTER (WHERE seq LIKE '{FIVE_PRIME[:10]}%'))::BIGINT AS bases_removed FROM reads GROUP BY ALL", READS))
+def trim_anchored(spark, sf):
+    return Q.trim_report(Q.trim_adapter(synth_reads(spark, sf), five=FIVE_PRIME[:10], anchored=True))
+
+
+@register("trim_mates", query(f"SELECT sample_id, mate, count(*) FILTER (WHERE instr(seq, a) > 0) AS reads_trimmed, sum(CASE WHEN instr(seq, a) > 0 THEN length(seq) - instr(seq, a) + 1 ELSE 0 END)::BIGINT AS bases_removed FROM (SELECT *, CASE mate WHEN 'R1' THEN '{THREE_PRIME[:16]}' ELSE '{THREE_PRIME[8:24]}' END AS a FROM reads) GROUP BY ALL", READS))
+def trim_mates(spark, sf):
+    return Q.trim_report(Q.trim_mates(synth_reads(spark, sf), THREE_PRIME[:16], THREE_PRIME[8:24]))
+
+
+@register("interval_jitter")
+def interval_jitter(spark, sf):
+    c = C.genotyped(spark, sf)
+    return M.jittered_interval(M.confidence_interval(c.bins), M.confidence(C.scored(c, C.evidence(c)))).select("sample_id", "allele", "lo", "hi", "interval")

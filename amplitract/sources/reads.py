@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # The flanks of the amplicon and the typical sequence between its two tracts.
@@ -73,24 +73,41 @@ FASTQ_NAME = r"([^/]+)_(R[12])\.f(?:ast)?q(?:\.gz)?$"
 
 
 def fastq_pairs(spark: SparkSession, path: str) -> DataFrame:
-    """(run_dir, label, r1, r2, error): the FASTQ files under path, paired by their label; an unpaired or misnamed file has an error."""
+    """(run_dir, label, r1, r2, error): the FASTQ files under path, paired by their label; files that are alone, misnamed or one
+    of two with the same label and mate have an error."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path")
     named = files.select("path", F.regexp_extract("path", FASTQ_NAME, 1).alias("label"), F.regexp_extract("path", FASTQ_NAME, 2).alias("mate"), F.regexp_extract("path", "^(.*)/[^/]*$", 1).alias("run_dir"))
-    good = named.where("label <> ''").groupBy("run_dir", "label").pivot("mate", ["R1", "R2"]).agg(F.first("path")).select("run_dir", "label", F.col("R1").alias("r1"), F.col("R2").alias("r2"))
-    good = good.withColumn("error", F.when(F.col("r1").isNull(), "no R1").when(F.col("r2").isNull(), "no R2"))
+    of = lambda mate: F.collect_list(F.when(F.col("mate") == mate, F.col("path")))
+    good = named.where("label <> ''").groupBy("run_dir", "label").agg(F.sort_array(of("R1")).alias("one"), F.sort_array(of("R2")).alias("two"))
+    error = F.when((F.size("one") > 1) | (F.size("two") > 1), "two files of one mate").when(F.size("one") == 0, "no R1").when(F.size("two") == 0, "no R2")
+    good = good.select("run_dir", "label", F.get("one", 0).alias("r1"), F.get("two", 0).alias("r2"), error.alias("error"))
     bad = named.where("label = ''").select("run_dir", F.col("path").alias("label"), F.lit(None).cast("string").alias("r1"), F.lit(None).cast("string").alias("r2"), F.lit("not a FASTQ name").alias("error"))
     return good.unionByName(bad)
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(path, line_no from 0, value) of text files of any size: each split counts its own lines, and begins at what the
+    splits of the file before it hold (gzip files are one split)."""
+    lines = spark.read.text(path).select(F.input_file_name().alias("path"), F.input_file_block_start().alias("block"), F.monotonically_increasing_id().alias("id"), "value")
+    blocks = lines.groupBy("path", "block").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.select("path", "block", (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("first")).alias("shift"))
+    return lines.join(blocks, ["path", "block"]).select("path", (F.col("id") + F.col("shift")).alias("line_no"), "value")
+
+
 def read_fastq(spark: SparkSession, path: str) -> DataFrame:
-    """(path, label, mate, read_id, seq, qual): records of four lines; files of any size in a folder, one task each (gzip can't be split)."""
-    lines = spark.read.text(path, wholetext=True).withColumn("path", F.input_file_name())
-    rows = lines.select("path", F.posexplode(F.split(F.regexp_replace("value", "\r", ""), "\n")).alias("pos", "line"))
-    rows = rows.withColumn("record", F.floor(F.col("pos") / 4)).withColumn("part", F.col("pos") % 4)
-    records = rows.groupBy("path", "record").agg(*[F.max(F.when(F.col("part") == k, F.col("line"))).alias(n) for k, n in ((0, "head"), (1, "seq"), (3, "qual"))]).where("head LIKE '@%' AND seq IS NOT NULL")
+    """(path, label, mate, read_id, seq, qual): records of four lines."""
+    rows = numbered_lines(spark, path).withColumn("record", F.expr("line_no div 4")).withColumn("part", F.col("line_no") % 4)
+    records = rows.groupBy("path", "record").agg(*[F.max(F.when(F.col("part") == k, F.col("value"))).alias(n) for k, n in ((0, "head"), (1, "seq"), (3, "qual"))]).where("head LIKE '@%' AND seq IS NOT NULL")
     return records.select("path", F.regexp_extract("path", FASTQ_NAME, 1).alias("label"), F.regexp_extract("path", FASTQ_NAME, 2).alias("mate"), F.regexp_extract("head", r"^@(\S+)", 1).alias("read_id"), "seq", "qual")
 
 
+def read_training(spark: SparkSession, path: str, features: int) -> DataFrame:
+    """(features array of double, label) of a table for a classifier: a line of counts, one of names, then one row a sample."""
+    rows = numbered_lines(spark, path).where("line_no > 1 AND value <> ''").select(F.split("value", ",").alias("f"))
+    return rows.where(F.size("f") == features + 1).select(F.slice("f", 1, features).cast("array<double>").alias("features"), F.trim(F.get("f", features)).alias("label"))
+
+
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     """(label, seq) of each entry; a sequence may run over several lines."""
     text = spark.read.text(path, lineSep=">").where("value <> ''")
@@ -106,7 +123,12 @@ def read_vcf(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("chrom", "pos", "ref", F.split("alt", ",").alias("alt"), "qual")
 
 
-def read_sam(spark: SparkSession, path: str) -> DataFrame:
-    """(read_id, contig, mapq, seq) of the aligned records of SAM text."""
+def read_sam(spark: SparkSession, path: str, contig: str | None = None) -> DataFrame:
+    """(read_id, contig, mapq, seq, aligned) of the aligned records of SAM text, of one contig if named; aligned is the sequence
+    without what the CIGAR string clips softly at either end."""
     rows = spark.read.text(path).where("value NOT LIKE '@%'").select(F.split("value", "\t").alias("f"))
-    return rows.select(F.get("f", 0).alias("read_id"), F.get("f", 2).alias("contig"), F.get("f", 4).cast("int").alias("mapq"), F.get("f", 9).alias("seq")).where("contig <> '*'")
+    rows = rows.select(F.get("f", 0).alias("read_id"), F.get("f", 2).alias("contig"), F.get("f", 4).cast("int").alias("mapq"), F.get("f", 5).alias("cigar"), F.get("f", 9).alias("seq")).where("contig <> '*'")
+    clip = lambda pattern: F.coalesce(F.regexp_extract("cigar", pattern, 1).try_cast("int"), F.lit(0))
+    front, back = clip(r"^(?:\d+H)?(\d+)S"), clip(r"(\d+)S(?:\d+H)?$")
+    rows = rows.select("read_id", "contig", "mapq", "seq", F.substring(F.col("seq"), front + 1, F.greatest(F.lit(0), F.length("seq") - front - back)).alias("aligned"))
+    return rows.where(F.col("contig") == contig) if contig is not None else rows

@@ -28,7 +28,8 @@ from .shared import WORD_CLASS, materialize, others, table
 
 WEIGHTS = (5, 2, 1)
 CHUNK_DIGITS = 3
-RUN = 1 << 18
+#: Slots that are drawn together, and slots whose runs are listed together.
+RUN, MANY = 1 << 15, 1 << 33
 ROUNDS = 16
 PRIME = 2147483647
 
@@ -81,8 +82,11 @@ def draw_slots(src: DataFrame, slots_per_shard: int = 4096, seed: int = 1, cap:
     """(shard, no, slot, block): which block of which source stands at which slot of which shard."""
     all_slots = F.sum("n_slots").over(Window.partitionBy())
     src = src.where("n_slots > 0").select("no", "n_blocks", "n_slots", F.ceil(all_slots / slots_per_shard).cast("long").alias("shards"), round_keys("n_blocks", "no", cap, seed).alias("keys"))
-    runs = src.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_slots") - 1, F.lit(RUN).cast("long"))).alias("first"))
-    runs = runs.repartition("no", "first")
+    long = lambda n: F.lit(n).cast("long")
+    many = src.select("*", F.explode(F.sequence(long(0), F.col("n_slots") - 1, long(MANY))).alias("begin"))
+    runs = many.select("*", F.explode(F.sequence("begin", F.least(F.col("begin") + MANY, F.col("n_slots")) - 1, long(RUN))).alias("first"))
+    # by number, as these few rows become many, and would else be dealt to one task
+    runs = runs.repartition(int(src.sparkSession.conf.get("spark.sql.shuffle.partitions")), "no", "first")
     drawn = runs.select("no", "n_blocks", "shards", "keys", F.explode(F.sequence("first", F.least(F.col("first") + RUN, F.col("n_slots")) - 1)).alias("slot"))
     shard = F.expr(f"{_hash('slot', 'no', str(seed), '7')} * shards div {PRIME}")
     return drawn.select(shard.alias("shard"), "no", "slot", permuted("slot", "n_blocks", "no").alias("block"))

@@ -8,10 +8,12 @@ position; sorted by position they are the lattice that is then relaxed, all word
 For a BPE model the relaxation isn't a shortest path, whose result differs from SentencePiece's: in each step every
 word contracts the edge of best rank (leftmost if equal) among those that join two neighbouring symbols, until none is
 left. That gives the ids of the SentencePiece library, which the tests hold it against. Characters without a piece
-become byte pieces. Words longer than LONG characters are contracted one by one with a heap, so that no text costs more than n log n.
+become byte pieces. All words are indexed, whatever their length: texts without spaces are cut first between characters
+that no piece holds side by side, which no contraction crosses. The lattice of a word that is longer than LONG still is
+contracted by a heap of its edges instead of in steps of all words, so that no text costs more than n log n.
 
-Defined cases: a null text encodes to null and an empty one to an empty list; a U+2581 in a text decodes to a space, as in the library; no text is cut or normalised (the model's
-normaliser must be the identity); decoding replaces malformed byte runs by U+FFFD and leaves control pieces out.
+Defined cases: a null text encodes to null and an empty one to an empty list; a U+2581 in a text decodes to a space, as in the library; no text is normalised; a model that
+isn't BPE, or whose normaliser isn't the identity, is refused; decoding replaces malformed byte runs by U+FFFD and leaves control pieces out.
 Extra columns pass through; columns with the names of results are replaced.
 """
 
@@ -26,7 +28,6 @@ from itertools import islice
 
 import numpy as np
 import pyarrow as pa
-from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -40,12 +41,46 @@ LONG = 48
 END = 0
 
 
+def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
+    """The (number, value) of the fields of a protocol buffer message."""
+    i = 0
+
+    def varint() -> int:
+        nonlocal i
+        value = shift = 0
+        while True:
+            value |= (data[i] & 127) << shift
+            shift, i = shift + 7, i + 1
+            if data[i - 1] < 128:
+                return value
+
+    while i < len(data):
+        key = varint()
+        if key & 7 == 0:
+            yield key >> 3, varint()
+            continue
+        size = varint() if key & 7 == 2 else 8 if key & 7 == 1 else 4
+        yield key >> 3, data[i : i + size]
+        i += size
+
+
+def _checked(model: bytes) -> None:
+    """Refuses models that aren't BPE or that change texts before they are cut into pieces."""
+    parts = dict(x for x in _fields(model) if x[0] in (2, 3))
+    trainer, normaliser = dict(_fields(parts.get(2, b""))), dict(_fields(parts.get(3, b"")))
+    if trainer.get(3, 1) != 2:
+        raise ValueError("the model must be a BPE model")
+    if normaliser.get(2) or normaliser.get(4, 1) or not normaliser.get(3, 1):
+        raise ValueError("the model's normaliser must be the identity, with a space put before the text")
+
+
 class Pieces:
     """A BPE vocabulary with byte fallback."""
 
     def __init__(self, model: bytes) -> None:
         import sentencepiece
 
+        _checked(model)
         lib = sentencepiece.SentencePieceProcessor(model_proto=model)
         n = lib.vocab_size()
         self.text = [lib.id_to_piece(i) for i in range(n)]
@@ -68,12 +103,14 @@ class Pieces:
         self.single = {self.text[i]: i for i in normal if len(self.text[i]) == 1}
         self.longer = sorted((self.text[i], i) for i in normal if len(self.text[i]) > 1)
         self.longest = max(len(p) for p, _ in self.longer)
-        self.id_of = {p: i for p, i in self.longer}
         codes = np.zeros((len(self.longer), self.longest), np.uint32)
         for k, (p, _) in enumerate(self.longer):
             codes[k, : len(p)] = np.frombuffer(p.encode("utf-32-le"), np.uint32)
         self.codes, self.lengths = codes, np.array([len(p) for p, _ in self.longer])
         self.ids = np.array([i for _, i in self.longer], np.int32)
+        beside = [codes[self.lengths > k + 1, k].astype(np.uint64) << np.uint64(32) | codes[self.lengths > k + 1, k + 1] for k in range(self.longest - 1)]
+        #: the pairs of neighbouring characters of all pieces
+        self.pairs = np.unique(np.concatenate(beside))
         # line ends and other characters without a piece never merge, so a word may be cut beside them
         alone = "".join(c for c in "\n\t\r" if c not in self.single and not any(c in p for p, _ in self.longer))
         self.words = re.compile(f"[{alone}]|{SPACE}*[^{SPACE}{alone}]+|{SPACE}+" if alone else f"{SPACE}*[^{SPACE}]+|{SPACE}+")
@@ -150,6 +187,17 @@ def relax(codes: np.ndarray, pieces: Pieces) -> tuple[np.ndarray, np.ndarray, np
     begin = np.flatnonzero(codes != END)
     end = begin + 1
     done: list[tuple[np.ndarray, np.ndarray]] = []
+    sizes = np.bincount(word[begin], minlength=1) if len(begin) else np.zeros(1, np.int64)
+    if (sizes > LONG).any():
+        long = sizes[word[begin]] > LONG
+        rank_of = dict(enumerate(pieces.rank.tolist()))
+        for w in np.flatnonzero(sizes > LONG):
+            a = int(begin[np.searchsorted(word[begin], w)])
+            lo, hi = np.searchsorted(start, [a, a + sizes[w]])
+            of = {(x, x + y): z for x, y, z in zip(start[lo:hi].tolist(), length[lo:hi].tolist(), ids[lo:hi].tolist(), strict=True)}
+            symbols = np.array(_contract_long(a, a + int(sizes[w]), of, rank_of))
+            done.append((symbols[:, 0], symbols[:, 1]))
+        begin, end = begin[~long], end[~long]
     while len(begin):
         joined = edge(begin[:-1], end[1:])
         joined[word[begin[:-1]] != word[begin[1:]]] = -1
@@ -179,16 +227,17 @@ def relax(codes: np.ndarray, pieces: Pieces) -> tuple[np.ndarray, np.ndarray, np
     return begin, end, found
 
 
-def _contract_long(word: str, pieces: Pieces) -> list[str]:
-    """The symbols of one long word, by a heap of the joins that are possible."""
-    n = len(word)
+def _contract_long(begin: int, end: int, edges: dict[tuple[int, int], int], rank: dict[int, int]) -> list[tuple[int, int]]:
+    """(start, end) of the symbols of one long word, by a heap of the edges that join two neighbours. edges has the id of each
+    edge of the lattice by its ends."""
+    n = end - begin
     right, left, size = list(range(1, n + 1)), list(range(-1, n - 1)), [1] * n
     heap: list[tuple[int, int, int]] = []
 
     def offer(i: int) -> None:
         j = right[i]
-        if j < n and (piece := pieces.id_of.get(word[i : j + size[j]])) is not None:
-            heapq.heappush(heap, (int(pieces.rank[piece]), i, size[i] + size[j]))
+        if j < n and (piece := edges.get((begin + i, begin + j + size[j]))) is not None:
+            heapq.heappush(heap, (rank[piece], i, size[i] + size[j]))
 
     for i in range(n):
         offer(i)
@@ -206,19 +255,22 @@ def _contract_long(word: str, pieces: Pieces) -> list[str]:
             offer(left[i])
     out, i = [], 0
     while i < n:
-        out.append(word[i : i + size[i]])
+        out.append((begin + i, begin + i + size[i]))
         i = right[i]
     return out
 
 
+def cut_word(word: str, pieces: Pieces) -> list[str]:
+    """A long word in parts, cut between characters that stand side by side in no piece."""
+    codes = np.frombuffer(word.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    pair = codes[:-1] << np.uint64(32) | codes[1:]
+    at = np.minimum(np.searchsorted(pieces.pairs, pair), len(pieces.pairs) - 1)
+    cuts = [0, *(np.flatnonzero(pieces.pairs[at] != pair) + 1).tolist(), len(word)]
+    return [word[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+
+
 def encode_words(words: list[str], pieces: Pieces) -> tuple[np.ndarray, np.ndarray]:
     """The ids of all words, one after another, and how many each has."""
-    if any(len(w) > LONG for w in words):
-        short = [w for w in words if len(w) <= LONG]
-        flat, sizes = encode_words(short, pieces)
-        done = iter(np.split(flat, np.cumsum(sizes)[:-1])) if short else iter(())
-        coded = [next(done) if len(w) <= LONG else _long_word(w, pieces) for w in words]
-        return np.concatenate(coded), np.array([len(c) for c in coded], np.int64)
     if not words:
         return np.empty(0, np.int32), np.empty(0, np.int64)
     # codes move up by one, as a word may hold U+0000 and END stands between words
@@ -239,11 +291,6 @@ def encode_words(words: list[str], pieces: Pieces) -> tuple[np.ndarray, np.ndarr
     return flat, np.add.reduceat(sizes, np.searchsorted(begin, begins))
 
 
-def _long_word(word: str, pieces: Pieces) -> np.ndarray:
-    found = ([pieces.id_of[s]] if len(s) > 1 else _character(ord(s), pieces) for s in _contract_long(word, pieces))
-    return np.array([i for ids in found for i in ids], np.int32)
-
-
 def _character(code: int, pieces: Pieces) -> list[int]:
     found = pieces.single.get(chr(code))
     return [found] if found is not None else [int(pieces.byte[b]) for b in chr(code).encode("utf-8", "surrogatepass")]
@@ -291,7 +338,15 @@ class Coder:
         if len(self.numbers) > self.KNOWN:
             self.forget()
         number, find = self.numbers.__getitem__, self.pieces.words.findall
-        parts = [np.array(list(map(number, find(SPACE + t.replace(" ", SPACE)))), np.int64) if t else np.empty(0, np.int64) for t in texts]
+
+        def words(text: str) -> Iterator[str]:
+            for w in find(SPACE + text.replace(" ", SPACE)):
+                if len(w) > LONG:
+                    yield from cut_word(w, self.pieces)
+                else:
+                    yield w
+
+        parts = [np.array(list(map(number, words(t))), np.int64) if t else np.empty(0, np.int64) for t in texts]
         if len(self.numbers) > len(self.sizes):
             new = list(islice(self.numbers, len(self.sizes), None))
             flat, sizes = encode_words(new, self.pieces)
@@ -328,17 +383,20 @@ def _bytes_of(pieces: Pieces) -> list[bytes]:
 _loaded: dict[str, Coder] = {}
 
 
-def _read(spark: SparkSession, model: str) -> str:
-    """Ships the model to the executors once; they find it by its name."""
-    spark.sparkContext.addFile(model)
-    return model.rsplit("/", 1)[-1]
+class _Model:
+    """A model's bytes, broadcast; each worker builds its coder once, whatever the file's name."""
 
+    def __init__(self, spark: SparkSession, path: str) -> None:
+        with open(path, "rb") as f:
+            content = f.read()
+        _checked(content)
+        self.key, self.content = hashlib.sha256(content).hexdigest(), spark.sparkContext.broadcast(content)
 
-def _coder(name: str) -> Coder:
-    if name not in _loaded:
-        with open(SparkFiles.get(name), "rb") as f:
-            _loaded[name] = Coder(Pieces(f.read()))
-    return _loaded[name]
+    def coder(self) -> Coder:
+        if self.key not in _loaded:
+            _loaded.clear()
+            _loaded[self.key] = Coder(Pieces(self.content.value))
+        return _loaded[self.key]
 
 
 def _batches(column: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, list[str | None]]]:
@@ -356,12 +414,12 @@ def _batches(column: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, list[
 
 def encode(docs: DataFrame, text: str = "text", model: str = MODEL) -> DataFrame:
     """docs with ids (array<int>), the SentencePiece ids of each whole text."""
-    name = _read(docs.sparkSession, model)
+    shared = _Model(docs.sparkSession, model)
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for first, texts in _batches(b.column(b.num_columns - 1)):
-                ids = pa.array(_coder(name).encode(texts), pa.list_(pa.int32()))
+                ids = pa.array(shared.coder().encode(texts), pa.list_(pa.int32()))
                 part = b.slice(first, len(texts))
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], ids], names=[*part.schema.names[:-1], "ids"])
 
@@ -371,11 +429,11 @@ def encode(docs: DataFrame, text: str = "text", model: str = MODEL) -> DataFrame
 
 def decode(df: DataFrame, ids: str = "ids", model: str = MODEL) -> DataFrame:
     """df with decoded (string), the text of each row's ids."""
-    name = _read(df.sparkSession, model)
+    shared = _Model(df.sparkSession, model)
 
     def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = [None if x.as_py() is None else decode_ids(x.values.to_numpy(), _coder(name).pieces) for x in b.column(b.num_columns - 1)]
+            texts = [None if x.as_py() is None else decode_ids(x.values.to_numpy(), shared.coder().pieces) for x in b.column(b.num_columns - 1)]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(texts, pa.string())], names=[*b.schema.names[:-1], "decoded"])
 
     mine = df.select(*others(df, "decoded", "_ids"), df[ids].alias("_ids"))
@@ -385,15 +443,15 @@ def decode(df: DataFrame, ids: str = "ids", model: str = MODEL) -> DataFrame:
 def token_digest(docs: DataFrame, key: str = "doc_id", text: str = "text", model: str = MODEL) -> DataFrame:
     """key, n_tokens (long), ids_sha256 (of the ids as little-endian 32-bit numbers; both null for a null text) and
     round_trip (the ids decode to the text)."""
-    name = _read(docs.sparkSession, model)
+    shared = _Model(docs.sparkSession, model)
 
     def digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for first, texts in _batches(b.column(1)):
-                ids = _coder(name).encode(texts)
+                ids = shared.coder().encode(texts)
                 n = pa.array([None if x is None else len(x) for x in ids], pa.int64())
                 sha = pa.array([None if x is None else hashlib.sha256(x.astype("<i4").tobytes()).hexdigest() for x in ids], pa.string())
-                same = pa.array([None if x is None else decode_ids(x, _coder(name).pieces) == t for x, t in zip(ids, texts, strict=True)], pa.bool_())
+                same = pa.array([None if x is None else decode_ids(x, shared.coder().pieces) == t for x, t in zip(ids, texts, strict=True)], pa.bool_())
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(first, len(texts)), n, sha, same], names=[key, "n_tokens", "ids_sha256", "round_trip"])
 
     schema = docs.select(key).schema.add("n_tokens", "long").add("ids_sha256", "string").add("round_trip", "boolean")

@@ -20,21 +20,22 @@ def zygosity(dense_ccg: DataFrame) -> DataFrame:
 
 def slices(alleles: DataFrame, hist: DataFrame) -> DataFrame:
     """200 CAG bins of each allele's CCG, with the call (the contig's CAG) and how many peaks its slice should have: two if
-    both alleles share it. Slices that hold one allele are smoothed around the call."""
+    both alleles share it, beside each other (at most one apart) or spread (more than five). Slices that hold one allele are
+    smoothed around the call."""
     w = Window.partitionBy("sample_id")
     shared = F.min("ccg").over(w) == F.max("ccg").over(w)
-    beside = shared & (F.max("cag").over(w) - F.min("cag").over(w) <= 1)
-    asked = alleles.select(*SLICE, "ccg", F.col("cag").alias("call"), F.when(shared, 2).otherwise(1).alias("expected"), beside.alias("beside"))
+    gap = F.max("cag").over(w) - F.min("cag").over(w)
+    asked = alleles.select(*SLICE, "ccg", F.col("cag").alias("call"), F.when(shared, 2).otherwise(1).alias("expected"), (shared & (gap <= 1)).alias("beside"), (shared & (gap > 5)).alias("spread"))
     bins = asked.select("*", F.explode(F.sequence(F.lit(1), F.lit(200))).alias("cag"))
     dense = bins.join(hist.select("sample_id", "ccg", "cag", "n"), ["sample_id", "ccg", "cag"], "left").withColumn("n", F.coalesce("n", F.lit(0)).cast("long"))
     smooth = F.when((F.col("expected") == 2) | (F.col("cag") == F.col("call")), F.col("n")).otherwise(H.cut(F.col("n"), 85.0))
-    return dense.withColumn("smooth", smooth).select(*SLICE, "ccg", "call", "expected", "beside", "cag", "n", "smooth")
+    return dense.withColumn("smooth", smooth).select(*SLICE, "ccg", "call", "expected", "beside", "spread", "cag", "n", "smooth")
 
 
 def cag_calls(bins: DataFrame) -> DataFrame:
     """(sample_id, allele, call, recalls, threshold, peaks, fod): fod is the last peak within one of the call, else the first."""
-    rows = bins.groupBy(*SLICE, "call", "expected", "beside").agg(F.transform(F.array_sort(F.collect_list(F.struct("cag", "smooth"))), lambda x: x["smooth"]).alias("v"))
-    found = recall(rows, SLICE, "call", "expected", "beside", "v")
+    rows = bins.groupBy(*SLICE, "call", "expected", "beside", "spread").agg(F.transform(F.array_sort(F.collect_list(F.struct("cag", "smooth"))), lambda x: x["smooth"]).alias("v"))
+    found = recall(rows, SLICE, "call", "expected", "beside", "v", "spread")
     near = F.filter("peaks", lambda p: F.abs(p - F.col("call")) <= 1)
     return found.withColumn("fod", F.coalesce(F.try_element_at(near, F.lit(-1)), F.get("peaks", 0)))
 

@@ -40,12 +40,16 @@ def peaks_of(v: Column, threshold: float) -> Column:
     return F.transform(high, lambda r: F.struct(F.floor((2 * r["i"] + r["k"] - 1) / 2).cast("int").alias("peak"), at(r["i"]).alias("height")))
 
 
-def recall(rows: DataFrame, keys: list[str], call: str, expected: str, lenient: str, v: str) -> DataFrame:
+def recall(rows: DataFrame, keys: list[str], call: str, expected: str, lenient: str, v: str, spread: str | None = None) -> DataFrame:
     """(keys, call, recalls, threshold, peaks) of rows with an array of bins v: the first rung of the ladder on which the expected
     number of peaks stands, or the called bin is one of them (then only it is kept), or any if lenient (two alleles side by
-    side make one peak). Peaks are found once, at the lowest rung; a rung only filters. Rows without such a rung go."""
+    side make one peak). Where spread, a peak within two bins of a higher one goes. Peaks are found once, at the lowest
+    rung; a rung only filters. Rows without such a rung go."""
     low, high = F.array_min(v), F.array_max(v)
     rows = rows.withColumn("_found", peaks_of(F.col(v), LADDER[-1]))
+    if spread:
+        alone = F.filter("_found", lambda p: ~F.exists("_found", lambda q: (F.abs(q["peak"] - p["peak"]) <= 2) & (q["height"] > p["height"])))
+        rows = rows.withColumn("_found", F.when(F.col(spread), alone).otherwise(F.col("_found")))
     on = lambda t: F.transform(F.filter("_found", lambda p: p["height"] > t * (high - low) + low), lambda p: p["peak"])
     rungs = F.array(*[F.struct(F.lit(k).alias("recalls"), F.lit(t).alias("threshold"), on(t).alias("peaks")) for k, t in enumerate(LADDER)])
     good = F.filter("_rungs", lambda r: (F.size(r["peaks"]) > 0) & ((F.size(r["peaks"]) == F.col(expected)) | F.array_contains(r["peaks"], F.col(call)) | F.col(lenient)))

@@ -35,6 +35,13 @@ def instance_report(scored: DataFrame, confidence: DataFrame, variants: DataFram
     return rows.groupBy("sample_id").agg(*[pick(who, *c) for who in ("PRI", "SEC") for c in ALLELE_COLUMNS], missing, *[flag(*c) for c in SAMPLE_COLUMNS[1:]])
 
 
+def with_sample_values(alleles: DataFrame, samples: DataFrame, columns: list[str]) -> DataFrame:
+    """alleles, whose nulls in the columns take the sample's values."""
+    theirs = samples.select("sample_id", *[F.col(c).alias(f"_{c}") for c in columns])
+    joined = alleles.join(theirs, "sample_id", "left")
+    return joined.select(*[F.coalesce(c, f"_{c}").alias(c) if c in columns else c for c in alleles.columns])
+
+
 def simplified_report(labels: DataFrame, intervals: DataFrame) -> DataFrame:
     """(sample_id, allele1, allele1_ci, allele2, allele2_ci)"""
     rows = labels.join(intervals.select("sample_id", "allele", "interval"), ["sample_id", "allele"], "left")

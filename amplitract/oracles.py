@@ -164,15 +164,17 @@ SLICES = (
     PAIRS
     + """,
 asked AS (SELECT sample_id, allele, ccg, cag AS call, CASE WHEN min(ccg) OVER (PARTITION BY sample_id) = max(ccg) OVER (PARTITION BY sample_id) THEN 2 ELSE 1 END AS expected,
-  min(ccg) OVER (PARTITION BY sample_id) = max(ccg) OVER (PARTITION BY sample_id) AND max(cag) OVER (PARTITION BY sample_id) - min(cag) OVER (PARTITION BY sample_id) <= 1 AS beside FROM alleles),
+  min(ccg) OVER (PARTITION BY sample_id) = max(ccg) OVER (PARTITION BY sample_id) AND max(cag) OVER (PARTITION BY sample_id) - min(cag) OVER (PARTITION BY sample_id) <= 1 AS beside,
+  min(ccg) OVER (PARTITION BY sample_id) = max(ccg) OVER (PARTITION BY sample_id) AND max(cag) OVER (PARTITION BY sample_id) - min(cag) OVER (PARTITION BY sample_id) > 5 AS spread FROM alleles),
 bins0 AS (SELECT a.*, g.cag::INT AS cag, coalesce(n, 0)::BIGINT AS n FROM asked a CROSS JOIN range(1, 201) g(cag) LEFT JOIN fw ON fw.sample_id = a.sample_id AND fw.ccg = a.ccg AND fw.cag = g.cag),
 bins AS (SELECT sample_id, allele, ccg, call, expected, cag, n, CASE WHEN expected = 2 OR cag = call THEN n ELSE trunc(n - n / 100.0::DOUBLE * 85)::BIGINT END AS smooth FROM bins0)"""
 )
 CALLS = (
     SLICES
     + ","
-    + peaks_cte("pk", "bins", "sample_id, allele", "cag", "smooth", 0.05)
+    + peaks_cte("pk0", "bins", "sample_id, allele", "cag", "smooth", 0.05)
     + """,
+pk AS (SELECT p.* FROM pk0 p JOIN asked a USING (sample_id, allele) WHERE NOT spread OR NOT EXISTS (SELECT 1 FROM pk0 q WHERE q.sample_id = p.sample_id AND q.allele = p.allele AND abs(q.peak - p.peak) <= 2 AND q.height > p.height)),
 ladder AS (SELECT * FROM (VALUES (0, 0.50::DOUBLE), (1, 0.44::DOUBLE), (2, 0.38::DOUBLE), (3, 0.32::DOUBLE), (4, 0.26::DOUBLE), (5, 0.20::DOUBLE), (6, 0.14::DOUBLE), (7, 0.08::DOUBLE), (8, 0.05::DOUBLE)) t(recalls, threshold)),
 rung AS (SELECT p.sample_id, p.allele, a.call, a.expected, a.beside, recalls, threshold, list(peak ORDER BY peak) AS peaks
   FROM pk p JOIN asked a USING (sample_id, allele) CROSS JOIN ladder WHERE height > threshold * (high - low) + low GROUP BY ALL),
@@ -301,7 +303,7 @@ tail AS (SELECT b.sample_id, cag, n FROM bins b JOIN slice1 USING (sample_id) WH
 hid AS (SELECT DISTINCT h.sample_id FROM hid0 h JOIN dim USING (sample_id) WHERE ccgs = 1 AND c1 <> c2 AND n1 + n2 < (0.65 - 0.175) * whole AND least(n1, n2) < 750 AND height > 100 AND abs(peak - c2) > 1
    AND h.sample_id NOT IN (SELECT sample_id FROM alleles WHERE status = 'Atypical')),
 warn AS (SELECT sample_id, least(a_n, b_n, t_n) < 20 AS few FROM ranked),
-scored AS (SELECT v.sample_id, v.allele, recalls, v.state, coalesce(h.sample_id IS NOT NULL, false) OR missed_expansion AS diminished, al.status, al.typical_pcnt, al.atypical_pcnt, al.total AS contig_reads, m.total, vicinity, slippage, mosaicism, threshold,
+scored AS (SELECT v.sample_id, v.allele, (sum(recalls) OVER (PARTITION BY v.sample_id))::INT AS recalls, v.state, coalesce(h.sample_id IS NOT NULL, false) OR missed_expansion AS diminished, al.status, al.typical_pcnt, al.atypical_pcnt, al.total AS contig_reads, m.total, vicinity, slippage, mosaicism, threshold,
    CASE WHEN v.state <> 'heterozygous' THEN 2 ELSE {_MINUS} END AS minus_level, CASE WHEN v.state <> 'heterozygous' THEN 2 ELSE {_PLUS} END AS plus_level, nminus, nplus,
    fw_mapped, rv_mapped, fw_count, rv_count, fw_purged, rv_purged, all_reads, fatal_low, diff_confuse, heuristic_ok, k.fod, est_cag, r.uncertain AS ccg_uncertain, r.svm_failure, r.fod_ccg, k.unexpected, k.interpolated, few AS alignment_warning, cct_uncertain, al.intervening,
    l.* EXCLUDE (sample_id, allele), al.total < 750 AS low_reads, al.status = 'Atypical' AND coalesce(at_call, 0) = 0 AS atypical_warning

@@ -130,6 +130,8 @@ def scored(c: Cohort, e: Evidence) -> DataFrame:
     rows = rows.join(hidden, "sample_id", "left").join(few, "sample_id")
     rows = rows.join(e.review.select(*G.SLICE, F.col("uncertain").alias("ccg_uncertain"), "svm_failure", "zygosity", "fod_ccg"), G.SLICE)
     rows = rows.join(e.peak.select(*G.SLICE, "fod", "unexpected", "interpolated"), G.SLICE).join(e.labels, G.SLICE)
+    # both alleles' recalls are counted together
+    rows = rows.withColumn("recalls", F.sum("recalls").over(Window.partitionBy("sample_id")).cast("int"))
     rows = rows.withColumns({
         "diminished": F.coalesce("hidden", F.lit(False)) | F.col("missed_expansion"), "ccg_threshold": F.lit(0.5).cast("double"),
         "minus_level": level("nminus", M.DROP_MINUS, 0.75), "plus_level": level("nplus", M.DROP_PLUS, 0.65),

@@ -526,3 +526,35 @@ def trim_mates(spark, sf):
 def interval_jitter(spark, sf):
     c = C.genotyped(spark, sf)
     return M.jittered_interval(M.confidence_interval(c.bins), M.confidence(C.scored(c, C.evidence(c)))).select("sample_id", "allele", "lo", "hi", "interval")
+
+
+@register("library_counts", query("SELECT h.sample_id, h.mate, h.cag || '_1_1_' || h.ccg || '_2' AS label, length('" + FIVE_PRIME + TYPICAL + THREE_PRIME + "CCTCCT') + 3 * (h.cag + h.ccg) AS length, h.n FROM hist h"))
+def library_counts(spark, sf):
+    """Reads of each library entry, by an equi-join of bins with the library."""
+    entries = R.typical_library(spark).select("cag", "ccg", "label", F.length("seq").cast("long").alias("length"))
+    return C.histogram(spark, sf).join(entries, ["cag", "ccg"]).select("sample_id", "mate", "label", "length", "n")
+
+
+@register("scan_subsample", query(f"SELECT r.sample_id, mate, count(*) AS n FROM reads r JOIN (SELECT sample_id, {_shares([(2000, 350), (1500, 450), (1000, 550), (500, 650)])} AS share FROM reads GROUP BY 1) s USING (sample_id) WHERE ('0x' || substr(md5(read_id::VARCHAR), 1, 8))::BIGINT % 1000 < share GROUP BY ALL", READS))
+def scan_subsample(spark, sf):
+    """The steps of a scan's subsample, at a tenth of their numbers of reads."""
+    steps = [(least // 10, kept) for least, kept in Q.SCAN_STEPS]
+    return Q.subsample(synth_reads(spark, sf), steps).groupBy("sample_id", "mate").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("nearest_contig")
+def nearest_contig(spark, sf):
+    """For each allele's label the contig of its sample whose name is most like it."""
+    from amplitract.functions.fuzzy import nearest_contig as nearest
+
+    wanted = C.alleles(spark, sf).select("sample_id", "label").distinct()
+    contigs = C.forward(spark, sf).select("sample_id", F.concat_ws("_", "cag", F.lit("1_1"), "ccg", F.lit("2")).alias("contig"), "n")
+    return nearest(wanted, contigs)
+
+
+@register("sample_defaults", query("SELECT a.sample_id, a.allele, coalesce(CASE WHEN status = 'Atypical' THEN at_call END, whole)::BIGINT AS mapped FROM valid v JOIN alleles a USING (sample_id, allele) JOIN (SELECT sample_id, sum(n) AS whole FROM fw GROUP BY 1) s ON s.sample_id = a.sample_id", CALLS))
+def sample_defaults(spark, sf):
+    """Mapped reads: an atypical allele's own, the sample's for a typical one."""
+    c = C.genotyped(spark, sf)
+    own = c.valid.join(c.alleles.select(*G.SLICE, "status"), G.SLICE).select(*G.SLICE, F.when(F.col("status") == "Atypical", F.col("at_call")).alias("mapped"))
+    return T.with_sample_values(own, c.hist.groupBy("sample_id").agg(F.sum("n").alias("mapped")), ["mapped"])

@@ -301,6 +301,37 @@ def test_score_of_subsampled_reads(spark):
     assert [r.y for r in ratios.select(metrics.ratio_context(F.col("x")).alias("y")).collect()] == [15, 10, 7, 5, 1, 1, 0]
 
 
+def test_fuzzy_adapter_against_all_substrings():
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(last + (x != y), row[j] + 1, row[j - 1] + 1)
+        return row[-1]
+
+    def plainly(seq, adapter, rate, least):
+        best = (0, 0, len(seq))
+        for end in range(1, len(seq) + 1):
+            cost, start = min((distance(adapter, seq[s:end]), s) for s in range(end + 1))
+            if cost <= rate * len(adapter) and (len(adapter) - cost, -cost) > best[:2]:
+                best = (len(adapter) - cost, -cost, start)
+        for i in range(least, len(adapter)):
+            cost, start = min((distance(adapter[:i], seq[s:]), s) for s in range(len(seq) + 1))
+            if cost <= rate * i and (i - cost, -cost) > best[:2]:
+                best = (i - cost, -cost, start)
+        return best
+
+    rng = random.Random(4)
+    for _ in range(150):
+        adapter = "".join(rng.choice("ACGT") for _ in range(8))
+        seq = "".join(rng.choice("ACGT") for _ in range(rng.randint(0, 14))) + adapter[: rng.randint(0, 8)].replace("A", rng.choice("AC"), 1) + "".join(rng.choice("ACGT") for _ in range(rng.choice([0, 0, 3])))
+        matched, errors, start = plainly(seq, adapter, 0.15, 3)
+        got = qc._adapter_start(seq, adapter, 0.15, 3)
+        # of equal alignments either start will do
+        assert got == start or (matched and distance(adapter, seq[got : got + 8]) <= 2), (seq, adapter, got, start)
+
+
 def test_fuzzy_trimming_at_both_ends(spark):
     df = spark.createDataFrame([("GGTTCCAAAACCCCGGGGTT",), ("GGTTCAAAACCTCGGGG",), ("TTCCAAAA",), ("AAAA",)], "seq string")
     found = {r.seq: r.trimmed for r in qc.trim_adapter_fuzzy(df, "CCCCGGGG", 0.15, 3, five="GGTTCC").collect()}

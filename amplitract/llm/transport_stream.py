@@ -8,7 +8,8 @@ elementary packets and lists timestamps and random-access points. Both work on a
 a row never leaves its task and memory is bounded by a batch piece and the longest text.
 
 Defined cases: a null text is stored as an empty one; an empty text pads to 192 spaces; a stream with no whole packet,
-no sync bytes or no tables gives no elementary stream and no error; lost packets count as continuity errors and the
+no sync bytes or no tables gives no elementary stream and no error; where bytes are missing or too many, reading goes on
+at the next sync; lost packets count as continuity errors and the
 packet they belong to is kept as far as it was read; scrambled and null packets are skipped; repeated packets (same
 counter and content) are read once. Extra columns pass through, those with the names of results are replaced.
 """
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import others, table
+from .shared import freeing, others, table
 
 PACKET, SYNC, UNIT = 188, 0x47, 192
 #: Payload bytes of an elementary packet: at one unit a tick of 1/100 s, each lasts a whole number of 90 kHz ticks.
@@ -236,7 +237,8 @@ def feature(streams: list[Stream]) -> str:
     return "; ".join(map(line, streams))
 
 
-RESULT = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+RESULT = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, pts array<bigint>, random_access array<bigint>"
+STREAM_FIELDS = ("pid", "type", "packets", "pes", "lost", "pts", "dts", "random_access", "pcr", "payload")
 STREAMS = "array<struct<pid:int,type:int,packets:long,pes:long,lost:long,pts:array<bigint>,dts:array<bigint>,random_access:array<bigint>,pcr:array<bigint>,payload:binary>>"
 
 
@@ -252,17 +254,23 @@ def store_text(docs: DataFrame, text: str = "text") -> DataFrame:
 
     mine = docs.select(*others(docs, "media", "_text"), docs[text].alias("_text"))
     kept = mine.drop("_text").schema
-    return mine.mapInArrow(muxed, kept.add("media", "binary"))
+    return mine.mapInArrow(freeing(muxed), kept.add("media", "binary"))
 
 
 def read_media(df: DataFrame, media: str = "media") -> DataFrame:
     """df with a column streams: for each elementary stream its counts, timestamps, random-access points and payload."""
 
-    @F.udf(STREAMS, useArrow=True)
-    def parsed(data: bytes | None) -> list[dict]:
-        return [{"pid": s.pid, "type": s.kind, "packets": s.packets, "pes": s.pes, "lost": s.lost, "pts": s.stamps, "dts": s.decode_stamps, "random_access": s.random_access, "pcr": s.clocks, "payload": s.payload} for s in demux(data or b"")]
+    kind = pa.list_(pa.struct([(n, pa.list_(pa.int64()) if n in ("pts", "dts", "random_access", "pcr") else pa.binary() if n == "payload" else pa.int32() if n in ("pid", "type") else pa.int64()) for n in STREAM_FIELDS]))
 
-    return df.select(*others(df, "streams"), parsed(df[media]).alias("streams"))
+    def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 64):
+                part = b.slice(at, 64)
+                found = [[dict(zip(STREAM_FIELDS, (s.pid, s.kind, s.packets, s.pes, s.lost, s.stamps, s.decode_stamps, s.random_access, s.clocks, s.payload), strict=True)) for s in demux(data or b"")] for data in part.column("_media").to_pylist()]
+                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(part.num_columns - 1)), pa.array(found, kind)], names=[*part.schema.names[:-1], "streams"])
+
+    mine = df.select(*others(df, "streams", "_media"), df[media].alias("_media"))
+    return mine.mapInArrow(freeing(parsed), mine.drop("_media").schema.add("streams", STREAMS))
 
 
 def digest(payload: bytes) -> tuple:
@@ -270,14 +278,14 @@ def digest(payload: bytes) -> tuple:
     media = mux(pad(payload))
     streams = demux(media)
     back = streams[0].payload
-    return len(payload), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(media), hashlib.sha256(media).hexdigest(), feature(streams)
+    return len(payload), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(media), hashlib.sha256(media).hexdigest(), feature(streams), streams[0].stamps, streams[0].random_access
 
 
 def media_digest(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key and the columns of RESULT, from the stored bytes of each whole text."""
     schema = docs.select(key).schema
     names = [x.split()[0] for x in RESULT.split(", ")]
-    types = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+    types = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int64())]
 
     def digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -287,7 +295,7 @@ def media_digest(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
 
     for part in RESULT.split(", "):
         schema = schema.add(*part.split())
-    return docs.select(docs[key], docs[text].alias("_text")).mapInArrow(digested, schema)
+    return docs.select(docs[key], docs[text].alias("_text")).mapInArrow(freeing(digested), schema)
 
 
 def op3_transport_stream(spark: SparkSession, sf_dir: str) -> DataFrame:

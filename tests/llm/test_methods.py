@@ -1,17 +1,19 @@
 """Operators that SQL can't express, against plain versions; and the contracts' columns."""
 
 import collections
+import hashlib
 import itertools
 import math
 import random
 import re
+import zlib
 
 import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from amplitract.llm import language_id, minhash_dedup, mixing, repeated_passages, site_style_tree
+from amplitract.llm import language_id, minhash_dedup, mixing, repeated_passages, site_style_tree, transport_stream
 from amplitract.llm.queries import QUERIES, oracles
 
 SF = "/root/testdata/sf0.001"
@@ -256,6 +258,39 @@ def test_importance_against_plain_version(spark):
     assert all(abs(found[path] - plain(path)) < 1e-9 for path in found)
 
 
+def test_transport_streams_find_sync_again():
+    data = transport_stream.pad(random.Random(4).randbytes(30_000))
+    stream = transport_stream.mux(data)
+    for at in (188 * 60 + 100, 188 * 90 + 5):
+        short = transport_stream.demux(stream[:at] + stream[at + 1 :])[0]
+        assert short.packets == transport_stream.demux(stream)[0].packets - 1 and short.lost == 1
+    longer = transport_stream.demux(stream[: 188 * 60] + b"xyz" + stream[188 * 60 :])[0]  # the packet before can't be told from a cut one
+    assert longer.packets == short.packets and longer.lost == 1
+
+
+def test_digests_of_stored_streams(spark):
+    texts = [None, "", "short", "some words " * 700]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in transport_stream.media_digest(df).collect():
+        raw = (texts[r.doc_id] or "").encode()
+        payload = raw + b" " * (-len(raw) % 192 or (192 if not raw else 0))
+        media = transport_stream.mux(payload)
+        assert (r.n_bytes, r.payload_bytes, r.media_bytes) == (len(raw), len(payload), len(media))
+        assert (r.payload_sha256, r.media_sha256) == (hashlib.sha256(payload).hexdigest(), hashlib.sha256(media).hexdigest())
+        assert r.tail_crc32 == zlib.crc32(payload[-16:])
+        # counted packet by packet
+        packets = [media[i : i + 188] for i in range(0, len(media), 188)]
+        assert all(p[0] == 0x47 for p in packets)
+        pid = lambda p: (p[1] & 31) << 8 | p[2]
+        own = [p for p in packets if pid(p) == int(re.search(r"pid=(0x\w+)", r.feature)[1], 16)]
+        starts = [p for p in own if p[1] & 0x40]
+        access = [k for k, p in enumerate(starts) if p[3] & 0x20 and p[4] and p[5] & 0x40]
+        assert f"packets={len(own)} pes={len(starts)} lost=0" in r.feature and f"rap={len(access)}" in r.feature
+        assert r.random_access == access and len(r.pts) == len(starts) and r.pts == sorted(r.pts)
+        assert f"pts={r.pts[0]}..{r.pts[-1]}" in r.feature
+        assert all((b[3] - a[3]) % 16 == 1 for a, b in zip(own, own[1:], strict=False))
+
+
 #: The columns that must come first, with their types.
 CONTRACT = {
     "op1": "doc_id:bigint held_out:boolean lang_pred:string score:double",

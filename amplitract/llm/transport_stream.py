@@ -24,7 +24,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .shared import freeing, others, table
 
@@ -270,7 +270,7 @@ def read_media(df: DataFrame, media: str = "media") -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(part.num_columns - 1)), pa.array(found, kind)], names=[*part.schema.names[:-1], "streams"])
 
     mine = df.select(*others(df, "streams", "_media"), df[media].alias("_media"))
-    return mine.mapInArrow(freeing(parsed), mine.drop("_media").schema.add("streams", STREAMS))
+    return mine.mapInArrow(freeing(parsed), T.StructType([*mine.drop("_media").schema.fields, *T.StructType.fromDDL(f"streams {STREAMS}").fields]))
 
 
 def digest(payload: bytes) -> tuple:
@@ -293,8 +293,7 @@ def media_digest(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
             columns = [pa.array(x, t) for x, t in zip(zip(*rows, strict=True) if rows else [[]] * len(types), types, strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), *columns], names=[key, *names])
 
-    for part in RESULT.split(", "):
-        schema = schema.add(*part.split())
+    schema = T.StructType([*schema.fields, *T.StructType.fromDDL(RESULT).fields])
     return docs.select(docs[key], docs[text].alias("_text")).mapInArrow(freeing(digested), schema)
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -17,6 +18,18 @@ from amplitract.operators.tracts import assign_contigs, scan_tracts
 from amplitract.sources.reads import synth_reads
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """df written to the folder that all executors share, and read back: plans behind it stay short, and lost executors cost
+    no more than their tasks. The tables of a cohort have a few hundred rows a sample. Only local mode falls back to /tmp."""
+    spark = df.sparkSession
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    path = f"{(root or 'file:///tmp/checkpoints').rstrip('/')}/cohort-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def assigned(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign_contigs(scan_tracts(synth_reads(spark, sf_dir)))
 
@@ -64,7 +77,7 @@ def _forward(hist: DataFrame) -> DataFrame:
 
 @dataclass
 class Cohort:
-    """The tables of one run, from the sums of reads by structure on: a few hundred rows a sample, kept in memory."""
+    """The tables of one run, from the sums of reads by structure on: a few hundred rows a sample, written once."""
 
     hist: DataFrame
     top: DataFrame
@@ -84,14 +97,14 @@ def genotype_reads(reads: DataFrame) -> Cohort:
     """reads: sample_id, mate, mapq, seq"""
     rows = assign_contigs(scan_tracts(reads))
     keys = [c for c in rows.columns if c != "n"]
-    rows = rows.groupBy(*keys).agg(F.sum("n").alias("n")).persist()
+    rows = kept(rows.groupBy(*keys).agg(F.sum("n").alias("n")))
     both = H.histogram(rows)
     hist = _forward(both)
     top = top_contigs(hist)
-    alleles = K.alleles(K.choose_pair(K.ranks(top)), K.contig_summary(rows, top)).persist()
-    bins = G.slices(alleles, hist).persist()
-    calls = G.cag_calls(bins)
-    return Cohort(hist, top, alleles, bins, calls, G.validate(calls, bins).persist(), reads, both.groupBy("sample_id", "mate", "ccg").agg(F.sum("n").alias("n")))
+    alleles = kept(K.alleles(K.choose_pair(K.ranks(top)), K.contig_summary(rows, top)))
+    bins = kept(G.slices(alleles, hist))
+    calls = kept(G.cag_calls(bins))
+    return Cohort(hist, top, alleles, bins, calls, kept(G.validate(calls, bins)), reads, both.groupBy("sample_id", "mate", "ccg").agg(F.sum("n").alias("n")))
 
 
 def ccg_review(c: Cohort) -> DataFrame:
@@ -110,8 +123,8 @@ class Evidence:
 
 def evidence(c: Cohort, starred: bool = True) -> Evidence:
     """starred: new sequences between the tracts are labelled by likeness, with a star, which needs Python; else by exact counts."""
-    review = ccg_review(c).persist()
-    peak = E.peak_review(c.bins, c.valid, review).persist()
+    review = kept(ccg_review(c))
+    peak = kept(E.peak_review(c.bins, c.valid, review))
     return Evidence(review, peak, E.final_labels(label_parts(c.alleles) if starred else c.alleles, c.valid, review, peak))
 
 

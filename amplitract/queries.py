@@ -220,7 +220,7 @@ def peak_review(spark, sf):
 def final_labels(spark, sf):
     """Without the stars of new sequences, which SQL can't find; starred_genotype has them."""
     c = C.genotyped(spark, sf)
-    review = C.ccg_review(c).persist()
+    review = C.kept(C.ccg_review(c))
     return E.final_labels(c.alleles, c.valid, review, E.peak_review(c.bins, c.valid, review)).drop("novel")
 
 
@@ -395,14 +395,14 @@ def _report_sql():
 @register("instance_report", _report_sql())
 def instance_report(spark, sf):
     """By exact counts, as SQL can't find the stars of new sequences; sample_reports has them."""
-    scored = _scored(spark, sf, starred=False).withColumns({c: F.round(c, 3) for c in ("fw_mapped", "rv_mapped")}).persist()
+    scored = C.kept(_scored(spark, sf, starred=False).withColumns({c: F.round(c, 3) for c in ("fw_mapped", "rv_mapped")}))
     variants = V.variant_text(V.surviving(synth_variants(spark, sf), 20.0)).withColumn("score", F.round("score", 4))
     return T.instance_report(scored, M.confidence(scored), variants).drop("novel_atypical")
 
 
 @register("sample_reports")
 def sample_reports(spark, sf):
-    scored = _scored(spark, sf).persist()
+    scored = C.kept(_scored(spark, sf))
     return T.instance_report(scored, M.confidence(scored), V.variant_text(V.surviving(synth_variants(spark, sf), 20.0)))
 
 
@@ -414,7 +414,7 @@ def simplified_report(spark, sf):
 
 @register("allele_reports")
 def allele_reports(spark, sf):
-    scored = _scored(spark, sf).persist()
+    scored = C.kept(_scored(spark, sf))
     return T.allele_reports(scored, M.confidence(scored))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .fill_in_middle import OP13_SQL, op13_fill_in_middle
 from .language_id import op1_language_id
 from .line_dedup import OP7_SQL, op7_line_dedup
 from .minhash_dedup import op8_minhash_dedup
@@ -24,8 +25,9 @@ QUERIES = {
     "op8_minhash_dedup": op8_minhash_dedup,
     "op9_mixing": op9_mixing,
     "op10_site_style_tree": op10_site_style_tree,
+    "op13_fill_in_middle": op13_fill_in_middle,
 }
 
 
 def oracles() -> dict[str, str]:
-    return {"op4_sharding": op4_sql(), "op7_line_dedup": OP7_SQL, "op9_mixing": OP9_SQL}
+    return {"op4_sharding": op4_sql(), "op7_line_dedup": OP7_SQL, "op9_mixing": OP9_SQL, "op13_fill_in_middle": OP13_SQL}

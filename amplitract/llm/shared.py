@@ -86,3 +86,11 @@ def others(df: DataFrame, *new: str) -> list[Column]:
     """The columns of df besides those that a result of these names replaces (as withColumn would)."""
     taken = {n.lower() for n in new}
     return [df[f"`{c}`"] for c in df.columns if c.lower() not in taken]
+
+
+def fresh(df: DataFrame, stem: str) -> str:
+    """A name for a helper column that no column of df has."""
+    taken = {c.lower() for c in df.columns}
+    while stem.lower() in taken:
+        stem += "_"
+    return stem

@@ -2,21 +2,22 @@
 
 from __future__ import annotations
 
-from amplitract.sources.reads import FIVE_PRIME, SAMPLE_COLUMNS, THREE_PRIME, TYPICAL, sample_values
+from amplitract.sources.reads import FIVE_PRIME, FIVE_PRIME_SNPS, SAMPLE_COLUMNS, THREE_PRIME, THREE_PRIME_SNP, TYPICAL, sample_values
 
 READS = f"""
 truth AS (SELECT * FROM (VALUES {sample_values()}) t({SAMPLE_COLUMNS})),
 picked AS (
-  SELECT *, (l_suppkey % 20)::INT AS sid, l_orderkey % 100 < split AS one, l_partkey % 100 AS p
+  SELECT *, (l_suppkey % 20)::INT AS sid, l_orderkey % 100 < split AS one, l_partkey % 100 AS p,
+    l_orderkey % 100 < split AND (l_suppkey % 20 = 4 OR (l_suppkey % 20 = 17 AND l_orderkey % 2 = 0)) AS snps
   FROM lineitem JOIN truth ON sample_id = l_suppkey % 20
 ),
 reads AS (
   SELECT sid AS sample_id, l_orderkey * 10 + l_linenumber AS read_id, CASE WHEN l_linenumber % 4 = 0 THEN 'R2' ELSE 'R1' END AS mate,
     CASE WHEN l_partkey % 50 = 7 THEN 0 ELSE 60 END AS mapq, l_quantity::INT AS quality,
-    (CASE WHEN sid = 18 THEN repeat('A', (l_linenumber % 3)::INT) ELSE '' END) || CASE WHEN l_partkey % 50 = 3 THEN '{FIVE_PRIME[:9]}A{FIVE_PRIME[10:]}' ELSE '{FIVE_PRIME}' END ||
+    (CASE WHEN sid = 18 THEN repeat('A', (l_linenumber % 3)::INT) ELSE '' END) || CASE WHEN snps THEN '{FIVE_PRIME_SNPS}' WHEN l_partkey % 50 = 3 THEN '{FIVE_PRIME[:9]}A{FIVE_PRIME[10:]}' ELSE '{FIVE_PRIME}' END ||
     repeat('CAG', (CASE WHEN one THEN cag1 ELSE cag2 END) + CASE WHEN p < 7 THEN -2 WHEN p < 18 THEN -1 WHEN p < 91 THEN 0 WHEN p < 96 THEN 1 WHEN p < 99 THEN 2 ELSE 3 END) ||
     (CASE WHEN one THEN mid1 ELSE mid2 END) || repeat('CCG', CASE WHEN one THEN ccg1 ELSE ccg2 END) ||
-    repeat('CCT', CASE WHEN one THEN cct1 ELSE cct2 END) || '{THREE_PRIME}' AS seq
+    repeat('CCT', CASE WHEN one THEN cct1 ELSE cct2 END) || CASE WHEN snps THEN '{THREE_PRIME_SNP}' ELSE '{THREE_PRIME}' END AS seq
   FROM picked
 )"""
 
@@ -332,3 +333,44 @@ events AS (
   UNION ALL SELECT sample_id, allele, rule, CASE WHEN share > 90 THEN 2 WHEN share > 85 AND share < 90 THEN 1 ELSE -2 END FROM shares),
 late AS (SELECT unnest(['peak inspection', 'uncertain CCG', 'alignment warning', 'atypical alignment warning', 'fatally few reads', 'differential confusion', 'no second allele', 'forward mapped', 'reverse mapped']) AS rule)"""
 )
+
+
+def _entries(structures: str) -> str:
+    """The library entry of each distinct read: the one of its length, set at its right end, from which fewest bases differ. (No gap is worth
+    its price in reads whose tracts are whole, so the best alignment is one without.)"""
+    flanks = len(FIVE_PRIME) + len(THREE_PRIME)
+    return f"""
+structs AS ({structures}),
+useq AS (SELECT sample_id, mate, seq, quality, count(*) AS n FROM reads WHERE mapq >= 1 GROUP BY ALL),
+tries AS (SELECT *, FIVE || repeat('CAG', cag) || mid || repeat('CCG', ccg) || repeat('CCT', cct) || THREE AS ref FROM (
+  SELECT t.*, s.mid, s.cct::BIGINT AS cct, cag, ((length(seq) - {flanks} - length(mid) - 3 * s.cct) // 3 - cag)::BIGINT AS ccg, '{FIVE_PRIME}' AS FIVE, '{THREE_PRIME}' AS THREE
+  FROM (SELECT DISTINCT sample_id, seq FROM useq) t JOIN structs s USING (sample_id), range(1, 201) a(cag)) WHERE ccg BETWEEN 1 AND 20),
+entries AS (SELECT sample_id, seq, mid, cct, cag, ccg, ref, hamming(right(seq, length(ref)), ref) AS d, length(seq) - length(ref) AS ahead FROM tries
+  QUALIFY row_number() OVER (PARTITION BY sample_id, seq ORDER BY d, mid, cct, ccg, cag) = 1)"""
+
+
+RESCORED = READS + "," + _entries(f"SELECT DISTINCT sample_id, '{TYPICAL}' AS mid, 2 AS cct FROM reads")
+
+#: Reads against the typical entries and those of their sample's alleles, what they show at each position, and the calls.
+VARIANTS = (
+    PAIRS
+    + ","
+    + _entries(f"SELECT sample_id, '{TYPICAL}' AS mid, 2 AS cct FROM reads GROUP BY ALL UNION SELECT sample_id, intervening, est_cct FROM alleles")
+    + """,
+shown AS (SELECT sample_id, mid, cct, cag, ccg, pos, substr(ref, pos, 1) AS ref, substr(seq, pos + ahead, 1) AS base, quality AS q, sum(n)::BIGINT AS n
+  FROM useq JOIN entries USING (sample_id, seq), unnest(range(1, length(ref) + 1)) x(pos) GROUP BY ALL),
+alts AS (SELECT sample_id, mid, cct, cag, ccg, pos, base AS alt, sum(n)::BIGINT AS alt_depth FROM shown WHERE base <> ref GROUP BY sample_id, mid, cct, cag, ccg, pos, base
+  QUALIFY row_number() OVER (PARTITION BY sample_id, mid, cct, cag, ccg, pos ORDER BY sum(n) DESC, base) = 1),
+likely AS (SELECT sample_id, mid, cct, cag, ccg, pos, ref, alt, alt_depth, sum(n)::BIGINT AS depth,
+  sum(n * log10(pr)) + log10(1 - 1.5::DOUBLE * 0.001) AS g0, sum(n * log10((pr + pa) / 2)) + log10(0.001::DOUBLE) AS g1, sum(n * log10(pa)) + log10(0.0005::DOUBLE) AS g2 FROM (
+  SELECT *, CASE WHEN base = ref THEN 1 - e ELSE e / 3 END AS pr, CASE WHEN base = alt THEN 1 - e ELSE e / 3 END AS pa FROM (
+  SELECT *, least(0.75, pow(10.0::DOUBLE, -q / 10.0::DOUBLE)) AS e FROM shown JOIN alts USING (sample_id, mid, cct, cag, ccg, pos) WHERE alt_depth >= 2)) GROUP BY ALL),
+called AS (SELECT *, greatest(g0, g1, g2) AS m FROM likely WHERE g1 > g0 OR g2 > g0),
+records AS (SELECT sample_id, cag || '_' || len(regexp_extract_all(mid, 'CAACAG')) || '_' || len(regexp_extract_all(replace(mid, 'CAACAG', ''), 'CCGCCA')) || '_' || ccg || '_' || cct AS chrom, pos::INT AS pos, ref, alt,
+  CASE WHEN m = g2 THEN '1/1' ELSE '0/1' END AS gt, round(-10 * (g0 - (m + log10(w))), 3) AS qual,
+  round(-10 * log10(greatest(CASE WHEN m = g2 THEN p0 + p1 ELSE p0 + p2 END / w, 1e-300)), 3) AS gq, depth, alt_depth
+  FROM (SELECT *, p0 + p1 + p2 AS w FROM (SELECT *, pow(10.0::DOUBLE, g0 - m) AS p0, pow(10.0::DOUBLE, g1 - m) AS p1, pow(10.0::DOUBLE, g2 - m) AS p2 FROM called))),
+v AS (SELECT r.*, a.allele, a.status = 'Atypical' AS atypical, a.label FROM records r JOIN alleles a USING (sample_id)),
+t AS (SELECT *, CASE WHEN atypical THEN regexp_replace(chrom, '_?CAG.*$', '') ELSE chrom END = label AS target FROM v),
+k AS (SELECT * FROM (SELECT *, min(pos) OVER (PARTITION BY sample_id, allele) AS lo, max(pos) OVER (PARTITION BY sample_id, allele) AS hi FROM t WHERE target AND qual > 20) WHERE abs(pos - lo) > 5 AND abs(pos - hi) > 5)"""
+)

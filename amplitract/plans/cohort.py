@@ -14,6 +14,8 @@ from amplitract.operators import evidence as E
 from amplitract.operators import genotype as G
 from amplitract.operators import histogram as H
 from amplitract.operators import metrics as M
+from amplitract.operators import rescoring as S
+from amplitract.operators import variants as V
 from amplitract.operators.tracts import assign_contigs, scan_tracts
 from amplitract.sources.reads import synth_reads
 
@@ -155,3 +157,25 @@ def scored(c: Cohort, e: Evidence) -> DataFrame:
 
 def alleles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return genotyped(spark, sf_dir).alleles
+
+
+def structures(reads: DataFrame, alleles: DataFrame) -> DataFrame:
+    """(sample_id, structures): the (mid, cct) that a sample's reads are aligned to: the typical ones and those of its alleles."""
+    typical = reads.select("sample_id").distinct().select("sample_id", F.lit(K.TYPICAL).alias("mid"), F.lit(2).alias("cct"))
+    own = alleles.select("sample_id", F.col("intervening").alias("mid"), F.col("est_cct").alias("cct"))
+    return typical.unionByName(own).groupBy("sample_id").agg(F.array_sort(F.collect_set(F.struct("mid", "cct"))).alias("structures"))
+
+
+def variant_calls(reads: DataFrame, alleles: DataFrame, least: int = 2) -> DataFrame:
+    """Variants of each sample on the library entries that its reads align to (chrom). reads: with quality or q."""
+    given = "q" if "q" in reads.columns else "quality"
+    aligned = S.aligned_reads(reads, structures(reads, alleles), (given,))
+    entry = [F.col(c) for c in ("ref_mid", "contig_cag", "contig_ccg", "ref_cct")]
+    rows = aligned.where("cigar IS NOT NULL").withColumn("chrom", S.entry_label(*entry))
+    counts = V.base_counts(rows, ["sample_id", "chrom"], S.entry_sequence(*entry))
+    return V.call_variants(kept(counts), ["sample_id", "chrom"], least)
+
+
+def allele_variants(c: Cohort, cutoff: float) -> DataFrame:
+    """The variants of each allele's own entry that are good enough."""
+    return V.surviving(V.of_alleles(variant_calls(c.reads, c.alleles), c.alleles), cutoff)

@@ -16,28 +16,13 @@ from amplitract.operators import reference as R
 from amplitract.operators import report as T
 from amplitract.operators import variants as V
 from amplitract.operators import evidence as E
-from amplitract.oracles import CALLS, CONSENSUS, METRICS, PAIRS, READS, REVIEW, SCORED, SLICES, TOP, peaks_cte, query, SCAN
+from amplitract.oracles import CALLS, CONSENSUS, METRICS, PAIRS, READS, REVIEW, SCORED, SLICES, TOP, VARIANTS, peaks_cte, query, SCAN
 from amplitract.plans import cohort as C
+from amplitract.registry import QUERIES, SQL, register
 from amplitract.sources.reads import FIVE_PRIME, THREE_PRIME, TYPICAL, synth_reads
 
-QUERIES: dict = {}
-_SQL: dict[str, str] = {}
-
-
-def register(name: str, sql: str | None = None):
-    """Adds a query and its SQL, if SQL can express it."""
-
-    def add(f):
-        QUERIES[name] = f
-        if sql:
-            _SQL[name] = sql
-        return f
-
-    return add
-
-
 def oracles() -> dict[str, str]:
-    return dict(_SQL)
+    return dict(SQL)
 
 
 @register("read_counts", query("SELECT sample_id, mate, count(*) AS total, count(*) FILTER (WHERE mapq >= 1) AS mapped, round(100.0 * count(*) FILTER (WHERE mapq >= 1) / count(*), 4) AS percent FROM reads GROUP BY ALL", READS))
@@ -329,34 +314,6 @@ def realign_atypical(spark, sf):
     return R.realign(C.assigned(spark, sf), C.alleles(spark, sf))
 
 
-_VARIANTS = """v AS (SELECT (l_suppkey % 20)::INT AS sample_id, CASE WHEN l_orderkey % 2 = 0 THEN 'PRI' ELSE 'SEC' END AS allele, l_orderkey % 3 = 0 AS atypical, '17_1_1_7_2' AS label,
- '17_1_1_7_2' || CASE WHEN l_orderkey % 3 = 0 THEN '_CAG17' ELSE '' END || CASE WHEN l_linenumber = 5 THEN 'x' ELSE '' END AS chrom, (l_partkey % 300)::INT AS pos, 'A' AS ref, 'G' AS alt, l_extendedprice % 100 AS qual FROM lineitem),
-t AS (SELECT *, CASE WHEN atypical THEN regexp_replace(chrom, '_?CAG.*$', '') ELSE chrom END = label AS target FROM v),
-k AS (SELECT * FROM (SELECT *, min(pos) OVER (PARTITION BY sample_id, allele) AS lo, max(pos) OVER (PARTITION BY sample_id, allele) AS hi FROM t WHERE target AND qual > 20) WHERE abs(pos - lo) > 5 AND abs(pos - hi) > 5)"""
-
-
-def synth_variants(spark, sf):
-    rows = spark.read.parquet(f"{sf}/lineitem.parquet")
-    odd = F.col("l_orderkey") % 3 == 0
-    chrom = F.concat(F.lit("17_1_1_7_2"), F.when(odd, "_CAG17").otherwise(""), F.when(F.col("l_linenumber") == 5, "x").otherwise(""))
-    return rows.select((F.col("l_suppkey") % 20).cast("int").alias("sample_id"), F.when(F.col("l_orderkey") % 2 == 0, "PRI").otherwise("SEC").alias("allele"), odd.alias("atypical"), F.lit("17_1_1_7_2").alias("label"), chrom.alias("chrom"), (F.col("l_partkey") % 300).cast("int").alias("pos"), F.lit("A").alias("ref"), F.lit("G").alias("alt"), (F.col("l_extendedprice") % 100).alias("qual"))
-
-
-@register("variant_filter", query("SELECT sample_id, allele, pos, qual FROM k", _VARIANTS))
-def variant_filter(spark, sf):
-    return V.surviving(synth_variants(spark, sf), 20.0).select("sample_id", "allele", "pos", "qual")
-
-
-@register("variant_text", query("SELECT sample_id, allele, string_agg(ref || '->' || alt || '@' || pos, '   ' ORDER BY qual DESC, pos) AS text, max(qual) AS score FROM k GROUP BY ALL", _VARIANTS))
-def variant_text(spark, sf):
-    return V.variant_text(V.surviving(synth_variants(spark, sf), 20.0))
-
-
-@register("variants_off_target", query("SELECT sample_id, allele, chrom, count(*) AS n FROM t WHERE NOT target GROUP BY ALL", _VARIANTS))
-def variants_off_target(spark, sf):
-    return V.on_target(synth_variants(spark, sf)).where("NOT target").groupBy("sample_id", "allele", "chrom").agg(F.count(F.lit(1)).alias("n"))
-
-
 _PILE = SCAN + """,
 rd AS (SELECT sample_id || '_' || contig_cag || '_' || contig_ccg AS contig, seq, sum(n)::BIGINT AS k FROM (SELECT t.sample_id, t.seq, t.n, t.a[1] AS cag, (c[1] + floor((length(replace(substr(frames, ((a[2] + a[1]) * 4 + 1)::BIGINT, (greatest(c[2] - a[2] - a[1], 0) * 4)::BIGINT), ' ', '')) - 12) / 3.0))::INT AS ccg2,
    a[1]::INT AS contig_cag, (c[1] + floor((length(replace(substr(frames, ((a[2] + a[1]) * 4 + 1)::BIGINT, (greatest(c[2] - a[2] - a[1], 0) * 4)::BIGINT), ' ', '')) - 12) / 3.0))::INT AS contig_ccg FROM three t WHERE t.t[1] > 0)
@@ -388,22 +345,25 @@ def _report_sql():
     text = ", ".join(f"coalesce(max(v.text) FILTER (WHERE allele = '{who}'), 'FAIL') AS {who.lower()}_variant_call, coalesce(round(max(v.score) FILTER (WHERE allele = '{who}'), 4)::VARCHAR, 'FAIL') AS {who.lower()}_variant_score" for who in ("PRI", "SEC"))
     flags = ", ".join(f"CASE WHEN bool_or({c}) THEN 'True' ELSE 'False' END AS {n}" for n, c in _FLAGS.items())
     conf = "conf AS (SELECT s.sample_id, s.allele, CASE WHEN status = 'Atypical' AND abs(fod - est_cag) > 1 THEN 0 ELSE greatest(0, least(100, 100 + coalesce(d, 0))) END::INT AS confidence FROM scored s LEFT JOIN (SELECT sample_id, allele, sum(delta) AS d FROM events GROUP BY ALL) e USING (sample_id, allele))"
-    ctes = SCORED + ",\n" + _VARIANTS.strip() + f",\nvt AS (SELECT sample_id, allele, string_agg(ref || '->' || alt || '@' || pos, '   ' ORDER BY qual DESC, pos) AS text, max(qual) AS score FROM k GROUP BY ALL),\n{conf}"
+    own = VARIANTS[len(PAIRS) :]
+    ctes = SCORED + own + f",\nvt AS (SELECT sample_id, allele, string_agg(ref || '->' || alt || '@' || pos, '   ' ORDER BY qual DESC, pos) AS text, max(qual) AS score FROM k GROUP BY ALL),\n{conf}"
     return query(f"SELECT sample_id, {columns}, {text}, CASE WHEN count(DISTINCT allele) < 2 THEN 'True' ELSE 'False' END AS exception, {flags} FROM scored JOIN conf USING (sample_id, allele) LEFT JOIN vt v USING (sample_id, allele) GROUP BY sample_id", ctes)
 
 
 @register("instance_report", _report_sql())
 def instance_report(spark, sf):
     """By exact counts, as SQL can't find the stars of new sequences; sample_reports has them."""
-    scored = C.kept(_scored(spark, sf, starred=False).withColumns({c: F.round(c, 3) for c in ("fw_mapped", "rv_mapped")}))
-    variants = V.variant_text(V.surviving(synth_variants(spark, sf), 20.0)).withColumn("score", F.round("score", 4))
+    c = C.genotyped(spark, sf)
+    scored = C.kept(C.scored(c, C.evidence(c, False)).withColumns({c: F.round(c, 3) for c in ("fw_mapped", "rv_mapped")}))
+    variants = V.variant_text(C.allele_variants(c, 20.0)).withColumn("score", F.round("score", 4))
     return T.instance_report(scored, M.confidence(scored), variants).drop("novel_atypical")
 
 
 @register("sample_reports")
 def sample_reports(spark, sf):
-    scored = C.kept(_scored(spark, sf))
-    return T.instance_report(scored, M.confidence(scored), V.variant_text(V.surviving(synth_variants(spark, sf), 20.0)))
+    c = C.genotyped(spark, sf)
+    scored = C.kept(C.scored(c, C.evidence(c)))
+    return T.instance_report(scored, M.confidence(scored), V.variant_text(C.allele_variants(c, 20.0)))
 
 
 @register("simplified_report")
@@ -558,3 +518,6 @@ def sample_defaults(spark, sf):
     c = C.genotyped(spark, sf)
     own = c.valid.join(c.alleles.select(*G.SLICE, "status"), G.SLICE).select(*G.SLICE, F.when(F.col("status") == "Atypical", F.col("at_call")).alias("mapped"))
     return T.with_sample_values(own, c.hist.groupBy("sample_id").agg(F.sum("n").alias("mapped")), ["mapped"])
+
+
+from amplitract import aligned_queries  # noqa: E402,F401  they register themselves

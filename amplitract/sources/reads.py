@@ -12,6 +12,9 @@ FIVE_PRIME_VARIANT = FIVE_PRIME[:9] + "A" + FIVE_PRIME[10:]
 THREE_PRIME = "CAGCTTCCTCAGCCGCCGCCGCAGGCACAGCCGCTGCT"
 TYPICAL = "CAACAGCCGCCA"
 
+#: Flanks with three planted variants: all reads of sample 4's first allele have them, and half of those of sample 17's.
+FIVE_PRIME_SNPS = FIVE_PRIME[:14] + "T" + FIVE_PRIME[15:25] + "A" + FIVE_PRIME[26:]
+THREE_PRIME_SNP = THREE_PRIME[:28] + "T" + THREE_PRIME[29:]
 #: What each synthetic sample holds: two alleles (CAG, sequence between, CCG, CCT) and the percentage of the first.
 SAMPLES = [
     ((17, TYPICAL, 7, 2), (23, TYPICAL, 10, 2), 60),
@@ -37,6 +40,7 @@ SAMPLES = [
 ]
 
 _FIRST = "l_orderkey % 100 < split"
+_SNPS = f"{_FIRST} AND (l_suppkey % 20 = 4 OR (l_suppkey % 20 = 17 AND l_orderkey % 2 = 0))"
 _SLIP = "CASE WHEN l_partkey % 100 < 7 THEN -2 WHEN l_partkey % 100 < 18 THEN -1 WHEN l_partkey % 100 < 91 THEN 0 WHEN l_partkey % 100 < 96 THEN 1 WHEN l_partkey % 100 < 99 THEN 2 ELSE 3 END"
 
 
@@ -48,7 +52,8 @@ SAMPLE_COLUMNS = "sample_id, cag1, mid1, ccg1, cct1, cag2, mid2, ccg2, cct2, spl
 
 
 def synth_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(sample_id, read_id, mate, mapq, seq, qual): one read for each line item, with slippage, and one base changed in a fiftieth of them; sample 18 has reads in all three frames."""
+    """(sample_id, read_id, mate, mapq, seq, qual): one read for each line item, with slippage, and one base changed in a fiftieth of them; sample 18 has reads in all three frames,
+    samples 4 and 17 have variants in the flanks."""
     truth = spark.sql(f"SELECT * FROM VALUES {sample_values()} AS t({SAMPLE_COLUMNS})")
     items = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity")
     rows = items.withColumn("sample_id", (F.col("l_suppkey") % 20).cast("int")).join(F.broadcast(truth), "sample_id")
@@ -56,7 +61,8 @@ def synth_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     cag = (pick("cag") + F.expr(_SLIP)).cast("int")
     body = F.concat(
         F.when(F.col("sample_id") == 18, F.repeat(F.lit("A"), (F.col("l_linenumber") % 3).cast("int"))).otherwise(F.lit("")),
-        F.when(F.col("l_partkey") % 50 == 3, FIVE_PRIME_VARIANT).otherwise(FIVE_PRIME), F.repeat(F.lit("CAG"), cag), pick("mid"), F.repeat(F.lit("CCG"), pick("ccg")), F.repeat(F.lit("CCT"), pick("cct")), F.lit(THREE_PRIME),
+        F.when(F.expr(_SNPS), FIVE_PRIME_SNPS).when(F.col("l_partkey") % 50 == 3, FIVE_PRIME_VARIANT).otherwise(FIVE_PRIME), F.repeat(F.lit("CAG"), cag), pick("mid"), F.repeat(F.lit("CCG"), pick("ccg")), F.repeat(F.lit("CCT"), pick("cct")),
+        F.when(F.expr(_SNPS), THREE_PRIME_SNP).otherwise(THREE_PRIME),
     )
     mate = F.when(F.col("l_linenumber") % 4 == 0, "R2").otherwise("R1")
     return rows.select(

@@ -10,6 +10,7 @@ from amplitract.operators import variants as V
 from amplitract.oracles import RESCORED, VARIANTS, query
 from amplitract.plans import cohort as C
 from amplitract.registry import register
+from amplitract.sources.bam import read_bam, write_bam
 from amplitract.sources.reads import synth_reads
 
 
@@ -40,3 +41,15 @@ def variants_off_target(spark: SparkSession, sf: str) -> DataFrame:
     c = C.genotyped(spark, sf)
     records = V.of_alleles(C.variant_calls(c.reads, c.alleles), c.alleles)
     return V.on_target(records).where("NOT target").groupBy("sample_id", "allele", "chrom").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("bam_histogram", query("SELECT * FROM hist"))
+def bam_histogram(spark: SparkSession, sf: str) -> DataFrame:
+    """The reads as unaligned BAM files in the shared folder, and the histogram of what is read from them."""
+    reads = synth_reads(spark, sf)
+    rows = reads.select(F.concat_ws(":", "sample_id", "mate", "read_id").alias("read_id"), F.lit(None).cast("string").alias("contig"), "mapq", "seq", F.repeat(F.char(F.col("quality") + 33), F.length("seq")).alias("qual"))
+    with C.scratch(spark, "reads-bam") as folder:
+        write_bam(rows, folder, [])
+        part = lambda k: F.split_part("read_id", F.lit(":"), F.lit(k))
+        back = read_bam(spark, folder).select(part(1).cast("int").alias("sample_id"), part(2).alias("mate"), "mapq", "seq")
+        return C.kept(C.H.histogram(C.assign_contigs(C.scan_tracts(back))))

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -17,19 +19,39 @@ from amplitract.operators import metrics as M
 from amplitract.operators import rescoring as S
 from amplitract.operators import variants as V
 from amplitract.operators.tracts import assign_contigs, scan_tracts
+from amplitract.operators.zygosity import OutputCode, classified
 from amplitract.sources.reads import synth_reads
 
 
-def kept(df: DataFrame) -> DataFrame:
-    """df written to the folder that all executors share, and read back: plans behind it stay short, and lost executors cost
-    no more than their tasks. The tables of a cohort have a few hundred rows a sample. Only local mode falls back to /tmp."""
-    spark = df.sparkSession
+def _shared(spark: SparkSession, label: str) -> str:
+    """A new path in the folder that all executors share. Only local mode falls back to /tmp."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root and not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    path = f"{(root or 'file:///tmp/checkpoints').rstrip('/')}/cohort-{uuid.uuid4().hex}"
+    return f"{(root or 'file:///tmp/checkpoints').rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """df written to the folder that all executors share, and read back: plans behind it stay short, and lost executors cost
+    no more than their tasks. The tables of a cohort have a few hundred rows a sample."""
+    path = _shared(df.sparkSession, "cohort")
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def deleted(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession, label: str) -> Iterator[str]:
+    """A path in the shared folder that is deleted at the end."""
+    path = _shared(spark, label)
+    try:
+        yield path
+    finally:
+        deleted(spark, path)
 
 
 def assigned(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,13 +111,15 @@ class Cohort:
     valid: DataFrame
     reads: DataFrame
     ccgs: DataFrame
+    #: Tells a sample's zygosity from its reverse CCG bins; without one, a second peak of 15 percent does.
+    code: OutputCode | None = None
 
 
 def genotyped(spark: SparkSession, sf_dir: str) -> Cohort:
     return genotype_reads(synth_reads(spark, sf_dir))
 
 
-def genotype_reads(reads: DataFrame) -> Cohort:
+def genotype_reads(reads: DataFrame, code: OutputCode | None = None) -> Cohort:
     """reads: sample_id, mate, mapq, seq"""
     rows = assign_contigs(scan_tracts(reads))
     keys = [c for c in rows.columns if c != "n"]
@@ -106,12 +130,19 @@ def genotype_reads(reads: DataFrame) -> Cohort:
     alleles = kept(K.alleles(K.choose_pair(K.ranks(top)), K.contig_summary(rows, top)))
     bins = kept(G.slices(alleles, hist))
     calls = kept(G.cag_calls(bins))
-    return Cohort(hist, top, alleles, bins, calls, kept(G.validate(calls, bins)), reads, both.groupBy("sample_id", "mate", "ccg").agg(F.sum("n").alias("n")))
+    return Cohort(hist, top, alleles, bins, calls, kept(G.validate(calls, bins)), reads, both.groupBy("sample_id", "mate", "ccg").agg(F.sum("n").alias("n")), code)
 
 
 def ccg_review(c: Cohort) -> DataFrame:
     dense = lambda mate: H.densify(c.ccgs.where(F.col("mate") == mate).drop("mate"), ["sample_id"], "ccg", 20)
-    return E.ccg_review(dense("R2"), dense("R1"), c.alleles, G.zygosity(dense("R2")), c.valid)
+    zygosity = classified(dense("R2"), c.code) if c.code else G.zygosity(dense("R2"))
+    return E.ccg_review(dense("R2"), dense("R1"), c.alleles, zygosity, c.valid)
+
+
+def ccg_vectors(reads: DataFrame) -> DataFrame:
+    """(sample_id, mate, features): the 20 CCG bins of each sample and mate."""
+    ccgs = H.histogram(assign_contigs(scan_tracts(reads))).groupBy("sample_id", "mate", "ccg").agg(F.sum("n").alias("n"))
+    return E.vector(H.densify(ccgs, ["sample_id", "mate"], "ccg", 20), ["sample_id", "mate"], "ccg", "n", "features")
 
 
 @dataclass

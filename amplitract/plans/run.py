@@ -13,7 +13,9 @@ from amplitract.operators import variants as V
 from amplitract.operators.histogram import histogram
 from amplitract.operators.tracts import assign_contigs, scan_tracts
 from amplitract.plans import cohort as C
+from amplitract.operators.zygosity import train_output_code
 from amplitract.sources.config import Config
+from amplitract.sources.reads import read_training
 
 
 def reads_of_files(records: DataFrame) -> DataFrame:
@@ -38,7 +40,8 @@ def run(reads: DataFrame, config: Config) -> dict[str, DataFrame]:
     if config.alignment:
         out["histogram"] = histogram(assigned)
     if config.genotyping:
-        c = C.genotype_reads(reads)
+        code = train_output_code(read_training(reads.sparkSession, config.training_data, 20)) if config.training_data else None
+        c = C.genotype_reads(reads, code)
         e = C.evidence(c)
         scored = C.scored(c, e)
         confidence = M.confidence(scored)

@@ -20,6 +20,7 @@ class Config:
     error_tolerance: float = 0.1
     snp_cutoff: float = 1.0
     snp_observations: int = 2
+    training_data: str = ""
 
     def __post_init__(self) -> None:
         wrong = []

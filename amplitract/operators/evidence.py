@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from amplitract.functions.exprs import close
-from amplitract.operators.genotype import SLICE
+from amplitract.operators.genotype import SLICE, in_own_library
 from amplitract.operators.peaks import peaks_of
 
 
@@ -49,12 +49,11 @@ def _clean(v: Column, bin: Column) -> Column:
 def ccg_review(reverse: DataFrame, forward: DataFrame, alleles: DataFrame, zygosity: DataFrame, valid: DataFrame) -> DataFrame:
     """One row for each allele: its CCG bin after review (ccg) and whether that overwrote the scanned one; whether the bin is
     uncertain, continuous (a maximum of both alleles lies within one of it) and matched by a peak; the peak's CCG (fod_ccg);
-    the zygosity that peaks show, and whether it contradicts the classifier (svm_failure). reverse and forward are dense
-    CCG bins; bins of atypical alleles are shifted by what their sequence between the tracts is longer or shorter."""
-    both = vector(reverse, ["sample_id"], "ccg", "n", "rv").join(vector(forward, ["sample_id"], "ccg", "n", "fw"), "sample_id")
-    shift = F.floor((F.length("intervening") - 12) / 3).cast("int")
-    rows = alleles.select(*SLICE, F.col("ccg").alias("scanned"), "est_ccg", "status", "neighbouring", shift.alias("shift"))
-    rows = rows.join(both, "sample_id").join(zygosity.select("sample_id", F.col("zygosity").alias("classified")), "sample_id").join(valid.select(*SLICE, "state"), SLICE)
+    the zygosity that peaks show, and whether it contradicts the classifier (svm_failure). reverse and forward are each
+    allele's dense CCG bins, those of atypical alleles against a library of their own structure."""
+    both = vector(reverse, SLICE, "ccg", "n", "rv").join(vector(forward, SLICE, "ccg", "n", "fw"), SLICE)
+    rows = in_own_library(alleles).select(*SLICE, F.col("own_ccg").alias("scanned"), "est_ccg", "status", "neighbouring")
+    rows = rows.join(both, SLICE).join(zygosity.select("sample_id", F.col("zygosity").alias("classified")), "sample_id").join(valid.select(*SLICE, "state"), SLICE)
     w = Window.partitionBy("sample_id")
     of = lambda who, c: F.max(F.when(F.col("allele") == who, c)).over(w)
     rv = F.col("rv")
@@ -81,7 +80,7 @@ def ccg_review(reverse: DataFrame, forward: DataFrame, alleles: DataFrame, zygos
     rows = rows.withColumn("crowd", crowd).withColumn("peaks", F.when((size != wanted) & held, F.array("ccg")).when(crowd, F.array(b1)).otherwise(F.col("found")))
     rows = rows.withColumn("matched", F.array_contains("peaks", F.col("ccg")))
     one = F.when((F.size("peaks") > 1) & (F.col("allele") == "SEC"), F.get("peaks", 1)).otherwise(F.get("peaks", 0))
-    rows = rows.withColumn("fod_ccg", one - F.col("shift"))
+    rows = rows.withColumn("fod_ccg", one)
     kept = F.when(F.col("matched"), F.col("ccg"))
     local = F.when(of("PRI", kept).eqNullSafe(of("SEC", kept)), "HOMO").otherwise("HETERO")
     rows = rows.withColumn("local", local).withColumn("apart", F.abs(of("PRI", F.col("ccg")) - of("SEC", F.col("ccg"))))
@@ -91,8 +90,8 @@ def ccg_review(reverse: DataFrame, forward: DataFrame, alleles: DataFrame, zygos
     equal = of("PRI", F.col("fod_ccg")).eqNullSafe(of("SEC", F.col("fod_ccg")))
     rows = rows.withColumn("zygosity", F.when(equal, "HOMO").otherwise("HETERO"))
     # a homozygous sample whose mates show different numbers of peaks
-    rows = rows.withColumns({"n_fw": F.size(peaks_of(F.col("fw"), 0.15)), "n_rv": of("PRI", F.size(peaks_of(s, 0.15)))})
-    same_top = F.array_position("fw", F.array_max("fw")) == of("PRI", F.array_position(s, F.col("s1")))
+    rows = rows.withColumns({"n_fw": of("PRI", F.size(peaks_of(F.col("fw"), 0.15))), "n_rv": of("PRI", F.size(peaks_of(s, 0.15)))})
+    same_top = of("PRI", F.array_position("fw", F.array_max("fw"))) == of("PRI", F.array_position(s, F.col("s1")))
     disagree = (F.col("state") == "homozygous") & same_top & (F.col("n_fw") != F.col("n_rv"))
     return rows.select(
         *SLICE, "ccg", (F.col("ccg") != F.col("scanned")).alias("overwritten"), F.round("ratio", 6).alias("ratio"), (F.col("unsure") | disagree).alias("uncertain"), "continuous", "matched", "fod_ccg",

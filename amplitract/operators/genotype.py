@@ -18,26 +18,53 @@ def zygosity(dense_ccg: DataFrame) -> DataFrame:
     return out.withColumn("zygosity", F.when(F.col("peaks") >= 2, "HETERO").otherwise("HOMO"))
 
 
-def slices(alleles: DataFrame, hist: DataFrame) -> DataFrame:
-    """200 CAG bins of each allele's CCG, with the call (the contig's CAG) and how many peaks its slice should have: two if
-    both alleles share it, beside each other (at most one apart) or spread (more than five). Slices that hold one allele are
-    smoothed around the call."""
+def in_own_library(alleles: DataFrame) -> DataFrame:
+    """Adds own_ccg and own_cag: the bin of an allele's call, of the typical library, or of one of its own structure if it is atypical."""
+    odd = F.col("status") == "Atypical"
+    return alleles.withColumns({"own_ccg": F.when(odd, F.col("est_ccg")).otherwise(F.col("ccg")), "own_cag": F.when(odd, F.col("est_cag")).otherwise(F.col("cag"))})
+
+
+def allele_counts(alleles: DataFrame, hist: DataFrame, realigned: DataFrame, keys: list[str]) -> DataFrame:
+    """(sample_id, allele, keys, n): the sample's counts for typical alleles, those of the realigned reads for atypical ones."""
+    typical = alleles.where("status <> 'Atypical'").select(*SLICE)
+    return hist.join(typical, "sample_id").select(*SLICE, *keys, "n").unionByName(realigned.select(*SLICE, *keys, "n"))
+
+
+def slices(alleles: DataFrame, hist: DataFrame, realigned: DataFrame) -> DataFrame:
+    """200 CAG bins of each allele's CCG, with the call (its CAG) and how many peaks its slice should have: two if both alleles
+    share it, beside each other (at most one apart) or spread (more than five). Slices that hold one allele are smoothed
+    around the call. The bins of an atypical allele are those of its reads realigned to a library of its own structure
+    (realigned: sample_id, allele, ccg, cag, n); hist has the sample's."""
     w = Window.partitionBy("sample_id")
-    shared = F.min("ccg").over(w) == F.max("ccg").over(w)
-    gap = F.max("cag").over(w) - F.min("cag").over(w)
-    asked = alleles.select(*SLICE, "ccg", F.col("cag").alias("call"), F.when(shared, 2).otherwise(1).alias("expected"), (shared & (gap <= 1)).alias("beside"), (shared & (gap > 5)).alias("spread"))
+    shared = F.min("own_ccg").over(w) == F.max("own_ccg").over(w)
+    gap = F.max("own_cag").over(w) - F.min("own_cag").over(w)
+    asked = in_own_library(alleles).select(*SLICE, F.col("own_ccg").alias("ccg"), F.col("own_cag").alias("call"), F.when(shared, 2).otherwise(1).alias("expected"), (shared & (gap <= 1)).alias("beside"), (shared & (gap > 5)).alias("spread"))
     bins = asked.select("*", F.explode(F.sequence(F.lit(1), F.lit(200))).alias("cag"))
-    dense = bins.join(hist.select("sample_id", "ccg", "cag", "n"), ["sample_id", "ccg", "cag"], "left").withColumn("n", F.coalesce("n", F.lit(0)).cast("long"))
+    dense = bins.join(allele_counts(alleles, hist, realigned, ["ccg", "cag"]), [*SLICE, "ccg", "cag"], "left").withColumn("n", F.coalesce("n", F.lit(0)).cast("long"))
     smooth = F.when((F.col("expected") == 2) | (F.col("cag") == F.col("call")), F.col("n")).otherwise(H.cut(F.col("n"), 85.0))
     return dense.withColumn("smooth", smooth).select(*SLICE, "ccg", "call", "expected", "beside", "spread", "cag", "n", "smooth")
 
 
-def cag_calls(bins: DataFrame) -> DataFrame:
-    """(sample_id, allele, call, recalls, threshold, peaks, fod): fod is the last peak within one of the call, else the first."""
+#: How often the peaks of both alleles of a sample may be looked for again, together.
+MOST_RECALLS = 8
+
+
+def recall_budget(bins: DataFrame, most: int = MOST_RECALLS) -> DataFrame:
+    """(sample_id, allele, call, recalls, threshold, peaks, fod, spent, failed): the ladder's result for each allele; spent is
+    what the sample has used up so far, the first allele's recalls before the second's, and failed says that they were
+    too many. fod is the last peak within one of the call, else the first."""
     rows = bins.groupBy(*SLICE, "call", "expected", "beside", "spread").agg(F.transform(F.array_sort(F.collect_list(F.struct("cag", "smooth"))), lambda x: x["smooth"]).alias("v"))
     found = recall(rows, SLICE, "call", "expected", "beside", "v", "spread")
     near = F.filter("peaks", lambda p: F.abs(p - F.col("call")) <= 1)
-    return found.withColumn("fod", F.coalesce(F.try_element_at(near, F.lit(-1)), F.get("peaks", 0)))
+    w = Window.partitionBy("sample_id").orderBy("allele")
+    found = found.withColumn("fod", F.coalesce(F.try_element_at(near, F.lit(-1)), F.get("peaks", 0)))
+    return found.withColumn("spent", F.sum("recalls").over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("int")).withColumn("failed", F.col("spent") > most)
+
+
+def cag_calls(budget: DataFrame) -> DataFrame:
+    """(sample_id, allele, call, recalls, threshold, peaks, fod) of the samples whose recalls were enough."""
+    lost = budget.where("failed").select("sample_id").distinct()
+    return budget.join(lost, "sample_id", "left_anti").drop("spent", "failed")
 
 
 def validate(calls: DataFrame, bins: DataFrame) -> DataFrame:

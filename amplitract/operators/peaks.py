@@ -44,7 +44,7 @@ def recall(rows: DataFrame, keys: list[str], call: str, expected: str, lenient:
     """(keys, call, recalls, threshold, peaks) of rows with an array of bins v: the first rung of the ladder on which the expected
     number of peaks stands, or the called bin is one of them (then only it is kept), or any if lenient (two alleles side by
     side make one peak). Where spread, a peak within two bins of a higher one goes. Peaks are found once, at the lowest
-    rung; a rung only filters. Rows without such a rung go."""
+    rung; a rung only filters. Rows without such a rung have one recall more than there are, and neither threshold nor peaks."""
     low, high = F.array_min(v), F.array_max(v)
     rows = rows.withColumn("_found", peaks_of(F.col(v), LADDER[-1]))
     if spread:
@@ -53,7 +53,7 @@ def recall(rows: DataFrame, keys: list[str], call: str, expected: str, lenient:
     on = lambda t: F.transform(F.filter("_found", lambda p: p["height"] > t * (high - low) + low), lambda p: p["peak"])
     rungs = F.array(*[F.struct(F.lit(k).alias("recalls"), F.lit(t).alias("threshold"), on(t).alias("peaks")) for k, t in enumerate(LADDER)])
     good = F.filter("_rungs", lambda r: (F.size(r["peaks"]) > 0) & ((F.size(r["peaks"]) == F.col(expected)) | F.array_contains(r["peaks"], F.col(call)) | F.col(lenient)))
-    rows = rows.withColumn("_rungs", rungs).withColumn("_best", F.get(good, 0)).where("_best is not null")
+    rows = rows.withColumn("_rungs", rungs).withColumn("_best", F.get(good, 0))
     peaks = F.col("_best.peaks")
     only = F.array_contains(peaks, F.col(call)) & (F.size(peaks) != F.col(expected))
-    return rows.select(*keys, call, F.col("_best.recalls").alias("recalls"), F.col("_best.threshold").alias("threshold"), F.when(only, F.array(call)).otherwise(peaks).alias("peaks"))
+    return rows.select(*keys, call, F.coalesce("_best.recalls", F.lit(len(LADDER))).alias("recalls"), F.col("_best.threshold").alias("threshold"), F.when(only, F.array(call)).otherwise(peaks).alias("peaks"))

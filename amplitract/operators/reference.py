@@ -36,9 +36,9 @@ def whole_library(spark: SparkSession, alleles: DataFrame) -> DataFrame:
 
 
 def realign(assigned: DataFrame, alleles: DataFrame) -> DataFrame:
-    """Histograms of atypical alleles against a library of their own structure: a read's CCG bin is right if what stands
-    between its tracts is what the allele has."""
-    odd = alleles.where("status = 'Atypical'").select("sample_id", "allele", F.col("cag").alias("of_cag"), F.col("ccg").alias("of_ccg"), F.length("intervening").alias("length"))
-    rows = assigned.where("mate = 'R1'").join(odd, "sample_id")
+    """(sample_id, allele, mate, ccg, cag, n): histograms of atypical alleles against a library of their own structure. A read's CCG
+    bin is right if what stands between its tracts is what the allele has; its CAG is what it is."""
+    odd = alleles.where("status = 'Atypical'").select("sample_id", "allele", F.length("intervening").alias("length"))
+    rows = assigned.join(odd, "sample_id")
     rows = rows.withColumn("bin", F.col("ccg") + F.floor((F.length("intervening") - F.col("length")) / 3).cast("int")).where("cag BETWEEN 1 AND 200 AND bin BETWEEN 1 AND 20")
-    return rows.groupBy("sample_id", "allele", F.col("bin").alias("ccg"), "cag").agg(F.sum("n").alias("n"))
+    return rows.groupBy("sample_id", "allele", "mate", F.col("bin").alias("ccg"), "cag").agg(F.sum("n").alias("n"))

@@ -19,10 +19,12 @@ SAMPLE_COLUMNS = [
 ]
 
 
-def instance_report(scored: DataFrame, confidence: DataFrame, variants: DataFrame | None = None) -> DataFrame:
+def instance_report(scored: DataFrame, confidence: DataFrame, variants: DataFrame | None = None, outcomes: DataFrame | None = None) -> DataFrame:
     """One row for each sample: its label, for both alleles genotype, status, mapped and purged reads, metrics, variants
     (sample_id, allele, text, score), sequence between the tracts and confidence; then the sample's flags, which hold if
-    they do for one allele. Values that there are none of are FAIL, flags True or False. exception tells of a missing allele."""
+    they do for one allele. Values that there are none of are FAIL, flags True or False. exception is the
+    stage at which a sample failed (outcomes: sample_id, stage; all samples), else N/A; all other values of such a sample are FAIL.
+    Without outcomes it tells whether an allele is missing."""
     rows = scored.join(confidence, ["sample_id", "allele"], "left")
     if variants is not None:
         rows = rows.join(variants.select("sample_id", "allele", F.col("text").alias("variant_call"), F.col("score").alias("variant_score")), ["sample_id", "allele"], "left")
@@ -32,7 +34,14 @@ def instance_report(scored: DataFrame, confidence: DataFrame, variants: DataFram
     pick = lambda who, name, c: F.coalesce(F.max(F.when(F.col("allele") == who, F.col(c).cast("string"))), F.lit("FAIL")).alias(f"{who.lower()}_{name}")
     flag = lambda name, c: F.initcap(F.coalesce(F.max(F.col(c).cast("int")), F.lit(0)).cast("boolean").cast("string")).alias(name)
     missing = F.initcap((F.count_distinct("allele") < 2).cast("string")).alias("exception")
-    return rows.groupBy("sample_id").agg(*[pick(who, *c) for who in ("PRI", "SEC") for c in ALLELE_COLUMNS], missing, *[flag(*c) for c in SAMPLE_COLUMNS[1:]])
+    if outcomes is not None:
+        rows = rows.join(outcomes.where("stage IS NULL").select("sample_id"), "sample_id", "left_semi")
+    report = rows.groupBy("sample_id").agg(*[pick(who, *c) for who in ("PRI", "SEC") for c in ALLELE_COLUMNS], missing, *[flag(*c) for c in SAMPLE_COLUMNS[1:]])
+    if outcomes is None:
+        return report
+    whole = outcomes.select("sample_id", "stage").join(report, "sample_id", "left")
+    filled = [F.coalesce("stage", F.lit("N/A")).alias(c) if c == "exception" else F.coalesce(c, F.lit("FAIL")).alias(c) for c in report.columns if c != "sample_id"]
+    return whole.select("sample_id", *filled)
 
 
 def with_sample_values(alleles: DataFrame, samples: DataFrame, columns: list[str]) -> DataFrame:

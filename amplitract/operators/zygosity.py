@@ -1,4 +1,4 @@
-"""Zygosity of a sample's CCG vector, learnt from labelled vectors: linear support vector machines in an error-correcting output code.
+"""Zygosity of a sample's CCG vector, learnt from labelled vectors: linear machines in an error-correcting output code.
 
 Each class has a code word of code_size bits a class, drawn at random with a seed; one machine a bit learns to tell the classes whose
 word has it from the others. A vector gets the class whose word is nearest to what the machines say of it. Vectors are normalised to a
@@ -49,9 +49,10 @@ class OutputCode:
         return OutputCode(**json.loads(text))
 
 
-def train_output_code(training: DataFrame, features: str = "features", label: str = "label", code_size: float = 2, seed: int = 0, reg: float = 1e-4, max_iter: int = 100) -> OutputCode:
-    """Fits the machines on all rows of training with a label (features: an array of numbers)."""
-    from pyspark.ml.classification import LinearSVC
+def train_output_code(training: DataFrame, features: str = "features", label: str = "label", code_size: float = 2, seed: int = 0, loss: str = "logistic", reg: float = 1e-4, max_iter: int = 50) -> OutputCode:
+    """Fits the machines on all rows of training with a label (features: an array of numbers). loss is hinge, for support vector
+    machines, or logistic, whose smooth loss the library's solver takes to its minimum in fewer passes over the rows."""
+    from pyspark.ml.classification import LinearSVC, LogisticRegression
     from pyspark.ml.functions import array_to_vector
 
     rows = training.where(F.col(label).isNotNull()).select(array_to_vector(l2_normalised(F.col(features))).alias("features"), F.col(label).cast("string").alias("label"))
@@ -76,7 +77,8 @@ def train_output_code(training: DataFrame, features: str = "features", label: st
                 fitted[key] = ([-x for x in fitted[turned][0]], -fitted[turned][1])
             else:
                 positive = F.col("label").isin([c for c, x in zip(classes, key, strict=True) if x > 0]).cast("double")
-                machine = LinearSVC(featuresCol="features", labelCol="y", regParam=reg, maxIter=max_iter, standardization=False).fit(rows.select("features", positive.alias("y")))
+                kind = {"hinge": LinearSVC, "logistic": LogisticRegression}[loss]
+                machine = kind(featuresCol="features", labelCol="y", regParam=reg, maxIter=max_iter, standardization=False).fit(rows.select("features", positive.alias("y")))
                 fitted[key] = ([float(x) for x in machine.coefficients], float(machine.intercept))
     finally:
         rows.unpersist()

@@ -2,21 +2,21 @@
 
 from __future__ import annotations
 
-from amplitract.sources.reads import FIVE_PRIME, FIVE_PRIME_SNPS, SAMPLE_COLUMNS, THREE_PRIME, THREE_PRIME_SNP, TYPICAL, sample_values
+from amplitract.sources.reads import FIVE_PRIME, FIVE_PRIME_SNPS, SAMPLE_COLUMNS, SAMPLES, THREE_PRIME, THREE_PRIME_SNP, TYPICAL, sample_values, slip_case
 
 READS = f"""
 truth AS (SELECT * FROM (VALUES {sample_values()}) t({SAMPLE_COLUMNS})),
 picked AS (
-  SELECT *, (l_suppkey % 20)::INT AS sid, l_orderkey % 100 < split AS one, l_partkey % 100 AS p,
-    l_orderkey % 100 < split AND (l_suppkey % 20 = 4 OR (l_suppkey % 20 = 17 AND l_orderkey % 2 = 0)) AS snps
-  FROM lineitem JOIN truth ON sample_id = l_suppkey % 20
+  SELECT *, (l_suppkey % {len(SAMPLES)})::INT AS sid, l_orderkey % 100 < split AS one, l_partkey % 100 AS p,
+    l_orderkey % 100 < split AND (l_suppkey % {len(SAMPLES)} = 4 OR (l_suppkey % {len(SAMPLES)} = 17 AND l_orderkey % 2 = 0)) AS snps
+  FROM lineitem JOIN truth ON sample_id = l_suppkey % {len(SAMPLES)} WHERE (l_partkey * 31 + l_orderkey) % 100 < present
 ),
 reads AS (
   SELECT sid AS sample_id, l_orderkey * 10 + l_linenumber AS read_id, CASE WHEN l_linenumber % 4 = 0 THEN 'R2' ELSE 'R1' END AS mate,
     CASE WHEN l_partkey % 50 = 7 THEN 0 ELSE 60 END AS mapq, l_quantity::INT AS quality,
     (CASE WHEN sid = 18 THEN repeat('A', (l_linenumber % 3)::INT) ELSE '' END) || CASE WHEN snps THEN '{FIVE_PRIME_SNPS}' WHEN l_partkey % 50 = 3 THEN '{FIVE_PRIME[:9]}A{FIVE_PRIME[10:]}' ELSE '{FIVE_PRIME}' END ||
-    repeat('CAG', (CASE WHEN one THEN cag1 ELSE cag2 END) + CASE WHEN p < 7 THEN -2 WHEN p < 18 THEN -1 WHEN p < 91 THEN 0 WHEN p < 96 THEN 1 WHEN p < 99 THEN 2 ELSE 3 END) ||
-    (CASE WHEN one THEN mid1 ELSE mid2 END) || repeat('CCG', CASE WHEN one THEN ccg1 ELSE ccg2 END) ||
+    repeat('CAG', (CASE WHEN one THEN cag1 + {slip_case("slip1", "p")} ELSE cag2 + {slip_case("slip2", "p")} END)::BIGINT) ||
+    (CASE WHEN one THEN mid1 ELSE mid2 END) || repeat('CCG', CASE WHEN one THEN ccg1 ELSE ccg2 END + CASE WHEN l_linenumber % 4 <> 0 THEN 0 WHEN one THEN rv1 ELSE rv2 END) ||
     repeat('CCT', CASE WHEN one THEN cct1 ELSE cct2 END) || CASE WHEN snps THEN '{THREE_PRIME_SNP}' ELSE '{THREE_PRIME}' END AS seq
   FROM picked
 )"""
@@ -164,10 +164,13 @@ def peaks_cte(name: str, source: str, keys: str, bin: str, n: str, threshold: fl
 SLICES = (
     PAIRS
     + """,
-asked AS (SELECT sample_id, allele, ccg, cag AS call, CASE WHEN min(ccg) OVER (PARTITION BY sample_id) = max(ccg) OVER (PARTITION BY sample_id) THEN 2 ELSE 1 END AS expected,
-  min(ccg) OVER (PARTITION BY sample_id) = max(ccg) OVER (PARTITION BY sample_id) AND max(cag) OVER (PARTITION BY sample_id) - min(cag) OVER (PARTITION BY sample_id) <= 1 AS beside,
-  min(ccg) OVER (PARTITION BY sample_id) = max(ccg) OVER (PARTITION BY sample_id) AND max(cag) OVER (PARTITION BY sample_id) - min(cag) OVER (PARTITION BY sample_id) > 5 AS spread FROM alleles),
-bins0 AS (SELECT a.*, g.cag::INT AS cag, coalesce(n, 0)::BIGINT AS n FROM asked a CROSS JOIN range(1, 201) g(cag) LEFT JOIN fw ON fw.sample_id = a.sample_id AND fw.ccg = a.ccg AND fw.cag = g.cag),
+mine AS (SELECT sample_id, allele, CASE status WHEN 'Atypical' THEN est_ccg ELSE ccg END AS ccg, CASE status WHEN 'Atypical' THEN est_cag ELSE cag END AS call FROM alleles),
+own AS (SELECT al.sample_id, al.allele, a.mate, (a.ccg + floor((length(a.intervening) - length(al.intervening)) / 3.0))::INT AS ccg, a.cag, sum(a.n)::BIGINT AS n
+  FROM assigned a JOIN alleles al ON al.sample_id = a.sample_id AND al.status = 'Atypical' WHERE a.cag BETWEEN 1 AND 200 AND (a.ccg + floor((length(a.intervening) - length(al.intervening)) / 3.0)) BETWEEN 1 AND 20 GROUP BY ALL),
+asked AS (SELECT sample_id, allele, ccg, call, CASE WHEN min(ccg) OVER w = max(ccg) OVER w THEN 2 ELSE 1 END AS expected,
+  min(ccg) OVER w = max(ccg) OVER w AND max(call) OVER w - min(call) OVER w <= 1 AS beside, min(ccg) OVER w = max(ccg) OVER w AND max(call) OVER w - min(call) OVER w > 5 AS spread FROM mine WINDOW w AS (PARTITION BY sample_id)),
+counts AS (SELECT f.sample_id, a.allele, f.ccg, f.cag, f.n FROM fw f JOIN alleles a ON a.sample_id = f.sample_id AND a.status <> 'Atypical' UNION ALL SELECT sample_id, allele, ccg, cag, n FROM own WHERE mate = 'R1'),
+bins0 AS (SELECT a.*, g.cag::INT AS cag, coalesce(n, 0)::BIGINT AS n FROM asked a CROSS JOIN range(1, 201) g(cag) LEFT JOIN counts k ON k.sample_id = a.sample_id AND k.allele = a.allele AND k.ccg = a.ccg AND k.cag = g.cag),
 bins AS (SELECT sample_id, allele, ccg, call, expected, cag, n, CASE WHEN expected = 2 OR cag = call THEN n ELSE trunc(n - n / 100.0::DOUBLE * 85)::BIGINT END AS smooth FROM bins0)"""
 )
 CALLS = (
@@ -180,7 +183,8 @@ ladder AS (SELECT * FROM (VALUES (0, 0.50::DOUBLE), (1, 0.44::DOUBLE), (2, 0.38:
 rung AS (SELECT p.sample_id, p.allele, a.call, a.expected, a.beside, recalls, threshold, list(peak ORDER BY peak) AS peaks
   FROM pk p JOIN asked a USING (sample_id, allele) CROSS JOIN ladder WHERE height > threshold * (high - low) + low GROUP BY ALL),
 hit AS (SELECT * FROM rung WHERE len(peaks) = expected OR list_contains(peaks, call) OR beside QUALIFY row_number() OVER (PARTITION BY sample_id, allele ORDER BY recalls) = 1),
-calls0 AS (SELECT sample_id, allele, call, recalls, threshold, CASE WHEN len(peaks) <> expected AND list_contains(peaks, call) THEN [call] ELSE peaks END AS peaks FROM hit),
+budget AS (SELECT a.sample_id, a.allele, coalesce(recalls, 9)::INT AS recalls, (sum(coalesce(recalls, 9)) OVER (PARTITION BY a.sample_id ORDER BY a.allele))::INT AS spent FROM asked a LEFT JOIN hit h ON h.sample_id = a.sample_id AND h.allele = a.allele),
+calls0 AS (SELECT sample_id, allele, call, recalls, threshold, CASE WHEN len(peaks) <> expected AND list_contains(peaks, call) THEN [call] ELSE peaks END AS peaks FROM hit WHERE sample_id NOT IN (SELECT sample_id FROM budget WHERE spent > 8)),
 calls AS (SELECT *, coalesce(list_filter(peaks, lambda p: abs(p - call) <= 1)[-1], peaks[1]) AS fod FROM calls0),
 val0 AS (SELECT c.*, b.ccg, b.n AS at_call FROM calls c JOIN bins b ON b.sample_id = c.sample_id AND b.allele = c.allele AND b.cag = b.call),
 val1 AS (SELECT *, max(at_call) FILTER (WHERE allele = 'PRI') OVER w AS n1, max(at_call) FILTER (WHERE allele = 'SEC') OVER w AS n2, max(ccg) FILTER (WHERE allele = 'PRI') OVER w AS c1, max(ccg) FILTER (WHERE allele = 'SEC') OVER w AS c2,
@@ -221,12 +225,14 @@ REVIEW = (
 mccg AS (SELECT sample_id, mate, ccg, sum(n)::BIGINT AS n FROM hist GROUP BY ALL),
 mdense AS (SELECT s.sample_id, s.mate, b.ccg::INT AS ccg, coalesce(c.n, 0)::BIGINT AS n FROM (SELECT DISTINCT sample_id, mate FROM mccg) s CROSS JOIN range(1, 21) b(ccg) LEFT JOIN mccg c ON c.sample_id = s.sample_id AND c.mate = s.mate AND c.ccg = b.ccg),
 rdense AS (SELECT * FROM mdense WHERE mate = 'R2'),
-vec AS (SELECT sample_id, list(n ORDER BY ccg) FILTER (WHERE mate = 'R2') AS rv, list(n ORDER BY ccg) FILTER (WHERE mate = 'R1') AS fw FROM mdense GROUP BY sample_id),"""
+accg AS (SELECT m.sample_id, a.allele, m.mate, m.ccg, m.n FROM mccg m JOIN alleles a ON a.sample_id = m.sample_id AND a.status <> 'Atypical' UNION ALL SELECT sample_id, allele, mate, ccg, sum(n)::BIGINT FROM own GROUP BY ALL),
+adense AS (SELECT s.*, b.ccg::INT AS ccg, coalesce(c.n, 0)::BIGINT AS n FROM (SELECT DISTINCT sample_id, allele, mate FROM accg) s CROSS JOIN range(1, 21) b(ccg) LEFT JOIN accg c ON c.sample_id = s.sample_id AND c.allele = s.allele AND c.mate = s.mate AND c.ccg = b.ccg),
+vec AS (SELECT * FROM (SELECT sample_id, allele, list(n ORDER BY ccg) FILTER (WHERE mate = 'R2') AS rv, list(n ORDER BY ccg) FILTER (WHERE mate = 'R1') AS fw FROM adense GROUP BY sample_id, allele) WHERE rv IS NOT NULL AND fw IS NOT NULL),"""
     + peaks_cte("rz", "rdense", "sample_id", "ccg", "n", 0.15)
     + """,
 class AS (SELECT s.sample_id, CASE WHEN coalesce(k, 0) >= 2 THEN 'HETERO' ELSE 'HOMO' END AS classified FROM (SELECT DISTINCT sample_id FROM rdense) s LEFT JOIN (SELECT sample_id, count(*) AS k FROM rz GROUP BY 1) USING (sample_id)),
-e1 AS (SELECT a.sample_id, a.allele, a.ccg AS scanned, est_ccg, est_cag, est_cct, status, neighbouring, label, a.cag AS bin_cag, intervening, floor((length(intervening) - 12) / 3.0)::INT AS shift, rv, fw, classified, state, v.fod AS fod0,
-    list_sort(list_distinct(rv), 'DESC') AS d FROM alleles a JOIN vec USING (sample_id) JOIN class USING (sample_id) JOIN valid v ON v.sample_id = a.sample_id AND v.allele = a.allele),
+e1 AS (SELECT a.sample_id, a.allele, i.ccg AS scanned, a.ccg AS bin, est_ccg, est_cag, est_cct, status, neighbouring, label, rv, fw, classified, state, v.fod AS fod0,
+    list_sort(list_distinct(rv), 'DESC') AS d FROM alleles a JOIN mine i USING (sample_id, allele) JOIN vec USING (sample_id, allele) JOIN class USING (sample_id) JOIN valid v ON v.sample_id = a.sample_id AND v.allele = a.allele),
 e2 AS (SELECT *, d[1] AS top1, coalesce(d[2], 0) AS top2, coalesce(d[3], 0) AS top3, list_position(rv, d[1]) AS bin1, list_position(rv, coalesce(d[2], 0)) AS bin2, coalesce(d[2], 0) / nullif(d[1], 0)::DOUBLE AS ratio,
     max(scanned) FILTER (WHERE allele = 'PRI') OVER w AS pri, max(scanned) FILTER (WHERE allele = 'SEC') OVER w AS sec FROM e1 WINDOW w AS (PARTITION BY sample_id)),
 e3 AS (SELECT *, NOT neighbouring AND ((abs(bin1 - bin2) = 1 AND abs(top2 - top3) <= 0.8 * top2 + 0.00001 * top3) OR top2 = rv[scanned]) AS unsure FROM e2),
@@ -244,7 +250,7 @@ e10 AS (SELECT *, CASE WHEN classified <> 'HETERO' AND abs(b1 - b2) BETWEEN 2 AN
     + _clean_sql("sm", "b2")
     + """ AND coalesce(sd[2], 0) / nullif(sd[1], 0)::DOUBLE >= 0.15 THEN 'HETERO' ELSE classified END AS seen FROM e9),
 ebins AS (SELECT sample_id, allele, generate_subscripts(sm, 1)::INT AS bin, unnest(sm) AS n FROM e10),
-fbins AS (SELECT sample_id, generate_subscripts(fw, 1)::INT AS bin, unnest(fw) AS n FROM vec),
+fbins AS (SELECT sample_id, generate_subscripts(fw, 1)::INT AS bin, unnest(fw) AS n FROM vec WHERE allele = 'PRI'),
 pbins AS (SELECT * FROM ebins WHERE allele = 'PRI'),"""
     + peaks_cte("ep", "ebins", "sample_id, allele", "bin", "n", 0.5)
     + ","
@@ -255,15 +261,15 @@ pbins AS (SELECT * FROM ebins WHERE allele = 'PRI'),"""
 e11 AS (SELECT e.*, coalesce(f, []) AS found, CASE seen WHEN 'HETERO' THEN 2 ELSE 1 END AS wanted FROM e10 e LEFT JOIN (SELECT sample_id, allele, list(peak ORDER BY peak) AS f FROM ep GROUP BY ALL) p ON p.sample_id = e.sample_id AND p.allele = e.allele),
 e12 AS (SELECT *, len(found) <> wanted AND NOT list_contains(found, ccg) AND len(found) > 2 AND seen <> 'HETERO' AS crowd FROM e11),
 e13 AS (SELECT *, CASE WHEN len(found) <> wanted AND list_contains(found, ccg) THEN [ccg] WHEN crowd THEN [b1] ELSE found END AS pk FROM e12),
-e14 AS (SELECT *, list_contains(pk, ccg) AS matched, CASE WHEN len(pk) > 1 AND allele = 'SEC' THEN pk[2] ELSE pk[1] END - shift AS fod_ccg,
+e14 AS (SELECT *, list_contains(pk, ccg) AS matched, CASE WHEN len(pk) > 1 AND allele = 'SEC' THEN pk[2] ELSE pk[1] END AS fod_ccg,
    bool_and(abs(b1 - ccg) <= 1 OR (seen = 'HETERO' AND abs(b2 - ccg) <= 1)) OVER (PARTITION BY sample_id) AS continuous FROM e13),
 e15 AS (SELECT *, CASE WHEN max(CASE WHEN matched THEN ccg END) FILTER (WHERE allele = 'PRI') OVER w IS NOT DISTINCT FROM max(CASE WHEN matched THEN ccg END) FILTER (WHERE allele = 'SEC') OVER w THEN 'HOMO' ELSE 'HETERO' END AS local,
    abs(max(ccg) FILTER (WHERE allele = 'PRI') OVER w - max(ccg) FILTER (WHERE allele = 'SEC') OVER w) AS apart,
    CASE WHEN max(est_ccg) FILTER (WHERE allele = 'PRI') OVER w = max(est_ccg) FILTER (WHERE allele = 'SEC') OVER w THEN 'HOMO' ELSE 'HETERO' END AS stated, bool_or(status = 'Atypical') OVER w AS odd,
    CASE WHEN max(fod_ccg) FILTER (WHERE allele = 'PRI') OVER w IS NOT DISTINCT FROM max(fod_ccg) FILTER (WHERE allele = 'SEC') OVER w THEN 'HOMO' ELSE 'HETERO' END AS zygosity,
-   max(b1) FILTER (WHERE allele = 'PRI') OVER w AS pri_b1, bool_or(crowd) OVER w AS crowded FROM e14 WINDOW w AS (PARTITION BY sample_id)),
+   max(b1) FILTER (WHERE allele = 'PRI') OVER w AS pri_b1, max(list_position(fw, list_max(fw))) FILTER (WHERE allele = 'PRI') OVER w AS pri_fw, bool_or(crowd) OVER w AS crowded FROM e14 WINDOW w AS (PARTITION BY sample_id)),
 review AS (SELECT e.sample_id, e.allele, ccg::INT AS ccg, ccg <> scanned AS overwritten, round(ratio, 6) AS ratio,
-   unsure OR (state = 'homozygous' AND list_position(fw, list_max(fw)) = pri_b1 AND coalesce(nf, 0) <> coalesce(nr, 0)) AS uncertain, continuous, matched, fod_ccg::INT AS fod_ccg, local,
+   unsure OR (state = 'homozygous' AND pri_fw = pri_b1 AND coalesce(nf, 0) <> coalesce(nr, 0)) AS uncertain, continuous, matched, fod_ccg::INT AS fod_ccg, local,
    local = CASE apart WHEN 0 THEN 'HOMO' ELSE 'HETERO' END OR apart = 1 AS ccg_passes, zygosity, crowded OR zygosity <> CASE WHEN odd THEN stated ELSE local END AS svm_failure
   FROM e15 e LEFT JOIN (SELECT sample_id, count(*) AS nf FROM fp GROUP BY 1) f ON f.sample_id = e.sample_id LEFT JOIN (SELECT sample_id, count(*) AS nr FROM pp GROUP BY 1) r ON r.sample_id = e.sample_id),
 tg AS (SELECT sample_id, allele, list(smooth ORDER BY cag) AS t FROM bins GROUP BY ALL),
@@ -272,7 +278,7 @@ p2 AS (SELECT *, coalesce(state = 'heterozygous' AND abs(np / nullif(n0, 0)::DOU
    zygosity = 'HETERO' AND abs(list_position(t, d[1]) - list_position(t, coalesce(d[2], 0))) > 2 AND d[1] - coalesce(d[2], 0) <= 0.55 * d[1] + 0.00001 * coalesce(d[2], 0) AS unexpected FROM p1),
 peak AS (SELECT sample_id, allele, (fod + up::INT - down::INT)::INT AS fod, up OR down AS slippage_overwrite, unexpected,
    CASE WHEN nm > 0 AND n0 > 0 AND np > 0 THEN round(abs((ln(nm) - ln(np)) / nullif(2 * (ln(nm) - 2 * ln(n0) + ln(np)), 0)), 6) END AS interpolated FROM p2),
-g1 AS (SELECT e.sample_id, e.allele, e.status, e.state, e.est_cag, e.est_ccg, e.est_cct, e.scanned, split_part(label, '_', 2) AS m1, split_part(label, '_', 3) AS m2, k.fod, k.slippage_overwrite, r.zygosity, coalesce(r.fod_ccg, e.est_ccg) AS fccg,
+g1 AS (SELECT e.sample_id, e.allele, e.status, e.state, e.est_cag, e.est_ccg, e.est_cct, e.bin AS scanned, split_part(label, '_', 2) AS m1, split_part(label, '_', 3) AS m2, k.fod, k.slippage_overwrite, r.zygosity, coalesce(r.fod_ccg, e.est_ccg) AS fccg,
    r.overwritten OR k.fod <> e.est_cag OR coalesce(r.fod_ccg, e.est_ccg) <> e.est_ccg AS fod_overwrite
   FROM e15 e JOIN review r ON r.sample_id = e.sample_id AND r.allele = e.allele JOIN peak k ON k.sample_id = e.sample_id AND k.allele = e.allele),
 g2 AS (SELECT *, fod || '_' || m1 || '_' || m2 || '_' || fccg || '_' || est_cct AS gt, max(scanned) FILTER (WHERE allele = 'PRI') OVER w <> max(scanned) FILTER (WHERE allele = 'SEC') OVER w AS bins_differ,
@@ -374,3 +380,11 @@ v AS (SELECT r.*, a.allele, a.status = 'Atypical' AS atypical, a.label FROM reco
 t AS (SELECT *, CASE WHEN atypical THEN regexp_replace(chrom, '_?CAG.*$', '') ELSE chrom END = label AS target FROM v),
 k AS (SELECT * FROM (SELECT *, min(pos) OVER (PARTITION BY sample_id, allele) AS lo, max(pos) OVER (PARTITION BY sample_id, allele) AS hi FROM t WHERE target AND qual > 20) WHERE abs(pos - lo) > 5 AND abs(pos - hi) > 5)"""
 )
+
+
+#: Why each sample that fails does, and at which stage.
+OUTCOMES = """
+outcome AS (SELECT sample_id, CASE WHEN reason = 'recalls are used up' THEN 'Genotype' WHEN reason IS NOT NULL THEN 'DSP' END AS stage, reason FROM (
+  SELECT s.sample_id, CASE WHEN r.sample_id IS NULL THEN 'no read of a known size' WHEN t_n IS NULL THEN 'fewer than three contigs' WHEN a_n < 200 OR b_n < 100 OR (t_n < 50 AND t_n NOT BETWEEN 45 AND 55) THEN 'too few reads in a contig'
+    WHEN s.sample_id IN (SELECT sample_id FROM summary WHERE balance_failed) THEN 'typical and atypical reads are even' WHEN s.sample_id IN (SELECT sample_id FROM budget WHERE spent > 8) THEN 'recalls are used up' END AS reason
+  FROM (SELECT DISTINCT sample_id FROM reads) s LEFT JOIN ranked r USING (sample_id)))"""

@@ -16,6 +16,7 @@ from amplitract.operators import evidence as E
 from amplitract.operators import genotype as G
 from amplitract.operators import histogram as H
 from amplitract.operators import metrics as M
+from amplitract.operators import reference as R
 from amplitract.operators import rescoring as S
 from amplitract.operators import variants as V
 from amplitract.operators.tracts import assign_contigs, scan_tracts
@@ -105,12 +106,17 @@ class Cohort:
 
     hist: DataFrame
     top: DataFrame
+    summary: DataFrame
     alleles: DataFrame
     bins: DataFrame
     calls: DataFrame
     valid: DataFrame
     reads: DataFrame
+    #: The CCG bins of each sample and mate, and of each atypical allele's realigned reads.
     ccgs: DataFrame
+    own_ccgs: DataFrame
+    #: Each allele's recalls, and whether its sample had too many.
+    budget: DataFrame
     #: Tells a sample's zygosity from its reverse CCG bins; without one, a second peak of 15 percent does.
     code: OutputCode | None = None
 
@@ -127,15 +133,21 @@ def genotype_reads(reads: DataFrame, code: OutputCode | None = None) -> Cohort:
     both = H.histogram(rows)
     hist = _forward(both)
     top = top_contigs(hist)
-    alleles = kept(K.alleles(K.choose_pair(K.ranks(top)), K.contig_summary(rows, top)))
-    bins = kept(G.slices(alleles, hist))
-    calls = kept(G.cag_calls(bins))
-    return Cohort(hist, top, alleles, bins, calls, kept(G.validate(calls, bins)), reads, both.groupBy("sample_id", "mate", "ccg").agg(F.sum("n").alias("n")), code)
+    summary = kept(K.contig_summary(rows, top))
+    alleles = kept(K.alleles(K.choose_pair(K.ranks(top)), summary))
+    realigned = kept(R.realign(rows, alleles))
+    bins = kept(G.slices(alleles, hist, realigned.where("mate = 'R1'")))
+    budget = kept(G.recall_budget(bins))
+    calls = G.cag_calls(budget)
+    by_ccg = lambda counts, keys: counts.groupBy(*keys, "mate", "ccg").agg(F.sum("n").alias("n"))
+    return Cohort(hist, top, summary, alleles, bins, calls, kept(G.validate(calls, bins)), reads, by_ccg(both, ["sample_id"]), by_ccg(realigned, G.SLICE), budget, code)
 
 
 def ccg_review(c: Cohort) -> DataFrame:
-    dense = lambda mate: H.densify(c.ccgs.where(F.col("mate") == mate).drop("mate"), ["sample_id"], "ccg", 20)
-    zygosity = classified(dense("R2"), c.code) if c.code else G.zygosity(dense("R2"))
+    of = lambda ccgs, mate: ccgs.where(F.col("mate") == mate).drop("mate")
+    dense = lambda mate: H.densify(G.allele_counts(c.alleles, of(c.ccgs, mate), of(c.own_ccgs, mate), ["ccg"]), G.SLICE, "ccg", 20)
+    whole = H.densify(of(c.ccgs, "R2"), ["sample_id"], "ccg", 20)
+    zygosity = classified(whole, c.code) if c.code else G.zygosity(whole)
     return E.ccg_review(dense("R2"), dense("R1"), c.alleles, zygosity, c.valid)
 
 
@@ -210,3 +222,16 @@ def variant_calls(reads: DataFrame, alleles: DataFrame, least: int = 2) -> DataF
 def allele_variants(c: Cohort, cutoff: float) -> DataFrame:
     """The variants of each allele's own entry that are good enough."""
     return V.surviving(V.of_alleles(variant_calls(c.reads, c.alleles), c.alleles), cutoff)
+
+
+def outcomes(c: Cohort) -> DataFrame:
+    """(sample_id, stage, reason) of every sample that has reads: the stage at which it fails, and why; nulls if it is genotyped."""
+    ranked = K.read_warnings(K.ranks(c.top)).withColumn("known", F.lit(True))
+    even = c.summary.groupBy("sample_id").agg(F.max("balance_failed").alias("even"))
+    spent = c.budget.groupBy("sample_id").agg(F.max("failed").alias("spent"))
+    rows = c.reads.select("sample_id").distinct().join(ranked, "sample_id", "left").join(even, "sample_id", "left").join(spent, "sample_id", "left")
+    reason = F.when(F.col("known").isNull(), "no read of a known size").when(F.col("t_n").isNull(), "fewer than three contigs").when(F.col("failed"), "too few reads in a contig")
+    reason = reason.when(F.col("even"), "typical and atypical reads are even").when(F.col("spent"), "recalls are used up")
+    rows = rows.withColumn("reason", reason)
+    stage = F.when(F.col("reason") == "recalls are used up", "Genotype").when(F.col("reason").isNotNull(), "DSP")
+    return rows.select("sample_id", stage.alias("stage"), "reason")

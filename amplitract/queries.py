@@ -16,7 +16,7 @@ from amplitract.operators import reference as R
 from amplitract.operators import report as T
 from amplitract.operators import variants as V
 from amplitract.operators import evidence as E
-from amplitract.oracles import CALLS, CONSENSUS, METRICS, PAIRS, READS, REVIEW, SCORED, SLICES, TOP, VARIANTS, peaks_cte, query, SCAN
+from amplitract.oracles import CALLS, CONSENSUS, METRICS, OUTCOMES, PAIRS, READS, REVIEW, SCORED, SLICES, TOP, VARIANTS, peaks_cte, query, SCAN
 from amplitract.plans import cohort as C
 from amplitract.registry import QUERIES, SQL, register
 from amplitract.sources.reads import FIVE_PRIME, THREE_PRIME, TYPICAL, synth_reads
@@ -156,6 +156,18 @@ def cag_call(spark, sf):
     return C.genotyped(spark, sf).calls.withColumn("peaks", F.concat_ws(",", F.col("peaks").cast("array<string>")))
 
 
+@register("recall_budget", query("SELECT sample_id, allele, recalls, spent, spent > 8 AS failed FROM budget", CALLS))
+def recall_budget(spark, sf):
+    """What both alleles' recalls use up of the eight that a sample has."""
+    return C.genotyped(spark, sf).budget.select("sample_id", "allele", "recalls", "spent", "failed")
+
+
+@register("outcomes", query("SELECT * FROM outcome", CALLS + "," + OUTCOMES))
+def outcomes(spark, sf):
+    """Every sample, with the stage and the reason of its failure, if it fails."""
+    return C.outcomes(C.genotyped(spark, sf))
+
+
 @register("validate_calls", query("SELECT * EXCLUDE (peaks) FROM valid", CALLS))
 def validate_calls(spark, sf):
     return C.genotyped(spark, sf).valid.drop("peaks")
@@ -309,8 +321,9 @@ def reference_library(spark, sf):
     return R.typical_library(spark).select("cag", "ccg", "label", F.md5("seq").alias("seq_md5"))
 
 
-@register("realign_atypical", query("SELECT al.sample_id, al.allele, (a.ccg + floor((length(a.intervening) - length(al.intervening)) / 3.0))::INT AS ccg, a.cag, sum(a.n)::BIGINT AS n FROM assigned a JOIN alleles al ON al.sample_id = a.sample_id AND al.status = 'Atypical' WHERE a.mate = 'R1' AND a.cag BETWEEN 1 AND 200 AND (a.ccg + floor((length(a.intervening) - length(al.intervening)) / 3.0)) BETWEEN 1 AND 20 GROUP BY ALL", PAIRS))
+@register("realign_atypical", query("SELECT al.sample_id, al.allele, a.mate, (a.ccg + floor((length(a.intervening) - length(al.intervening)) / 3.0))::INT AS ccg, a.cag, sum(a.n)::BIGINT AS n FROM assigned a JOIN alleles al ON al.sample_id = a.sample_id AND al.status = 'Atypical' WHERE a.cag BETWEEN 1 AND 200 AND (a.ccg + floor((length(a.intervening) - length(al.intervening)) / 3.0)) BETWEEN 1 AND 20 GROUP BY ALL", PAIRS))
 def realign_atypical(spark, sf):
+    """Histograms of atypical alleles, to a library of their own."""
     return R.realign(C.assigned(spark, sf), C.alleles(spark, sf))
 
 
@@ -345,9 +358,9 @@ def _report_sql():
     text = ", ".join(f"coalesce(max(v.text) FILTER (WHERE allele = '{who}'), 'FAIL') AS {who.lower()}_variant_call, coalesce(round(max(v.score) FILTER (WHERE allele = '{who}'), 4)::VARCHAR, 'FAIL') AS {who.lower()}_variant_score" for who in ("PRI", "SEC"))
     flags = ", ".join(f"CASE WHEN bool_or({c}) THEN 'True' ELSE 'False' END AS {n}" for n, c in _FLAGS.items())
     conf = "conf AS (SELECT s.sample_id, s.allele, CASE WHEN status = 'Atypical' AND abs(fod - est_cag) > 1 THEN 0 ELSE greatest(0, least(100, 100 + coalesce(d, 0))) END::INT AS confidence FROM scored s LEFT JOIN (SELECT sample_id, allele, sum(delta) AS d FROM events GROUP BY ALL) e USING (sample_id, allele))"
-    own = VARIANTS[len(PAIRS) :]
-    ctes = SCORED + own + f",\nvt AS (SELECT sample_id, allele, string_agg(ref || '->' || alt || '@' || pos, '   ' ORDER BY qual DESC, pos) AS text, max(qual) AS score FROM k GROUP BY ALL),\n{conf}"
-    return query(f"SELECT sample_id, {columns}, {text}, CASE WHEN count(DISTINCT allele) < 2 THEN 'True' ELSE 'False' END AS exception, {flags} FROM scored JOIN conf USING (sample_id, allele) LEFT JOIN vt v USING (sample_id, allele) GROUP BY sample_id", ctes)
+    own = VARIANTS[len(PAIRS) :]  # what it has besides the alleles
+    ctes = SCORED + own + f",\nvt AS (SELECT sample_id, allele, string_agg(ref || '->' || alt || '@' || pos, '   ' ORDER BY qual DESC, pos) AS text, max(qual) AS score FROM k GROUP BY ALL),\n{conf},{OUTCOMES},\nrep AS (SELECT sample_id, {columns}, {text}, {flags} FROM scored JOIN conf USING (sample_id, allele) LEFT JOIN vt v USING (sample_id, allele) WHERE sample_id IN (SELECT sample_id FROM outcome WHERE stage IS NULL) GROUP BY sample_id)"
+    return query("SELECT o.sample_id, coalesce(stage, 'N/A') AS exception, coalesce(COLUMNS(r.* EXCLUDE (sample_id)), 'FAIL') FROM outcome o LEFT JOIN rep r USING (sample_id)", ctes)
 
 
 @register("instance_report", _report_sql())
@@ -356,14 +369,14 @@ def instance_report(spark, sf):
     c = C.genotyped(spark, sf)
     scored = C.kept(C.scored(c, C.evidence(c, False)).withColumns({c: F.round(c, 3) for c in ("fw_mapped", "rv_mapped")}))
     variants = V.variant_text(C.allele_variants(c, 20.0)).withColumn("score", F.round("score", 4))
-    return T.instance_report(scored, M.confidence(scored), variants).drop("novel_atypical")
+    return T.instance_report(scored, M.confidence(scored), variants, C.outcomes(c)).drop("novel_atypical")
 
 
 @register("sample_reports")
 def sample_reports(spark, sf):
     c = C.genotyped(spark, sf)
     scored = C.kept(C.scored(c, C.evidence(c)))
-    return T.instance_report(scored, M.confidence(scored), V.variant_text(C.allele_variants(c, 20.0)))
+    return T.instance_report(scored, M.confidence(scored), V.variant_text(C.allele_variants(c, 20.0)), C.outcomes(c))
 
 
 @register("simplified_report")

@@ -15,6 +15,15 @@ TYPICAL = "CAACAGCCGCCA"
 #: Flanks with three planted variants: all reads of sample 4's first allele have them, and half of those of sample 17's.
 FIVE_PRIME_SNPS = FIVE_PRIME[:14] + "T" + FIVE_PRIME[15:25] + "A" + FIVE_PRIME[26:]
 THREE_PRIME_SNP = THREE_PRIME[:28] + "T" + THREE_PRIME[29:]
+#: How a read's CAG differs from its allele's: (upto, shift) of 100 equal shares of the reads.
+SLIPS = [
+    [(7, -2), (18, -1), (91, 0), (96, 1), (99, 2), (100, 3)],  # 0: as usual
+    [(100, 0)],  # 1: not at all
+    [(2, -2), (35, -1), (69, 0), (98, 1), (100, 2)],  # 2: flat, the next bin almost as high
+    [(4, -2), (34, -1), (71, 0), (96, 1), (100, 2)],  # 3: flat, the bin before almost as high
+    [(50, 0), (100, 12)],  # 4: two alleles in one
+    [(1, -1), (99, 0), (100, 1)],  # 5: hardly
+]
 #: What each synthetic sample holds: two alleles (CAG, sequence between, CCG, CCT) and the percentage of the first.
 SAMPLES = [
     ((17, TYPICAL, 7, 2), (23, TYPICAL, 10, 2), 60),
@@ -37,34 +46,56 @@ SAMPLES = [
     ((17, TYPICAL, 7, 2), (60, TYPICAL, 10, 2), 60),
     ((18, TYPICAL, 7, 2), (24, TYPICAL, 9, 2), 60),
     ((16, TYPICAL, 6, 2), (30, TYPICAL, 9, 2), 60),
+    ((17, TYPICAL, 7, 2), (42, TYPICAL, 7, 2), 60),
+    ((19, TYPICAL, 7, 2), (19, TYPICAL, 7, 2), 60),
+    ((17, "CAACAGCAACAGCCGCCA", 7, 2), (17, TYPICAL, 9, 2), 50),
+    ((17, TYPICAL, 7, 2), (40, TYPICAL, 7, 2), 76),
+    ((17, TYPICAL, 7, 2), (40, TYPICAL, 7, 2), 50),
+    ((17, TYPICAL, 7, 2), (40, TYPICAL, 7, 2), 50),
+    ((17, TYPICAL, 7, 2), (24, TYPICAL, 10, 2), 60),
+    ((17, TYPICAL, 7, 2), (40, TYPICAL, 7, 2), 55),
+    ((17, TYPICAL, 7, 2), (40, TYPICAL, 7, 2), 60),
+    ((17, TYPICAL, 7, 2), (200, TYPICAL, 7, 2), 40),
+    ((21, TYPICAL, 7, 2), (21, TYPICAL, 7, 2), 60),
+    ((17, TYPICAL, 7, 2), (42, TYPICAL, 7, 2), 60),
 ]
+#: What is odd about some: the percentage of reads that are there, both alleles' slips, and what their reverse reads have of CCG more.
+ODD = {20: (4, 0, 0, 0, 0), 21: (100, 1, 1, 0, 0), 24: (100, 0, 2, 0, 0), 25: (100, 0, 3, 0, 0), 26: (100, 0, 0, 3, 4), 27: (100, 0, 0, 0, 3), 28: (100, 1, 4, 0, 0), 29: (100, 0, 1, 0, 0), 30: (100, 5, 5, 0, 0), 31: (45, 0, 0, 0, 0)}
 
 _FIRST = "l_orderkey % 100 < split"
-_SNPS = f"{_FIRST} AND (l_suppkey % 20 = 4 OR (l_suppkey % 20 = 17 AND l_orderkey % 2 = 0))"
-_SLIP = "CASE WHEN l_partkey % 100 < 7 THEN -2 WHEN l_partkey % 100 < 18 THEN -1 WHEN l_partkey % 100 < 91 THEN 0 WHEN l_partkey % 100 < 96 THEN 1 WHEN l_partkey % 100 < 99 THEN 2 ELSE 3 END"
+_SNPS = f"{_FIRST} AND (l_suppkey % {len(SAMPLES)} = 4 OR (l_suppkey % {len(SAMPLES)} = 17 AND l_orderkey % 2 = 0))"
+
+
+def slip_case(slip: str, p: str) -> str:
+    """SQL of a read's shift by the number of its slips and a number below 100."""
+    one = lambda steps: "CASE " + " ".join(f"WHEN {p} < {upto} THEN {shift}" for upto, shift in steps) + " END"
+    return f"CASE {slip} " + " ".join(f"WHEN {k} THEN {one(steps)}" for k, steps in enumerate(SLIPS)) + " END"
 
 
 def sample_values() -> str:
-    return ", ".join(f"({k}, {a[0]}, '{a[1]}', {a[2]}, {a[3]}, {b[0]}, '{b[1]}', {b[2]}, {b[3]}, {split})" for k, (a, b, split) in enumerate(SAMPLES))
+    rows = [(k, a[0], f"'{a[1]}'", a[2], a[3], b[0], f"'{b[1]}'", b[2], b[3], split, *ODD.get(k, (100, 0, 0, 0, 0))) for k, (a, b, split) in enumerate(SAMPLES)]
+    return ", ".join(f"({', '.join(map(str, r))})" for r in rows)
 
 
-SAMPLE_COLUMNS = "sample_id, cag1, mid1, ccg1, cct1, cag2, mid2, ccg2, cct2, split"
+SAMPLE_COLUMNS = "sample_id, cag1, mid1, ccg1, cct1, cag2, mid2, ccg2, cct2, split, present, slip1, slip2, rv1, rv2"
 
 
 def synth_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(sample_id, read_id, mate, mapq, seq, qual): one read for each line item, with slippage, and one base changed in a fiftieth of them; sample 18 has reads in all three frames,
+    """(sample_id, read_id, mate, mapq, seq, qual): one read for each line item (of samples that are thinned, some), with slippage, and one base changed in a fiftieth of them; sample 18 has reads in all three frames,
     samples 4 and 17 have variants in the flanks."""
     truth = spark.sql(f"SELECT * FROM VALUES {sample_values()} AS t({SAMPLE_COLUMNS})")
     items = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity")
-    rows = items.withColumn("sample_id", (F.col("l_suppkey") % 20).cast("int")).join(F.broadcast(truth), "sample_id")
+    rows = items.withColumn("sample_id", (F.col("l_suppkey") % len(SAMPLES)).cast("int")).join(F.broadcast(truth), "sample_id")
+    rows = rows.where((F.col("l_partkey") * 31 + F.col("l_orderkey")) % 100 < F.col("present"))
     pick = lambda name: F.expr(f"CASE WHEN {_FIRST} THEN {name}1 ELSE {name}2 END")
-    cag = (pick("cag") + F.expr(_SLIP)).cast("int")
+    mate = F.when(F.col("l_linenumber") % 4 == 0, "R2").otherwise("R1")
+    slip = F.expr(f"CASE WHEN {_FIRST} THEN {slip_case('slip1', 'l_partkey % 100')} ELSE {slip_case('slip2', 'l_partkey % 100')} END")
+    cag, ccg = (pick("cag") + slip).cast("int"), (pick("ccg") + F.when(mate == "R2", pick("rv")).otherwise(0)).cast("int")
     body = F.concat(
         F.when(F.col("sample_id") == 18, F.repeat(F.lit("A"), (F.col("l_linenumber") % 3).cast("int"))).otherwise(F.lit("")),
-        F.when(F.expr(_SNPS), FIVE_PRIME_SNPS).when(F.col("l_partkey") % 50 == 3, FIVE_PRIME_VARIANT).otherwise(FIVE_PRIME), F.repeat(F.lit("CAG"), cag), pick("mid"), F.repeat(F.lit("CCG"), pick("ccg")), F.repeat(F.lit("CCT"), pick("cct")),
+        F.when(F.expr(_SNPS), FIVE_PRIME_SNPS).when(F.col("l_partkey") % 50 == 3, FIVE_PRIME_VARIANT).otherwise(FIVE_PRIME), F.repeat(F.lit("CAG"), cag), pick("mid"), F.repeat(F.lit("CCG"), ccg), F.repeat(F.lit("CCT"), pick("cct")),
         F.when(F.expr(_SNPS), THREE_PRIME_SNP).otherwise(THREE_PRIME),
     )
-    mate = F.when(F.col("l_linenumber") % 4 == 0, "R2").otherwise("R1")
     return rows.select(
         "sample_id",
         (F.col("l_orderkey") * 10 + F.col("l_linenumber")).cast("long").alias("read_id"),

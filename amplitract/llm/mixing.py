@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import WORD_CLASS, materialize, others, table
+from .shared import WORD_CLASS, fresh, materialize, table
 
 WEIGHTS = (5, 2, 1)
 CHUNK_DIGITS = 3
@@ -130,14 +130,13 @@ def plan_mix(sized: DataFrame, block_words: int = 128, weights: tuple[int, ...]
 def mix_documents(docs: DataFrame, block_words: int = 128) -> DataFrame:
     """Documents as the mix repeats them: each row comes 0, 1 or 2 times, as often as its words are taken, rounded up or
     down by a hash of its id so that the expected number of words is right. The columns are those of docs; rows without words go."""
-    text, source = docs["text"], docs["source"]
-    mine = others(docs, "mix_rid", "mix_size")
-    base = materialize(docs.select(*mine, F.monotonically_increasing_id().alias("mix_rid"), count_words(text).alias("mix_size")), "mix-input")
-    plan = plan_mix(base.select(F.col("mix_rid").alias("rid"), "doc_id", "source", F.col("mix_size").alias("size")), block_words)
-    plan = plan.where("taken > 0").select(F.col("rid").alias("mix_rid"), "taken")
-    toss = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.col("mix_rid").cast("string"))), F.lit(1000)) / 1000
-    out = base.join(plan.hint("merge"), "mix_rid").withColumn("mix_times", F.floor(F.col("taken") / F.col("mix_size") + toss).cast("int"))
-    out = out.where("mix_times > 0").withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_times"))))
+    rid, size, times, copy = (fresh(docs, c) for c in ("mix_rid", "mix_size", "mix_times", "mix_copy"))
+    base = materialize(docs.select("*", F.monotonically_increasing_id().alias(rid), count_words(docs["text"]).alias(size)), "mix-input")
+    plan = plan_mix(base.select(F.col(rid).alias("rid"), "doc_id", "source", F.col(size).alias("size")), block_words)
+    plan = plan.where("taken > 0").select(F.col("rid").alias(rid), F.col("taken").alias(times))
+    toss = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.col(rid).cast("string"))), F.lit(1000)) / 1000
+    out = base.join(plan.hint("merge"), rid).withColumn(times, F.floor(F.col(times) / F.col(size) + toss).cast("int"))
+    out = out.where(F.col(times) > 0).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times))))
     return out.select(*[out[f"`{c}`"] for c in docs.columns])
 
 

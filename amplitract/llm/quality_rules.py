@@ -11,7 +11,7 @@ broadcast (16 bytes a row). Statistics and verdicts cover every document.
 
 Defined cases: a null text has no words and all statistics 0; documents of too few or too repetitive words fail at the
 base and aren't judged; without labels of both classes the list is empty and all that pass the base are kept; null or
-repeated labels: null ones are ignored, repeated ones all count.
+repeated labels: null ones are ignored, repeated ones all count, also those that contradict each other; an extra column of any name stays.
 """
 
 from __future__ import annotations
@@ -23,11 +23,13 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import SPACE_CHARS, SPACE_CLASS, others, table
+from .shared import SPACE_CHARS, SPACE_CLASS, fresh, others, table
 
 SYMBOLS = "[#*$%&|<>]"
 #: The most values a text may repeat before its repeated windows are found by sorting rather than by look-up in a list.
 FEW = 64
+#: How many rows the driver learns from for each label of the sample at most (ids can repeat): those of least hash.
+ROWS_A_LABEL = 2
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -72,15 +74,16 @@ def text_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
     t = F.coalesce(docs[text], F.lit(""))
     filled = F.filter(F.split(t, "\n", -1), lambda x: F.length(F.btrim(x, F.lit(SPACE_CHARS))) > 0)
     by_words = _let(F.array_remove(F.split(t, SPACE_CLASS + "+", -1), ""), lambda w: F.struct(F.size(w).alias("n"), _let(_triples(w), _covered).alias("again")))
+    helper = fresh(docs, "by_words")
     df = docs.select(
         *others(docs, *STATISTICS),
-        by_words.alias("_by_words"),
+        by_words.alias(helper),
         _let(filled, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
         (F.length(t) - F.regexp_count(t, F.lit(SPACE_CLASS))).cast("long").alias("word_chars"),
         *[F.regexp_count(t, F.lit(what)).cast("long").alias(name) for name, what in (("n_symbols", SYMBOLS), ("n_upper", r"\p{Lu}"), ("n_digits", "[0-9]"), ("n_marks", "[!?]"))],
     )
-    df = df.withColumns({"n_words": F.col("_by_words.n").cast("long"), "n_repeat_words": F.col("_by_words.again").cast("long")})
-    return df.select(*others(df, *STATISTICS, "_by_words"), *STATISTICS)
+    df = df.withColumns({"n_words": F.col(f"{helper}.n").cast("long"), "n_repeat_words": F.col(f"{helper}.again").cast("long")})
+    return df.select(*others(df, *STATISTICS, helper), *STATISTICS)
 
 
 #: What rules may test: each is a ratio, so that a threshold means the same for short and long texts.
@@ -164,9 +167,10 @@ def fit_rules(docs: DataFrame, labels: DataFrame, text: str = "text", key: str =
     sample = F.broadcast(label_sample(labels, key, label, max_labelled))
     known = docs.select(docs[key].alias("known_key"), docs[text].alias("text")).join(sample, F.col("known_key") == F.col("label_key"))
     asked = [F.expr(e).alias(f) for f, e in FEATURES.items()]
-    known = known.dropDuplicates(["known_key"])  # documents that share an id count once
-    rows = text_statistics(known).select(*asked, "label_bad", "label_fold", base_failed().alias("failed")).collect()
-    return learn_rules([({f: float(r[f]) for f in FEATURES}, r["label_bad"], r["label_fold"]) for r in rows if not r["failed"]])
+    rows = text_statistics(known).select("known_key", *asked, "label_bad", "label_fold", base_failed().alias("failed")).where("NOT failed")
+    # equal rows of an id count once, others all: documents that share an id, and labels that contradict each other
+    rows = rows.distinct().withColumn("h", F.xxhash64(*rows.columns)).orderBy("h", *rows.columns).limit(ROWS_A_LABEL * max_labelled).collect()
+    return learn_rules(sorted((({f: float(r[f]) for f in FEATURES}, r["label_bad"], r["label_fold"]) for r in rows), key=lambda x: (*x[0].values(), x[1], x[2])))
 
 
 def label_sample(labels: DataFrame, key: str = "doc_id", label: str = "quality", max_labelled: int = 20_000) -> DataFrame:

@@ -21,7 +21,7 @@ SLIPS = [
     [(100, 0)],  # 1: not at all
     [(2, -2), (35, -1), (69, 0), (98, 1), (100, 2)],  # 2: flat, the next bin almost as high
     [(4, -2), (34, -1), (71, 0), (96, 1), (100, 2)],  # 3: flat, the bin before almost as high
-    [(50, 0), (100, 12)],  # 4: two alleles in one
+    [(50, 0), (100, 6)],  # 4: two alleles in one
     [(1, -1), (99, 0), (100, 1)],  # 5: hardly
 ]
 #: What each synthetic sample holds: two alleles (CAG, sequence between, CCG, CCT) and the percentage of the first.
@@ -58,9 +58,12 @@ SAMPLES = [
     ((17, TYPICAL, 7, 2), (200, TYPICAL, 7, 2), 40),
     ((21, TYPICAL, 7, 2), (21, TYPICAL, 7, 2), 60),
     ((17, TYPICAL, 7, 2), (42, TYPICAL, 7, 2), 60),
+    ((17, "CAACAGCAACAGCCGCCA", 7, 2), (24, TYPICAL, 7, 2), 55),
+    ((17, TYPICAL, 7, 2), (40, TYPICAL, 7, 2), 60),
+    ((17, TYPICAL, 7, 2), (24, TYPICAL, 10, 2), 60),
 ]
 #: What is odd about some: the percentage of reads that are there, both alleles' slips, and what their reverse reads have of CCG more.
-ODD = {20: (4, 0, 0, 0, 0), 21: (100, 1, 1, 0, 0), 24: (100, 0, 2, 0, 0), 25: (100, 0, 3, 0, 0), 26: (100, 0, 0, 3, 4), 27: (100, 0, 0, 0, 3), 28: (100, 1, 4, 0, 0), 29: (100, 0, 1, 0, 0), 30: (100, 5, 5, 0, 0), 31: (45, 0, 0, 0, 0)}
+ODD = {20: (4, 0, 0, 0, 0), 21: (100, 1, 1, 0, 0), 24: (100, 0, 2, 0, 0), 25: (100, 0, 3, 0, 0), 26: (100, 0, 0, 3, 4), 27: (100, 0, 0, 0, 3), 28: (100, 1, 4, 0, 0), 29: (100, 0, 1, 0, 0), 30: (100, 5, 5, 0, 0), 31: (45, 0, 0, 0, 0), 32: (100, 0, 4, 0, 3), 33: (100, 0, 0, 5, 5), 34: (100, 0, 0, 7, 4)}
 
 _FIRST = "l_orderkey % 100 < split"
 _SNPS = f"{_FIRST} AND (l_suppkey % {len(SAMPLES)} = 4 OR (l_suppkey % {len(SAMPLES)} = 17 AND l_orderkey % 2 = 0))"

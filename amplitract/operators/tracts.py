@@ -54,9 +54,13 @@ def _structure(frames: Column) -> Column:
 def scan_tracts(reads: DataFrame, keep_seq: bool = False) -> DataFrame:
     """(sample_id, mate, n, cag, ccg, cct, intervening, five, three; seq if kept) of each distinct sequence with all three tracts. The
     structure is generated rather than projected, so that a filter on it isn't worked out a second time below."""
+    return with_structure(distinct_reads(reads), ["sample_id", "mate", "n", *(["seq"] if keep_seq else [])])
+
+
+def with_structure(rows: DataFrame, kept: list[str]) -> DataFrame:
+    """The kept columns and the structure of each row's seq; rows without all three tracts go."""
     found = F.filter(F.array(let(framed(F.col("seq")), _structure)), lambda s: (s["cag"] > 0) & (s["ccg"] > 0) & (s["cct"] > 0))
-    kept = ["sample_id", "mate", "n", *(["seq"] if keep_seq else [])]
-    return distinct_reads(reads).select(*kept, F.explode(found).alias("s")).select(*kept, "s.*")
+    return rows.select(*kept, F.explode(found).alias("s")).select(*kept, "s.*")
 
 
 def assign_contigs(scanned: DataFrame) -> DataFrame:

@@ -37,10 +37,12 @@ def _after(masks: tuple[str, ...]) -> str:
     return f"(SELECT [n, start] FROM ({' UNION ALL '.join(one(k, m) for k, m in enumerate(masks))}) ORDER BY n DESC, k LIMIT 1) AS t"
 
 
-SCAN = (
-    READS
-    + f""",
-uniq AS (SELECT sample_id, mate, seq, count(*) AS n FROM reads WHERE mapq >= 1 GROUP BY ALL),
+def scan_of(source: str) -> str:
+    """Reads of a table or subquery, scanned, with their bins."""
+    return (
+        READS
+        + f""",
+uniq AS (SELECT sample_id, mate, seq, count(*) AS n FROM {source} WHERE mapq >= 1 GROUP BY ALL),
 framed AS (SELECT *, regexp_replace(substr(seq, 1, length(seq) - length(seq) % 3), '(...)', '\\1 ', 'g') AS frames FROM uniq),
 two AS (SELECT *, {_tract("a", ("CAG", "AGC", "GCA"))}, {_tract("c", ("CCG", "CGC", "GCC"))} FROM framed),
 three AS (SELECT *, {_after(("CCT", "CTC", "TCC"))} FROM two WHERE a[1] > 0 AND c[1] > 0),
@@ -60,7 +62,10 @@ ccgs AS (SELECT sample_id, ccg, sum(n)::BIGINT AS n FROM fw GROUP BY ALL),
 modal AS (SELECT sample_id, ccg AS call FROM ccgs QUALIFY row_number() OVER (PARTITION BY sample_id ORDER BY n DESC, ccg) = 1),
 dense AS (SELECT s.sample_id, b.ccg::INT AS ccg, coalesce(c.n, 0)::BIGINT AS n, m.call
           FROM (SELECT DISTINCT sample_id FROM ccgs) s CROSS JOIN range(1, 21) b(ccg) LEFT JOIN ccgs c ON c.sample_id = s.sample_id AND c.ccg = b.ccg JOIN modal m ON m.sample_id = s.sample_id)"""
-)
+    )
+
+
+SCAN = scan_of("reads")
 
 
 def query(select: str, ctes: str = SCAN) -> str:

@@ -533,4 +533,4 @@ def sample_defaults(spark, sf):
     return T.with_sample_values(own, c.hist.groupBy("sample_id").agg(F.sum("n").alias("mapped")), ["mapped"])
 
 
-from amplitract import aligned_queries, learned_queries  # noqa: E402,F401  they register themselves
+from amplitract import aligned_queries, learned_queries, more_queries  # noqa: E402,F401  they register themselves

@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from amplitract.operators.histogram import histogram
+from amplitract.operators.tracts import assign_contigs, scan_tracts, with_structure
+
 READ = "sample_id int, read_id long, mate string, mapq int, seq string, quality int"
 
 
@@ -16,9 +19,6 @@ def arriving_reads(spark: SparkSession, path: str) -> DataFrame:
 
 def add_batches(reads: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
     """Scans each batch and adds its histogram to the table at out. A batch that is run again replaces its own part."""
-    from amplitract.operators.histogram import histogram
-    from amplitract.operators.tracts import assign_contigs, scan_tracts
-
     def add(batch: DataFrame, number: int) -> None:
         found = histogram(assign_contigs(scan_tracts(batch)))
         found.write.mode("overwrite").parquet(f"{out}/batch={number}")
@@ -28,3 +28,26 @@ def add_batches(reads: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
 
 def total(spark: SparkSession, out: str) -> DataFrame:
     return spark.read.parquet(out).groupBy("sample_id", "mate", "ccg", "cag").agg(F.sum("n").alias("n"))
+
+
+def counted(reads: DataFrame, delay: str = "1 hour") -> DataFrame:
+    """The running histogram (sample_id, mate, ccg, cag, n) of a stream of reads with their time of arrival (ts). A read that is
+    sent again (the same sample_id, mate and read_id) counts once; its id is remembered until the watermark, `delay`
+    behind the latest time, has passed it. Use it with outputMode("update"): each batch tells the bins that changed."""
+    once = reads.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["sample_id", "mate", "read_id"])
+    found = assign_contigs(with_structure(once.where("mapq >= 1"), ["sample_id", "mate"])).where("contig_cag IS NOT NULL")
+    return found.groupBy("sample_id", "mate", F.col("contig_ccg").alias("ccg"), F.col("contig_cag").alias("cag")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def keep_counts(counts: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
+    """Writes the bins that change with each batch to the table at out. A batch that is run again replaces its own part."""
+
+    def add(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    return counts.writeStream.outputMode("update").foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def latest(spark: SparkSession, out: str) -> DataFrame:
+    """The histogram as the last batch that changed each bin has it."""
+    return spark.read.parquet(out).groupBy("sample_id", "mate", "ccg", "cag").agg(F.max_by("n", "batch").alias("n"))

@@ -46,13 +46,13 @@ def _clean(v: Column, bin: Column) -> Column:
     return F.coalesce((side(-1) > 0) & (side(-1) < 0.2) & (side(1) > 0) & (side(1) < 0.2), F.lit(False))
 
 
-def ccg_review(reverse: DataFrame, forward: DataFrame, alleles: DataFrame, zygosity: DataFrame, valid: DataFrame) -> DataFrame:
+def ccg_review(reverse: DataFrame, forward: DataFrame, alleles: DataFrame, zygosity: DataFrame, valid: DataFrame, realigned: bool = True) -> DataFrame:
     """One row for each allele: its CCG bin after review (ccg) and whether that overwrote the scanned one; whether the bin is
     uncertain, continuous (a maximum of both alleles lies within one of it) and matched by a peak; the peak's CCG (fod_ccg);
     the zygosity that peaks show, and whether it contradicts the classifier (svm_failure). reverse and forward are each
     allele's dense CCG bins, those of atypical alleles against a library of their own structure."""
     both = vector(reverse, SLICE, "ccg", "n", "rv").join(vector(forward, SLICE, "ccg", "n", "fw"), SLICE)
-    rows = in_own_library(alleles).select(*SLICE, F.col("own_ccg").alias("scanned"), "est_ccg", "status", "neighbouring")
+    rows = in_own_library(alleles, realigned).select(*SLICE, F.col("own_ccg").alias("scanned"), "est_ccg", "status", "neighbouring")
     rows = rows.join(both, SLICE).join(zygosity.select("sample_id", F.col("zygosity").alias("classified")), "sample_id").join(valid.select(*SLICE, "state"), SLICE)
     w = Window.partitionBy("sample_id")
     of = lambda who, c: F.max(F.when(F.col("allele") == who, c)).over(w)

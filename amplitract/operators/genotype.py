@@ -18,9 +18,10 @@ def zygosity(dense_ccg: DataFrame) -> DataFrame:
     return out.withColumn("zygosity", F.when(F.col("peaks") >= 2, "HETERO").otherwise("HOMO"))
 
 
-def in_own_library(alleles: DataFrame) -> DataFrame:
-    """Adds own_ccg and own_cag: the bin of an allele's call, of the typical library, or of one of its own structure if it is atypical."""
-    odd = F.col("status") == "Atypical"
+def in_own_library(alleles: DataFrame, realigned: bool = True) -> DataFrame:
+    """Adds own_ccg and own_cag: the bin of an allele's call, of the typical library, or of one of its own structure if it is
+    atypical and its reads are realigned."""
+    odd = (F.col("status") == "Atypical") & F.lit(realigned)
     return alleles.withColumns({"own_ccg": F.when(odd, F.col("est_ccg")).otherwise(F.col("ccg")), "own_cag": F.when(odd, F.col("est_cag")).otherwise(F.col("cag"))})
 
 
@@ -30,15 +31,15 @@ def allele_counts(alleles: DataFrame, hist: DataFrame, realigned: DataFrame, key
     return hist.join(typical, "sample_id").select(*SLICE, *keys, "n").unionByName(realigned.select(*SLICE, *keys, "n"))
 
 
-def slices(alleles: DataFrame, hist: DataFrame, realigned: DataFrame) -> DataFrame:
+def slices(alleles: DataFrame, hist: DataFrame, realigned: DataFrame, own: bool = True) -> DataFrame:
     """200 CAG bins of each allele's CCG, with the call (its CAG) and how many peaks its slice should have: two if both alleles
     share it, beside each other (at most one apart) or spread (more than five). Slices that hold one allele are smoothed
     around the call. The bins of an atypical allele are those of its reads realigned to a library of its own structure
-    (realigned: sample_id, allele, ccg, cag, n); hist has the sample's."""
+    (realigned: sample_id, allele, ccg, cag, n), unless own is false; hist has the sample's."""
     w = Window.partitionBy("sample_id")
     shared = F.min("own_ccg").over(w) == F.max("own_ccg").over(w)
     gap = F.max("own_cag").over(w) - F.min("own_cag").over(w)
-    asked = in_own_library(alleles).select(*SLICE, F.col("own_ccg").alias("ccg"), F.col("own_cag").alias("call"), F.when(shared, 2).otherwise(1).alias("expected"), (shared & (gap <= 1)).alias("beside"), (shared & (gap > 5)).alias("spread"))
+    asked = in_own_library(alleles, own).select(*SLICE, F.col("own_ccg").alias("ccg"), F.col("own_cag").alias("call"), F.when(shared, 2).otherwise(1).alias("expected"), (shared & (gap <= 1)).alias("beside"), (shared & (gap > 5)).alias("spread"))
     bins = asked.select("*", F.explode(F.sequence(F.lit(1), F.lit(200))).alias("cag"))
     dense = bins.join(allele_counts(alleles, hist, realigned, ["ccg", "cag"]), [*SLICE, "ccg", "cag"], "left").withColumn("n", F.coalesce("n", F.lit(0)).cast("long"))
     smooth = F.when((F.col("expected") == 2) | (F.col("cag") == F.col("call")), F.col("n")).otherwise(H.cut(F.col("n"), 85.0))

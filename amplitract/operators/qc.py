@@ -79,9 +79,34 @@ def trim_mates(reads: DataFrame, forward: str, reverse: str) -> DataFrame:
     return reads.withColumn("trimmed", F.when(at > 0, F.substring("seq", F.lit(1), at - 1)).otherwise(F.col("seq")))
 
 
-def trim(reads: DataFrame, kind: str, cutoff: int = 5, three: str = "", five: str = "", reverse: str | None = None) -> DataFrame:
+def trim_either(reads: DataFrame, adapter: str) -> DataFrame:
+    """Exact trimming of an adapter that may be at either end: one with which a read begins goes, of any other all from it on."""
+    at = F.instr("seq", adapter)
+    cut = F.when(at == 1, F.substring("seq", len(adapter) + 1, 1 << 30)).when(at > 1, F.substring(F.col("seq"), F.lit(1), at - 1))
+    return reads.withColumn("trimmed", F.when(F.lit(bool(adapter)), cut.otherwise(F.col("seq"))).otherwise(F.col("seq")))
+
+
+def trim_by_flag(reads: DataFrame, flag: str, forward: str, reverse: str, error_rate: float = 0.0) -> DataFrame:
+    """Adapters of both mates (trimmed), as a flag says: -a at the 3' end, -g at the 5' end, -a$ and -g^ anchored, -b at either.
+    With an error_rate, -a and -g allow for edits; anchored ones and those of either end are exact."""
+
+    def one(mate: DataFrame, adapter: str) -> DataFrame:
+        if not adapter:
+            return mate.withColumn("trimmed", F.col("seq"))
+        if flag == "-b":
+            return trim_either(mate, adapter)
+        ends = {"three" if flag[1] == "a" else "five": adapter}
+        if error_rate and len(flag) == 2:
+            return trim_adapter_fuzzy(mate, error_rate=error_rate, **ends).drop("keep", "skip")
+        return trim_adapter(mate, anchored=len(flag) > 2, **ends)
+
+    first, second = one(reads.where("mate = 'R1'"), forward), one(reads.where("mate <> 'R1'"), reverse)
+    return first.unionByName(second.select(first.columns))
+
+
+def trim(reads: DataFrame, kind: str, cutoff: int = 5, three: str = "", five: str = "", reverse: str | None = None, flag: str = "-a", error_rate: float = 0.0) -> DataFrame:
     """reads (seq, q: array of qualities) with trimmed: by quality, by adapter, or both, quality first. With `reverse` that is
-    the 3' adapter of the second mate, and three that of the first."""
+    the adapter of the second mate, and three that of the first, both where flag says and with errors if a rate is given."""
     if kind not in ("Quality", "Adapter", "Both"):
         raise ValueError("Quality, Adapter or Both is asked for")
     good = F.col("seq") if kind == "Adapter" else F.substring("seq", F.lit(1), quality_cut(F.col("q"), cutoff))
@@ -89,7 +114,7 @@ def trim(reads: DataFrame, kind: str, cutoff: int = 5, three: str = "", five: st
     if kind == "Quality":
         done = whole.withColumn("trimmed", F.col("seq"))
     else:
-        done = trim_adapter(whole, three, five) if reverse is None else trim_mates(whole, three, reverse)
+        done = trim_adapter(whole, three, five) if reverse is None else trim_by_flag(whole, flag, three, reverse, error_rate)
     return done.withColumn("seq", F.col("_whole")).drop("_whole")
 
 

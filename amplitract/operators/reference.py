@@ -42,3 +42,8 @@ def realign(assigned: DataFrame, alleles: DataFrame) -> DataFrame:
     rows = assigned.join(odd, "sample_id")
     rows = rows.withColumn("bin", F.col("ccg") + F.floor((F.length("intervening") - F.col("length")) / 3).cast("int")).where("cag BETWEEN 1 AND 200 AND bin BETWEEN 1 AND 20")
     return rows.groupBy("sample_id", "allele", "mate", F.col("bin").alias("ccg"), "cag").agg(F.sum("n").alias("n"))
+
+
+def unaligned(hist: DataFrame, alleles: DataFrame) -> DataFrame:
+    """What realign gives if nothing is realigned: the sample's bins for each of its atypical alleles."""
+    return hist.join(alleles.where("status = 'Atypical'").select("sample_id", "allele"), "sample_id").select("sample_id", "allele", "mate", "ccg", "cag", "n")

@@ -119,28 +119,37 @@ class Cohort:
     budget: DataFrame
     #: Tells a sample's zygosity from its reverse CCG bins; without one, a second peak of 15 percent does.
     code: OutputCode | None = None
+    #: Whether atypical alleles are called in a library of their own.
+    realigned: bool = True
 
 
 def genotyped(spark: SparkSession, sf_dir: str) -> Cohort:
     return genotype_reads(synth_reads(spark, sf_dir))
 
 
-def genotype_reads(reads: DataFrame, code: OutputCode | None = None) -> Cohort:
-    """reads: sample_id, mate, mapq, seq"""
+def structured(reads: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """The sums of reads by structure (written, as all else is made from them), the histogram, and each sample's top contigs and
+    their summaries."""
     rows = assign_contigs(scan_tracts(reads))
     keys = [c for c in rows.columns if c != "n"]
     rows = kept(rows.groupBy(*keys).agg(F.sum("n").alias("n")))
     both = H.histogram(rows)
-    hist = _forward(both)
-    top = top_contigs(hist)
-    summary = kept(K.contig_summary(rows, top))
+    top = top_contigs(_forward(both))
+    return rows, both, top, K.contig_summary(rows, top)
+
+
+def genotype_reads(reads: DataFrame, code: OutputCode | None = None, realign: bool = True) -> Cohort:
+    """reads: sample_id, mate, mapq, seq. Atypical alleles are called in a library of their own structure, or without realign in
+    the typical one."""
+    rows, both, top, summary = structured(reads)
+    hist, summary = _forward(both), kept(summary)
     alleles = kept(K.alleles(K.choose_pair(K.ranks(top)), summary))
-    realigned = kept(R.realign(rows, alleles))
-    bins = kept(G.slices(alleles, hist, realigned.where("mate = 'R1'")))
+    realigned = kept(R.realign(rows, alleles) if realign else R.unaligned(both, alleles))
+    bins = kept(G.slices(alleles, hist, realigned.where("mate = 'R1'"), realign))
     budget = kept(G.recall_budget(bins))
     calls = G.cag_calls(budget)
     by_ccg = lambda counts, keys: counts.groupBy(*keys, "mate", "ccg").agg(F.sum("n").alias("n"))
-    return Cohort(hist, top, summary, alleles, bins, calls, kept(G.validate(calls, bins)), reads, by_ccg(both, ["sample_id"]), by_ccg(realigned, G.SLICE), budget, code)
+    return Cohort(hist, top, summary, alleles, bins, calls, kept(G.validate(calls, bins)), reads, by_ccg(both, ["sample_id"]), by_ccg(realigned, G.SLICE), budget, code, realign)
 
 
 def ccg_review(c: Cohort) -> DataFrame:
@@ -148,7 +157,7 @@ def ccg_review(c: Cohort) -> DataFrame:
     dense = lambda mate: H.densify(G.allele_counts(c.alleles, of(c.ccgs, mate), of(c.own_ccgs, mate), ["ccg"]), G.SLICE, "ccg", 20)
     whole = H.densify(of(c.ccgs, "R2"), ["sample_id"], "ccg", 20)
     zygosity = classified(whole, c.code) if c.code else G.zygosity(whole)
-    return E.ccg_review(dense("R2"), dense("R1"), c.alleles, zygosity, c.valid)
+    return E.ccg_review(dense("R2"), dense("R1"), c.alleles, zygosity, c.valid, c.realigned)
 
 
 def ccg_vectors(reads: DataFrame) -> DataFrame:
@@ -199,7 +208,9 @@ def scored(c: Cohort, e: Evidence) -> DataFrame:
 
 
 def alleles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return genotyped(spark, sf_dir).alleles
+    """The two alleles of each sample, and nothing that is called from them."""
+    _, _, top, summary = structured(synth_reads(spark, sf_dir))
+    return K.alleles(K.choose_pair(K.ranks(top)), summary)
 
 
 def structures(reads: DataFrame, alleles: DataFrame) -> DataFrame:
@@ -209,19 +220,19 @@ def structures(reads: DataFrame, alleles: DataFrame) -> DataFrame:
     return typical.unionByName(own).groupBy("sample_id").agg(F.array_sort(F.collect_set(F.struct("mid", "cct"))).alias("structures"))
 
 
-def variant_calls(reads: DataFrame, alleles: DataFrame, least: int = 2) -> DataFrame:
+def variant_calls(reads: DataFrame, alleles: DataFrame, least: int = 2, scoring: S.Scoring = S.Scoring()) -> DataFrame:
     """Variants of each sample on the library entries that its reads align to (chrom). reads: with quality or q."""
     given = "q" if "q" in reads.columns else "quality"
-    aligned = S.aligned_reads(reads, structures(reads, alleles), (given,))
+    aligned = S.aligned_reads(reads, structures(reads, alleles), (given,), scoring)
     entry = [F.col(c) for c in ("ref_mid", "contig_cag", "contig_ccg", "ref_cct")]
     rows = aligned.where("cigar IS NOT NULL").withColumn("chrom", S.entry_label(*entry))
     counts = V.base_counts(rows, ["sample_id", "chrom"], S.entry_sequence(*entry))
     return V.call_variants(kept(counts), ["sample_id", "chrom"], least)
 
 
-def allele_variants(c: Cohort, cutoff: float) -> DataFrame:
+def allele_variants(c: Cohort, cutoff: float, least: int = 2, scoring: S.Scoring = S.Scoring()) -> DataFrame:
     """The variants of each allele's own entry that are good enough."""
-    return V.surviving(V.of_alleles(variant_calls(c.reads, c.alleles), c.alleles), cutoff)
+    return V.surviving(V.of_alleles(variant_calls(c.reads, c.alleles, least, scoring), c.alleles), cutoff)
 
 
 def outcomes(c: Cohort) -> DataFrame:

@@ -464,11 +464,11 @@ def slice_maps(spark, sf):
     return maps.select("sample_id", F.explode("m").alias("ccg", "n"))
 
 
-@register("distinct_labels", query("SELECT string_agg(label, ' ' ORDER BY first) AS labels FROM (SELECT label, min(sample_id * 2 + CASE allele WHEN 'PRI' THEN 0 ELSE 1 END) AS first FROM alleles GROUP BY label)", PAIRS))
+@register("distinct_labels", query("SELECT label, min(sample_id * 2 + CASE allele WHEN 'PRI' THEN 0 ELSE 1 END)::INT AS first FROM alleles GROUP BY label", PAIRS))
 def distinct_labels(spark, sf):
-    """The labels of a cohort in the order in which they first occur."""
-    rows = F.array_sort(F.collect_list(F.struct("sample_id", "allele", "label")))
-    return C.alleles(spark, sf).agg(F.array_join(F.array_distinct(F.transform(rows, lambda x: x["label"])), " ").alias("labels"))
+    """The labels of a cohort, with the place at which each first occurs."""
+    place = F.col("sample_id") * 2 + F.when(F.col("allele") == "PRI", 0).otherwise(1)
+    return C.alleles(spark, sf).groupBy("label").agg(F.min(place).cast("int").alias("first"))
 
 
 @register("demultiplex_fuzzy")
@@ -490,6 +490,12 @@ def trim_anchored(spark, sf):
     return Q.trim_report(Q.trim_adapter(synth_reads(spark, sf), five=FIVE_PRIME[:10], anchored=True))
 
 
+@register("trim_either", query(f"SELECT sample_id, mate, count(*) FILTER (WHERE k > 0) AS reads_trimmed, sum(CASE k WHEN 0 THEN 0 WHEN 1 THEN 10 ELSE length(seq) - k + 1 END)::BIGINT AS bases_removed FROM (SELECT *, instr(seq, CASE mate WHEN 'R1' THEN '{FIVE_PRIME[:10]}' ELSE '{THREE_PRIME[:10]}' END) AS k FROM reads) GROUP BY ALL", READS))
+def trim_either(spark, sf):
+    """An adapter of each mate, at whichever end it is."""
+    return Q.trim_report(Q.trim_by_flag(synth_reads(spark, sf), "-b", FIVE_PRIME[:10], THREE_PRIME[:10]))
+
+
 @register("trim_mates", query(f"SELECT sample_id, mate, count(*) FILTER (WHERE instr(seq, a) > 0) AS reads_trimmed, sum(CASE WHEN instr(seq, a) > 0 THEN length(seq) - instr(seq, a) + 1 ELSE 0 END)::BIGINT AS bases_removed FROM (SELECT *, CASE mate WHEN 'R1' THEN '{THREE_PRIME[:16]}' ELSE '{THREE_PRIME[8:24]}' END AS a FROM reads) GROUP BY ALL", READS))
 def trim_mates(spark, sf):
     return Q.trim_report(Q.trim_mates(synth_reads(spark, sf), THREE_PRIME[:16], THREE_PRIME[8:24]))

@@ -108,3 +108,34 @@ def test_stream_of_repeated_and_late_reads(spark, tmp_path):
         want = histogram(assign_contigs(scan_tracts(spark.createDataFrame(list(seen.values()), READ))))
         key = ["sample_id", "mate", "ccg", "cag", "n"]
         assert sorted(map(tuple, latest(spark, f"{folder}/out").select(key).collect())) == sorted(map(tuple, want.select(key).collect())), n
+
+
+def test_configuration_is_obeyed(spark):
+    """Errors that are tolerated, adapters at either end, demultiplexing, bins by scores, realignment and the quality of variants."""
+    from amplitract.plans import run
+    from amplitract.sources import config, reads
+
+    xml = '<c><instance_flags demultiplex="True"/><demultiplex_flags forward_adapter="ACGT" reverse_adapter="TTTT" error_rate="0" min_overlap="10" max_length="90"/><trim_flags adapter_flag="-b" forward_adapter="GG"/><alignment_flags indel_penalty="7,8" gap_extend_penalty="2"/></c>'
+    found = config.read_config(xml)
+    assert (found.demultiplex, found.ends(), found.forward_adapter, found.adapter_flag, found.demultiplex_max_length) == (True, ("ACGT", "TTTT"), "GG", "-b", 90)
+    assert found.scoring().gap_open == (7, 8) and found.scoring().gap_extend == (2, 2)
+    for wrong in ({"adapter_flag": "-x"}, {"demultiplex": True}, {"snp_cutoff": -1.0}, {"band_width": 0}, {"demultiplex_reverse_adapter": "AXA"}, {"alignment": False}):
+        with pytest.raises(ValueError, match="."):
+            config.Config(**wrong)
+    seqs = ["AAAACCCCGGGG", "CCCCGGGGAAAA", "AAAACCCAGGGG", "AAAA"]
+    df = spark.createDataFrame([(0, k, mate, 60, s, 30, [30] * len(s)) for k, s in enumerate(seqs) for mate in ("R1", "R2")], READ + ", q array<int>")
+    off = {"alignment": False, "genotyping": False, "snp_calling": False, "trim_type": "Adapter", "forward_adapter": "CCCCGGGG", "reverse_adapter": "CCCCGGGG"}
+    removed = lambda **more: {r.mate: r.bases_removed for r in run.run(df, config.Config(**off | more))["trimming"].collect()}
+    assert removed(error_tolerance=0.0) == {"R1": 20, "R2": 20} and removed(error_tolerance=0.2) == {"R1": 28, "R2": 28}
+    assert removed(adapter_flag="-b") == {"R1": 16, "R2": 16} and removed(adapter_flag="-b", reverse_adapter="") == {"R1": 16, "R2": 0}
+    assert removed(adapter_flag="-a$") == {"R1": 8, "R2": 8} and removed(adapter_flag="-g^") == {"R1": 8, "R2": 8}
+    rows = reads.synth_reads(spark, "/root/testdata/sf0.01").where("sample_id IN (3, 4, 10)")
+    cut = config.Config(quality_control=False, demultiplex=True, demultiplex_forward_adapter=reads.FIVE_PRIME[-12:], demultiplex_reverse_adapter=reads.THREE_PRIME[:12], alignment=False, genotyping=False, snp_calling=False)
+    assert run.run(rows, cut)["demultiplexed"].agg(F.sum("n")).first()[0] == rows.count()
+    out = run.run(rows, config.Config(quality_control=False, rescoring=True))
+    bins = {(r.sample_id, r.cag, r.ccg) for r in out["histogram"].where("n > 100").collect()}
+    assert {(3, 17, 7), (4, 20, 10), (10, 19, 7)} <= bins and out["instance_report"].count() == 3
+    assert out["variants"].where("sample_id = 4 AND allele = 'PRI'").select("pos").collect() == [(26,)]
+    assert run.run(rows, config.Config(quality_control=False, snp_cutoff=1e9))["variants"].count() == 0
+    own, typical = (run.run(rows.where("sample_id = 10"), config.Config(quality_control=False, snp_calling=False, atypical_realignment=x))["labels"].where("allele = 'PRI'").first().genotype for x in (True, False))
+    assert own == "17_2_1_7_2" != typical

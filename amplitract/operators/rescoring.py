@@ -24,6 +24,7 @@ from amplitract.sources.reads import FIVE_PRIME, THREE_PRIME, TYPICAL
 NEVER = -(1 << 20)
 #: Pairs that go through the programme at once.
 PAIRS = 4096
+SPREAD = 16
 _CODE = np.full(256, 4, np.uint8)
 _CODE[[ord(c) for c in "ACGT"]] = range(4)
 
@@ -236,10 +237,12 @@ def entry_sequence(mid: Column, cag: Column, ccg: Column, cct: Column) -> Column
 
 def aligned_reads(reads: DataFrame, structures: DataFrame | None = None, more: tuple[str, ...] = (), scoring: Scoring = Scoring()) -> DataFrame:
     """The mapped reads summed by sequence (and columns named more), each with its library entry. structures: (sample_id, structures),
-    the array of (mid, cct) that a sample's reads are tried with. Equal sequences go to one task, so each is aligned once."""
+    the array of (mid, cct) that a sample's reads are tried with. Equal sequences go to the same few tasks, each of which aligns
+    them once; where each read has qualities of its own (q), a frequent one is dealt to SPREAD tasks."""
     keys = ["sample_id", "mate", "seq", *more]
     same = reads.where("mapq >= 1").groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
     if structures is not None:
         same = same.join(structures, "sample_id")
     tasks = int(reads.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rescore(same.repartition(tasks, "seq"), F.col("structures") if structures is not None else None, scoring)
+    spread = F.pmod(F.xxhash64(*keys), F.lit(SPREAD if "q" in more else 1))
+    return rescore(same.repartition(tasks, F.col("seq"), spread), F.col("structures") if structures is not None else None, scoring)

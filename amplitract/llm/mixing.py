@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import WORD_CLASS, fresh, materialize, table
+from .shared import SPACE_CLASS, WORD_CLASS, fresh, materialize, table
 
 WEIGHTS = (5, 2, 1)
 CHUNK_DIGITS = 3
@@ -97,9 +97,8 @@ def shard_counts(slots: DataFrame) -> DataFrame:
     return slots.groupBy("shard", "no").agg(F.count(F.lit(1)).alias("n"))
 
 
-def pack(sized: DataFrame, src: DataFrame, block_words: int) -> DataFrame:
-    """(rid, no, source_size, target, block, share): the words that each row has in each block of its source; a row without
-    words comes once, with neither block nor share."""
+def offsets(sized: DataFrame, src: DataFrame) -> DataFrame:
+    """(rid, size, no, source_size, target, off): at which word of its source each row begins."""
     chunk = F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.col("size").cast("string"))), 1, CHUNK_DIGITS)
     rows = sized.select("rid", "doc_id", "size", F.coalesce("source", F.lit("")).alias("s"), F.col("source").isNull().alias("none"), chunk.alias("chunk"))
     before = Window.partitionBy("s", "none", "chunk").orderBy("doc_id", "size", "rid").rowsBetween(Window.unboundedPreceding, -1)
@@ -109,7 +108,13 @@ def pack(sized: DataFrame, src: DataFrame, block_words: int) -> DataFrame:
     starts = F.sum("n").over(Window.partitionBy("source").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1))
     chunks = chunks.withColumn("start", F.coalesce(starts, F.lit(0)))
     at = chunks.join(src, chunks["source"].eqNullSafe(src["source"])).select(F.coalesce(chunks["source"], F.lit("")).alias("s"), chunks["source"].isNull().alias("none"), "chunk", "start", "no", "source_size", "target")
-    rows = rows.join(at.hint("merge"), ["s", "none", "chunk"]).select("rid", "size", "no", "source_size", "target", (F.col("start") + F.col("within")).alias("off"))
+    return rows.join(at.hint("merge"), ["s", "none", "chunk"]).select("rid", "size", "no", "source_size", "target", (F.col("start") + F.col("within")).alias("off"))
+
+
+def pack(sized: DataFrame, src: DataFrame, block_words: int) -> DataFrame:
+    """(rid, no, source_size, target, block, share): the words that each row has in each block of its source; a row without
+    words comes once, with neither block nor share."""
+    rows = offsets(sized, src)
     last = F.expr(f"(off + size - 1) div {block_words}")
     pieces = rows.select("*", F.explode_outer(F.when(F.col("size") > 0, F.sequence(F.expr(f"off div {block_words}"), last))).alias("block"))
     share = F.least(F.col("off") + F.col("size"), (F.col("block") + 1) * block_words) - F.greatest("off", F.col("block") * block_words)
@@ -127,6 +132,40 @@ def plan_mix(sized: DataFrame, block_words: int = 128, weights: tuple[int, ...]
     return in_shard.groupBy("rid", "source_size", "target").agg(F.coalesce(F.sum(held), F.lit(0)).alias("taken"), F.count("shard").alias("n_shards"))
 
 
+def block_texts(rows: DataFrame, block_words: int) -> DataFrame:
+    """(no, block, words) of rows (no, off, size, text): the words of each block, of all rows that reach into it, in their order. A row gives
+    its blocks slices of its words, so no text is copied for each."""
+
+    def slices(words: Column) -> Column:
+        blocks = F.sequence(F.expr(f"off div {block_words}"), F.expr(f"(off + size - 1) div {block_words}"))
+
+        def one(b: Column) -> Column:
+            begin = F.greatest("off", b * block_words)
+            count = F.least(F.col("off") + F.col("size"), (b + 1) * block_words) - begin
+            return F.struct(b.alias("block"), begin.alias("begin"), F.slice(words, (begin - F.col("off") + 1).cast("int"), count.cast("int")).alias("words"))
+
+        return F.transform(blocks, one)
+
+    words = F.array_remove(F.split("text", SPACE_CLASS + "+", -1), "")
+    pieces = rows.where("size > 0").select("no", F.explode(F.get(F.transform(F.array(words), slices), 0)).alias("p"))
+    # a block has no more rows than words
+    inner = F.array_sort(F.collect_list(F.struct("p.begin", "p.words")))
+    return pieces.groupBy("no", F.col("p.block").alias("block")).agg(F.flatten(F.transform(inner, lambda x: x["words"])).alias("words"))
+
+
+def mixed_blocks(docs: DataFrame, block_words: int = 128, slots_per_shard: int = 4096, seed: int = 1) -> DataFrame:
+    """The mix itself: (shard, place, source, block, words), one row for each drawn slot. place counts the slots of a shard, in an
+    order that mixes its sources; words are those of the block that the slot maps to, joined by index. The last block of a
+    source may be short. Documents are packed, and slots drawn, as plan_mix does it, whose taken words are those that come here."""
+    base = materialize(docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "source", "text", count_words(docs["text"]).alias("size")), "mix-texts")
+    src = source_targets(base, block_words=block_words)
+    at = offsets(base.select("rid", "doc_id", "source", "size"), src)
+    blocks = block_texts(base.select("rid", "text").join(at.hint("merge"), "rid"), block_words)
+    drawn = draw_slots(src, slots_per_shard, seed).join(blocks.hint("merge"), ["no", "block"]).join(src.select("no", "source"), "no")
+    order = Window.partitionBy("shard").orderBy(F.xxhash64("no", "slot"), "no", "slot")
+    return drawn.select("shard", (F.row_number().over(order) - 1).alias("place"), "source", "block", "words")
+
+
 def mix_documents(docs: DataFrame, block_words: int = 128) -> DataFrame:
     """Documents as the mix repeats them: each row comes 0, 1 or 2 times, as often as its words are taken, rounded up or
     down by a hash of its id so that the expected number of words is right. The columns are those of docs; rows without words go."""

@@ -63,8 +63,8 @@ def test_planted_genotypes_are_recovered(spark):
     for k, (one, two, _) in enumerate(reads.SAMPLES[:20]):
         if k != 14:  # its sequence between the tracts is a new one
             assert found[k][1] == {name(one), name(two)}, k
-    # of the odd ones those that only have recalls, flat peaks or reverse reads that differ
-    for k in (23, 24, 25, 26, 27, 33, 34):
+    # of the odd ones those that only have recalls or reverse reads that differ (which bin of a flat peak is the fullest is chance)
+    for k in (23, 26, 27, 33, 34):
         assert found[k][1] == {name(reads.SAMPLES[k][0]), name(reads.SAMPLES[k][1])}, k
     assert found[2][0] == found[7][0] == "neighbouring"
     assert found[3][0] == found[8][0] == "homozygous"

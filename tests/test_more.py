@@ -110,6 +110,25 @@ def test_stream_of_repeated_and_late_reads(spark, tmp_path):
         assert sorted(map(tuple, latest(spark, f"{folder}/out").select(key).collect())) == sorted(map(tuple, want.select(key).collect())), n
 
 
+def test_stream_of_reads_scanned_by_batch(spark, tmp_path):
+    """Reads that come twice count once in the histograms of batches, those of one id that differ are several, and the ids are kept on disk."""
+    from amplitract.streaming import histogram as S
+
+    rng = random.Random(8)
+    rows = [(k % 2, k // 3, "R1", 60, FIVE_PRIME + "CAG" * rng.randint(15, 18) + TYPICAL + "CCG" * 7 + "CCTCCT" + THREE_PRIME, k % 3) for k in range(120)]
+    folder = f"file://{tmp_path}"
+    for part in (rows[:80], rows[40:], rows[:10]):
+        spark.createDataFrame(part, READ).withColumn("ts", F.timestamp_seconds(F.lit(600))).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    stream = spark.readStream.schema(READ + ", ts timestamp").option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    before = [spark.conf.get(k, None) for k in S.ON_DISK]
+    S.add_batches(S.once(stream, key=("sample_id", "mate", "read_id", "quality")), f"{folder}/out", f"{folder}/state").awaitTermination()
+    assert [spark.conf.get(k, None) for k in S.ON_DISK] == before
+    want = histogram(assign_contigs(scan_tracts(spark.createDataFrame(rows, READ))))
+    key = ["sample_id", "mate", "ccg", "cag", "n"]
+    assert sorted(map(tuple, S.total(spark, f"{folder}/out").select(key).collect())) == sorted(map(tuple, want.select(key).collect()))
+    assert "RocksDBStateStoreProvider" in (tmp_path / "state/offsets/0").read_text()
+
+
 def test_configuration_is_obeyed(spark):
     """Errors that are tolerated, adapters at either end, demultiplexing, bins by scores, realignment and the quality of variants."""
     from amplitract.plans import run

@@ -51,5 +51,5 @@ def bam_histogram(spark: SparkSession, sf: str) -> DataFrame:
     with C.scratch(spark, "reads-bam") as folder:
         write_bam(rows, folder, [])
         part = lambda k: F.split_part("read_id", F.lit(":"), F.lit(k))
-        back = read_bam(spark, folder).select(part(1).cast("int").alias("sample_id"), part(2).alias("mate"), "mapq", "seq")
+        back = read_bam(spark, folder, columns=["read_id", "mapq", "seq"]).select(part(1).cast("int").alias("sample_id"), part(2).alias("mate"), "mapq", "seq")
         return C.kept(C.H.histogram(C.assign_contigs(C.scan_tracts(back))))

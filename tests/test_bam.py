@@ -95,6 +95,26 @@ def test_round_trip_in_spark(spark, tmp_path):
     assert back.where(F.col("contig") == REFS[0][0]).count() == B.read_bam(spark, str(tmp_path / "out"), REFS[0][0]).count() == sum(r["contig"] == REFS[0][0] for r in rows)
 
 
+def test_batches_in_and_out(spark, tmp_path):
+    """Rows go through as Arrow batches, only named columns are built, and all values come back, null or longer than a block."""
+    import pyarrow as pa
+
+    rows = [(f"r{k}", None if k % 3 else REFS[0][0], None if k % 5 else 7, "ACGTN" * (k if k != 9 else 40_000), "*" if k % 2 else None) for k in range(1, 40)]
+    df = spark.createDataFrame(rows, "read_id string, contig string, mapq int, seq string, qual string").coalesce(1)
+    B.write_bam(df, str(tmp_path), REFS)
+    back = B.read_bam(spark, str(tmp_path), split_bytes=5_000, columns=["seq", "mapq", "read_id"])
+    assert back.columns == ["seq", "mapq", "read_id"]
+    assert sorted((r.read_id, r.mapq, r.seq) for r in back.collect()) == sorted((r[0], r[2] or 0, r[3]) for r in rows)
+    reader = B.BamReader(back.schema, {"path": str(tmp_path)})
+    found = [b for part in reader.partitions() for b in reader.read(part)]
+    assert all(isinstance(b, pa.RecordBatch) and b.schema.names == back.columns for b in found) and sum(b.num_rows for b in found) == len(rows)
+    row = {"read_id": "q", "seq": "acgtR=NM", "qual": "!~5?I#$%"}
+    raw = B.record(row, {})
+    assert {k: v for k, v in B.parsed(raw, 0, B.Header("", [], [], 0), ["seq", "qual"]).items() if k in row} == {"seq": "NNNNR=NM", "qual": row["qual"]}
+    with pytest.raises(ValueError, match="below 0"):
+        B.record({**row, "qual": " ~5?I#$%"}, {})
+
+
 def test_files_that_are_none(spark, tmp_path):
     (tmp_path / "bad.bam").write_bytes(b"not at all")
     with pytest.raises(Exception, match="no BGZF block"):
